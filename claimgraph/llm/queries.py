@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm import sharding, url_filter
+from claimgraph.llm import secrets, sharding, url_filter
 
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
@@ -29,6 +29,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -42,7 +46,35 @@ def _url_rule_sql() -> str:
     return "CASE " + " ".join(out) + " END"
 
 
+def _secrets_sql() -> str:
+    by_kind = " UNION ALL ".join(
+        "SELECT uid, owner, {i} AS ord, '{k}' AS kind, string_split_regex(t, {p}) AS pieces, regexp_extract_all(t, {p}) AS hits, {s} AS secrets FROM d".format(
+            i=i, k=k, p=(p := "'" + pattern.replace("'", "''") + "'"), s=f"regexp_extract_all(t, {p}, {group})"
+        )
+        for i, (k, pattern, group) in enumerate(secrets.KINDS)
+    )
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS t FROM documents),
+        k AS ({by_kind}),
+        e AS (SELECT uid, owner, ord, kind, u.i, length(pieces[u.i]) AS gap, length(hits[u.i]) AS len, secrets[u.i] AS secret
+            FROM k, unnest(range(1, len(hits) + 1)) AS u(i) WHERE len(hits) > 0),
+        p AS (SELECT *, sum(gap + len) OVER (PARTITION BY uid, kind ORDER BY i) AS stop FROM e),
+        f AS (SELECT uid, owner, ord, kind, stop - len AS start, stop, secret FROM p
+            WHERE CASE kind WHEN 'assign' THEN length(secret) >= {secrets.LEAST_ASSIGNED}
+                WHEN 'mixed' THEN regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]') ELSE true END),
+        h AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT uid) AS repositories FROM f GROUP BY secret),
+        j AS (SELECT f.*, owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} AS live FROM f JOIN h USING (secret)),
+        g AS (SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3), '') AS base,
+            string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans,
+            count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j WHERE ord < 3 OR live GROUP BY uid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+        FROM d LEFT JOIN g USING (uid)"""
+
+
 ORACLE = {
+    "op6_secret_scan": _secrets_sql(),
     "op1_url_filter": f"""
         WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
         parts AS (SELECT page_id,
@@ -58,7 +90,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op10_sharding)
+    found = (op1_url_filter, op6_secret_scan, op10_sharding)
     return {f.__name__: f for f in found}
 
 
