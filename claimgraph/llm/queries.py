@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm import secrets, sharding, url_filter
+from claimgraph.llm import mixing, packing, secrets, sharding, url_filter
 
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
@@ -19,6 +19,7 @@ URL_RULES = [
 #: Hosts that farm links or sell, and paths of programs and archives, for urls that no rule covers.
 URL_BLOCKED = ["spam*", "spam*/**", "*.spam*", "*.spam*/**", "*cheap-*", "*cheap-*/**", "*casino*", "*casino*/**", "**/cgi-bin/**", "**.exe", "**.zip"]
 SHARDS = 24
+SOURCE_WEIGHTS = [1, 2, 3]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=SOURCE_WEIGHTS)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -90,7 +106,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op6_secret_scan, op10_sharding)
+    found = (op1_url_filter, op3_best_fit_packing, op4_source_mixing, op6_secret_scan, op10_sharding)
     return {f.__name__: f for f in found}
 
 

@@ -9,10 +9,11 @@ fractional ranks are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
+from claimgraph.llm.ranks import place
 
 LAW = "rows"
 
@@ -22,16 +23,6 @@ def _ranges(n: int) -> int:
     return min(max(64, n // 1000), 65536)
 
 
-def _place(rows: DataFrame, strata: list[str], part: str, order: list[Column], out: str) -> DataFrame:
-    """out: each row's place from 0 in its stratum by (part, order). part is small whole numbers."""
-    keys = [*strata, part]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_here"))
-    before = Window.partitionBy(*(strata or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(starts, keys).withColumn(out, F.col("_start") + F.col("_inside")).drop("_inside", "_start")
-
-
 def stratified_shards(documents: DataFrame, shards: int, *, seed: int = 17, id_col: str = "doc_id", stratum_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, source, law, shard, slot and grown_shard of every row of documents.
 
@@ -52,12 +43,12 @@ def stratified_shards(documents: DataFrame, shards: int, *, seed: int = 17, id_c
     n = _ranges(total)
     tie = [F.col("_key"), F.col("doc_id"), F.col("text_crc32")]
     hashed = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    ranked = _place(rows.withColumn("_range", F.shiftright(hashed * n, 32).cast("int")), ["_stratum"], "_range", tie, "_rank")
+    ranked = place(rows.withColumn("_range", F.shiftright(hashed * n, 32).cast("int")), ["_stratum"], "_range", tie, "_rank")
     ranked = ranked.join(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_of")), "_stratum")
     fraction = (F.col("_rank") + 0.5) / F.col("_of")
     ranked = ranked.withColumn("_fraction", fraction).withColumn("_range", F.least(F.lit(n - 1), (fraction * n).cast("int")))
     ranked = materialise(ranked.drop("_of", "_rank"), "shard-ranks")
-    placed = _place(ranked, [], "_range", [F.col("_fraction"), F.col("_stratum"), *tie], "_at")
+    placed = place(ranked, [], "_range", [F.col("_fraction"), F.col("_stratum"), *tie], "_at")
     shard = F.expr(f"_at * {shards} div {max(total, 1)}")
     first = F.expr(f"(_shard * {total} + {shards - 1}) div {shards}")
     return placed.withColumn("_shard", shard).select(
