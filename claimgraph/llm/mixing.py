@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: list[int], most: float) -> DataFra
     filling = Window.orderBy(F.col("full") / F.col("weight"), "_source")
     owed = F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     level = owed / F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    each = each.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.col("level"))).over(everything))
+    each = each.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.col("level"))).over(everything))
     target = F.least(F.col("full"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
     return each.select("_source", "source_size", target.cast("double").alias("target"))
 
