@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm import mixing, packing, secrets, sharding, url_filter
+from claimgraph.llm import jaccard, mixing, packing, secrets, sharding, url_filter
 
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
@@ -49,6 +49,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -106,7 +110,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op3_best_fit_packing, op4_source_mixing, op6_secret_scan, op10_sharding)
+    found = (op1_url_filter, op3_best_fit_packing, op4_source_mixing, op6_secret_scan, op7_jaccard_join, op10_sharding)
     return {f.__name__: f for f in found}
 
 
