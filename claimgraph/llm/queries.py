@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm import jaccard, mixing, packing, secrets, sharding, url_filter
+from claimgraph.llm import jaccard, langid, mixing, packing, quality, secrets, sharding, url_filter
 
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
@@ -30,6 +30,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    languages, prototypes = langid.learn(documents.filter(_remainder(5) != 0))
+    found = langid.identify(documents, languages, prototypes)
+    return found.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learns_from=_remainder(4) != 2)
+    return found.withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -110,7 +126,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op3_best_fit_packing, op4_source_mixing, op6_secret_scan, op7_jaccard_join, op10_sharding)
+    found = (op1_url_filter, op2_language_id, op3_best_fit_packing, op4_source_mixing, op5_quality, op6_secret_scan, op7_jaccard_join, op10_sharding)
     return {f.__name__: f for f in found}
 
 
