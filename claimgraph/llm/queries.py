@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm import jaccard, langid, mixing, packing, quality, secrets, sharding, url_filter
+from claimgraph.llm import ann, jaccard, langid, mixing, packing, pivots, quality, secrets, sharding, url_filter
 
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
@@ -69,6 +69,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -126,7 +134,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_language_id, op3_best_fit_packing, op4_source_mixing, op5_quality, op6_secret_scan, op7_jaccard_join, op10_sharding)
+    found = (op1_url_filter, op2_language_id, op3_best_fit_packing, op4_source_mixing, op5_quality, op6_secret_scan, op7_jaccard_join, op8_cross_polytope, op9_pivot_dedup, op10_sharding)
     return {f.__name__: f for f in found}
 
 
