@@ -87,24 +87,26 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "found": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"query": left["cls"].iloc[:0], "ids": none, "scores": none})
         q, x, ids = unpacked(left["v"]), unpacked(right["v"]), right["cls"].to_numpy()
         by_id = np.argsort(ids, kind="stable")
         x, ids = x[by_id], ids[by_id]
-        rough, out = q @ x.T, []
+        rough, found, scores = q @ x.T, [], []
         for i in range(len(q)):
             few = np.arange(len(x)) if len(x) <= k + 1 else np.flatnonzero(rough[i] >= np.partition(rough[i], -k - 1)[-k - 1] - 1e-9)
             exact = (q[i] * x[few]).sum(axis=1)
             top = np.argsort(-exact, kind="stable")[: k + 1]
-            out.append([{"cls": int(ids[few[j]]), "score": float(exact[j])} for j in top])
-        return pd.DataFrame({"query": left["cls"].to_numpy(), "found": out})
+            found.append(ids[few[top]])
+            scores.append(exact[top])
+        return pd.DataFrame({"query": left["cls"].to_numpy(), "ids": found, "scores": scores})
 
     def answered(index: DataFrame, questions: DataFrame) -> DataFrame:
         slices = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
-        cut = index.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
-        spread = questions.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        met = spread.groupBy("cell", "slice").cogroup(cut.groupBy("cell", "slice")).applyInPandas(best, f"query {id_type}, found array<struct<cls:{id_type},score:double>>")
-        met = met.select("query", F.explode("found").alias("f")).select("query", "f.cls", "f.score").groupBy("query", "cls").agg(F.max("score").alias("score"))
+        cut = index.join(slices, "cell").withColumn("slice", F.expr("cast(pmod(xxhash64(cls), slices) as int)")).drop("slices")
+        spread = questions.join(slices, "cell").withColumn("slice", F.expr("explode(sequence(0, slices - 1))")).drop("slices")
+        met = spread.groupBy("cell", "slice").cogroup(cut.groupBy("cell", "slice")).applyInPandas(best, f"query {id_type}, ids array<{id_type}>, scores array<double>")
+        met = met.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query", F.col("f.ids").alias("cls"), F.col("f.scores").alias("score")).groupBy("query", "cls").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
         return met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).drop("place")
 

@@ -120,7 +120,7 @@ class Signer:
             for places in itertools.combinations(range(grid.shape[1]), k):
                 rows = full[:, places[-1]]
                 if rows.any():
-                    out.append(mix(sum(mix(grid[rows, p]) * _K[j] for j, p in enumerate(places)) + np.uint64(band * 4 + k) * _K[3]))
+                    out.append(mix(sum(mix(grid[rows, p]) * _K[j] for j, p in enumerate(places)) + mix(np.full(1, band * 4 + k, np.uint64))))
         return out
 
 
