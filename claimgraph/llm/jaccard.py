@@ -35,7 +35,7 @@ from claimgraph.llm.columns import WordHasher, mix, shingle_sets
 from claimgraph.operators.components import connected_components
 
 #: A block of about so many tokens names the tokens that at least three, and this share, of its documents hold.
-BLOCK_TOKENS, SHARE = 1 << 22, 1e-4
+BLOCK_TOKENS, SHARE = 1 << 21, 1e-4
 #: Tokens that are held to be frequent, at most; those in this share of all documents and more sign in threes.
 FREQUENT, COMMON_SHARE = 1 << 18, 0.01
 #: Mean tokens in a subclass of a set that is all of one class; sets smaller than this many tokens sign by single ones.
