@@ -204,7 +204,7 @@ def contributing_models(votes: DataFrame) -> DataFrame:
     touched = votes.withColumn("node", F.explode(F.array_distinct(F.array("subject", "object"))))
     each = touched.groupBy("node", "model").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("node")) * F.col("c")
-    return each.select("node", "model", F.round(share, 4).alias("contribution"))
+    return each.select("node", "model", F.round(share, 8).alias("contribution"))
 
 
 def cochain_stats(cochains: DataFrame) -> DataFrame:

@@ -31,6 +31,10 @@ START = "start AS (SELECT o_orderkey % 50 AS source, o_custkey % 50 AS target, r
 INCIDENT = "inc AS (SELECT e.*, source AS node FROM edges e UNION ALL SELECT e.*, target FROM edges e WHERE source <> target), deg AS (SELECT node, count(*) AS degree FROM inc GROUP BY 1)"
 UNIT = """u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
     sim AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.e, y.e) AS similarity FROM u x JOIN u y ON x.id < y.id)"""
+COCHAIN = f"""{EDGES}, {INCIDENT}, s AS (SELECT node, count(*) AS degree, count(DISTINCT model_source) AS m FROM inc GROUP BY 1), t AS (SELECT node, relation_type, count(*) AS n FROM inc GROUP BY 1, 2),
+            v AS (SELECT node, count(*) AS k, sum(n) AS n, sum(n * ln(n)) AS x FROM t GROUP BY 1), b AS (SELECT list_sort(list(degree)) AS ds, count(*) AS c, max(degree) AS mx FROM s),
+            r AS (SELECT s.*, CASE WHEN k > 1 THEN (ln(n) - x / n) / ln(k) ELSE 0 END AS div, mx, ds[floor(c * 0.2)::INT + 1] AS p20, ds[floor(c * 0.8)::INT + 1] AS p80 FROM s JOIN v USING (node), b),
+    cochain AS (SELECT node, degree, round(least(1, greatest(m, 1) / 3), 4) AS agreement, round(degree / mx, 4) AS centrality, CASE WHEN degree > p80 AND div > 0.5 THEN 'generalist' WHEN degree < p20 THEN 'specialised' ELSE 'hybrid' END AS kind FROM r)"""
 #: Pairs are told apart at this cosine, which pairs of the given vectors reach.
 ALIKE = 0.3
 
@@ -93,7 +97,7 @@ def micro_graphs(s, d):
 def aligned(s, d):
     graphs = materialise(micro_graphs(s, d), "micro")
     scores = materialise(align.overlap(graphs, align.neighbour_matches(graphs, least=0.97)), "overlap")
-    groups = align.term_clusters(scores, least=0.25)
+    groups = align.term_clusters(scores, least=0.036)
     canonical = align.canonical_terms(groups, graphs.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     return graphs, align.alignment(groups, canonical, scores)
 
@@ -225,15 +229,12 @@ QUERIES = {
     ),
     "g19_cochain": (
         lambda s, d: graph.cochain(I.edges(s, d)).select("node", "degree", "agreement", "centrality", "kind"),
-        f"""WITH {EDGES}, {INCIDENT}, s AS (SELECT node, count(*) AS degree, count(DISTINCT model_source) AS m FROM inc GROUP BY 1), t AS (SELECT node, relation_type, count(*) AS n FROM inc GROUP BY 1, 2),
-            v AS (SELECT node, count(*) AS k, sum(n) AS n, sum(n * ln(n)) AS x FROM t GROUP BY 1), b AS (SELECT list_sort(list(degree)) AS ds, count(*) AS c, max(degree) AS mx FROM s),
-            r AS (SELECT s.*, CASE WHEN k > 1 THEN (ln(n) - x / n) / ln(k) ELSE 0 END AS div, mx, ds[floor(c * 0.2)::INT + 1] AS p20, ds[floor(c * 0.8)::INT + 1] AS p80 FROM s JOIN v USING (node), b)
-            SELECT node, degree, round(least(1, greatest(m, 1) / 3), 4) AS agreement, round(degree / mx, 4) AS centrality, CASE WHEN degree > p80 AND div > 0.5 THEN 'generalist' WHEN degree < p20 THEN 'specialised' ELSE 'hybrid' END AS kind FROM r""",
+        f"WITH {COCHAIN} SELECT node, degree, agreement, centrality, kind FROM cochain",
     ),
     "g21_contributing_models": (
         lambda s, d: graph.contributing_models(I.votes(s, d)),
         f"""WITH {VOTES}, t AS (SELECT subject AS node, model, confidence FROM votes UNION ALL SELECT object, model, confidence FROM votes WHERE object <> subject), e AS (SELECT node, model, count(*) AS n, avg(confidence) AS c FROM t GROUP BY 1, 2)
-            SELECT node, model, round(n / sum(n) OVER (PARTITION BY node) * c, 4) AS contribution FROM e""",
+            SELECT node, model, round(n / sum(n) OVER (PARTITION BY node) * c, 8) AS contribution FROM e""",
     ),
     "g22_cochain_stats": (lambda s, d: graph.cochain_stats(graph.cochain(I.edges(s, d))), None),
     "g23_population": (
@@ -256,7 +257,7 @@ QUERIES = {
     ),
     "s16_visualisation": (
         lambda s, d: graph.cochain(I.edges(s, d)).select("node", F.to_json(F.struct("degree", "kind")).alias("data")),
-        None,
+        f"""WITH {COCHAIN} SELECT node, '{{"degree":' || degree || ',"kind":"' || kind || '"}}' AS data FROM cochain""",
     ),
     "k1_isolated": (isolated, f"WITH {EDGES}, {ISOLATED} SELECT * FROM isolated"),
     "k2_unstable": (lambda s, d: gaps.unstable(I.votes(s, d)), f"WITH {VOTES}, {UNSTABLE} SELECT * FROM unstable"),

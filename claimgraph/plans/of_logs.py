@@ -55,7 +55,8 @@ def snapshots(s, d):
 def stream_of(s, d, name: str):
     """The table as a stream of its files."""
     schema = I.table(s, d, name).schema
-    return s.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
+    rows = s.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
 def votes_with_time(rows):
@@ -74,6 +75,13 @@ WORDS = "w AS (SELECT item_id AS id, unnest(range(1, len(ws) + 1)) AS pos, unnes
 KEYWORDS = f"""{WORDS}, k AS (SELECT id, word, count(*) * length(word) AS score, min(pos) AS f FROM w WHERE word NOT IN ({', '.join(f"'{x}'" for x in sessions.STOP_WORDS)}) GROUP BY 1, 2),
     kw AS (SELECT id, word, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, f) AS place FROM k)"""
 
+SESSIONS = """o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM o), ses AS (SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 2 HOUR AS ended, count(*) AS n FROM g GROUP BY user_id, k)"""
+RATES = """rates AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS began, event_type, count(*) AS n, round(count(*) / 50, 4) AS ratio,
+    CASE WHEN count(*) / 50 > 2 THEN 'escalation' WHEN count(*) / 50 < 0.5 THEN 'de-escalation' ELSE 'stable' END AS status FROM events GROUP BY 1, 2)"""
+#: What a stream has closed when its watermark, a day behind the last event, has passed the end.
+CLOSED = "<= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
 QUERIES = {
     "s1_concept_list": (
         lambda s, d: landing.concept_list(I.table(s, d, "part").select(F.concat(F.lit("  "), F.upper("p_type"), F.lit("  ("), F.col("p_brand"), F.lit(")")).alias("value"))),
@@ -167,10 +175,10 @@ QUERIES = {
     ),
     "x6_memory_stats": (lambda s, d: sessions.memory_stats(talk(s, d)), "SELECT conv_id, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1"),
     "x7_turn_metrics": (
-        lambda s, d: sessions.turn_metrics(I.table(s, d, "events").select("event_id", (F.col("value") / 100).alias("weight"), (F.col("event_id") % 6).alias("concepts"), (F.col("event_id") % 3 / 2).alias("tau"), (F.col("event_id") % 5 / 4 - 0.5).alias("delta_r"), (F.col("event_id") % 11 / 10).alias("rho"), (50 + F.col("event_id") % 300).alias("length"))).select("event_id", F.round("coherence", 3).alias("coherence"), F.round("pressure", 3).alias("pressure"), F.round("fit", 3).alias("fit")),
-        """WITH t AS (SELECT event_id, value / 100 AS w, event_id % 6 AS n, event_id % 3 / 2 AS tau, event_id % 5 / 4 - 0.5 AS dr, event_id % 11 / 10 AS rho, 50 + event_id % 300 AS len FROM events),
+        lambda s, d: sessions.turn_metrics(I.table(s, d, "events").select("event_id", (F.col("value") / 97).alias("weight"), (F.col("event_id") % 6).alias("concepts"), (F.col("event_id") % 3 / 2).alias("tau"), (F.col("event_id") % 5 / 4 - 0.5).alias("delta_r"), (F.col("event_id") % 11 / 10).alias("rho"), (50 + F.col("event_id") % 300).alias("length"))).select("event_id", "coherence", "pressure", "fit"),
+        """WITH t AS (SELECT event_id, value / 97 AS w, event_id % 6 AS n, event_id % 3 / 2 AS tau, event_id % 5 / 4 - 0.5 AS dr, event_id % 11 / 10 AS rho, 50 + event_id % 300 AS len FROM events),
             x AS (SELECT *, CASE WHEN rho > 0.7 THEN 200 + 100 * rho WHEN rho > 0.3 THEN 150 + 50 * rho ELSE 150 END AS ex FROM t)
-            SELECT event_id, round(round(CASE WHEN n > 0 THEN least(1, w / n / 0.8) ELSE 0 END, 4), 3) AS coherence, round(round(0.3 * abs(dr) + 0.7 * tau / (tau + 1), 4), 3) AS pressure, round(round(least(len / ex, ex / len), 4), 3) AS fit FROM x""",
+            SELECT event_id, round(CASE WHEN n > 0 THEN least(1, w / n / 0.8) ELSE 0 END, 4) AS coherence, round(0.3 * abs(dr) + 0.7 * tau / (tau + 1), 4) AS pressure, round(least(len / ex, ex / len), 4) AS fit FROM x""",
     ),
     "x10_inactive": (
         lambda s, d: sessions.inactive(by_user(s, d), "2024-01-28 00:00:00"),
@@ -180,8 +188,8 @@ QUERIES = {
         lambda s, d: sessions.retain(by_user(s, d), "2024-01-28 00:00:00").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
         "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-28') GROUP BY 1",
     ),
-    "t1_session_activity": (lambda s, d: streams.session_activity(I.table(s, d, "events")), None),
-    "t1_session_activity_stream": (lambda s, d: streams.drain(streams.session_activity(stream_of(s, d, "events")), "t1"), None),
+    "t1_session_activity": (lambda s, d: streams.session_activity(I.table(s, d, "events")), f"WITH {SESSIONS} SELECT * FROM ses"),
+    "t1_session_activity_stream": (lambda s, d: streams.drain(streams.session_activity(stream_of(s, d, "events")), "t1"), f"WITH {SESSIONS} SELECT * FROM ses WHERE ended {CLOSED}"),
     "t2_signed_degrees": (
         lambda s, d: streams.signed_degrees(I.deltas(s, d)),
         f"""WITH {I.DELTAS}, x AS (SELECT CASE operation WHEN 'add_edge' THEN 1 WHEN 'delete_edge' THEN -1 END AS g, source, target FROM deltas), y AS (SELECT source AS node, g FROM x UNION ALL SELECT target, g FROM x WHERE source <> target)
@@ -189,9 +197,11 @@ QUERIES = {
     ),
     "t3_event_rates": (
         lambda s, d: streams.event_rates(I.table(s, d, "events")),
-        """SELECT time_bucket(INTERVAL 1 DAY, ts) AS began, event_type, count(*) AS n, round(count(*) / 50, 4) AS ratio, CASE WHEN count(*) / 50 > 2 THEN 'escalation' WHEN count(*) / 50 < 0.5 THEN 'de-escalation' ELSE 'stable' END AS status FROM events GROUP BY 1, 2""",
+        f"WITH {RATES} SELECT * FROM rates",
     ),
-    "t3_event_rates_stream": (lambda s, d: streams.drain(streams.event_rates(stream_of(s, d, "events")), "t3"), None),
+    "t3_event_rates_stream": (lambda s, d: streams.drain(streams.event_rates(stream_of(s, d, "events")), "t3"), f"WITH {RATES} SELECT * FROM rates WHERE began + INTERVAL 1 DAY {CLOSED}"),
+    "t4_windowed_consensus_stream": (lambda s, d: streams.drain(streams.windowed_consensus(votes_with_time(stream_of(s, d, "events")), 5).select("began", "key", "n", "models"), "t4"), f"""
+        WITH v AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, 'c' || (event_id % 40) AS key, user_id % 5 AS m FROM events) SELECT began, key, count(*) AS n, count(DISTINCT m) AS models FROM v WHERE began + INTERVAL 7 DAY {CLOSED} GROUP BY 1, 2"""),
     "t4_windowed_consensus": (
         lambda s, d: streams.windowed_consensus(votes_with_time(I.table(s, d, "events")), 5),
         """WITH v AS (SELECT ts, 'c' || (event_id % 40) AS key, 'm' || (user_id % 5) AS model, value / 500 AS c FROM events) SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, key, count(*) AS n, count(DISTINCT model) AS models,
@@ -199,6 +209,9 @@ QUERIES = {
     ),
     "t5_rolling_calibration": (
         lambda s, d: streams.rolling_calibration(as_predictions(I.table(s, d, "events")), as_outcomes(I.table(s, d, "events"))).select("began", "model", "n", "avg_brier"),
-        None,
+        """WITH p AS (SELECT user_id AS claim, 'm' || (event_id % 3) AS model, value / 500 AS p, ts AS created_at FROM events WHERE event_type = 'view'),
+            o AS (SELECT user_id AS claim, (value > 100)::INT AS outcome, ts AS resolved_at FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)
+            SELECT time_bucket(INTERVAL 10 DAY, created_at, TIMESTAMP '1970-01-01') - to_days((10 * k)::INT) AS began, model, count(*) AS n, round(avg(pow(p - outcome, 2)), 4) AS avg_brier
+            FROM p JOIN o USING (claim), range(3) t(k) WHERE resolved_at BETWEEN created_at AND created_at + INTERVAL 90 DAY GROUP BY 1, 2""",
     ),
 }
