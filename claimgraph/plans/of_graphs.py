@@ -111,8 +111,8 @@ def reconciled(s, d):
 
 QUERIES = {
     "j2_cosine_join": (
-        lambda s, d: similarity.cosine_join(I.vectors(s, d), ALIKE).select("a", "b", F.round("similarity", 4).alias("similarity")),
-        f"WITH {UNIT} SELECT a, b, round(similarity, 4) AS similarity FROM sim WHERE similarity >= {ALIKE}",
+        lambda s, d: similarity.cosine_join(I.vectors(s, d), ALIKE).select("a", "b", F.round("similarity", 6).alias("similarity")),
+        f"WITH {UNIT} SELECT a, b, round(similarity, 6) AS similarity FROM sim WHERE similarity >= {ALIKE}",
     ),
     "j2_cosine_join_by_label": (
         lambda s, d: similarity.cosine_join(I.vectors(s, d), ALIKE, within="label").select("a", "b"),
@@ -159,11 +159,11 @@ QUERIES = {
     ),
     "g4_degrees": (lambda s, d: graph.degrees(I.edges(s, d)), f"WITH {EDGES}, {INCIDENT} SELECT * FROM deg"),
     "g5_curvature": (
-        lambda s, d: graph.curvature(strong(s, d)).select("source", "target", F.round("ollivier", 4).alias("ollivier"), F.round("jaccard", 4).alias("jaccard")),
+        lambda s, d: graph.curvature(strong(s, d)).select("source", "target", "ollivier", "jaccard"),
         f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE weight >= {STRONG}), g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
             o AS (SELECT source, list(target) AS ts FROM e GROUP BY 1), j AS (SELECT e.source, e.target, weight, du.d AS du, dv.d AS dv, coalesce(a.ts, []) AS x, coalesce(b.ts, []) AS y FROM e JOIN g du ON du.node = e.source JOIN g dv ON dv.node = e.target
             LEFT JOIN o a ON a.source = e.source LEFT JOIN o b ON b.source = e.target), k AS (SELECT *, len(list_intersect(x, y)) AS i FROM j)
-            SELECT source, target, round(round(1 / du + 1 / dv - 2 / weight, 6), 4) AS ollivier, round(round(CASE WHEN len(x) + len(y) - i > 0 THEN i / (len(x) + len(y) - i) ELSE 0 END, 6), 4) AS jaccard FROM k""",
+            SELECT source, target, round(1 / du + 1 / dv - 2 / weight, 6) AS ollivier, round(CASE WHEN len(x) + len(y) - i > 0 THEN i / (len(x) + len(y) - i) ELSE 0 END, 6) AS jaccard FROM k""",
     ),
     "g6_dirty_edges": (
         lambda s, d: graph.dirty_edges(strong(s, d), strong(s, d).filter("source % 40 = 0")),
@@ -182,14 +182,14 @@ QUERIES = {
         f"WITH {DELTAS} SELECT session, count(*) AS changes, count(*) <= 12.5 AS allowed FROM deltas GROUP BY 1",
     ),
     "g8_upsert_average": (
-        lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id"))).select("source", "target", F.round("weight", 4).alias("weight"), "extractions"),
+        lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id"))).select("source", "target", "weight", "extractions"),
         f"""WITH {DELTAS}, {START}, n AS (SELECT source, target, list(weight ORDER BY ts, id) AS ws FROM deltas WHERE operation = 'add_edge' GROUP BY 1, 2),
             j AS (SELECT coalesce(s.source, n.source) AS source, coalesce(s.target, n.target) AS target, CASE WHEN s.weight IS NULL THEN ws ELSE list_concat([s.weight], coalesce(ws, [])) END AS a, coalesce(len(ws), 0) AS extractions
-            FROM start s FULL JOIN n ON s.source = n.source AND s.target = n.target) SELECT source, target, round(round(list_reduce(a, lambda x, y: (x + y) / 2), 6), 4) AS weight, extractions FROM j""",
+            FROM start s FULL JOIN n ON s.source = n.source AND s.target = n.target) SELECT source, target, round(list_reduce(a, lambda x, y: (x + y) / 2), 6) AS weight, extractions FROM j""",
     ),
     "g8_upsert_max": (
-        lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id")), "max").select("source", "target", F.round("weight", 4).alias("weight")),
-        f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(round(max(weight), 6), 4) AS weight FROM a GROUP BY 1, 2",
+        lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id")), "max").select("source", "target", "weight"),
+        f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(max(weight), 6) AS weight FROM a GROUP BY 1, 2",
     ),
     "g9_roll_back": (
         lambda s, d: graph.roll_back(start_edges(s, d), changes(s, d).filter("operation in ('add_edge', 'delete_edge') and session % 3 = 0").withColumn("old_weight", F.round("weight", 4))),

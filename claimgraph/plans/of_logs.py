@@ -175,8 +175,8 @@ QUERIES = {
     ),
     "x6_memory_stats": (lambda s, d: sessions.memory_stats(talk(s, d)), "SELECT conv_id, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1"),
     "x7_turn_metrics": (
-        lambda s, d: sessions.turn_metrics(I.table(s, d, "events").select("event_id", (F.col("value") / 97).alias("weight"), (F.col("event_id") % 6).alias("concepts"), (F.col("event_id") % 3 / 2).alias("tau"), (F.col("event_id") % 5 / 4 - 0.5).alias("delta_r"), (F.col("event_id") % 11 / 10).alias("rho"), (50 + F.col("event_id") % 300).alias("length"))).select("event_id", "coherence", "pressure", "fit"),
-        """WITH t AS (SELECT event_id, value / 97 AS w, event_id % 6 AS n, event_id % 3 / 2 AS tau, event_id % 5 / 4 - 0.5 AS dr, event_id % 11 / 10 AS rho, 50 + event_id % 300 AS len FROM events),
+        lambda s, d: sessions.turn_metrics(I.table(s, d, "events").select("event_id", (F.col("value") / 97.13).alias("weight"), (F.col("event_id") % 6).alias("concepts"), (F.col("event_id") % 3 / 2).alias("tau"), (F.col("event_id") % 5 / 4 - 0.5).alias("delta_r"), (F.col("event_id") % 11 / 10).alias("rho"), (50 + F.col("event_id") % 300).alias("length"))).select("event_id", "coherence", "pressure", "fit"),
+        """WITH t AS (SELECT event_id, value / 97.13 AS w, event_id % 6 AS n, event_id % 3 / 2 AS tau, event_id % 5 / 4 - 0.5 AS dr, event_id % 11 / 10 AS rho, 50 + event_id % 300 AS len FROM events),
             x AS (SELECT *, CASE WHEN rho > 0.7 THEN 200 + 100 * rho WHEN rho > 0.3 THEN 150 + 50 * rho ELSE 150 END AS ex FROM t)
             SELECT event_id, round(CASE WHEN n > 0 THEN least(1, w / n / 0.8) ELSE 0 END, 4) AS coherence, round(0.3 * abs(dr) + 0.7 * tau / (tau + 1), 4) AS pressure, round(least(len / ex, ex / len), 4) AS fit FROM x""",
     ),
