@@ -143,6 +143,13 @@ QUERIES = {
         f"""WITH RECURSIVE {UNIT}, l AS (SELECT a, b FROM sim WHERE similarity >= {ALIKE} + 0.05 UNION ALL SELECT b, a FROM sim WHERE similarity >= {ALIKE} + 0.05),
             r AS (SELECT a AS node, a AS component FROM l UNION SELECT l.b, r.component FROM r JOIN l ON l.a = r.node) SELECT node, min(component) AS component FROM r GROUP BY 1""",
     ),
+    "j9_canonical_terms": (
+        lambda s, d: align.canonical_terms(
+            I.table(s, d, "part").select(F.col("p_type").alias("term"), F.col("p_brand").alias("cluster")).distinct(), I.table(s, d, "part").groupBy(F.col("p_type").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+        ),
+        """WITH u AS (SELECT p_type AS term, count(*) AS n FROM part GROUP BY 1), c AS (SELECT DISTINCT p_type AS term, p_brand AS cluster FROM part)
+            SELECT cluster, term AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, length(term) DESC, term) AS r FROM c JOIN u USING (term)) WHERE r = 1""",
+    ),
     "j10_alignment": (lambda s, d: aligned(s, d)[1], None),
     "j11_reconciled": (reconciled, None),
     "g1_neighbours": (
@@ -221,6 +228,15 @@ QUERIES = {
             t AS (SELECT x.a AS node, count(*) AS triangles FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN e ON e.a = x.b AND e.b = y.b GROUP BY 1)
             SELECT node, degree, coalesce(triangles, 0) AS triangles, round(coalesce(triangles, 0) / (degree * (degree - 1) / 2), 4) AS coefficient FROM g LEFT JOIN t USING (node) WHERE degree >= 2""",
     ),
+    "g17_composite": (
+        lambda s, d: graph.coverage(I.concepts(s, d), strong(s, d)).select("clustering", "composite"),
+        f"""WITH {EDGES}, e AS (SELECT source AS a, target AS b, confidence FROM edges WHERE weight >= {STRONG}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT a AS node, count(*) AS degree FROM u GROUP BY 1),
+            t AS (SELECT x.a AS node, count(*) AS triangles FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN e ON e.a = x.b AND e.b = y.b GROUP BY 1),
+            c AS (SELECT coalesce(avg(coalesce(triangles, 0) / (degree * (degree - 1) / 2)), 0) AS cl FROM g LEFT JOIN t USING (node) WHERE degree >= 2),
+            n AS (SELECT coalesce(degree, 0) AS d FROM part LEFT JOIN g ON node = p_partkey), k AS (SELECT count(*) AS nodes, count(*) FILTER (d >= 10) AS h, count(*) FILTER (d <= 2) AS l FROM n),
+            v AS (SELECT unnest([h, l, nodes - h - l]) AS x, nodes FROM k), w AS (SELECT any_value(nodes) AS nodes, sum(CASE WHEN x > 0 THEN -(x / nodes) * ln(x / nodes) ELSE 0 END) AS ent, count(*) FILTER (x > 0) AS used FROM v)
+            SELECT round(cl, 4) AS clustering, round(0.4 * (SELECT count(*) FROM e) / (nodes * (nodes - 1)) + 0.3 * CASE WHEN used > 1 THEN ent / ln(used) ELSE 0 END + 0.3 * cl, 4) AS composite FROM c, w""",
+    ),
     "g18_candidates": (
         lambda s, d: graph.candidates(I.votes(s, d), strong(s, d).select(F.concat(F.lit("part "), "source").alias("source"), F.concat(F.lit("part "), "target").alias("target"))).select("node", "extractions", "models", "degree"),
         f"""WITH {VOTES}, {EDGES}, t AS (SELECT subject AS node, model FROM votes UNION ALL SELECT object, model FROM votes WHERE object <> subject), f AS (SELECT node, count(*) AS extractions, count(DISTINCT model) AS models FROM t GROUP BY 1),
