@@ -15,7 +15,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are hashed at once, unless one text alone is longer.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0x100000001B3

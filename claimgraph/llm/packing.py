@@ -28,7 +28,7 @@ OPEN_BINS = 1024
 #: Open bins that are packed together in the second pass.
 BINS_A_TASK = 50_000
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _TASK_BITS = 36
 
 
@@ -157,14 +157,16 @@ def pack(documents: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end
         encode, kind = Tokens.of(tokenizer_path), None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            encoded = [encode(t or "") for t in batch.column("text").to_pylist()]
-            cut = [(i, k, start, n) for i, ids in enumerate(encoded) for k, (start, n) in enumerate(pieces(len(ids) // 4 + 1, capacity))]
+            cut: list[tuple[int, int, int, int, int]] = []
+            for i in range(0, len(batch), 256):
+                for j, t in enumerate(batch.column("text").slice(i, 256).to_pylist(), i):
+                    ids = encode(t or "") + stop
+                    cut += [(j, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])) for k, (start, n) in enumerate(pieces(len(ids) // 4, capacity))]
             cut.sort(key=lambda x: -x[3])
             where = [fit.place(x[3]) for x in cut]
-            sums = [zlib.crc32((encoded[i] + stop)[4 * start : 4 * (start + n)]) for i, _, start, n in cut]
-            at, piece, start, length = (np.array(x) for x in zip(*cut, strict=True)) if cut else (np.zeros(0, int),) * 4
+            at, piece, start, length, sums = (np.array(x) for x in zip(*cut, strict=True)) if cut else (np.zeros(0, int),) * 5
             bins, offset = (np.array(x) for x in zip(*where, strict=True)) if cut else (np.zeros(0, int),) * 2
-            columns = [batch.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, np.array(sums, dtype=np.int64), bins + base, offset))]
+            columns = [batch.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, sums, bins + base, offset))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         if kind is not None and (left := fit.left()):
             # a bin that is still open: no piece, its fill as the length
