@@ -3,7 +3,7 @@
 Small boosted trees are grown on labelled rows; every path from a root to a node is a rule, a conjunction of bounds on
 statistics. A logistic model with an L1 penalty over all rules keeps a few. The kept rules are compiled into one Spark
 column expression over the statistics, so that scoring is a scan. Statistics come from the UTF-8 bytes of whole
-Arrow batches. Only the fit sees a sample: at most ``most_rows`` labelled rows, chosen by a hash of their id.
+Arrow batches. Only the fit sees a sample: about ``most_rows`` labelled rows at most, chosen by a hash of their id.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def score(documents: DataFrame, labels: DataFrame, *, learns_from: Column | None
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, *, learns_from: Column | None = None, threshold: float = 0.7) -> DataFrame:
-    """documents whose score reaches the threshold, with their own columns."""
-    described = with_statistics(documents.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), keep_text=False)
+    """documents whose score reaches the threshold, with their own columns. Texts are scanned twice and never shuffled."""
+    described = materialise(with_statistics(documents.select("doc_id", "text"), keep_text=False), "quality-statistics")
     intercept, rules = learn(described if learns_from is None else described.filter(learns_from), labels)
     return with_statistics(documents).filter(score_column(intercept, rules) >= threshold).select(*documents.columns)

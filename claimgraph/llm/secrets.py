@@ -104,8 +104,17 @@ def mask_live(documents: DataFrame, **options) -> DataFrame:
     flagged = scanned.filter(F.exists("spans", lambda x: x["live"] & x["kind"].isin(*BASE))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     masked = F.regexp_replace("text", ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})"), "$1=[SECRET]")
     masked = F.regexp_replace(F.regexp_replace(masked, ACCESS, "[SECRET]"), HEX, "[SECRET]")
-    same = documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("_hash"))
-    text = F.when(F.col("_hash").isNotNull(), masked).otherwise(F.col("text"))
-    out = documents.join(flagged, same, "left").withColumn("_text", text)
-    columns = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_hash").isNotNull(), F.length("_text")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return out.select(*columns)
+    # most texts hold no candidate at all: they pass by, and only the others meet the flagged ones
+    suspect = F.coalesce(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"), F.lit(False))
+    some = documents.filter(suspect)
+    same = some["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(some["text"]) == F.col("_hash"))
+    joined = some.join(flagged.hint("merge"), same, "left").withColumn("_text", F.when(F.col("_hash").isNotNull(), masked).otherwise(F.col("text")))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("_text").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("_hash").isNotNull(), F.length("_text")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c)
+        return F.col(c)
+
+    return documents.filter(~suspect).unionByName(joined.select(*map(column, documents.columns)))
