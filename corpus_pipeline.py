@@ -23,7 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = materialise(jaccard.jaccard_components(docs, width=5, percent=80), "pipeline-groups")
     named = groups.filter("doc_id is not null")
     copies = named.filter("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti")
+    left = docs.join(copies.hint("merge"), "doc_id", "left_anti")  # copies have no bound: never a broadcast
     repeated = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
