@@ -1,6 +1,7 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-A bounded sample of vectors are the pivots. Each vector is described by its nearest pivots in order; an inverted list
+A bounded sample of vectors are the pivots, less those close to another pivot: however many vectors a group of near
+copies holds, few pivots stand within it, so its members name the same ones. Each vector is described by its nearest pivots in order; an inverted list
 for each label and pivot holds the vectors that name it. Two vectors of a list become candidates when their
 descriptions share enough pivots, and are verified by their exact cosine. A pair is looked at only in the list of the
 smallest pivot that they share, so links can be counted without writing pairs down: a list gives, for each vector, how
@@ -23,6 +24,8 @@ from claimgraph.llm.vectors import keyed, matrix, packed, unpacked, usable
 from claimgraph.operators.components import connected_components
 
 BLOCK_ROWS = 1024
+#: Pivots have a cosine below this with each other.
+APART = 0.7
 
 
 def pivots_for(n: int) -> int:
@@ -30,6 +33,17 @@ def pivots_for(n: int) -> int:
     return min(4096, max(128, n // 200))
 
 
+def spread(picked: np.ndarray) -> np.ndarray:
+    """Those unit rows that lie apart from all rows taken before them."""
+    taken = np.zeros_like(picked)
+    n = 0
+    for row in picked:
+        if not n or (taken[:n] @ row).max() < APART:
+            taken[n] = row
+            n += 1
+    return taken[:n]
+
+
 def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8, shared: int = 2, seed: int = 3, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors.
 
@@ -46,10 +60,10 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8
     heads = rows.filter("fit").join(classes.withColumnRenamed("cls", "vec_id"), ["vec_id", *same]).dropDuplicates(["vec_id", *same])
     heads = materialise(heads.select(F.col("vec_id").alias("cls"), "label", "weight", "v"), "pivot-heads")
     n = heads.count()
-    count = pivots_for(n)
-    picked = heads.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(count).select("v").toPandas()
+    picked = heads.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(pivots_for(n)).select("v").toPandas()
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    centres = unit(np.array(picked["v"].tolist(), np.float64)) if len(picked) else np.zeros((0, 1))
+    centres = spread(unit(np.array(picked["v"].tolist(), np.float64))) if len(picked) else np.zeros((0, 1))
+    needed = min(shared, len(centres))
     id_type, label_type = (heads.schema[c].dataType.simpleString() for c in ("cls", "label"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +86,6 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8
         pivot = int(part["pivot"].iloc[0])
         x, ids, weight, block = unpacked(part["v"]), part["cls"].to_numpy(), part["weight"].to_numpy(), part["block"].to_numpy()
         linked = x @ x.T >= least
-        named = np.zeros((len(x), count), np.float32)
-        np.put_along_axis(named, np.frombuffer(b"".join(part["names"]), np.int16).reshape(len(x), -1).astype(np.int64), 1.0, axis=1)
-        linked &= (named @ named.T >= shared) & (named[:, :pivot] @ named[:, :pivot].T == 0)
         np.fill_diagonal(linked, False)
         if part["low"].iloc[0] != part["high"].iloc[0]:
             linked &= block[:, None] != block[None]
@@ -82,6 +93,11 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8
         if not len(touched):
             return pd.DataFrame({"cls": ids[:0], "to": ids[:0], "links": weight[:0]})
         links, ids = linked[np.ix_(touched, touched)], ids[touched]
+        named, at = np.unique(np.frombuffer(b"".join(part["names"].iloc[touched]), np.int16), return_inverse=True)
+        names = np.zeros((len(touched), len(named)), np.float32)
+        np.put_along_axis(names, at.reshape(len(touched), -1), 1.0, axis=1)
+        lower = names[:, : np.searchsorted(named, pivot)]
+        links &= (names @ names.T >= needed) & (lower @ lower.T == 0)
         return pd.DataFrame({"cls": ids, "to": _towards(links, ids), "links": links @ weight[touched]})
 
     found = cut.groupBy("label", "pivot", "low", "high").applyInPandas(compare, f"cls {id_type}, to {id_type}, links long")

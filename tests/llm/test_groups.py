@@ -190,6 +190,40 @@ def test_near_duplicate_vectors(spark, monkeypatch, block):
     assert pivots.near_duplicates(frame.limit(0)).count() == 0
 
 
+def near_copies(n, spread, share=3):
+    """Unit rows, the first n // share of them around one centre."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, 64)) / 8
+    x[: n // share] = x[n - 1] + spread * x[: n // share]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("share", [3, 1])
+def test_a_large_near_copy_group_keeps_its_links(spark, monkeypatch, share):
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 300)
+    x = near_copies(1500, 0.2, share)
+    frame = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], VECTORS)
+    got = {r.vec_id: r for r in pivots.near_duplicates(frame, least=0.93).collect()}
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near.sum() > 200_000 and sum(r.n_links for r in got.values()) >= 0.97 * near.sum()
+    assert all(got[i].n_links <= near[i].sum() for i in got)
+    assert np.mean([got[i].component_id == 0 for i in range(1500 // share - 1)]) > 0.99
+
+
+@pytest.mark.parametrize("count", [128, 1000, 4096])
+def test_pivots_find_near_copies_at_every_count(count):
+    centres = near_copies(count, 0.25)
+    x = centres[-1] + 0.25 / 8 * np.random.default_rng(12).standard_normal((600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    centres = pivots.spread(centres)
+    named = np.zeros((len(x), len(centres)), np.float32)
+    np.put_along_axis(named, np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :8], 1.0, axis=1)
+    assert (near & (named @ named.T >= 2)).sum() >= 0.97 * near.sum() > 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
