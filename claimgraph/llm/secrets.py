@@ -54,11 +54,11 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int) -> C
     return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<order:int,kind:string,place:int,gap:bigint,len:bigint,secret:string>>"))
 
 
-def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
     """A row for each row of documents: doc_id, text_hash, and spans (kind, start, end, owners, repositories, live).
 
     spans is sorted by start and then kind, and empty where nothing is found. live tells that at most ``max_owners``
-    owners and ``max_repositories`` documents hold the secret. A null text is empty; a null owner is an owner of its
+    owners and ``max_repositories`` documents (None: any number) hold the secret. A null text is empty; a null owner is an owner of its
     own; a null id is kept. Repeated rows are repositories of their own and each get their spans. An empty table
     gives no rows. Other columns are ignored.
     """
@@ -74,7 +74,7 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "sour
     each = materialise(each.filter(fits).select("uid", "owner", "order", "kind", "start", "end", F.sha2("secret", 256).alias("hash")), "secret-spans")
     held = each.groupBy("hash", "owner", "uid").agg(F.lit(1).alias("_")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     held = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.lit(True) if max_repositories is None else F.col("repositories") <= max_repositories))
     judged = judged.filter(F.col("kind").isin(*BASE) | F.col("live"))
     per_row = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end", "owners", "repositories", "live"))).alias("spans"))
     none = F.array().cast(per_row.schema["spans"].dataType)
@@ -94,18 +94,32 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _covered(text: Column, spans: Column) -> Column:
+    """text with [SECRET] for each span, or for spans that overlap; an assignment in front leaves its name."""
+    part = lambda start, n: F.substring(text, (start + 1).cast("int"), n.cast("int"))
+
+    def put(done: Column, x: Column) -> Column:
+        name = F.when(x["kind"] == "assign", F.concat(F.regexp_extract(part(x["start"], x["end"] - x["start"]), ASSIGN, 1), F.lit("="))).otherwise("")
+        more = F.concat(done["out"], part(done["at"], x["start"] - done["at"]), name, F.lit("[SECRET]"))
+        return F.struct(F.when(x["start"] >= done["at"], more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], x["end"]).alias("at"))
+
+    first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(spans, first, put, lambda done: F.concat(done["out"], part(done["at"], F.length(text) - done["at"])))
+
+
 def mask_live(documents: DataFrame, **options) -> DataFrame:
     """documents with the secrets masked in every text that holds a live-looking one; other texts stay as they are.
 
-    In such a text all base matches are masked, copied ones too, so that nothing next to a live secret gives it away.
-    The name of an assignment stays. n_chars, where there is such a column, is counted anew.
+    A secret that few owners hold looks live, however many documents repeat it. In a text with one of any kind all
+    spans of the scan are masked at their places, and all base matches, copied ones too, so that nothing next to a live
+    secret gives it away. The name of an assignment stays. n_chars, where there is such a column, is counted anew.
     """
-    scanned = scan(documents, **options)
-    flagged = scanned.filter(F.exists("spans", lambda x: x["live"] & x["kind"].isin(*BASE))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    masked = F.regexp_replace("text", ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})"), "$1=[SECRET]")
+    scanned = scan(documents, **({"max_repositories": None} | options))
+    flagged = scanned.filter(F.exists("spans", lambda x: x["live"])).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    masked = F.regexp_replace(_covered(F.col("text"), F.col("_spans")), ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})"), "$1=[SECRET]")
     masked = F.regexp_replace(F.regexp_replace(masked, ACCESS, "[SECRET]"), HEX, "[SECRET]")
     # most texts hold no candidate at all: they pass by, and only the others meet the flagged ones
-    suspect = F.coalesce(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"), F.lit(False))
+    suspect = F.coalesce(F.col("text").rlike("|".join(pattern for _, pattern, _ in KINDS)), F.lit(False))
     some = documents.filter(suspect)
     same = some["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(some["text"]) == F.col("_hash"))
     joined = some.join(flagged.hint("merge"), same, "left").withColumn("_text", F.when(F.col("_hash").isNotNull(), masked).otherwise(F.col("text")))
