@@ -119,6 +119,19 @@ def test_words_encode_as_the_whole_text(spark):
         assert own(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(queries.tokenizer_path()), packing.Tokens(queries.tokenizer_path(), added=True)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a  <|endoftext|>\n b", "it's<|endoftext|>'s <|endoftext", "é <|endoftext|>  ", "no token here"]
+    for t in texts:
+        assert own(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packed(spark, [(i, t, "a") for i, t in enumerate(texts)])}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), repr(t)
+
+
 def test_quality_on_held_out_rows(spark):
     got = queries.op5_quality(spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
