@@ -18,8 +18,10 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 0x100000001B3
-_UNSTEP = pow(_STEP, -1, 1 << 64)
+#: Words are hashed modulo two primes below 2^31, each with a base of its own.
+_FIELDS = ((2147483647, 1389796151), (2147483629, 942373217))
+#: So many products of bytes and powers add up to less than 2^64; longer runs add up their remainders.
+_RUN = 1 << 22
 _PLACE = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -72,26 +74,40 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class WordHasher:
-    """64-bit hashes of lower-cased words, by one polynomial over the bytes of a chunk."""
+    """64-bit hashes of lower-cased words, by two polynomials over the bytes of a chunk, each modulo a prime."""
 
     def __init__(self) -> None:
-        self._up = self._down = np.zeros(0, dtype=np.uint64)
+        self._known: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2 for _ in _FIELDS]
 
-    def _powers(self, n: int) -> None:
-        if len(self._up) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            up, down = np.full(size, _STEP, np.uint64), np.full(size, _UNSTEP, np.uint64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.cumprod(up), np.cumprod(down)
+    @staticmethod
+    def _powers(base: int, prime: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+        return out
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * self._up[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self._down[starts]
+        low, h = LOWER[data].astype(np.uint64) + np.uint64(1), np.zeros(len(starts), np.uint64)
+        for k, (prime, base) in enumerate(_FIELDS):
+            if len(self._known[k][0]) <= len(data):
+                size = max(len(data) + 1, CHUNK_BYTES + 1)
+                self._known[k] = self._powers(base, prime, size), self._powers(pow(base, -1, prime), prime, size)
+            up, down = self._known[k]
+            p, sums = np.uint64(prime), np.zeros(len(data) + 1, dtype=np.uint64)
+            terms = low * up[: len(data)]
+            np.cumsum(terms if len(data) <= _RUN else terms % p, out=sums[1:])
+            h = (h << np.uint64(31)) + (sums[ends] - sums[starts]) % p * down[starts] % p
         return mix(h ^ ((ends - starts).astype(np.uint64) * _ODD))
 
 
+def exact_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles that shingle_sets hashes, as tuples of words."""
+    words = text.encode().lower().split()  # of bytes: only A-Z fold, and only SEPARATOR splits
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(width))))
+
+
 def shingle_sets(column: pa.Array, width: int, hasher: WordHasher) -> Iterator[np.ndarray]:
     """For each text its distinct word shingles as sorted 64-bit hashes; a text of fewer words is one shingle."""
     data, at = text_bytes(column)

@@ -12,18 +12,23 @@ Which tokens are frequent is counted over all documents: a token of a share of a
 block, so each block names its own frequent tokens and their counts are added up. The class of a token decides how
 fast the join is, never whether it is right; the table has a fixed bound.
 
-Candidates come in two passes over the lists of signatures, and neither writes down all pairs of a list. First every
-member of a list meets only one hub, the member with the fewest rare tokens. Links found there give components; then
-only lists that still hold several components are joined with themselves, and only pairs of different components whose
-parity bitmaps allow the threshold come out of that join. Bitmaps bound the symmetric difference from below, so they
-lose nothing. What remains is verified on the whole texts. Equal sets are one set from the start.
+Candidates come in two passes over the lists of signatures, and neither writes down all pairs of a list. Lists with the
+same members are one list. First every member of a list meets only one hub, the member with the fewest rare tokens.
+Links found there give components. Then, in lists that still hold several components, the members outside the largest
+one meet the others, block by block, and only pairs of different components whose parity bitmaps allow the threshold
+come out. Bitmaps bound the symmetric difference from below, so they lose nothing. What remains is verified word by
+word on the whole texts; there a text meets all its partners at once. Equal sets are one set from the start.
+
+No key gathers a large share of the rows: signatures of tokens that many documents hold are counted by partial sums,
+keys that many rows share are joined in parts, and empty texts and copies take no part in the search.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +36,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
-from claimgraph.llm.columns import WordHasher, mix, shingle_sets
+from claimgraph.llm.columns import WordHasher, exact_shingles, mix, shingle_sets
+from claimgraph.llm.ranks import join_hot
 from claimgraph.operators.components import connected_components
 
 #: A block of about so many tokens names the tokens that at least three, and this share, of its documents hold.
 BLOCK_TOKENS, SHARE = 1 << 21, 1e-4
 #: Tokens that are held to be frequent, at most; those in this share of all documents and more sign in threes.
 FREQUENT, COMMON_SHARE = 1 << 18, 0.01
+#: A signature whose tokens all reach this share of the documents may have a list too long for one task.
+HOT_SHARE = 1e-3
 #: Mean tokens in a subclass of a set that is all of one class; sets smaller than this many tokens sign by single ones.
 SUBCLASS, SMALL = 8, 32
-#: Bands of sizes; their ratio is more than that of any two sets that can link.
-_FOLD_WORDS = 8
+#: Members in a block of a list; a text has a copy for so many partners.
+BLOCK, PARTNERS = 1000, 256
+#: Words of 64 bits: of the bitmap that is compared first, and at most of the one that is compared in a list.
+_FOLD_WORDS, _LIST_WORDS = 8, 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -50,56 +60,60 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """The parity, for each of a power of two of ranges of hashes, of the tokens in it, as packed bits; 512 or more."""
+    """The parity of the tokens in each of a power of two of classes of hashes (512 or more), as packed bits."""
     bits = max(512, 1 << max(0, int(len(tokens) - 1).bit_length()))
-    where = (tokens >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    where = (tokens & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(where, minlength=bits).astype(np.uint8) & 1, bitorder="little")
 
 
 def fold(bits: np.ndarray, to_bytes: int) -> np.ndarray:
-    """The same parities over fewer, wider ranges."""
-    if len(bits) == to_bytes:
-        return bits
-    flat = np.unpackbits(bits, bitorder="little").reshape(to_bytes * 8, -1)
-    return np.packbits(np.bitwise_xor.reduce(flat, axis=1), bitorder="little")
+    """The same parities over fewer, wider classes."""
+    return bits if len(bits) <= to_bytes else np.bitwise_xor.reduce(bits.reshape(-1, to_bytes), axis=0)
 
 
 class Signer:
-    """Signatures of sets for one threshold, given the frequent tokens and their class (2 or 3)."""
+    """Signatures of sets for one threshold, given the frequent tokens, their class (2 or 3), and whether they are hot."""
 
-    def __init__(self, percent: int, frequent: np.ndarray, classes: np.ndarray) -> None:
-        self.percent, self.frequent, self.classes = percent, frequent, classes
+    def __init__(self, percent: int, frequent: np.ndarray, classes: np.ndarray, hot: np.ndarray | None = None) -> None:
+        self.percent, self.frequent = percent, frequent
+        self.codes = classes.astype(np.int8) + (4 * hot.astype(np.int8) if hot is not None else np.int8(0))
         self.step = math.log(100 / percent * 1.003)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(frequent >> np.uint64(44)).astype(np.int64)] = True
 
-    def class_of(self, tokens: np.ndarray) -> np.ndarray:
+    def code_of(self, tokens: np.ndarray) -> np.ndarray:
+        """The class of each token, and 4 more if it is hot."""
         out = np.ones(len(tokens), np.int8)
         look = np.flatnonzero(self.maybe[(tokens >> np.uint64(44)).astype(np.int64)])
         if len(look):
             at = np.minimum(np.searchsorted(self.frequent, tokens[look]), len(self.frequent) - 1)
             hit = self.frequent[at] == tokens[look]
-            out[look[hit]] = self.classes[at[hit]]
+            out[look[hit]] = self.codes[at[hit]]
         return out
 
-    def __call__(self, tokens: np.ndarray) -> tuple[int, np.ndarray]:
-        """(number of rare tokens, distinct signatures) of a set of sorted tokens."""
+    def __call__(self, tokens: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """(number of rare tokens, distinct signatures, those of them that are hot) of a set of sorted tokens."""
         n = len(tokens)
         need = n * (100 - self.percent) // 100 + 1
-        of = self.class_of(tokens)
-        rare = tokens[of == 1]
+        codes = self.code_of(tokens)
+        rare = tokens[codes == 1]
+        none = np.zeros(0, np.uint64)
         if len(rare) >= need:
-            return len(rare), mix(rare[:need] ^ _K[0])
-        ordered, kinds = tokens[(by := np.argsort(of, kind="stable"))], of[by].astype(np.int64)
+            return len(rare), mix(rare[:need] ^ _K[0]), none
+        kinds = codes & 3
+        by = np.argsort(kinds, kind="stable")
+        ordered, kinds, hot = tokens[by], kinds[by].astype(np.int64), codes[by] > 3
         band, parts = int(math.log(n) / self.step), []
         for b in (band, band + 1):
-            parts += self._band(ordered, kinds, need, b)
-        return len(rare), np.unique(np.concatenate(parts))
+            parts += self._band(ordered, kinds, hot, need, b)
+        light, heavy = ([p[h] if i else p[~h] for p, h in parts] for i in (0, 1))
+        return len(rare), np.unique(np.concatenate([none, *light])), np.unique(np.concatenate([none, *heavy]))
 
-    def _band(self, tokens: np.ndarray, kinds: np.ndarray, need: int, band: int) -> list[np.ndarray]:
+    def _band(self, tokens: np.ndarray, kinds: np.ndarray, hot: np.ndarray, need: int, band: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Arrays of signatures, and of whether each is hot."""
         largest = math.exp((band + 1) * self.step)
         if largest < SMALL:
-            return [mix(tokens[:need] ^ _K[0])]
+            return [(mix(tokens[:need] ^ _K[0]), hot[:need])]
         group = (mix(tokens) % np.uint64(math.ceil(largest / SUBCLASS))).astype(np.int64)
         group = np.where(kinds == 1, np.arange(len(tokens)), len(tokens) + group * 4 + kinds)
         by = np.argsort(group, kind="stable")
@@ -107,20 +121,22 @@ class Signer:
         rank = np.empty(len(tokens), np.int64)
         rank[by] = np.arange(len(tokens)) - np.maximum.accumulate(np.where(new, np.arange(len(tokens)), 0))
         end = int(np.searchsorted(np.cumsum(rank >= kinds - 1), need)) + 1
-        tokens, kinds, group, rank = tokens[:end], kinds[:end], group[:end], rank[:end]
-        out = [mix(tokens[kinds == 1] ^ _K[0])]
+        tokens, kinds, group, rank, hot = tokens[:end], kinds[:end], group[:end], rank[:end], hot[:end]
+        single = kinds == 1
+        out = [(mix(tokens[single] ^ _K[0]), hot[single])]
         for k in (2, 3):
             mine = np.flatnonzero(kinds == k)
             if not len(mine):
                 continue
             _, row = np.unique(group[mine], return_inverse=True)
             grid = np.zeros((row.max() + 1, rank[mine].max() + 1), np.uint64)
-            full = np.zeros(grid.shape, bool)
-            grid[row, rank[mine]], full[row, rank[mine]] = tokens[mine], True
+            full, heat = np.zeros(grid.shape, bool), np.zeros(grid.shape, bool)
+            grid[row, rank[mine]], full[row, rank[mine]], heat[row, rank[mine]] = tokens[mine], True, hot[mine]
             for places in itertools.combinations(range(grid.shape[1]), k):
                 rows = full[:, places[-1]]
                 if rows.any():
-                    out.append(mix(sum(mix(grid[rows, p]) * _K[j] for j, p in enumerate(places)) + mix(np.full(1, band * 4 + k, np.uint64))))
+                    signs = mix(sum(mix(grid[rows, p]) * _K[j] for j, p in enumerate(places)) + mix(np.full(1, band * 4 + k, np.uint64)))
+                    out.append((signs, heat[rows][:, places].all(axis=1)))
         return out
 
 
@@ -157,8 +173,8 @@ def _profile(rows: DataFrame, width: int, id_type: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, n int, d1 long, d2 long, token long, times long")
 
 
-def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most FREQUENT tokens, those with the highest counts, sorted, and the class of each."""
+def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most FREQUENT tokens, those with the highest counts, sorted, the class of each, and whether it is hot."""
     totals = profile.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
     totals = materialise(totals, "jaccard-frequent")
     steps = totals.groupBy(F.floor(F.log2("times") * 4).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -171,74 +187,137 @@ def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarra
     found = totals.filter(F.floor(F.log2("times") * 4) >= (least if least < math.inf else 1 << 20)).toPandas()
     tokens = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    times = found["times"].to_numpy(np.int64)
-    return tokens[order], np.where(times[order] >= COMMON_SHARE * documents, 3, 2).astype(np.int8)
+    times = found["times"].to_numpy(np.int64)[order]
+    return tokens[order], np.where(times >= COMMON_SHARE * documents, 3, 2).astype(np.int8), times >= HOT_SHARE * documents
 
 
 def _sign(rows: DataFrame, width: int, id_type: str, signer: Signer) -> DataFrame:
+    """Of each document its digest, size, share of rare tokens, bitmaps (whole, and cut to words), and signatures."""
     folded = [f"w{i}" for i in range(_FOLD_WORDS)]
 
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            digests, sizes, rare, bits, words, lists = [], [], [], [], [], []
+            digests, sizes, rare, bits, words, wide, light, hot = [], [], [], [], [], [], [], []
             for tokens in shingle_sets(batch.column("text"), width, hasher):
                 sizes.append(len(tokens))
                 digests.append((mix(tokens).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(tokens ^ _K[1])) if len(tokens) else np.uint64(0)))
-                few, signs = signer(tokens) if len(tokens) else (0, np.zeros(0, np.uint64))
+                few, *signs = signer(tokens) if len(tokens) else (0, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 own = parity(tokens)
-                rare.append(few)
+                rare.append(few / max(1, len(tokens)))
                 bits.append(own.tobytes())
                 words.append(fold(own, _FOLD_WORDS * 8).view(np.int64))
-                lists.append(_signed(signs))
+                wide.append(fold(own, _LIST_WORDS * 8).view(np.int64))
+                light.append(_signed(signs[0]))
+                hot.append(_signed(signs[1]))
             d = _signed(np.array(digests, np.uint64).reshape(-1, 2))
             w = np.array(words, np.int64).reshape(-1, _FOLD_WORDS)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            signs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]), pa.int64()))
-            columns = [batch.column("doc_id"), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(_FOLD_WORDS)), signs], names=["doc_id", "d1", "d2", "n", "rare", "bits", *folded, "signs"])
+            columns = [batch.column("doc_id"), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)), pa.array(sizes, pa.int32()), pa.array(rare, pa.float32()), pa.array(bits, pa.binary())]
+            columns += [*(pa.array(np.ascontiguousarray(w[:, i])) for i in range(_FOLD_WORDS)), lists(wide), lists(light), lists(hot)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n", "rare", "bits", *folded, "wide", "light", "hot"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, rare int, bits binary, {', '.join(f'{w} long' for w in folded)}, signs array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, rare float, bits binary, {', '.join(f'{w} long' for w in folded)}, wide array<long>, light array<long>, hot array<long>")
 
 
-def _similar_sizes(x: Column, y: Column, percent: int) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
+def _lists(sets: DataFrame) -> DataFrame:
+    """(l1, l2, set, hub, size) of lists of two sets and more; l1 and l2 name a list by its members."""
+    member = {"size": F.count(F.lit(1)), "hub": F.min(F.struct("rare", "set")), "l1": F.bit_xor(F.xxhash64("set")), "l2": F.bit_xor(F.xxhash64(F.lit(1), "set"))}
+    of_list = Window.partitionBy("sign")
+    light = sets.select(F.explode("light").alias("sign"), "set", "rare").select("*", *(c.over(of_list).alias(k) for k, c in member.items()))
+    hot = materialise(sets.select(F.explode("hot").alias("sign"), "set", "rare"), "jaccard-hot")
+    hot = join_hot(hot, hot.groupBy("sign").agg(*(c.alias(k) for k, c in member.items())).filter("size > 1"), ["sign"], ["set"])
+    of = ["l1", "l2", "set", F.col("hub.set").alias("hub"), "size"]
+    return light.filter("size > 1").select(*of).unionByName(hot.select(*of)).distinct()
 
-def _by_bitmap(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """The pairs (a, b) whose bitmaps don't rule a link out."""
-    own = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            differ = []
-            for x, y in zip(batch.column("bits_a"), batch.column("bits_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
-                to = min(len(x), len(y))
-                differ.append(int(np.bitwise_count(fold(x, to) ^ fold(y, to)).sum()))
-            keep = np.array(differ, np.int64) * (100 + percent) <= size * (100 - percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+def _similar_sizes(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    return pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(run, f"a {id_type}, b {id_type}")
 
+def _meet(pairs: DataFrame, of_set: DataFrame, build: Callable, keep: Callable, id_type: str) -> DataFrame:
+    """The pairs (hub, set) for which keep holds of what build makes of their payloads, the second column of of_set.
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
-    """The pairs (a, b) whose sets, built from their whole texts, link."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = rows.join(wanted, "doc_id", "left_semi")
-    own = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    A hub's payload has one copy for PARTNERS partners and comes right before theirs; a partner's goes to each hub.
+    """
+    payload = of_set.columns[1]
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    pairs = materialise(join_hot(pairs, parts, ["hub"], ["set"]).select("hub", "set", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part")), "jaccard-pairs")
+    hubs = pairs.select("hub", "part").distinct().join(of_set.withColumnRenamed("set", "hub"), "hub").select("hub", "part", F.col("hub").alias("set"), F.lit(0).alias("role"), payload)
+    partners = pairs.join(of_set, "set").select("hub", "part", "set", F.lit(1).alias("role"), payload)
+    met = hubs.unionByName(partners).repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        key, held = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column("text_a"), width, hasher), shingle_sets(batch.column("text_b"), width, hasher), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(own("a"), "a").join(own("b"), "b").mapInArrow(run, f"a {id_type}, b {id_type}")
+            good = []
+            for hub, part, role, value in zip(*(batch.column(c) for c in ("hub", "part", "role", payload)), strict=True):
+                own = (hub.as_py(), part.as_py())
+                if own != key:
+                    key, held = own, []
+                made = build(value)
+                if role.as_py() == 0:
+                    held.append(made)
+                good.append(role.as_py() == 1 and any(keep(x, made) for x in held))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("set")], names=["hub", "set"]).filter(pa.array(good, pa.bool_()))
+
+    return met.mapInArrow(run, f"hub {id_type}, set {id_type}")
+
+
+def _allowed(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """The pairs whose sizes and bitmaps don't rule a link out."""
+
+    def keep(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> bool:
+        (n, x), (m, y) = x, y
+        to = min(len(x), len(y))
+        differ = int(np.bitwise_count(fold(x, to) ^ fold(y, to)).sum())
+        return min(n, m) * 100 >= max(n, m) * percent and differ * (100 + percent) <= (n + m) * (100 - percent)
+
+    build = lambda v: (v["n"].as_py(), np.frombuffer(v["bits"].as_buffer(), np.uint8))
+    return _meet(pairs, sets.select("set", F.struct("n", "bits").alias("own")), build, keep, id_type)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
+    """The pairs whose sets of shingles, of the words of their whole texts, link."""
+    pairs = materialise(_allowed(pairs, sets, percent, id_type), "jaccard-allowed")
+    wanted = pairs.select(F.col("hub").alias("set")).union(pairs.select("set")).distinct()
+    texts = rows.withColumnRenamed("doc_id", "set").join(wanted, "set", "left_semi").select("set", F.coalesce("text", F.lit("")).alias("text"))
+
+    def keep(x: set, y: set) -> bool:
+        shared = len(x & y)
+        return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+
+    return _meet(pairs, texts, lambda v: exact_shingles(v.as_py(), width), keep, id_type)
+
+
+def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, set) within a list, of different components, whose sizes and bitmaps allow a link."""
+    of_list = ["l1", "l2"]
+    rest = lists.filter("size > 2").select(*of_list, "set").join(found.withColumnRenamed("node", "set"), "set", "left")
+    rest = materialise(rest.withColumn("component", F.coalesce("component", "set")), "jaccard-rest")
+    each = rest.groupBy(*of_list, "component").agg(F.count(F.lit(1)).alias("here"))
+    top = each.groupBy(*of_list).agg(F.max(F.struct("here", "component")).alias("top"), F.sum("here").alias("size")).filter("size > top.here")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    top = top.select(*of_list, F.col("top.component").alias("top"), blocks(F.col("size")).alias("xs"), blocks(F.col("size") - F.col("top.here")).alias("ys"))
+    folded = [f"w{i}" for i in range(_FOLD_WORDS)]
+    rest = materialise(join_hot(rest, top, of_list, ["set"]).join(sets.select("set", "n", "wide", *folded), "set"), "jaccard-rest")
+    block, all_of = (lambda k: F.pmod(F.xxhash64("set"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    x = rest.withColumn("x", block("xs")).withColumn("y", all_of("ys")).alias("x")
+    y = rest.filter("component != top").withColumn("y", block("ys")).withColumn("x", all_of("xs")).alias("y")
+    keys = [*of_list, "x", "y"]
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    once = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("x.top")) | (F.col("x.set") < F.col("y.set")))
+    within = lambda differ: differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    few = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in folded), F.lit(0))
+    least = F.least(F.size("x.wide"), F.size("y.wide"))
+    # bitmaps of sets of similar size are of one length, or one is twice as long (others pass)
+    cut = lambda v: F.when(F.size(v) > least, F.zip_with(F.slice(v, F.lit(1), least), F.slice(v, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(v))
+    many = F.aggregate(F.zip_with(cut("x.wide"), cut("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    allowed = _similar_sizes(F.col("x.n"), F.col("y.n"), percent) & within(few) & F.when(F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * least, within(many)).otherwise(True)
+    return x.join(y, [*on, once, allowed]).select(F.col("y.set").alias("hub"), F.col("x.set").alias("set")).distinct()
 
 
 def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,49 +326,38 @@ def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     Sets are distinct shingles of ``width`` lower-cased (A-Z) words of the whole text; a text with fewer words is one
     shingle, and one without words, or null, is empty and links with nothing. Two documents link when 100 times the
     common shingles is at least ``percent`` times those of both; component_id is the smallest id that links reach. A
-    null id takes no part and has a null component. Rows that share an id are one document; each has its own size. An
-    empty table gives no rows. Other columns are ignored.
+    null id takes no part and has a null component. Rows that share an id are one document, whose texts are all linked;
+    each row has its own size. An empty table gives no rows. Other columns are ignored.
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    digest = ["d1", "d2", "n"]
     profile = materialise(_profile(rows, width, id_type), "jaccard-profile")
-    each = profile.filter("n is not null")
+    each = profile.filter("n is not null").select("doc_id", *digest)
     real = each.filter("n > 0 and doc_id is not null")
-    frequent, classes = _frequent(profile, each.count())
-    reps = real.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("set"))
+    signer = Signer(percent, *_frequent(profile, each.count()))
+    reps = materialise(real.groupBy(*digest).agg(F.min("doc_id").alias("set")), "jaccard-reps")
 
-    signed = _sign(rows.filter("doc_id is not null"), width, id_type, Signer(percent, frequent, classes))
-    keys = ["doc_id", "d1", "d2", "n"]
+    signed = _sign(rows.filter("doc_id is not null"), width, id_type, signer)
+    keys = ["doc_id", *digest]
     signed = signed.join(reps.withColumnRenamed("set", "doc_id"), keys).dropDuplicates(keys).drop("d1", "d2").withColumnRenamed("doc_id", "set")
     sets = materialise(signed, "jaccard-sets")
-
-    of_list = Window.partitionBy("sign")
-    lists = sets.select(F.explode("signs").alias("sign"), "set", "n", "rare").withColumn("size", F.count(F.lit(1)).over(of_list))
-    lists = lists.withColumn("hub", F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), F.col("set").alias("of"), F.col("n").alias("n"))).over(of_list))
-    lists = materialise(lists.filter("size > 1").select("sign", "set", "n", "size", F.col("hub.of").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-lists")
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = lists.filter((F.col("set") != F.col("hub")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent)).select(*pair("set", "hub")).distinct()
-    first = materialise(_by_bitmap(first, sets, percent, id_type), "jaccard-pairs")
-    links = materialise(_verified(first, rows, width, percent, id_type), "jaccard-links")
-    found = connected_components(links)
-
-    folded = [f"w{i}" for i in range(_FOLD_WORDS)]
-    rest = lists.filter("size > 2 and set != hub").select("sign", "set", "n").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    rest = rest.withColumn("several", F.min("component").over(of_list) != F.max("component").over(of_list)).filter("several").drop("several")
-    rest = materialise(rest.join(sets.select("set", *folded), "set"), "jaccard-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in folded), F.lit(0))
-    may_link = (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
-    may_link = may_link & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
-    second = x.join(y, (F.col("x.sign") == F.col("y.sign")) & may_link).select(*pair("x.set", "y.set")).distinct()
-    second = materialise(_by_bitmap(second.join(first, ["a", "b"], "left_anti"), sets, percent, id_type), "jaccard-pairs")
-    if not second.isEmpty():
-        more = _verified(second, rows, width, percent, id_type)
-        found = connected_components(links.unionByName(materialise(more, "jaccard-links")))
-
-    of_set = reps.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    of_set = of_set.select("d1", "d2", "n", "component")
-    known = each.join(of_set, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    lists = materialise(_lists(sets), "jaccard-lists")
+
+    first = materialise(lists.filter("set != hub").select("hub", "set").distinct(), "jaccard-first")
+    links = materialise(_linked(first, sets, rows, width, percent, id_type), "jaccard-links")
+    found = connected_components(links, "hub", "set")
+
+    second = materialise(_between_components(lists, found, sets, percent).join(first, ["hub", "set"], "left_anti"), "jaccard-second")
+    more = [] if second.isEmpty() else [materialise(_linked(second, sets, rows, width, percent, id_type), "jaccard-links")]
+    several = materialise(real.groupBy("doc_id").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).filter("least != most").select("doc_id"), "jaccard-several")
+    if not several.isEmpty():
+        own = join_hot(real.distinct().join(several, "doc_id", "left_semi"), reps, digest, ["doc_id"])
+        more.append(own.select(F.col("doc_id").alias("hub"), "set").filter("hub != set"))
+    if any(not m.isEmpty() for m in more):
+        found = connected_components(functools.reduce(DataFrame.unionByName, more, links), "hub", "set")
+
+    of_set = reps.join(found.withColumnRenamed("node", "set"), "set", "left").select(*digest, F.coalesce("component", "set").alias("component_id"))
+    known = join_hot(real, of_set, digest, ["doc_id"]).select("doc_id", "n", "component_id")
+    others = each.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return known.unionByName(others).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

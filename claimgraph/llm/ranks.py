@@ -1,4 +1,4 @@
-"""Places of rows in an order, without sorting a whole stratum in one task."""
+"""Places of rows in an order and joins on keys that many rows share, without a whole stratum or key in one task."""
 
 from __future__ import annotations
 
@@ -18,3 +18,14 @@ def place(rows: DataFrame, strata: list[str], part: str, order: list[Column], ou
     starts = counts.select(*keys, F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return rows.withColumn("_inside", inside).join(starts, keys).withColumn(out, F.col("_start") + F.col("_inside")).drop("_inside", "_start")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], *, parts: int = 64) -> DataFrame:
+    """rows joined on keys, which many of them may share, with table, whose keys are unique.
+
+    A key's rows fall into parts by a hash of their columns by; a row of table is copied only to the parts that hold
+    rows. rows is read twice.
+    """
+    cut = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    copies = cut.select(*keys, "_part").distinct().join(table, keys)
+    return cut.join(copies, [*keys, "_part"]).drop("_part")
