@@ -1,11 +1,11 @@
 """Language ID by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A run of three letters is bound into one vector: the letters' vectors,
-rotated by their place, multiplied. A text is the bundle (sum) of all its runs, a language the bundle of all its
-training texts, and a text's language is the prototype of the largest cosine. Letters outside a-z fall into a few
-shared codes and everything else is one gap, so that the vectors of all runs fit one table. Bundles are linear: the
-prototypes come from counts of runs by language, summed up by Spark over all training texts, and only one vector for
-each language reaches the driver.
+Each letter, of whatever script, has a random vector of +1 and -1 drawn from its code point. A run of three letters is
+bound into one vector: the letters' vectors, rotated by their place, multiplied. A text is the bundle (sum) of all its
+runs, a language the bundle of all its training texts, and a text's language is the prototype of the largest cosine.
+Everything that is no letter is one gap. Runs are bound as they come, those of a chunk of texts once, so that no table
+of all runs is needed. Bundles are linear and made of whole numbers: tasks bundle what they read, Spark sums the parts
+of each language exactly, and only one vector for each language reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,32 +13,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNDECIDED = "und"
-#: Letter codes: 0 a gap, 1 to 26 a to z, the rest all other letters.
-CODES, RUN = 32, 3
-#: Code points below this are looked up, letters above it share one code.
-TABLE = 0x3000
+#: Bits that a code point takes in the name of a run.
+BITS = 21
+#: Characters of text whose runs are bound together, unless one text alone is longer.
+CHUNK = 1 << 18
+#: Runs that are bound or added up at once.
+ROWS = 4096
 
 
 class Profiles:
-    """Vectors of all runs of letters, and the runs of a text."""
+    """Vectors of letters and runs, and the runs of texts."""
 
     _kept: dict = {}
 
     def __init__(self, dimensions: int, seed: int) -> None:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CODES, dimensions))
-        letters[0] = np.random.default_rng(seed + 1).choice(np.array([-1, 1], np.int8), dimensions)
-        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        pairs = (first[:, None] * second[None]).reshape(-1, dimensions)
-        self.runs = (pairs[:, None] * letters[None]).reshape(-1, dimensions).astype(np.float32)
-        points = np.array([chr(i).isalpha() for i in range(TABLE)])
-        self.code = np.where(points, 27 + np.arange(TABLE) % (CODES - 27), 0).astype(np.int64)
-        self.code[97:123] = np.arange(1, 27)
+        self.dimensions, self.seed = dimensions, seed
+        self.letter = np.array([chr(i).isalpha() for i in range(1 << BITS) if i < 0x110000])
+        self.row, self.letters = np.full(len(self.letter), -1, np.int32), np.zeros((0, dimensions), np.int8)
 
     @classmethod
     def of(cls, dimensions: int, seed: int) -> "Profiles":
@@ -46,28 +42,55 @@ class Profiles:
             cls._kept[dimensions, seed] = cls(dimensions, seed)
         return cls._kept[dimensions, seed]
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct runs of the whole text and how often each occurs; none if the text has no letter."""
-        points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[np.minimum(points, TABLE - 1)]
-        far = points >= TABLE
-        if far.any():
-            codes[far] = [27 * chr(p).isalpha() for p in points[far]]
-        if not codes.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.concatenate([[0], codes, [0]])
-        codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]
-        grams = (codes[:-2] * CODES + codes[1:-1]) * CODES + codes[2:]
-        if len(grams) < 2000:
-            return np.unique(grams, return_counts=True)
-        times = np.bincount(grams, minlength=CODES**RUN)
-        found = np.flatnonzero(times)
-        return found, times[found]
+    def vector(self, point: int) -> np.ndarray:
+        """The vector of a letter; that of the gap is the one of point 0."""
+        return np.random.default_rng([self.seed, point]).choice(np.array([-1, 1], np.int8), self.dimensions)
+
+    def _of_letters(self, points: np.ndarray) -> np.ndarray:
+        new = np.unique(points[self.row[points] < 0])
+        if len(new):
+            self.row[new] = len(self.letters) + np.arange(len(new))
+            self.letters = np.vstack([self.letters, *(self.vector(int(p)) for p in new)])
+        return self.letters[self.row[points]]
+
+    def bind(self, runs: np.ndarray) -> np.ndarray:
+        """The vectors of runs."""
+        out, mask = np.empty((len(runs), self.dimensions), np.int8), (1 << BITS) - 1
+        for i in range(0, len(runs), ROWS):
+            first, second, third = (self._of_letters(runs[i : i + ROWS] >> (BITS * k) & mask) for k in (2, 1, 0))
+            out[i : i + ROWS] = np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third
+        return out
+
+    def chunks(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of some texts at a time: the first, the one after the last, distinct runs, and for (text, run) how often."""
+        i = 0
+        while i < len(texts):
+            j, held = i, 0
+            while j < len(texts) and (j == i or held < CHUNK):
+                held += len(texts[j] or "")
+                j += 1
+            yield i, j, *self._runs([(t or "").lower() for t in texts[i:j]])
+            i = j
+
+    def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        points = np.frombuffer("\0\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        # two gaps lie between texts: no run spans them, and the first belongs to the text before
+        of = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])[: len(points)]
+        points = np.where(self.letter[points], points, 0)
+        points, of = np.concatenate([[0], points, [0]]), np.concatenate([[0], of, [len(texts) - 1]])
+        keep = (points > 0) | (np.concatenate([[1], points[:-1]]) > 0)
+        points, of = points[keep], of[keep]
+        runs = (points[:-2] << (2 * BITS)) | (points[1:-1] << BITS) | points[2:]
+        inside = points[1:-1] > 0
+        inside |= (points[:-2] > 0) & (points[2:] > 0) & (of[:-2] == of[2:])
+        runs, inverse = np.unique(runs[inside], return_inverse=True)
+        pairs, times = np.unique(of[1:-1][inside] * max(1, len(runs)) + inverse, return_counts=True)
+        return runs, pairs // max(1, len(runs)), pairs % max(1, len(runs)), times
 
     def bundle(self, runs: np.ndarray, times: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.runs.shape[1], np.float32)
-        for i in range(0, len(runs), 4096):
-            out += times[i : i + 4096].astype(np.float32) @ self.runs[runs[i : i + 4096]]
+        out = np.zeros(self.dimensions)
+        for i in range(0, len(runs), ROWS):
+            out += times[i : i + ROWS].astype(float) @ self.bind(runs[i : i + ROWS]).astype(float)
         return out
 
 
@@ -78,22 +101,22 @@ def learn(training: DataFrame, *, dimensions: int = 512, seed: int = 7) -> tuple
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles.of(dimensions, seed), {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                runs, times = profiles.counts(text)
-                if lang not in sums:
-                    sums[lang] = np.zeros(CODES**RUN, np.int64)
-                sums[lang][runs] += times
-        for lang, total in sums.items():
-            runs = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(runs), pa.string()), pa.array(runs, pa.int32()), pa.array(total[runs])], names=["lang", "run", "times"])
-
-    def bundle(part: pd.DataFrame) -> pd.DataFrame:
-        vector = Profiles.of(dimensions, seed).bundle(part["run"].to_numpy(np.int64), part["times"].to_numpy(np.int64)).astype(float)
-        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "vector": [vector / (np.linalg.norm(vector) or 1.0)]})
-
-    sums = rows.mapInArrow(tally, "lang string, run int, times long").groupBy("lang", "run").agg(F.sum("times").alias("times"))
-    found = sorted(sums.groupBy("lang").applyInPandas(bundle, "lang string, vector array<double>").collect())
-    return [r["lang"] for r in found], np.array([r["vector"] for r in found], np.float32).reshape(len(found), dimensions)
+            langs = batch.column("lang").to_pylist()
+            for i, j, runs, of, run, times in profiles.chunks(batch.column("text").to_pylist()):
+                names, at = np.unique(np.array(langs[i:j], object).astype(str), return_inverse=True)
+                for k, name in enumerate(names):
+                    here = at[of] == k
+                    total = np.bincount(run[here], weights=times[here], minlength=len(runs))
+                    found = np.flatnonzero(total)
+                    sums[name] = sums.get(name, 0) + profiles.bundle(runs[found], total[found])
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([str(name)] * dimensions), pa.array(np.arange(dimensions), pa.int32()), pa.array(total.astype(np.int64))], names=["lang", "at", "value"])
+
+    sums = rows.mapInArrow(tally, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    found = sorted(sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("vector")).collect())
+    vectors = np.array([r["vector"] for r in found], float).reshape(len(found), dimensions)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return [r["lang"] for r in found], vectors / np.where(norms > 0, norms, 1)
 
 
 def identify(documents: DataFrame, languages: list[str], prototypes: np.ndarray, *, dimensions: int = 512, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,18 +132,21 @@ def identify(documents: DataFrame, languages: list[str], prototypes: np.ndarray,
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles.of(dimensions, seed)
         for batch in batches:
-            best, score = [], []
-            for text in batch.column("text"):
-                runs, times = profiles.counts(text.as_py())
-                if not len(runs) or not languages:
-                    best.append(UNDECIDED)
-                    score.append(0.0)
-                    continue
-                vector = profiles.bundle(runs, times)
-                cosine = prototypes @ vector / (np.linalg.norm(vector) or 1.0)
-                at = int(np.argmax(cosine))
-                best.append(languages[at])
-                score.append(min(1.0, max(0.0, float(cosine[at]))))
+            best, score = np.full(len(batch), UNDECIDED, object), np.zeros(len(batch))
+            for i, j, runs, of, run, times in profiles.chunks(batch.column("text").to_pylist()):
+                bound = profiles.bind(runs)
+                first = np.searchsorted(of, np.arange(j - i + 1))
+                for k in range(j - i if languages else 0):
+                    a, b = first[k], first[k + 1]
+                    if a == b:
+                        continue
+                    vector = np.zeros(dimensions)
+                    for c in range(a, b, ROWS):
+                        d = min(b, c + ROWS)
+                        vector += times[c:d].astype(np.float32) @ bound[run[c:d]].astype(np.float32)
+                    cosine = prototypes @ vector / (np.linalg.norm(vector) or 1.0)
+                    at = int(np.argmax(cosine))
+                    best[i + k], score[i + k] = languages[at], min(1.0, max(0.0, float(cosine[at])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(judge, f"doc_id {id_type}, lang_pred string, score double")
