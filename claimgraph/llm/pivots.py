@@ -1,12 +1,15 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 A bounded sample of vectors are the pivots, less those close to another pivot: however many vectors a group of near
-copies holds, few pivots stand within it, so its members name the same ones. Each vector is described by its nearest pivots in order; an inverted list
-for each label and pivot holds the vectors that name it. Two vectors of a list become candidates when their
-descriptions share enough pivots, and are verified by their exact cosine. A pair is looked at only in the list of the
-smallest pivot that they share, so links can be counted without writing pairs down: a list gives, for each vector, how
-many links it has there and one edge towards its smallest linked vector. Equal vectors of a label are one entry with a
-weight. Long lists are cut into blocks, and block pairs are tasks of their own.
+copies holds, few pivots stand within it, so its members name the same ones. Each vector is described by its nearest
+pivots in order; an inverted list for each label and pivot holds the vectors that name it. Two vectors of a list become
+candidates when their descriptions share enough pivots, and are verified by their exact cosine. A pair is looked at only
+in the list of the smallest pivot that they share, so links can be counted without writing pairs down: a list gives, for
+each vector, how many links it has there and one edge towards its smallest linked vector. Equal vectors of a label are
+one entry with a weight. Long lists are cut into blocks, and block pairs are tasks of their own.
+
+Where lists of single pivots would grow long, they are lists of pairs of pivots: vectors that share two pivots share
+such a list, so the same pairs of vectors are looked at, in lists as many times shorter as there are pivots.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from claimgraph.llm.vectors import keyed, matrix, packed, unpacked, usable
 from claimgraph.operators.components import connected_components
 
 BLOCK_ROWS = 1024
+#: Lists of single pivots that are longer than this, on average, become lists of two.
+LONG_LIST = 1 << 16
 #: Pivots have a cosine below this with each other.
 APART = 0.7
 
@@ -64,26 +69,32 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     centres = spread(unit(np.array(picked["v"].tolist(), np.float64))) if len(picked) else np.zeros((0, 1))
     needed = min(shared, len(centres))
+    by_two = needed >= 2 and n * nearest / len(centres) > LONG_LIST
     id_type, label_type = (heads.schema[c].dataType.simpleString() for c in ("cls", "label"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit(matrix(batch.column("v")))
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :nearest].astype(np.int16)
-            at = np.repeat(np.arange(len(x)), near.shape[1])
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+            lists = near.astype(np.int64)
+            if by_two:
+                low, high = np.triu_indices(near.shape[1], 1)
+                first, second = np.minimum(lists[:, low], lists[:, high]), np.maximum(lists[:, low], lists[:, high])
+                lists = first << 32 | second
+            at = np.repeat(np.arange(len(x)), lists.shape[1])
             take = pa.array(at)
             own, names = np.array(packed(x), dtype=object), np.array([r.tobytes() for r in near], dtype=object)
             columns = [batch.column(c).take(take) for c in ("label", "cls", "weight")]
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), *columns, pa.array(names[at], pa.binary()), pa.array(own[at], pa.binary())], names=["pivot", "label", "cls", "weight", "names", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int64()), *columns, pa.array(names[at], pa.binary()), pa.array(own[at], pa.binary())], names=["list", "label", "cls", "weight", "names", "v"])
 
-    index = materialise(heads.mapInArrow(describe, f"pivot int, label {label_type}, cls {id_type}, weight long, names binary, v binary"), "pivot-index")
-    blocks = index.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
-    cut = index.join(blocks.filter("size > 1").drop("size"), ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    index = materialise(heads.mapInArrow(describe, f"list long, label {label_type}, cls {id_type}, weight long, names binary, v binary"), "pivot-index")
+    blocks = index.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    cut = index.join(blocks.filter("size > 1").drop("size"), ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        pivot = int(part["pivot"].iloc[0])
+        last = int(part["list"].iloc[0]) & 0xFFFFFFFF
         x, ids, weight, block = unpacked(part["v"]), part["cls"].to_numpy(), part["weight"].to_numpy(), part["block"].to_numpy()
         linked = x @ x.T >= least
         np.fill_diagonal(linked, False)
@@ -93,14 +104,14 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8
         if not len(touched):
             return pd.DataFrame({"cls": ids[:0], "to": ids[:0], "links": weight[:0]})
         links, ids = linked[np.ix_(touched, touched)], ids[touched]
-        named, at = np.unique(np.frombuffer(b"".join(part["names"].iloc[touched]), np.int16), return_inverse=True)
+        named, at = np.unique(np.frombuffer(b"".join(part["names"].iloc[touched]), np.int32), return_inverse=True)
         names = np.zeros((len(touched), len(named)), np.float32)
         np.put_along_axis(names, at.reshape(len(touched), -1), 1.0, axis=1)
-        lower = names[:, : np.searchsorted(named, pivot)]
-        links &= (names @ names.T >= needed) & (lower @ lower.T == 0)
+        lower = names[:, : np.searchsorted(named, last)]
+        links &= (names @ names.T >= needed) & (lower @ lower.T == (1 if by_two else 0))
         return pd.DataFrame({"cls": ids, "to": _towards(links, ids), "links": links @ weight[touched]})
 
-    found = cut.groupBy("label", "pivot", "low", "high").applyInPandas(compare, f"cls {id_type}, to {id_type}, links long")
+    found = cut.groupBy("label", "list", "low", "high").applyInPandas(compare, f"cls {id_type}, to {id_type}, links long")
     found = materialise(found, "pivot-links")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b")))
