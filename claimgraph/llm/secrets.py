@@ -1,11 +1,11 @@
 """Secret scan by corpus-wide ownership frequency, in DataFrame operations alone.
 
 Candidates come from patterns over the whole text. The base kinds always count. The method then asks, for each
-candidate's SHA-256 over the whole corpus, how many repositories (documents) and how many owners (sources) hold it:
-a string that many owners hold is a copied example, one that few hold looks live. Candidates of the wider kinds
+candidate's SHA-256 over the whole corpus, how many repositories (distinct texts) and how many owners (sources) hold it:
+a string that many owners hold is a copied example, one that few hold looks live, however often they repeat it. Candidates of the wider kinds
 (vendor tokens, mixed-case keys) are too often harmless to be taken on their pattern alone; they become spans only
 when they look live. Only candidates are shuffled, never texts, and a candidate in very many documents is counted by
-partial sums over (hash, owner, document).
+partial sums over (hash, owner, text).
 
 Positions come from the lengths of what lies between matches: the pieces that splitting by the pattern leaves and
 the matches themselves alternate, so running sums of their lengths, as code points, are the starts and ends.
@@ -34,7 +34,7 @@ MIXED = r"[A-Za-z0-9+/_-]{28,}"
 KINDS = [("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("vendor", VENDOR, 0), ("mixed", MIXED, 0)]
 BASE = ("assign", "access", "hex")
 LEAST_ASSIGNED = 6
-MAX_OWNERS, MAX_REPOSITORIES = 3, 50
+MAX_OWNERS = 3
 
 
 def _matches(text: Column, order: int, kind: str, pattern: str, group: int) -> Column:
@@ -54,25 +54,25 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int) -> C
     return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<order:int,kind:string,place:int,gap:bigint,len:bigint,secret:string>>"))
 
 
-def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
+def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int | None = None) -> DataFrame:
     """A row for each row of documents: doc_id, text_hash, and spans (kind, start, end, owners, repositories, live).
 
     spans is sorted by start and then kind, and empty where nothing is found. live tells that at most ``max_owners``
-    owners and ``max_repositories`` documents (None: any number) hold the secret. A null text is empty; a null owner is an owner of its
-    own; a null id is kept. Repeated rows are repositories of their own and each get their spans. An empty table
-    gives no rows. Other columns are ignored.
+    owners and ``max_repositories`` distinct texts (None: any number) hold the secret. A null text is empty; a null
+    owner is an owner of its own; a null id is kept. Copies of a text are one repository; each row gets its spans. An
+    empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit("")).alias("owner"), text.alias("text"))
     matches = F.concat(*[_matches(F.col("text"), i, *kind) for i, kind in enumerate(KINDS)])
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "owner", F.xxhash64("text").alias("text_hash"), matches.alias("matches")), "secret-matches")
-    each = rows.filter(F.size("matches") > 0).select("uid", "owner", F.explode("matches").alias("m")).select("uid", "owner", "m.*")
+    each = rows.filter(F.size("matches") > 0).select("uid", "owner", "text_hash", F.explode("matches").alias("m")).select("uid", "owner", "text_hash", "m.*")
     sofar = Window.partitionBy("uid", "kind").orderBy("place")
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(sofar)).withColumn("start", F.col("end") - F.col("len"))
     secret = F.col("secret")
     fits = F.when(F.col("kind") == "assign", F.length(secret) >= LEAST_ASSIGNED).when(F.col("kind") == "mixed", secret.rlike("[0-9]") & secret.rlike("[A-Z]") & secret.rlike("[a-z]")).otherwise(True)
-    each = materialise(each.filter(fits).select("uid", "owner", "order", "kind", "start", "end", F.sha2("secret", 256).alias("hash")), "secret-spans")
-    held = each.groupBy("hash", "owner", "uid").agg(F.lit(1).alias("_")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
+    each = materialise(each.filter(fits).select("uid", "owner", "text_hash", "order", "kind", "start", "end", F.sha2("secret", 256).alias("hash")), "secret-spans")
+    held = each.select("hash", "owner", "text_hash").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     held = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.lit(True) if max_repositories is None else F.col("repositories") <= max_repositories))
     judged = judged.filter(F.col("kind").isin(*BASE) | F.col("live"))
@@ -112,23 +112,25 @@ def mask_live(documents: DataFrame, **options) -> DataFrame:
 
     A secret that few owners hold looks live, however many documents repeat it. In a text with one of any kind all
     spans of the scan are masked at their places, and all base matches, copied ones too, so that nothing next to a live
-    secret gives it away. The name of an assignment stays. n_chars, where there is such a column, is counted anew.
+    secret gives it away. The name of an assignment stays. n_chars, where there is such a column, is counted anew. Null
+    and empty texts stay; repeated rows are masked alike; a row travels whole, so its columns may have any names.
     """
-    scanned = scan(documents, **({"max_repositories": None} | options))
-    flagged = scanned.filter(F.exists("spans", lambda x: x["live"])).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
-    masked = F.regexp_replace(_covered(F.col("text"), F.col("_spans")), ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})"), "$1=[SECRET]")
+    flagged = scan(documents, **options).filter(F.exists("spans", lambda x: x["live"])).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"]).alias("f")
+    masked = F.regexp_replace(_covered(F.col("d.row.text"), F.col("f.spans")), ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})"), "$1=[SECRET]")
     masked = F.regexp_replace(F.regexp_replace(masked, ACCESS, "[SECRET]"), HEX, "[SECRET]")
     # most texts hold no candidate at all: they pass by, and only the others meet the flagged ones
     suspect = F.coalesce(F.col("text").rlike("|".join(pattern for _, pattern, _ in KINDS)), F.lit(False))
-    some = documents.filter(suspect)
-    same = some["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(some["text"]) == F.col("_hash"))
-    joined = some.join(flagged.hint("merge"), same, "left").withColumn("_text", F.when(F.col("_hash").isNotNull(), masked).otherwise(F.col("text")))
+    some = documents.filter(suspect).select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
+    hit = F.col("f.text_hash").isNotNull()
+    joined = some.join(flagged.hint("merge"), same, "left").select(F.col("d.row").alias("row"), F.when(hit, masked).alias("masked"))
 
     def column(c: str) -> Column:
+        own = F.col("row")[c]
         if c == "text":
-            return F.col("_text").alias(c)
-        if c == "n_chars":
-            return F.when(F.col("_hash").isNotNull(), F.length("_text")).otherwise(F.col(c)).cast(documents.schema[c].dataType).alias(c)
-        return F.col(c)
+            own = F.coalesce("masked", own)
+        elif c == "n_chars":
+            own = F.coalesce(F.length("masked").cast(documents.schema[c].dataType), own)
+        return own.alias(c)
 
     return documents.filter(~suspect).unionByName(joined.select(*map(column, documents.columns)))
