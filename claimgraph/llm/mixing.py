@@ -121,9 +121,12 @@ def mix(documents: DataFrame, *, weights: list[int], most: int = MOST, seed: int
 
 
 def resample(documents: DataFrame, **options) -> DataFrame:
-    """documents with each row as often as the mix takes it, not at all included. Equal rows are taken equally often."""
+    """documents with each row as often as the mix takes it, not at all included. Equal rows are taken equally often.
+
+    Nulls, empty texts and repeated rows count as in mix. A row travels whole, so its columns may have any names.
+    """
     copies = mix(documents.select("doc_id", "source", "text"), **options)
-    copies = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_words")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    keyed = documents.withColumn("_size", words(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_words"))
-    return keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    copies = copies.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0").alias("c")
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", "source", words(F.col("text")).alias("size")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size"))
+    return rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("c.copies")))).select("row.*")

@@ -74,17 +74,17 @@ def statistics(column: pa.Array, hasher: WordHasher) -> np.ndarray:
     return np.vstack(out) if out else np.zeros((0, len(STATISTICS)))
 
 
-def with_statistics(rows: DataFrame, text_col: str = "text", *, keep_text: bool = True) -> DataFrame:
-    """rows with a column PREFIX + name for each statistic of the text."""
+def with_statistics(rows: DataFrame, text_col: str = "text", *, keep_text: bool = True, prefix: str = PREFIX) -> DataFrame:
+    """rows with a column prefix + name for each statistic of the text."""
     kept = [c for c in rows.columns if keep_text or c != text_col]
-    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(PREFIX + s, T.DoubleType()) for s in STATISTICS]])
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             found = statistics(batch.column(text_col), hasher)
             columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[PREFIX + s for s in STATISTICS]])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[prefix + s for s in STATISTICS]])
 
     return rows.mapInArrow(run, schema)
 
@@ -99,10 +99,10 @@ class Rule:
     def holds(self, x: np.ndarray) -> np.ndarray:
         return np.logical_and.reduce([(x[:, f] > t) == above for f, above, t in self.bounds])
 
-    def column(self) -> Column:
+    def column(self, prefix: str = PREFIX) -> Column:
         test = F.lit(True)
         for f, above, t in self.bounds:
-            value = F.col(PREFIX + STATISTICS[f])
+            value = F.col(prefix + STATISTICS[f])
             test = test & (value > t if above else value <= t)
         return F.when(test, F.lit(self.weight)).otherwise(0.0)
 
@@ -169,22 +169,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3,
     return float(b - (w * held.mean(axis=0) / spread).sum()), [Rule(r.bounds, float(v)) for r, v in zip(rules, weights, strict=True) if v]
 
 
-def score_column(intercept: float, rules: list[Rule]) -> Column:
+def score_column(intercept: float, rules: list[Rule], prefix: str = PREFIX) -> Column:
     """The probability of a good label, of the statistics' columns."""
-    return F.lit(1.0) / (F.exp(-sum((r.column() for r in rules), F.lit(intercept))) + 1)
+    return F.lit(1.0) / (F.exp(-sum((r.column(prefix) for r in rules), F.lit(intercept))) + 1)
 
 
 def learn(described: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, id_col: str = "doc_id") -> tuple[float, list[Rule]]:
     """Fits rules to rows of described (ids and statistics) that labels (doc_id, quality) names; null labels don't count.
 
-    Above most_rows labelled rows, those with the smallest hashes of their ids make the sample.
+    An id whose labels contradict each other teaches nothing. Above most_rows labelled rows, those with the smallest
+    hashes of their ids make the sample.
     """
-    truth = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).filter("_y is not null").dropDuplicates(["_id"])
+    truth = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"), F.max("quality").alias("_most")).filter("_y = _most").select("_id", F.col("_y").cast("double").alias("_y"))
     both = described.join(truth, F.col(id_col) == F.col("_id")).select("_id", "_y", *[PREFIX + s for s in STATISTICS])
     n = both.count()
     if n > most_rows:
         both = both.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / n))
-    found = both.orderBy("_id").toPandas()
+    found = both.orderBy("_id", *[PREFIX + s for s in STATISTICS]).toPandas()
     return fit_rules(found[[PREFIX + s for s in STATISTICS]].to_numpy(float), found["_y"].to_numpy(float))
 
 
@@ -203,7 +204,13 @@ def score(documents: DataFrame, labels: DataFrame, *, learns_from: Column | None
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, *, learns_from: Column | None = None, threshold: float = 0.7) -> DataFrame:
-    """documents whose score reaches the threshold, with their own columns. Texts are scanned twice and never shuffled."""
+    """documents whose score reaches the threshold, with their own columns. Texts are scanned twice and never shuffled.
+
+    Null and empty texts, repeated rows and null ids are scored as by score; columns may have any names.
+    """
+    prefix = PREFIX
+    while any(c.lower().startswith(prefix) for c in documents.columns):
+        prefix = "_" + prefix
     described = materialise(with_statistics(documents.select("doc_id", "text"), keep_text=False), "quality-statistics")
     intercept, rules = learn(described if learns_from is None else described.filter(learns_from), labels)
-    return with_statistics(documents).filter(score_column(intercept, rules) >= threshold).select(*documents.columns)
+    return with_statistics(documents, prefix=prefix).filter(score_column(intercept, rules, prefix) >= threshold).select(*documents.columns)
