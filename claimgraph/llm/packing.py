@@ -60,15 +60,14 @@ class Tokens:
     words can be remembered. Other texts are encoded as a whole. Merging by rank gives the ids that the tokenizers
     library gives, several times as fast; a file whose ids aren't ranks is left to that library.
 
-    With ``added``, strings of the file's added tokens are those tokens, as by the library's default: a text is cut at
-    them first. Without it they are ordinary text.
+    Strings of the file's added tokens are those tokens, as by the library's default: a text is cut at them first.
     """
 
-    _kept: ClassVar[dict[tuple[str, bool], "Tokens"]] = {}
+    _kept: ClassVar[dict[str, "Tokens"]] = {}
 
-    def __init__(self, path: str, *, added: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         self.known: dict[str, bytes | None] = {}
-        tokens = json.loads(Path(path).read_text()).get("added_tokens") or [] if added else []
+        tokens = json.loads(Path(path).read_text()).get("added_tokens") or []
         self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in tokens}
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         #: Tokens that take more or less than their string are left to the library, which then gets texts as a whole.
@@ -82,14 +81,13 @@ class Tokens:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = not added
             self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @classmethod
-    def of(cls, path: str, *, added: bool = False) -> "Tokens":
-        if (path, added) not in cls._kept:
-            cls._kept[path, added] = cls(path, added=added)
-        return cls._kept[path, added]
+    def of(cls, path: str) -> "Tokens":
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def _new(self, word: str) -> bytes | None:
         """What the word adds after a space, None if the space may belong elsewhere."""
@@ -159,10 +157,9 @@ def pack(documents: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of documents.
 
     A document is its ids and end_id. Only one of more than ``capacity`` tokens is cut, and into as few pieces as can
-    be. The string of an added token
-    in a text is that token. A null or empty text is its end_id alone. Repeated rows are documents of their own; a null id is kept; an
-    empty table gives no rows. sequence_id is not negative for bins of the first pass and negative for those of the
-    second. A task that runs again gives the same bins, as no other task knows of them. Other columns are ignored.
+    be. The string of an added token in a text is that token. A null or empty text is its end_id alone. Repeated rows
+    are documents of their own; a null id is kept; an empty table gives no rows. sequence_id is not negative for bins
+    of the first pass and negative for those of the second. A task that runs again gives the same bins, as no other task knows of them. Other columns are ignored.
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -171,7 +168,7 @@ def pack(documents: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << _TASK_BITS
-        encode, kind = Tokens.of(tokenizer_path, added=True), None
+        encode, kind = Tokens.of(tokenizer_path), None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             cut: list[tuple[int, int, int, int, int]] = []

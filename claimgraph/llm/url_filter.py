@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from claimgraph.llm.columns import text_bytes
 
+#: Words of 64 bits that the states of all texts of a run take.
+STATE_WORDS = 1 << 20
 UPPER, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,7 +78,13 @@ class ShiftAnd:
         return np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
 
     def matches(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A row for each text, a column for each glob. Texts run side by side, longest first, byte by byte."""
+        """A row for each text, a column for each glob. So many texts run at once as a bounded state allows."""
+        step, n = max(1, STATE_WORDS // self.words), len(at) - 1
+        parts = [self._run(data, at[i : min(n, i + step) + 1]) for i in range(0, n, step)]
+        return np.vstack(parts) if parts else np.zeros((0, len(self.accept)), bool)
+
+    def _run(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts side by side, longest first, byte by byte."""
         size = np.diff(at)
         order = np.argsort(-size, kind="stable")
         sorted_size, begin = size[order], at[:-1][order]
