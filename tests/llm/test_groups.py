@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimgraph.llm import ann, jaccard, mixing, pivots, queries
@@ -47,6 +48,24 @@ def test_mix_meets_targets(spark, rows):
         assert sorted(map(str, mixing.mix(docs_of(spark, rows[::-1]), weights=[1, 2, 3]).collect())) == sorted(map(str, got))
 
 
+def test_rates_are_the_multipliers_of_the_dual(spark):
+    """Each source's multiplier, found here by halving an interval, meets its target in expectation."""
+    rows = [(i, "w " * (1 + i * 7 % 40), f"s{i % 4}") for i in range(900)]
+    sizes = spark.createDataFrame([(f"={s}", len(WORD.findall(t))) for _, t, s in rows], "_source string, size long")
+    got = {r._source: r for r in mixing.solve_rates(sizes, mixing.source_targets(sizes, [1, 2, 3], 3), 3).collect()}
+    for k in range(4):
+        x = np.array([len(WORD.findall(t)) for _, t, s in rows if s == f"s{k}"], float)
+        r = got[f"=s{k}"]
+        given = lambda m: (np.minimum(3, np.exp(np.minimum(m * x / x.mean(), 50))) * x).sum()
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (low, middle) if given(middle) > r.target else (middle, high)
+        assert r.source_size == x.sum() and abs(given(r["lambda"]) - r.target) < 1e-5 * r.target
+        if r.target < 2.99 * r.source_size:
+            assert abs(r["lambda"] - low) < 1e-6
+
+
 def test_resample_repeats_rows(spark):
     rows = [(i, "w " * (1 + i % 30), f"s{i % 3}") for i in range(300)]
     docs = docs_of(spark, rows)
@@ -107,6 +126,43 @@ def test_jaccard_components(spark, monkeypatch, width, percent, rows):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
 
 
+def hot_rows():
+    """Thousands of copies and of empty texts, a large near-copy group, and one whose pairs all lie just below 0.85."""
+    rng, base = np.random.default_rng(8), [f"b{i}" for i in range(40)]
+    rows = [(i, "the same few words in very many rows", "hot") for i in range(1500)] + [(2000 + i, " \n" if i % 2 else None, "hot") for i in range(1500)]
+    for i in range(300):
+        words = list(base)
+        words[int(rng.integers(40))] = f"x{i}"
+        rows.append((4000 + i, " ".join(words), "hot"))
+    for i in range(120):  # 57 of 61 shingles stay: two of them share 53 of 61 + 4 + ... : below the threshold, unlike their base
+        words = [f"c{k}" for k in range(60)]
+        words[i % 50 + 4] = f"y{i}"
+        rows.append((5000 + i, " ".join(words), "hot"))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1000, 25])
+def test_jaccard_of_hot_keys(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PARTNERS", 50)
+    rows = hot_rows()
+    sets, want = jaccard_truth(rows, 4, 85)
+    got = jaccard.jaccard_components(docs_of(spark, rows).repartition(6), width=4, percent=85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(sets[d]), want[d]) for d in sets}
+    assert len({c for d, c in want.items() if d >= 5000}) > 20
+
+
+def test_jaccard_tells_words_of_one_polynomial_apart(spark):
+    tm = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    rows = [(1, f"{tm} k l m n o", "s"), (2, f"{tm.translate(str.maketrans('ab', 'ba'))} k l m n o", "s")]
+    assert {r.component_id for r in jaccard.jaccard_components(docs_of(spark, rows), width=4, percent=85).collect()} == {1, 2}
+
+
+def test_jaccard_links_texts_of_one_id(spark):
+    rows = [(5, "a b c d e f", "s"), (5, "g h i j k l", "s"), (3, "g h i j k l", "s"), (9, "a b c d e f", "s")]
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows)).collect()} == {(5, 3), (3, 3), (9, 3)}
+
+
 def test_jaccard_of_the_given_documents(spark):
     rows = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     sets, want = jaccard_truth(rows, 4, 85)
@@ -171,9 +227,10 @@ def test_nearest_of_few_and_equal_vectors(spark):
     assert ann.nearest(frame.limit(0), frame["vec_id"] % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 40])
-def test_near_duplicate_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "long"), [(1024, 1 << 16), (40, 1 << 16), (40, 1)])
+def test_near_duplicate_vectors(spark, monkeypatch, block, long):
     monkeypatch.setattr(pivots, "BLOCK_ROWS", block)
+    monkeypatch.setattr(pivots, "LONG_LIST", long)
     rows, bad = vector_rows()
     frame = spark.createDataFrame([(*r, "clash") for r in [*rows, *bad]], VECTORS)
     got = {r.vec_id: r for r in pivots.near_duplicates(frame, least=0.93).collect()}
@@ -187,6 +244,9 @@ def test_near_duplicate_vectors(spark, monkeypatch, block):
     assert found >= 0.9 * near.sum() and all(got[i].n_links <= near[i].sum() for i in range(len(rows)))
     assert np.mean([got[i].component_id == want[i] for i in range(len(rows))]) > 0.9
     assert all((got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (0, r[0], True) for r in bad)
+    if long == 1:  # lists of two pivots give what lists of one give
+        monkeypatch.setattr(pivots, "LONG_LIST", 1 << 16)
+        assert {r.vec_id: r for r in pivots.near_duplicates(frame, least=0.93).collect()} == got
     assert pivots.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -243,3 +303,16 @@ def test_pipeline_takes_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 2, 3, None, 7, 8, 50]))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_stages_take_any_column_names(spark):
+    rows = [*EDGES, *((60 + i, f"say password=abcdef{i} now " + "more words " * i, "a" if i % 2 else None) for i in range(12))]
+    clash = ["_id", "_hash", "_spans", "_text", "_size", "_copy", "_words", "_src", "_copies", "_stat_log_bytes", "row", "masked", "size", "copies", "spans", "text_hash", "component_id", "id", "hub", "set", "n"]
+    docs = docs_of(spark, rows)
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        got, plain = stage(spark, wide, SF).collect(), stage(spark, docs, SF).collect()
+        assert len(got) == len(plain), name
+        if name != "best-fit packing":
+            assert Counter(str(r[: len(docs.columns)]) for r in map(tuple, got)) == Counter(str(tuple(r)) for r in plain), name
+            assert all(r[c] == (None if r.doc_id is None else f"{c} {r.doc_id}") for r in got for c in clash), name

@@ -62,6 +62,40 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs_of(spark, EDGES), *nothing).collect()} == {"und"}
 
 
+def naive_profile(text, profiles):
+    """The bundle of all runs, letter by letter."""
+    letters = re.sub("_+", "_", "_" + "".join(c if c.isalpha() else "_" for c in text.lower()) + "_")
+    vector = lambda c: profiles.vector(0 if c == "_" else ord(c)).astype(int)
+    out = np.zeros(profiles.dimensions)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_language_equals_plain_profiles(spark):
+    train = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "the end\0 x", "en"), (4, "el gato y el perro", None), (5, "", "fr"), (6, None, "fr")]
+    frame = spark.createDataFrame(train, "doc_id long, text string, lang string").repartition(3)
+    languages, prototypes = langid.learn(frame, dimensions=64)
+    profiles = langid.Profiles.of(64, 7)
+    sums = {k: sum(naive_profile(t, profiles) for _, t, lang in train if lang == k and t) for k in ("en", "fr")}
+    assert languages == ["en", "fr"] and np.allclose(prototypes, [sums[k] / np.linalg.norm(sums[k]) for k in languages])
+    texts = ["the", "a", "chat", "ÉTÉ là-bas", "x" * 70000, "你好 the", "le  chien!", "", "12"]
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), languages, prototypes, dimensions=64).collect()}
+    for i, t in enumerate(texts):
+        v = naive_profile(t, profiles)
+        cosine = prototypes @ v / (np.linalg.norm(v) or 1)
+        want = ("und", 0.0) if not re.search(r"[^\W\d_]", t) else (languages[int(np.argmax(cosine))], max(0.0, cosine.max()))
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-6, t
+
+
+def test_languages_of_other_scripts(spark):
+    train = {"el": "η γλώσσα είναι ένα σύστημα επικοινωνίας που χρησιμοποιούν οι άνθρωποι", "ru": "язык это сложная знаковая система которую используют люди", "ja": "言語は人間がコミュニケーションに使う記号の体系である", "zh": "语言是人类用于交流的符号系统其结构十分复杂"}
+    held = {"el": "οι άνθρωποι είναι ένα σύστημα", "ru": "люди используют систему", "ja": "人間が使う言語の体系である", "zh": "人类用于交流的系统"}
+    frame = spark.createDataFrame([(t, k) for k, t in train.items()], "text string, lang string")
+    got = langid.identify(docs_of(spark, [(i, t, "s") for i, t in enumerate(held.values())]), *langid.learn(frame)).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == list(held)
+
+
 def packed(spark, rows, **options):
     return packing.pack(docs_of(spark, rows), queries.tokenizer_path(), **options).collect()
 
@@ -70,7 +104,6 @@ def check_packing(got, texts, capacity):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     want = Counter()
     for d, t in texts:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -110,11 +143,20 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert fit.place(4) == (2, 5) and sorted(fit.left()) == [(2, 9), (3, 8)]
 
 
+def test_words_of_one_polynomial_hash_apart():
+    """Words whose polynomial hashes agree for any odd base modulo 2^64 (Thue-Morse words) are different words."""
+    from claimgraph.llm.columns import WordHasher
+
+    tm = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    raw = f"{tm} {tm.translate(str.maketrans('ab', 'ba'))} {tm.upper()}".encode()
+    h = WordHasher()(np.frombuffer(raw, np.uint8), np.array([0, 2049, 4098]), np.array([2048, 4097, 6146]))
+    assert h[0] != h[1] and h[0] == h[2]
+
+
 def test_words_encode_as_the_whole_text(spark):
     from tokenizers import Tokenizer
 
     tok, own = Tokenizer.from_file(queries.tokenizer_path()), packing.Tokens(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     for t in ["", "a", " a", "a ", "a  b", "a \n b", "it's  don't 'll x'S", "é b c", "1½ ²3 a_b", "<|endoftext|> a", "日本 語", "x\x1c y", "👍 👍🏽", "a\r\n b"]:
         assert own(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
@@ -122,7 +164,7 @@ def test_words_encode_as_the_whole_text(spark):
 def test_packing_takes_added_tokens_as_the_library_does(spark):
     from tokenizers import Tokenizer
 
-    tok, own = Tokenizer.from_file(queries.tokenizer_path()), packing.Tokens(queries.tokenizer_path(), added=True)
+    tok, own = Tokenizer.from_file(queries.tokenizer_path()), packing.Tokens(queries.tokenizer_path())
     texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a  <|endoftext|>\n b", "it's<|endoftext|>'s <|endoftext", "é <|endoftext|>  ", "no token here"]
     for t in texts:
         assert own(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
@@ -157,6 +199,25 @@ def test_quality_edges_and_compiled_rules(spark):
     assert np.allclose([r[0] for r in frame.select(quality.score_column(base, rules)).collect()], plain[:50])
 
 
+def test_quality_statistics_by_hand():
+    import pyarrow as pa
+
+    from claimgraph.llm.columns import WordHasher
+
+    texts = ["", None, "One two two\nthree, Three! 3|\nOne two two\nthree,", "a", "é é é", "x" * 700000 + " y"]
+    got = quality.statistics(pa.array(texts, pa.string()), WordHasher())
+    classes = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "digit": "0123456789", "stop": ".?", "comma": ",;:", "shout": "!", "symbol": "#$%&*+=<>@^_~\\/", "bar": "|", "quote": "\"'`()[]{}", "space": " \t", "line": "\n"}
+    for row, text in zip(got, texts, strict=True):
+        raw = (text or "").encode()
+        words, lines, n = raw.lower().split(), raw.split(b"\n") if raw else [], max(1, len(raw))
+        pairs = list(zip(words, words[1:]))
+        counts = Counter(words)
+        want = [np.log1p(len(raw)), np.log1p(len(words)), np.log1p(len(lines)), sum(map(len, words)) / max(1, len(words)), np.log1p(max(map(len, words), default=0))]
+        want += [sum(b in c.encode() for b in raw) / n for c in classes.values()] + [sum(b >= 128 for b in raw) / n]
+        want += [len(counts) / len(words), max(counts.values()) / len(words), sum(a == b for a, b in pairs) / max(1, len(pairs)), len(set(pairs)) / max(1, len(pairs)), len(set(lines)) / len(lines)] if words else [0.0] * 5
+        assert np.allclose(row, want), (text or "")[:20]
+
+
 def base_spans(text):
     keys = "(password|passwd|secret|token|api_?key)"
     out = []
@@ -201,6 +262,23 @@ def test_masking_covers_every_live_kind_at_its_place(spark):
     assert len(got) == len(rows) and {r.doc_id: (r.text, r.n_chars) for r in got} == {d: (want.get(d, t), len(want.get(d, t))) for d, t, _ in rows}
 
 
+def shard_order(rows, shards, seed=17):
+    """(id, shard, slot) from one sort by fractional rank and equal cuts."""
+    keyed = defaultdict(list)
+    for d, t, s in rows:
+        raw = (t or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 8
+        key = hashlib.md5(f"{seed}:{'' if d is None else d}:{crc}:{size}".encode()).hexdigest()
+        keyed["" if s is None else "=" + s].append((key, (d is not None, d or 0), crc, d))
+    order = sorted(((i + 0.5) / len(part), s, key, null, crc, d) for s, part in keyed.items() for i, (key, null, crc, d) in enumerate(sorted(part)))
+    out, slots = set(), Counter()
+    for at, row in enumerate(order):
+        shard = at * shards // len(order)
+        out.add((row[-1], shard, slots[shard]))
+        slots[shard] += 1
+    return out
+
+
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_shards_are_even_and_mixed(spark, shards):
     rows = [*EDGES, *((100 + i, f"text {i}", "hot" if i % 3 else "cold") for i in range(600))]
@@ -213,6 +291,7 @@ def test_shards_are_even_and_mixed(spark, shards):
         assert abs(hot - 400 * n / len(rows)) <= 3
     texts = {d: t or "" for d, t, _ in rows}
     assert all(r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == shard_order(rows, shards)
     again = sharding.stratified_shards(docs_of(spark, rows[::-1]).repartition(3), shards).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert sharding.stratified_shards(docs_of(spark, []), shards).count() == 0
