@@ -15,8 +15,9 @@ fast the join is, never whether it is right; the table has a fixed bound.
 Candidates come in two passes over the lists of signatures, and neither writes down all pairs of a list. Lists with the
 same members are one list. First every member of a list meets only one hub, the member with the fewest rare tokens.
 Links found there give components. Then, in lists that still hold several components, the members outside the largest
-one meet the others, block by block, and only pairs of different components whose parity bitmaps allow the threshold
-come out. Bitmaps bound the symmetric difference from below, so they lose nothing. What remains is verified word by
+one meet the others, and only pairs of different components come out. In longer lists, whose blocks are tasks of their
+own, these are only pairs whose parity bitmaps allow the threshold; pairs of short lists, which share most of them, are
+looked at once in the end. Bitmaps bound the symmetric difference from below, so they lose nothing. What remains is verified word by
 word on the whole texts; there a text meets all its partners at once. Equal sets are one set from the start.
 
 No key gathers a large share of the rows: signatures of tokens that many documents hold are counted by partial sums,
@@ -48,8 +49,8 @@ FREQUENT, COMMON_SHARE = 1 << 18, 0.01
 HOT_SHARE = 1e-3
 #: Mean tokens in a subclass of a set that is all of one class; sets smaller than this many tokens sign by single ones.
 SUBCLASS, SMALL = 8, 32
-#: Members in a block of a list; a text has a copy for so many partners.
-BLOCK, PARTNERS = 1000, 256
+#: Lists of more members are compared by blocks of so many; a text has a copy for so many partners.
+SHORT, BLOCK, PARTNERS = 16, 1000, 256
 #: Words of 64 bits: of the bitmap that is compared first, and at most of the one that is compared in a list.
 _FOLD_WORDS, _LIST_WORDS = 8, 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -192,7 +193,10 @@ def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _sign(rows: DataFrame, width: int, id_type: str, signer: Signer) -> DataFrame:
-    """Of each document its digest, size, share of rare tokens, bitmaps (whole, and cut to words), and signatures."""
+    """Of each document its digest, size, bitmaps (whole, and cut to words), and signatures.
+
+    code orders sets by their share of rare tokens and holds the size in its lower half.
+    """
     folded = [f"w{i}" for i in range(_FOLD_WORDS)]
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -202,35 +206,36 @@ def _sign(rows: DataFrame, width: int, id_type: str, signer: Signer) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            digests, sizes, rare, bits, words, wide, light, hot = [], [], [], [], [], [], [], []
+            digests, sizes, codes, bits, words, wide, light, hot = [], [], [], [], [], [], [], []
             for tokens in shingle_sets(batch.column("text"), width, hasher):
                 sizes.append(len(tokens))
                 digests.append((mix(tokens).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(tokens ^ _K[1])) if len(tokens) else np.uint64(0)))
                 few, *signs = signer(tokens) if len(tokens) else (0, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 own = parity(tokens)
-                rare.append(few / max(1, len(tokens)))
+                codes.append(int(few / max(1, len(tokens)) * (2**31 - 1)) << 32 | len(tokens))
                 bits.append(own.tobytes())
                 words.append(fold(own, _FOLD_WORDS * 8).view(np.int64))
-                wide.append(fold(own, _LIST_WORDS * 8).view(np.int64))
+                wide.append(fold(own, _LIST_WORDS * 8).view(np.int64) if len(own) > _FOLD_WORDS * 8 else np.zeros(0, np.int64))
                 light.append(_signed(signs[0]))
                 hot.append(_signed(signs[1]))
             d = _signed(np.array(digests, np.uint64).reshape(-1, 2))
             w = np.array(words, np.int64).reshape(-1, _FOLD_WORDS)
-            columns = [batch.column("doc_id"), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)), pa.array(sizes, pa.int32()), pa.array(rare, pa.float32()), pa.array(bits, pa.binary())]
+            columns = [batch.column("doc_id"), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)), pa.array(sizes, pa.int32()), pa.array(codes, pa.int64()), pa.array(bits, pa.binary())]
             columns += [*(pa.array(np.ascontiguousarray(w[:, i])) for i in range(_FOLD_WORDS)), lists(wide), lists(light), lists(hot)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n", "rare", "bits", *folded, "wide", "light", "hot"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n", "code", "bits", *folded, "wide", "light", "hot"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, rare float, bits binary, {', '.join(f'{w} long' for w in folded)}, wide array<long>, light array<long>, hot array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, code long, bits binary, {', '.join(f'{w} long' for w in folded)}, wide array<long>, light array<long>, hot array<long>")
 
 
 def _lists(sets: DataFrame) -> DataFrame:
-    """(l1, l2, set, hub, size) of lists of two sets and more; l1 and l2 name a list by its members."""
-    member = {"size": F.count(F.lit(1)), "hub": F.min(F.struct("rare", "set")), "l1": F.bit_xor(F.xxhash64("set")), "l2": F.bit_xor(F.xxhash64(F.lit(1), "set"))}
+    """(l1, l2, set, n, hub, hub_n, size) of lists of two sets and more; l1 and l2 name a list by its members."""
+    member = {"size": F.count(F.lit(1)), "hub": F.min(F.struct("code", "set")), "l1": F.bit_xor(F.xxhash64("set")), "l2": F.bit_xor(F.xxhash64(F.lit(1), "set"))}
     of_list = Window.partitionBy("sign")
-    light = sets.select(F.explode("light").alias("sign"), "set", "rare").select("*", *(c.over(of_list).alias(k) for k, c in member.items()))
-    hot = materialise(sets.select(F.explode("hot").alias("sign"), "set", "rare"), "jaccard-hot")
+    light = sets.select(F.explode("light").alias("sign"), "set", "code").select("*", *(c.over(of_list).alias(k) for k, c in member.items()))
+    hot = materialise(sets.select(F.explode("hot").alias("sign"), "set", "code"), "jaccard-hot")
     hot = join_hot(hot, hot.groupBy("sign").agg(*(c.alias(k) for k, c in member.items())).filter("size > 1"), ["sign"], ["set"])
-    of = ["l1", "l2", "set", F.col("hub.set").alias("hub"), "size"]
+    size_of = lambda code: F.col(code).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    of = ["l1", "l2", "set", size_of("code").alias("n"), F.col("hub.set").alias("hub"), size_of("hub.code").alias("hub_n"), "size"]
     return light.filter("size > 1").select(*of).unionByName(hot.select(*of)).distinct()
 
 
@@ -296,28 +301,35 @@ def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, perc
 def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, set) within a list, of different components, whose sizes and bitmaps allow a link."""
     of_list = ["l1", "l2"]
-    rest = lists.filter("size > 2").select(*of_list, "set").join(found.withColumnRenamed("node", "set"), "set", "left")
+    rest = lists.filter("size > 2").select(*of_list, "set", "n").join(found.withColumnRenamed("node", "set"), "set", "left")
     rest = materialise(rest.withColumn("component", F.coalesce("component", "set")), "jaccard-rest")
     each = rest.groupBy(*of_list, "component").agg(F.count(F.lit(1)).alias("here"))
     top = each.groupBy(*of_list).agg(F.max(F.struct("here", "component")).alias("top"), F.sum("here").alias("size")).filter("size > top.here")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    top = top.select(*of_list, F.col("top.component").alias("top"), blocks(F.col("size")).alias("xs"), blocks(F.col("size") - F.col("top.here")).alias("ys"))
+    top = top.select(*of_list, F.col("top.component").alias("top"), "size", blocks(F.col("size")).alias("xs"), blocks(F.col("size") - F.col("top.here")).alias("ys"))
+    rest = materialise(join_hot(rest, top, of_list, ["set"]), "jaccard-rest")
+    once = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("x.top")) | (F.col("x.set") < F.col("y.set"))) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
+    found_pair = [F.col("y.set").alias("hub"), F.col("x.set").alias("set")]
+    brief = rest.filter(F.col("size") <= SHORT).select(*of_list, "set", "n", "component", "top")
+    same_list = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in of_list]
+    short = brief.alias("x").join(brief.filter("component != top").alias("y"), [*same_list, once]).select(*found_pair)
+
     folded = [f"w{i}" for i in range(_FOLD_WORDS)]
-    rest = materialise(join_hot(rest, top, of_list, ["set"]).join(sets.select("set", "n", "wide", *folded), "set"), "jaccard-rest")
+    rest = rest.filter(F.col("size") > SHORT).join(sets.select("set", "wide", *folded), "set")
     block, all_of = (lambda k: F.pmod(F.xxhash64("set"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
     x = rest.withColumn("x", block("xs")).withColumn("y", all_of("ys")).alias("x")
     y = rest.filter("component != top").withColumn("y", block("ys")).withColumn("x", all_of("xs")).alias("y")
     keys = [*of_list, "x", "y"]
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    once = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("x.top")) | (F.col("x.set") < F.col("y.set")))
     within = lambda differ: differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     few = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in folded), F.lit(0))
     least = F.least(F.size("x.wide"), F.size("y.wide"))
-    # bitmaps of sets of similar size are of one length, or one is twice as long (others pass)
+    # bitmaps of sets of similar size are of one length, or one is twice as long; sets of up to 512 tokens have none
     cut = lambda v: F.when(F.size(v) > least, F.zip_with(F.slice(v, F.lit(1), least), F.slice(v, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(v))
     many = F.aggregate(F.zip_with(cut("x.wide"), cut("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
-    allowed = _similar_sizes(F.col("x.n"), F.col("y.n"), percent) & within(few) & F.when(F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * least, within(many)).otherwise(True)
-    return x.join(y, [*on, once, allowed]).select(F.col("y.set").alias("hub"), F.col("x.set").alias("set")).distinct()
+    comparable = (least > 0) & (F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * least)
+    allowed = within(few) & F.when(comparable, within(many)).otherwise(True)
+    return x.join(y, [*on, once, allowed]).select(*found_pair).unionByName(short).distinct()
 
 
 def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,7 +356,7 @@ def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     sets = materialise(signed, "jaccard-sets")
     lists = materialise(_lists(sets), "jaccard-lists")
 
-    first = materialise(lists.filter("set != hub").select("hub", "set").distinct(), "jaccard-first")
+    first = materialise(lists.filter((F.col("set") != F.col("hub")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent)).select("hub", "set").distinct(), "jaccard-first")
     links = materialise(_linked(first, sets, rows, width, percent, id_type), "jaccard-links")
     found = connected_components(links, "hub", "set")
 
