@@ -13,6 +13,8 @@ the matches themselves alternate, so running sums of their lengths, as code poin
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,24 @@ VENDOR = r"gh[pousr]_[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-
 MIXED = r"[A-Za-z0-9+/_-]{28,}"
 KINDS = [("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("vendor", VENDOR, 0), ("mixed", MIXED, 0)]
 BASE = ("assign", "access", "hex")
+#: Strings one of which each vendor token holds, and a run that each hex and mixed one is.
+VENDOR_MARKS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "xox", "AIza")
+LONG_RUN = r"[A-Za-z0-9+/_-]{24,}"
 LEAST_ASSIGNED = 6
 MAX_OWNERS = 3
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    """False for texts without a match of the kind, by a test that costs less than its pattern."""
+    if kind == "assign":
+        return F.lit(True)
+    if kind == "access":
+        return text.contains("AKIA")
+    if kind == "vendor":
+        return functools.reduce(lambda a, b: a | b, (text.contains(m) for m in VENDOR_MARKS))
+    return text.rlike(LONG_RUN)
+
+
 def _matches(text: Column, order: int, kind: str, pattern: str, group: int) -> Column:
     """Each match as (order, kind, place in this kind, code points since the last match, its length, the secret).
 
@@ -44,7 +60,7 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int) -> C
     that is too short has no other match inside. An assignment that is too short is dropped later: it still uses up
     what it matched.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.when(_may_hold(text, kind), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("hit"))
     one = lambda x, i: F.struct(
         F.lit(order).alias("order"), F.lit(kind).alias("kind"), i.alias("place"), F.length(x["piece"]).cast("long").alias("gap"), F.length(x["hit"]).cast("long").alias("len"),
@@ -119,7 +135,8 @@ def mask_live(documents: DataFrame, **options) -> DataFrame:
     masked = F.regexp_replace(_covered(F.col("d.row.text"), F.col("f.spans")), ASSIGN.replace("]+)", f"]{{{LEAST_ASSIGNED},}})"), "$1=[SECRET]")
     masked = F.regexp_replace(F.regexp_replace(masked, ACCESS, "[SECRET]"), HEX, "[SECRET]")
     # most texts hold no candidate at all: they pass by, and only the others meet the flagged ones
-    suspect = F.coalesce(F.col("text").rlike("|".join(pattern for _, pattern, _ in KINDS)), F.lit(False))
+    text = F.col("text")
+    suspect = F.coalesce(text.rlike(LONG_RUN) | _may_hold(text, "access") | _may_hold(text, "vendor") | text.rlike(ASSIGN), F.lit(False))
     some = documents.filter(suspect).select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
     hit = F.col("f.text_hash").isNotNull()
