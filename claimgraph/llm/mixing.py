@@ -26,6 +26,8 @@ MOST = 3
 #: Size classes are this far apart, as a ratio.
 CLASS_RATIO = 1.1
 STEPS, TOLERANCE = 60, 1e-9
+#: Steps between two writes of the multipliers.
+AT_ONCE = 3
 ROWS_A_PIECE = 50_000_000
 
 
@@ -53,6 +55,23 @@ def source_targets(sizes: DataFrame, weights: list[int], most: float) -> DataFra
     return each.select("_source", "source_size", target.cast("double").alias("target"))
 
 
+def _stepped(state: DataFrame, histogram: DataFrame, most: float) -> DataFrame:
+    """state after one Newton step, or a halving where the step leaves the bracket, for all sources that aren't done."""
+    x = F.col("size") / F.col("mean_size")
+    rate = F.least(F.lit(float(most)), F.exp(F.least(F.col("lambda") * x, F.lit(50.0))))
+    sums = histogram.join(state.filter(~F.col("done")).select("_source", "lambda", "mean_size"), "_source").groupBy("_source").agg(
+        F.sum(F.col("n") * rate * F.col("size")).alias("given"), F.sum(F.when(rate < most, F.col("n") * rate * F.col("size") * x).otherwise(0.0)).alias("slope")
+    )
+    gap = F.col("given") - F.col("target")
+    over = gap > 0
+    low, high = F.when(over, F.col("low")).otherwise(F.col("lambda")), F.when(over, F.col("lambda")).otherwise(F.col("high"))
+    newton = F.col("lambda") - gap / F.col("slope")
+    step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+    still = F.col("given").isNull() | (F.abs(gap) <= TOLERANCE * F.col("target"))
+    keep = lambda c, new: F.when(still, F.col(c)).otherwise(new).alias(c)
+    return state.join(sums, "_source", "left").select("_source", "source_size", "target", "mean_size", "least", keep("lambda", step), keep("low", low), keep("high", high), (F.col("done") | still).alias("done"))
+
+
 def solve_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """targets with lambda and mean_size: the multipliers for which rates of min(most, exp(lambda x)) meet them."""
     histogram = materialise(sizes.filter("size > 0").groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
@@ -62,25 +81,10 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         "*", F.lit(0.0).alias("lambda"), (F.lit(-60.0) / smallest).alias("low"), (F.lit(math.log(most) + 1e-6) / smallest).alias("high"), F.lit(False).alias("done")
     )
     state = materialise(state, "mix-state")
-    for _ in range(STEPS):
-        x = F.col("size") / F.col("mean_size")
-        rate = F.least(F.lit(float(most)), F.exp(F.least(F.col("lambda") * x, F.lit(50.0))))
-        sums = histogram.join(state.filter(~F.col("done")).select("_source", "lambda", "mean_size"), "_source").groupBy("_source").agg(
-            F.sum(F.col("n") * rate * F.col("size")).alias("given"), F.sum(F.when(rate < most, F.col("n") * rate * F.col("size") * x).otherwise(0.0)).alias("slope")
-        )
-        gap = F.col("given") - F.col("target")
-        over = gap > 0
-        low, high = F.when(over, F.col("low")).otherwise(F.col("lambda")), F.when(over, F.col("lambda")).otherwise(F.col("high"))
-        newton = F.col("lambda") - gap / F.col("slope")
-        step = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        near = F.abs(gap) <= TOLERANCE * F.col("target")
-        idle = F.col("given").isNull()
-        state = materialise(
-            state.join(sums, "_source", "left").select(
-                "_source", "source_size", "target", "mean_size", "least", F.when(idle | near, F.col("lambda")).otherwise(step).alias("lambda"), F.when(idle | near, F.col("low")).otherwise(low).alias("low"), F.when(idle | near, F.col("high")).otherwise(high).alias("high"), (F.col("done") | idle | near).alias("done")
-            ),
-            "mix-state",
-        )
+    for _ in range(-(-STEPS // AT_ONCE)):
+        for _ in range(AT_ONCE):
+            state = _stepped(state, histogram, most)
+        state = materialise(state, "mix-state")
         if state.filter(~F.col("done")).isEmpty():
             break
     return state.select("_source", "source_size", "target", "mean_size", F.round("lambda", 9).alias("lambda"))
