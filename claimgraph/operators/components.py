@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise
+from claimgraph.functions.storage import materialise, release
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", *, max_rounds: int = 60) -> DataFrame:
@@ -18,14 +18,16 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", *, ma
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     live = materialise(both, "components-edges")
-    of = live.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    live = live.filter("a != b")
+    of = materialise(live.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "components-nodes")
     for _ in range(max_rounds):
-        if live.isEmpty():
+        ends = live.filter("a != b")
+        if ends.isEmpty():
             return of
-        down = materialise(live.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "components-pointers")
-        of = of.join(down.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        of = materialise(of, "components-nodes")
-        moved = live.join(down.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(down.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        live = materialise(moved.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "components-edges")
+        down = materialise(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "components-pointers")
+        now = of.join(down.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        now = materialise(now, "components-nodes")
+        moved = ends.join(down.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(down.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        moved = materialise(moved.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "components-edges")
+        release(live, of, down)
+        live, of = moved, now
     raise RuntimeError(f"components have not settled in {max_rounds} rounds")
