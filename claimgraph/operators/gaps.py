@@ -40,15 +40,17 @@ def weak_relations(edges: DataFrame, *, below: float = 0.6, limit: int = 100) ->
 def contradictions(edges: DataFrame, incompatible: DataFrame) -> DataFrame:
     """K4: pairs of edges between the same two nodes whose relations exclude each other.
 
-    incompatible (left, right, direction): same, reversed or both. Each unordered pair of edges appears once.
+    incompatible (left, right, direction): same, reversed or both. Each unordered pair of edges appears once. Only the
+    least confidence of each directed relation counts, so edges are summed up before any two meet.
     """
-    keyed = edges.select("source", "target", "relation_type", "confidence", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    sure = F.min(F.coalesce("confidence", F.lit(1.0))).alias("c")
+    keyed = edges.groupBy("source", "target", "relation_type").agg(sure).withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")})
     x, y = keyed.alias("x"), keyed.alias("y")
     same = F.col("x.source") == F.col("y.source")
     pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.relation_type") < F.col("y.relation_type")))
-    pairs = pairs.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.relation_type").alias("first"), F.col("y.relation_type").alias("second"), F.when(same, "same").otherwise("reversed").alias("direction"), F.least(F.coalesce("x.confidence", F.lit(1.0)), F.coalesce("y.confidence", F.lit(1.0))).alias("c"))
+    pairs = pairs.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.relation_type").alias("first"), F.col("y.relation_type").alias("second"), F.when(same, "same").otherwise("reversed").alias("direction"), F.least("x.c", "y.c").alias("c"))
     rules = incompatible.select(F.least("left", "right").alias("first"), F.greatest("left", "right").alias("second"), F.col("direction").alias("_d")).distinct()
-    hit = pairs.join(F.broadcast(rules), ["first", "second"]).filter((F.col("_d") == "both") | (F.col("_d") == F.col("direction")))
+    hit = pairs.join(rules, ["first", "second"]).filter((F.col("_d") == "both") | (F.col("_d") == F.col("direction")))
     return hit.groupBy("a", "b", "first", "second", "direction").agg(F.round(0.9 + 0.1 * F.min("c"), 4).alias("priority"))
 
 
@@ -100,9 +102,24 @@ def same_gaps(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select((F.col("now_n") == F.col("before_n")).alias("same_size"), ((F.col("now_n") == F.col("before_n")) & (F.col("now_h") == F.col("before_h"))).alias("converged"))
 
 
-def targets(gaps: DataFrame, concepts: DataFrame, *, limit: int = 20) -> DataFrame:
-    """K9: concepts to look at next: those of gaps by priority, then others by degree (id, degree)."""
-    first = gaps.select(F.col("key").alias("id"), F.lit(0).alias("stage"), (-F.col("priority")).alias("rank"))
-    then = concepts.select(F.col("id").cast("string").alias("id"), F.lit(1).alias("stage"), F.col("degree").cast("double").alias("rank"))
-    best = first.unionByName(then).groupBy("id").agg(F.min(F.struct("stage", "rank")).alias("o"))
+#: K9: gaps that a kind of cycle looks at, and what tops them up.
+MODES = {"divergent": (["isolated"], "degree"), "debate": (["unstable", "contradiction"], "weight"), "meta": (["bridge"], "recent")}
+
+
+def targets(gaps: DataFrame, mode: str, *, degrees: DataFrame | None = None, edges: DataFrame | None = None, recent: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """K9: concepts to look at next: those of gaps (gap_type, id, priority) of the mode by priority, then others.
+
+    divergent tops up by degrees (id, degree) below ten, the least connected first; debate by the ends of edges (source,
+    target, weight) of a weight below 0.7, the weakest first; meta by recent (id, at), the latest first. Ties by id.
+    """
+    kinds, then = MODES[mode]
+    first = gaps.filter(F.col("gap_type").isin(kinds)).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("stage"), (-F.col("priority")).cast("double").alias("rank"))
+    if then == "degree":
+        more = degrees.filter("degree < 10").select("id", F.col("degree").alias("rank"))
+    elif then == "weight":
+        more = edges.filter("weight < 0.7").select(F.explode(F.array("source", "target")).alias("id"), F.col("weight").alias("rank"))
+    else:
+        more = recent.select("id", (-F.unix_micros(F.col("at").cast("timestamp"))).alias("rank"))
+    more = more.select(F.col("id").cast("string").alias("id"), F.lit(1).alias("stage"), F.col("rank").cast("double").alias("rank"))
+    best = first.unionByName(more).groupBy("id").agg(F.min(F.struct("stage", "rank")).alias("o"))
     return best.orderBy("o", "id").limit(limit).select("id", F.col("o.stage").alias("stage"))

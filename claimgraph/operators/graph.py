@@ -32,9 +32,9 @@ def neighbours_of(edges: DataFrame, sources: DataFrame, *, k: int = 20, least_we
 
 
 def search(concepts: DataFrame, edges: DataFrame, pattern: str, *, k: int = 20) -> DataFrame:
-    """Concepts whose name is like the pattern, best connected first."""
+    """Concepts (id, name, rho) whose name is like the pattern, best connected first, then by rho."""
     found = concepts.filter(F.col("name").like(pattern)).join(degrees(edges), F.col("id") == F.col("node"), "left")
-    return found.select("id", "name", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "id").limit(k)
+    return found.select("id", "name", F.coalesce("degree", F.lit(0)).alias("degree"), "rho").orderBy(F.desc("degree"), F.desc("rho"), "id").limit(k)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -62,6 +62,12 @@ def curvature(edges: DataFrame, *, alpha: float = 0.5, of: DataFrame | None = No
     return rows.select("source", "target", F.round(ollivier, 6).alias("ollivier"), F.round(jaccard, 6).alias("jaccard"), F.round(alpha * (F.tanh(ollivier) + 1) / 2 + (1 - alpha) * jaccard, 6).alias("hybrid"))
 
 
+def curvature_history(history: DataFrame, edges: DataFrame, touched: DataFrame, at: str) -> DataFrame:
+    """History (source, target, hybrid, at) and the curvature, as of now, of all edges that touched ones make dirty."""
+    now = curvature(edges, of=dirty_edges(edges, touched)).select("source", "target", "hybrid", F.lit(at).cast("timestamp").alias("at"))
+    return history.select("source", "target", "hybrid", "at").unionByName(now)
+
+
 def dirty_edges(edges: DataFrame, touched: DataFrame) -> DataFrame:
     """Edges (source, target) that share an end with a touched one and so need their curvature again."""
     ends = incident(touched.select("source", "target")).select("node").distinct()
@@ -69,79 +75,197 @@ def dirty_edges(edges: DataFrame, touched: DataFrame) -> DataFrame:
 
 
 def valid_deltas(deltas: DataFrame) -> DataFrame:
-    """(…, valid): known operation, ends where an edge needs them, no self-loop, a weight in [0, 1] for edges."""
+    """(…, valid): known operation, ends where an edge needs them, no self-loop, a weight in [0, 1] for edges.
+
+    A confidence, where there is such a column, must lie in [0, 1].
+    """
     edge = F.col("operation").isin("add_edge", "update_edge", "delete_edge")
     ends = F.col("source").isNotNull() & (~edge | (F.col("target").isNotNull() & (F.col("source") != F.col("target"))))
     weight = ~F.col("operation").isin("add_edge", "update_edge") | F.coalesce((F.col("weight") >= 0) & (F.col("weight") <= 1), F.lit(False))
-    return deltas.withColumn("valid", (edge | (F.col("operation").isin("add_node", "delete_node"))) & ends & weight)
+    sure = F.coalesce(F.col("confidence").between(0, 1), F.lit(False)) if "confidence" in deltas.columns else F.lit(True)
+    return deltas.withColumn("valid", (edge | (F.col("operation").isin("add_node", "delete_node"))) & ends & weight & sure)
 
 
-def apply_deltas(edges: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Edges (source, target, weight) after the last valid change of each: all or nothing, in one full join."""
-    changes = valid_deltas(deltas).filter(F.col("valid") & F.col("operation").isin("add_edge", "update_edge", "delete_edge"))
-    last = changes.groupBy("source", "target").agg(F.max_by(F.struct("operation", "weight"), F.struct("ts", "id")).alias("d"), F.bool_or(F.col("operation") == "add_edge").alias("added"))
-    both = edges.select("source", "target", F.col("weight").alias("old")).join(last, ["source", "target"], "full")
-    there = F.col("old").isNotNull() | F.coalesce("added", F.lit(False))
-    weight = F.when(F.col("d").isNull(), F.col("old")).when(F.col("d.operation") == "delete_edge", None).when(there, F.col("d.weight"))
-    return both.select("source", "target", weight.alias("weight")).filter("weight is not null")
+def batch_allowed(deltas: DataFrame, nodes: DataFrame, edges: DataFrame, share: float = 0.05) -> DataFrame:
+    """Per session, whether a batch is at most this share of the graph's nodes and edges, one at least."""
+    n, e = nodes.agg(F.count(F.lit(1)).alias("_n")), edges.agg(F.count(F.lit(1)).alias("_e"))
+    most = F.greatest(F.lit(1), F.floor((F.col("_n") + F.col("_e")) * share))
+    return deltas.groupBy("session").agg(F.count(F.lit(1)).alias("changes")).crossJoin(n).crossJoin(e).select("session", "changes", (F.col("changes") <= most).alias("allowed"))
 
 
-def batch_allowed(deltas: DataFrame, nodes: int, edges: int, share: float = 0.05) -> DataFrame:
-    """Per session, whether a batch is at most this share of the graph's nodes and edges, one at least."""
-    most = max(1.0, share * (nodes + edges))
-    return deltas.groupBy("session").agg(F.count(F.lit(1)).alias("changes")).withColumn("allowed", F.col("changes") <= most)
+def accepted_deltas(deltas: DataFrame, nodes: DataFrame, edges: DataFrame, share: float = 0.05) -> DataFrame:
+    """The valid changes of the batches that are small enough."""
+    small = batch_allowed(deltas, nodes, edges, share).filter("allowed").select("session")
+    return valid_deltas(deltas).filter("valid").drop("valid").join(small, "session", "left_semi")
 
 
-def upsert_edges(current: DataFrame, new: DataFrame, policy: str = "average") -> DataFrame:
-    """Edges after new rows (source, target, weight, ord): a running average in order, the largest, or the last."""
-    arrived = new.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("ord", "weight"))).alias("_new"))
-    both = current.select("source", "target", F.col("weight").alias("_old")).join(arrived, ["source", "target"], "full").withColumn("_new", F.transform(F.coalesce("_new", F.array().cast(arrived.schema["_new"].dataType)), lambda x: x["weight"]))
-    old = F.col("_old")
-    folded = {
-        "average": F.aggregate("_new", old, lambda w, x: F.when(w.isNull(), x).otherwise((w + x) / 2)),
-        "max": F.greatest(old, F.array_max("_new")),
-        "replace": F.coalesce(F.try_element_at("_new", F.lit(-1)), old),
-    }[policy]
-    return both.select("source", "target", F.round(folded, 6).alias("weight"), F.size("_new").alias("extractions"))
+def _at(operations: list[str], *more: str) -> Column:
+    """The (ts, id, …) of rows of these operations."""
+    return F.when(F.col("operation").isin(operations), F.struct("ts", "id", *more))
 
 
-def roll_back(edges: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Edges after deltas (source, target, operation, old_weight, ts, id) are undone, newest first.
+def _order(c: str) -> Column:
+    return F.struct(F.col(f"{c}.ts"), F.col(f"{c}.id"))
+
 
-    A fold over each edge's own undone deltas: an add is deleted, a delete restored, an update set back if the edge is
-    there. Deltas of one edge are gathered; those are the ones of the undone session, not of the table.
+def apply_deltas(edges: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Edges (source, target, weight) after changes (operation, source, target, weight, ts, id) in order.
+
+    An edge is there if the last thing that made or ended it made it: its own addition or deletion, or the deletion of
+    an end, which takes the edges of that node along. Its weight is that of the last addition or update since then; an
+    update of an edge that isn't there does nothing. Only the last change of each kind is kept of an edge, by partial
+    maxima, so an edge with very many changes isn't gathered. Invalid changes are left out.
     """
-    undone = deltas.groupBy("source", "target").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ts", "id", "operation", "old_weight")))).alias("_undo"))
-    both = edges.select("source", "target", F.col("weight").alias("_w")).join(undone, ["source", "target"], "full")
-    step = lambda w, d: F.when(d["operation"] == "add_edge", None).when(d["operation"] == "delete_edge", F.coalesce(d["old_weight"], F.lit(0.5))).when((d["operation"] == "update_edge") & w.isNotNull(), d["old_weight"]).otherwise(w)
-    weight = F.when(F.col("_undo").isNull(), F.col("_w")).otherwise(F.aggregate("_undo", F.col("_w"), step))
+    good = valid_deltas(deltas).filter("valid")
+    of_edge = good.filter(F.col("operation").isin("add_edge", "update_edge", "delete_edge")).groupBy("source", "target").agg(
+        F.max(_at(["add_edge"])).alias("_add"), F.max(_at(["delete_edge"])).alias("_end"), F.max(_at(["add_edge", "update_edge"], "weight")).alias("_set")
+    )
+    gone = good.filter("operation = 'delete_node'").groupBy("source").agg(F.max(F.struct("ts", "id")).alias("_gone"))
+    both = edges.select("source", "target", F.col("weight").alias("_old")).join(of_edge, ["source", "target"], "full")
+    both = both.join(gone.withColumnRenamed("_gone", "_a"), "source", "left").join(gone.select(F.col("source").alias("target"), F.col("_gone").alias("_b")), "target", "left")
+    end = F.greatest("_end", "_a", "_b")
+    there = F.when(end.isNull(), F.col("_add").isNotNull() | F.col("_old").isNotNull()).otherwise(F.coalesce(F.col("_add") > end, F.lit(False)))
+    since = F.col("_set").isNotNull() & (end.isNull() | (_order("_set") > end))
+    weight = F.when(there, F.when(since, F.col("_set.weight")).otherwise(F.col("_old")))
     return both.select("source", "target", weight.alias("weight")).filter("weight is not null")
 
 
-def mutation_stats(deltas: DataFrame) -> DataFrame:
-    """Changes by operation: how many, how many sessions, mean weight, first and last."""
-    return deltas.groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"), F.round(F.avg("weight"), 4).alias("avg_weight"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+def apply_node_deltas(nodes: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Nodes (id) after changes: those added last, and those there before that no change deleted."""
+    last = valid_deltas(deltas).filter(F.col("valid") & F.col("operation").isin("add_node", "delete_node")).groupBy(F.col("source").alias("id")).agg(F.max_by("operation", F.struct("ts", "id")).alias("_last"))
+    rows = nodes.select("id", F.lit(True).alias("_there")).join(last, "id", "full")
+    return rows.filter(F.coalesce(F.col("_last") == "add_node", F.col("_there"))).select("id")
+
+
+def upsert_edges(current: DataFrame, new: DataFrame, policy: str = "average") -> DataFrame:
+    """Edges after rows (source, target, weight, ord) and what of confidence, kappa, relation_type both tables have.
+
+    "average" folds weights in order, each time to the mean of what was and what comes, "max" keeps the largest,
+    "replace" the last. Confidence is folded like an average, kappa is the last, the type is the first and stays. The
+    fold is a sum in which each row counts half as much as the next one: no edge's rows are gathered in an array.
+    """
+    newest = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("ord")))
+    extra = [c for c in ("confidence", "kappa", "relation_type") if c in new.columns and c in current.columns]
+    rows = new.withColumn("_r", newest).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("source", "target")))
+    oldest = F.col("_r") == F.col("_n")
+    folds = [c for c in ("weight", "confidence") if c == "weight" or c in extra]
+    half = lambda c: F.sum(F.col(c) * F.pow(F.lit(0.5), F.col("_r")))
+    sums = rows.groupBy("source", "target").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("weight").alias("_max"), *[x for c in folds for x in (half(c).alias(f"_half_{c}"), F.max(F.when(oldest, F.col(c))).alias(f"_first_{c}"))],
+        F.max(F.when(F.col("_r") == 1, F.col("weight"))).alias("_last"), *([F.max(F.when(F.col("_r") == 1, F.col("kappa"))).alias("_kappa")] if "kappa" in extra else []),
+        *([F.max(F.when(oldest, F.col("relation_type"))).alias("_type")] if "relation_type" in extra else []),
+    )
+    both = current.select("source", "target", F.col("weight").alias("_old"), *[F.col(c).alias(f"_old_{c}") for c in extra]).join(sums, ["source", "target"], "full")
+
+    def average(c: str, old: str) -> Column:
+        # without an old value the first row stands for it: it counts twice its half
+        start = F.coalesce(F.col(old), F.col(f"_first_{c}")) * F.pow(F.lit(0.5), F.col("_n"))
+        return F.when(F.col("_n").isNull(), F.col(old)).otherwise(F.col(f"_half_{c}") + start)
+
+    weight = {"average": average("weight", "_old"), "max": F.greatest("_old", "_max"), "replace": F.coalesce("_last", "_old")}[policy]
+    more = {"confidence": F.round(average("confidence", "_old_confidence"), 6) if "confidence" in extra else None, "kappa": F.coalesce("_kappa", "_old_kappa") if "kappa" in extra else None, "relation_type": F.coalesce("_old_relation_type", "_type") if "relation_type" in extra else None}
+    return both.select("source", "target", F.round(weight, 6).alias("weight"), *[more[c].alias(c) for c in extra], F.coalesce("_n", F.lit(0)).alias("extractions"))
+
+
+def to_undo(deltas: DataFrame, session: Column, *, since: str | None = None, ids: list[int] | None = None) -> DataFrame:
+    """Deltas of the sessions for which ``session`` holds that aren't rolled back yet: all, those since a time, or by id."""
+    rows = deltas.filter(session & F.col("rolled_back_at").isNull())
+    if ids is not None:
+        return rows.filter(F.col("id").isin(ids))
+    return rows if since is None else rows.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
 
 
-def inject_triples(triples: DataFrame, existing: DataFrame) -> DataFrame:
-    """G11 of (key, source, target, relation_type, weight): what happens to each: injected, or why it is skipped."""
-    once = F.row_number().over(Window.partitionBy("source", "target", "relation_type").orderBy("key"))
+def roll_back(edges: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Edges (source, target, weight, kappa) after deltas (…, old_weight, old_kappa, ts, id) are undone, newest first.
+
+    An undone addition deletes the edge, an undone deletion restores it, an undone update sets it back if it is there,
+    and an undone addition of a node takes its edges along. What was done first is undone last, so the oldest delta of
+    each kind decides, by partial minima; deltas of other sessions in between don't matter. An edge whose old weight is
+    unknown isn't restored; an unknown old kappa is one half.
+    """
+    old = F.struct("ts", "id", "old_weight", "old_kappa")
+    known = F.col("old_weight").isNotNull()
+    undone = deltas.filter(F.col("operation").isin("add_edge", "delete_edge", "update_edge")).groupBy("source", "target").agg(
+        F.min(F.when((F.col("operation") == "add_edge") | ((F.col("operation") == "delete_edge") & known), F.struct("ts", "id", "operation", "old_weight", "old_kappa"))).alias("_made"),
+        F.min(F.when((F.col("operation") == "update_edge") & known, old)).alias("_set"),
+    )
+    gone = deltas.filter("operation = 'add_node'").groupBy("source").agg(F.min(F.struct("ts", "id")).alias("_gone"))
+    both = edges.select("source", "target", F.col("weight").alias("_w"), F.col("kappa").alias("_k")).join(undone, ["source", "target"], "full")
+    both = both.join(gone.withColumnRenamed("_gone", "_a"), "source", "left").join(gone.select(F.col("source").alias("target"), F.col("_gone").alias("_b")), "target", "left")
+    node, made, put = F.least("_a", "_b"), _order("_made"), _order("_set")
+    made = F.when(F.col("_made").isNotNull(), made)
+    put = F.when(F.col("_set").isNotNull(), put)
+    last = F.least(node, made)
+    restored = F.coalesce((made == last) & (F.col("_made.operation") == "delete_edge"), F.lit(False))
+    there = F.when(last.isNull(), F.col("_w").isNotNull()).otherwise(restored)
+    set_back = put.isNotNull() & (last.isNull() | (put < last))
+    value = lambda field, now, none: F.when(set_back, F.coalesce(F.col(f"_set.{field}"), none)).when(restored, F.coalesce(F.col(f"_made.{field}"), none)).otherwise(F.col(now))
+    rows = both.select("source", "target", there.alias("_there"), value("old_weight", "_w", F.lit(None)).alias("weight"), value("old_kappa", "_k", F.lit(0.5)).alias("kappa"))
+    return rows.filter("_there").drop("_there")
+
+
+def delta_history(deltas: DataFrame, *, session: int | None = None, rolled_back: bool = False, k: int = 100) -> DataFrame:
+    """The k newest changes, of a session or of all, without those rolled back unless they are asked for."""
+    rows = deltas if session is None else deltas.filter(F.col("session") == session)
+    rows = rows if rolled_back else rows.filter(F.col("rolled_back_at").isNull())
+    return rows.orderBy(F.desc("ts"), F.desc("id")).limit(k)
+
+
+def mutation_stats(deltas: DataFrame, as_of: str) -> DataFrame:
+    """(kind, name, n, rolled_back, avg_confidence): by operation, by model of what stays, and of the last day."""
+    kept = F.col("rolled_back_at").isNull()
+    of = lambda rows, kind, name: rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~kept).alias("rolled_back"), F.round(F.avg("confidence"), 4).alias("avg_confidence")).select(F.lit(kind).alias("kind"), "*")
+    day = F.lit(as_of).cast("timestamp") - F.expr("interval 1 day")
+    parts = [of(deltas, "operation", F.col("operation")), of(deltas.filter(kept), "model", F.col("model_source")), of(deltas.filter(kept & (F.col("ts") > day)), "last_day", F.lit("all"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def inject_triples(triples: DataFrame, existing: DataFrame, names: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """G11 of (key, source, target, relation_type, weight): what happens to each: injected, or why it is skipped.
+
+    names (name, concept) are resolved names: an end that they don't hold is unresolved. relations (relation,
+    canonical) replace types; one that they don't hold stays. A repeated key, or a repeated edge, counts once.
+    """
+    rows = triples
+    if names is not None:
+        of = names.filter("concept is not null").groupBy("name").agg(F.min("concept").alias("_c"))
+        for end in ("source", "target"):
+            rows = rows.join(of.withColumnRenamed("name", end), end, "left").drop(end).withColumnRenamed("_c", end)
+    if relations is not None:
+        of = relations.groupBy(F.col("relation").alias("relation_type")).agg(F.min("canonical").alias("_c"))
+        rows = rows.join(of, "relation_type", "left").withColumn("relation_type", F.coalesce("_c", "relation_type")).drop("_c")
+    first = F.row_number().over(Window.partitionBy("source", "target", "relation_type").orderBy("key"))
     there = existing.select("source", "target", "relation_type").distinct().withColumn("_there", F.lit(True))
-    rows = triples.withColumn("_place", once).join(there, ["source", "target", "relation_type"], "left")
+    rows = rows.withColumn("_place", first).join(there, ["source", "target", "relation_type"], "left")
     reason = F.when(F.col("source").isNull() | F.col("target").isNull(), "unresolved").when(F.col("source") == F.col("target"), "self_loop").when(F.col("_place") > 1, "duplicate").when(F.col("_there"), "exists").otherwise("injected")
     return rows.withColumn("outcome", reason).drop("_place", "_there")
 
 
-def coverage(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Density, mean confidence, diversity of degrees, isolated share, clustering and the composite."""
+def injected_edges(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Edges (source, target, weight) with what inject_triples injects: the larger weight where an edge is there."""
+    new = outcomes.filter("outcome = 'injected'").select("source", "target", "weight", F.col("key").alias("ord"))
+    return upsert_edges(edges, new, "max").select("source", "target", "weight")
+
+
+def coverage(concepts: DataFrame, edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Density, mean confidence, diversity, isolated share, clustering and the composite.
+
+    Diversity is the entropy over types (node, kind), such as G20 gives, or without them over nodes with at least ten
+    edges, at most two, and the others.
+    """
     nodes = concepts.select(F.col("id").alias("node")).join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("degree") == 0).alias("isolated"), F.count_if(F.col("degree") >= 10).alias("_hub"), F.count_if(F.col("degree") <= 2).alias("_leaf"))
     e = edges.agg(F.count(F.lit(1)).alias("edges"), F.avg("confidence").alias("_conf"))
     c = clustering(edges).agg(F.avg("coefficient").alias("_clustering"))
     rows = n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(c))
-    kinds = [F.col("_hub"), F.col("_leaf"), F.col("nodes") - F.col("_hub") - F.col("_leaf")]
-    used = sum((F.when(k > 0, 1).otherwise(0) for k in kinds), F.lit(0))
-    entropy = sum((F.when(k > 0, -(k / F.col("nodes")) * F.ln(k / F.col("nodes"))).otherwise(0.0) for k in kinds), F.lit(0.0))
+    if types is None:
+        kinds = [F.col("_hub"), F.col("_leaf"), F.col("nodes") - F.col("_hub") - F.col("_leaf")]
+        used = sum((F.when(k > 0, 1).otherwise(0) for k in kinds), F.lit(0))
+        entropy = sum((F.when(k > 0, -(k / F.col("nodes")) * F.ln(k / F.col("nodes"))).otherwise(0.0) for k in kinds), F.lit(0.0))
+    else:
+        each = types.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.crossJoin(F.broadcast(each.agg(F.count(F.lit(1)).alias("_used"), F.sum("n").alias("_all"), F.sum(F.col("n") * F.ln("n")).alias("_nln"))))
+        used, entropy = F.col("_used"), F.ln("_all") - F.col("_nln") / F.col("_all")
     density = F.when(F.col("nodes") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))))
     diversity = F.when(used > 1, entropy / F.ln(used)).otherwise(0.0)
     stability = F.coalesce("_clustering", F.lit(0.0))
@@ -213,10 +337,10 @@ def cochain_stats(cochains: DataFrame) -> DataFrame:
     return cochains.groupBy("kind", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("centrality"), 4).alias("avg_centrality"), F.round(F.avg("stability"), 4).alias("avg_stability"))
 
 
-def population(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Concepts, those with edges and their mean degree, by origin."""
-    rows = concepts.join(degrees(edges), F.col("id") == F.col("node"), "left")
-    return rows.groupBy("origin").agg(F.count(F.lit(1)).alias("concepts"), F.count("degree").alias("connected"), F.round(F.avg(F.coalesce("degree", F.lit(0))), 4).alias("avg_degree"))
+def population(concepts: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Concepts, those with edges, their mean degree and those with a vector (id), by origin."""
+    rows = concepts.join(degrees(edges), F.col("id") == F.col("node"), "left").join(vectors.select("id").distinct().withColumn("_v", F.lit(1)), "id", "left")
+    return rows.groupBy("origin").agg(F.count(F.lit(1)).alias("concepts"), F.count("degree").alias("connected"), F.round(F.avg(F.coalesce("degree", F.lit(0))), 4).alias("avg_degree"), F.count("_v").alias("with_vector"))
 
 
 def relation_stats(edges: DataFrame) -> DataFrame:
@@ -230,3 +354,8 @@ def seed_edges(seeds: DataFrame, existing: DataFrame, symmetric: list[str]) -> D
     both = seeds.select("source", "target", "relation_type", "weight").unionByName(back)
     new = both.groupBy("source", "target", "relation_type").agg(F.max("weight").alias("weight"))
     return new.join(existing.select("source", "target").distinct(), ["source", "target"], "left_anti")
+
+
+def seed_nodes(concepts: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """Concepts (id) and the ends of new edges that aren't among them."""
+    return concepts.select("id").union(new_edges.select(F.explode(F.array("source", "target")))).distinct()
