@@ -24,14 +24,17 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    return vectors.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    """Vectors of the table's largest dimension whose components are numbers, none of them infinite."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    most = vectors.agg(F.max(F.size("embedding")).alias("_d"))
+    return vectors.filter(F.col("embedding").isNotNull() & finite).crossJoin(F.broadcast(most)).filter(F.size("embedding") == F.col("_d")).drop("_d")
 
 
 def cosine_join(vectors: DataFrame, least: float, *, within: str | None = None) -> DataFrame:
     """(a, b, similarity) for all pairs a < b of (id, embedding) whose cosine is at least ``least``."""
     rows = _usable(vectors).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("part")).filter("part is not null")
     blocks = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    cut = rows.join(F.broadcast(blocks) if not within else blocks, "part").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    cut = rows.join(blocks, "part").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     cut = cut.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -57,17 +60,63 @@ def top_similar(vectors: DataFrame, existing: DataFrame, *, least: float = 0.6,
     return ends.withColumn("place", place).filter(F.col("place") <= k).select("a", "b", F.round("similarity", 4).alias("similarity")).distinct()
 
 
+def cosine_join_hashed(vectors: DataFrame, least: float, *, tables: int = 8, bucket: float | None = None, seed: int = 7) -> DataFrame:
+    """J2 for tables too large for all pairs: pairs that share a bucket of random projections, checked exactly.
+
+    Of unit vectors the distance is sqrt(2 - 2 cosine). No pair below ``least`` comes out; some above it may be missed,
+    fewer with more tables and wider buckets.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    rows = _usable(vectors).withColumn("_norm", norm).filter("_norm > 0").select("id", array_to_vector(F.transform("embedding", lambda x: x / F.col("_norm"))).alias("unit"))
+    rows, far = materialise(rows, "hashed-vectors"), (2 - 2 * least) ** 0.5
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket or 2 * far, numHashTables=tables, seed=seed).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, far + 1e-9, distCol="far").filter("datasetA.id < datasetB.id")
+    similarity = 1 - F.col("far") * F.col("far") / 2
+    return pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def top_similar(vectors: DataFrame, existing: DataFrame, *, least: float = 0.6, k: int = 20) -> DataFrame:
+    """New edges between similar concepts: a pair counts if it is among either end's k best and has no edge yet."""
+    known = existing.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    pairs = cosine_join(vectors, least).join(known, ["a", "b"], "left_anti")
+    ends = pairs.select("a", "b", "similarity", F.explode(F.array("a", "b")).alias("end"))
+    place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc(F.round("similarity", 9)), "a", "b"))
+    return ends.withColumn("place", place).filter(F.col("place") <= k).select("a", "b", F.round("similarity", 4).alias("similarity")).distinct()
+
+
 def nearest_to(vectors: DataFrame, asked: DataFrame, *, k: int = 5, least: float = 0.0) -> DataFrame:
-    """For each of a few asked (query, embedding), the k most similar rows, then those that reach ``least``.
+    """For each asked (query, embedding), the k most similar other rows (id), then those that reach ``least``.
 
-    The asked vectors are broadcast only if Spark sizes them under its own threshold.
+    Both sides are cut into blocks; a task compares two blocks as matrices and keeps k rows for each query, so what is
+    shuffled on is k rows for each query and block, however many are asked.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    a, b = F.col("embedding"), F.col("_q")
-    cosine = dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-    pairs = _usable(vectors).join(asked.select("query", F.col("embedding").alias("_q")), F.col("id") != F.col("query")).withColumn("similarity", F.round(cosine, 4))
+    both = _usable(vectors.select(F.lit(0).alias("side"), "id", "embedding").unionByName(asked.select(F.lit(1).alias("side"), F.col("query").alias("id"), "embedding")))
+    blocks = both.agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == s) / BLOCK_ROWS)).cast("int").alias(f"n{s}") for s in (0, 1)])
+    cut = both.crossJoin(F.broadcast(blocks)).withColumn("own", F.expr("cast(pmod(xxhash64(id), if(side = 0, n0, n1)) as int)"))
+    cut = cut.withColumn("other", F.expr("explode(sequence(0, if(side = 0, n1, n0) - 1))"))
+    cut = cut.select("side", "id", "embedding", F.expr("if(side = 0, own, other)").alias("table_block"), F.expr("if(side = 0, other, own)").alias("query_block"))
+    id_type = cut.schema["id"].dataType.simpleString()
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        table, queries = part[part["side"] == 0], part[part["side"] == 1]
+        x, q, ids = _unit(table["embedding"]), _unit(queries["embedding"]), table["id"].to_numpy()
+        out = []
+        for query, row in zip(queries["id"], q, strict=True):
+            cosine = x @ row
+            cosine[ids == query] = -2.0
+            # those that may round to the same four digits as the k-th stay in
+            bound = np.partition(cosine, -k)[-k] - 1e-4 if len(cosine) > k else -1.5
+            keep = np.flatnonzero((cosine >= bound) & (cosine >= -1.5))
+            out.append(pd.DataFrame({"query": query, "id": ids[keep], "similarity": cosine[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": ids[:0], "id": ids[:0], "similarity": np.zeros(0)})
+
+    met = cut.groupBy("table_block", "query_block").applyInPandas(best, f"query {id_type}, id {id_type}, similarity double").withColumn("similarity", F.round("similarity", 4))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("place", place).filter((F.col("place") <= k) & (F.col("similarity") >= least)).select("query", "id", "similarity", "place")
+    return met.withColumn("place", place).filter((F.col("place") <= k) & (F.col("similarity") >= least)).select("query", "id", "similarity", "place")
 
 
 def dispersion(vectors: DataFrame, of: list[str]) -> DataFrame:
@@ -103,12 +152,21 @@ def assign_leaders(items: DataFrame, edges: DataFrame, *, max_rounds: int = 200)
     return state.join(led, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 
-def semantic_merge(items: DataFrame, *, least: float = 0.85, within: str | None = None) -> DataFrame:
-    """A4 of (id, embedding, n_rows, text): groups of similar items; the canonical one has most rows, then the shortest text."""
+def semantic_merge(items: DataFrame, votes: DataFrame, *, n_models: int, least: float = 0.85, within: str | None = None) -> DataFrame:
+    """A4 of items (id, embedding, text) and their votes (id, model, confidence): groups of similar items as one claim.
+
+    The canonical item has most votes, then the shortest text, then the smallest id. Votes of all items are taken
+    together, as in A1; variations lists the texts, and a group is ambiguous if two items have most votes.
+    """
     led = assign_leaders(items, cosine_join(items, least, within=within))
-    rows = items.join(led, "id").withColumn("_order", F.struct((-F.col("n_rows")).alias("n"), F.length("text").alias("l"), F.col("id")))
-    merged = rows.groupBy("leader").agg(F.min_by("text", "_order").alias("canonical"), F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("variations"), F.max("n_rows").alias("_top"), F.collect_list("n_rows").alias("_all"))
-    return merged.withColumn("ambiguous", F.size(F.filter("_all", lambda x: x == F.col("_top"))) > 1).drop("_top", "_all")
+    counts = votes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    rows = items.select("id", "text").join(led, "id").join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_order", F.struct((-F.col("n")).alias("n"), F.length("text").alias("l"), F.col("id")))
+    tops = rows.groupBy("leader", "n").agg(F.count(F.lit(1)).alias("items")).groupBy("leader").agg((F.max_by("items", "n") > 1).alias("ambiguous"))
+    groups = rows.groupBy("leader").agg(F.min_by("text", "_order").alias("canonical"), F.array_join(F.array_sort(F.collect_list("text")), "; ").alias("variations"), F.count(F.lit(1)).alias("items")).join(tops, "leader")
+    cast = votes.join(led, "id").groupBy("leader").agg(F.count(F.lit(1)).alias("n_votes"), F.avg("confidence").alias("_a"), F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("_s"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
+    agreement = F.coalesce("n_votes", F.lit(0)) / n_models
+    r = lambda c, name: F.round(F.round(c, 9), 4).alias(name)
+    return groups.join(cast, "leader", "left").select("leader", "canonical", "variations", "items", "ambiguous", F.coalesce("n_votes", F.lit(0)).alias("n_votes"), "models", r(agreement, "agreement"), r(F.col("_a"), "avg_confidence"), r(F.col("_s"), "std_confidence"), r(0.6 * agreement + 0.4 * F.col("_a"), "score"))
 
 
 def duplicate_penalty(responses: DataFrame, *, least: float = 0.95, penalty: float = 0.5, within: str | None = None) -> DataFrame:
@@ -117,10 +175,12 @@ def duplicate_penalty(responses: DataFrame, *, least: float = 0.95, penalty: flo
     return led.select("id", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(penalty).alias("penalty"))
 
 
-def resolve_entities(names: DataFrame, aliases: DataFrame, concepts: DataFrame, similar: DataFrame | None = None, *, accept: float = 0.92, review: float = 0.85) -> DataFrame:
+def resolve_entities(names: DataFrame, aliases: DataFrame, concepts: DataFrame, similar: DataFrame | None = None, *, accept: float = 0.92, review: float = 0.85, create: bool = False) -> DataFrame:
     """J1 of (name): (name, concept, method): alias, exact, embedding (similar enough), review (less so) or not_found.
 
-    aliases (alias, concept), concepts (concept), similar (name, concept, similarity).
+    aliases (alias, concept), concepts (concept), similar (name, concept, similarity), as closest_concepts gives it. A
+    name that is only for review has its candidate as the concept. With ``create`` a name that isn't found is a concept
+    of its own: new.
     """
     distinct = names.select("name").distinct()
     first = aliases.groupBy("alias").agg(F.min("concept").alias("_alias"))
@@ -130,6 +190,12 @@ def resolve_entities(names: DataFrame, aliases: DataFrame, concepts: DataFrame,
     else:
         best = similar.groupBy(F.col("name").alias("_of")).agg(F.max_by("concept", F.struct("similarity", "concept")).alias("_near"), F.max("similarity").alias("_sim"))
         rows = rows.join(best, F.col("name") == F.col("_of"), "left")
-    method = F.when(F.col("_alias").isNotNull(), "alias").when(F.col("_exact").isNotNull(), "exact").when(F.col("_sim") >= accept, "embedding").when(F.col("_sim") >= review, "review").otherwise("not_found")
-    concept = F.coalesce("_alias", "_exact", F.when(F.col("_sim") >= review, F.col("_near")))
+    method = F.when(F.col("_alias").isNotNull(), "alias").when(F.col("_exact").isNotNull(), "exact").when(F.col("_sim") >= accept, "embedding").when(F.col("_sim") >= review, "review").otherwise("new" if create else "not_found")
+    concept = F.coalesce("_alias", "_exact", F.when(F.col("_sim") >= review, F.col("_near")), F.col("name") if create else F.lit(None))
     return rows.select("name", concept.alias("concept"), method.alias("method"))
+
+
+def closest_concepts(names: DataFrame, concepts: DataFrame, *, least: float = 0.85) -> DataFrame:
+    """(name, concept, similarity) of each of names (name, embedding) and the nearest of concepts (concept, embedding)."""
+    found = nearest_to(concepts.select(F.concat(F.lit("c:"), "concept").alias("id"), "embedding"), names.select(F.concat(F.lit("n:"), "name").alias("query"), "embedding"), k=1, least=least)
+    return found.select(F.expr("substring(query, 3)").alias("name"), F.expr("substring(id, 3)").alias("concept"), "similarity")
