@@ -50,10 +50,10 @@ def tier_transitions(attestations: DataFrame) -> DataFrame:
     return attestations.withColumn("old_tier", old).filter(F.col("old_tier") != F.col("tier")).select("claim_hash", "old_tier", F.col("tier").alias("new_tier"), "at")
 
 
-def history(attestations: DataFrame, by: str, *, newest: bool = True, k: int = 3) -> DataFrame:
-    """The k newest, or best, attestations of each subject, question or hash."""
-    order = [F.desc("at"), "claim_hash"] if newest else [F.desc("score"), F.desc("at"), "claim_hash"]
-    return attestations.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= k)
+def history(attestations: DataFrame, by: str, *, order: str = "newest", k: int = 3) -> DataFrame:
+    """The k newest, best or oldest attestations of each subject, question or hash."""
+    keys = {"newest": [F.desc("at"), "claim_hash"], "best": [F.desc("score"), F.desc("at"), "claim_hash"], "oldest": ["at", "claim_hash"]}[order]
+    return attestations.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).filter(F.col("place") <= k)
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -78,9 +78,24 @@ def uplift(run: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def scorecard(claims: DataFrame) -> DataFrame:
-    """B10 of (difficulty, ambiguity, score, verdict): counts and means by both and their totals."""
-    rows = claims.cube("difficulty", "ambiguity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "supported").alias("supported"), F.count_if(F.col("verdict") == "contested").alias("contested"), F.round(F.avg("score"), 4).alias("avg_score"))
-    return rows.select(F.coalesce("difficulty", F.lit("all")).alias("difficulty"), F.coalesce("ambiguity", F.lit("all")).alias("ambiguity"), "n", "supported", "contested", "avg_score")
+    """B10 of (difficulty, ambiguity, score, verdict, dissent, error): counts, means and rates by both and their totals.
+
+    A claim with an error isn't completed and has no verdict; split claims have dissent; the pass rate is the share of
+    completed claims that are supported.
+    """
+    done = F.col("error").isNull()
+    n = lambda test: F.count_if(done & test)
+    rows = claims.cube("difficulty", "ambiguity").agg(
+        F.count(F.lit(1)).alias("n"), n(F.lit(True)).alias("completed"), F.count_if(~done).alias("errored"), n(F.col("verdict") == "supported").alias("supported"),
+        n(F.col("verdict") == "contested").alias("contested"), n(F.col("dissent")).alias("split"), F.round(F.avg(F.when(done, F.col("score"))), 4).alias("avg_score"),
+    )
+    rate = F.when(F.col("completed") > 0, F.round(F.col("supported") / F.col("completed"), 4))
+    return rows.select(F.coalesce("difficulty", F.lit("all")).alias("difficulty"), F.coalesce("ambiguity", F.lit("all")).alias("ambiguity"), "n", "completed", "errored", "supported", "contested", "split", "avg_score", rate.alias("pass_rate"))
+
+
+def pending(extractions: DataFrame, *, least: float = 0.5) -> DataFrame:
+    """B12 of (…, confidence, injected, skip_reason): what is sure enough and neither injected nor skipped."""
+    return extractions.filter(~F.coalesce("injected", F.lit(False)) & F.col("skip_reason").isNull() & (F.col("confidence") >= least))
 
 
 def run_stats(events: DataFrame, by: str) -> DataFrame:
@@ -135,6 +150,11 @@ def finalise_migration(current: DataFrame, staged: DataFrame, dimension: int) ->
     return current.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def roll_back_migration(vectors: DataFrame, model: str) -> DataFrame:
+    """Vectors without those of the model that a migration led to."""
+    return vectors.filter(~F.col("model_id").eqNullSafe(F.lit(model)))
+
+
 def latest_published(claims: DataFrame, pushes: DataFrame) -> DataFrame:
     """J17 of pushes (question, ok, at, signature): claims with their latest successful publication."""
     last = pushes.filter("ok").groupBy("question").agg(F.max_by("signature", F.struct("at", "signature")).alias("signature"), F.max("at").alias("published_at"))

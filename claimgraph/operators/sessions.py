@@ -15,12 +15,18 @@ def messages(log: DataFrame, *, roles: list[str] | None = None, k: int = 50) ->
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter(F.col("place") <= k)
 
 
-def trim(log: DataFrame, *, last: int = 20, budget: int = 300) -> DataFrame:
-    """Of the last messages of each session, the newest whose characters, a quarter each, fit the budget; one at least."""
-    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = log.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= last)
-    upto = F.sum(F.length("text")).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("chars", upto).filter((F.expr("chars div 4") <= budget) | (F.col("back") == 1)).select("conv_id", "turn", "role", "chars")
+def trim(log: DataFrame, *, last: int = 20, budget: int = 300, pinned: str = "system") -> DataFrame:
+    """Of the last messages of each session, the newest whose characters, a quarter each, fit the budget; one at least.
+
+    A session's first row stays, whatever its size, if it has the role ``pinned``; it counts neither as one of the last
+    nor in the budget. Its place from the back is 0.
+    """
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = log.withColumn("_pin", (first == 1) & F.coalesce(F.col("role") == pinned, F.lit(False)))
+    back = Window.partitionBy("conv_id", "_pin").orderBy(F.desc("turn"))
+    rows = rows.withColumn("back", F.when(F.col("_pin"), 0).otherwise(F.row_number().over(back))).filter(F.col("back") <= last)
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("chars", upto).filter((F.expr("chars div 4") <= budget) | (F.col("back") <= 1)).select("conv_id", "turn", "role", "back", "chars")
 
 
 def keywords(texts: DataFrame, *, k: int = 5, stop_words: list[str] = STOP_WORDS) -> DataFrame:
@@ -58,34 +64,63 @@ def memory_stats(log: DataFrame) -> DataFrame:
 
 def turn_metrics(turns: DataFrame) -> DataFrame:
     """X7 of (…, weight, concepts, tau, delta_r, rho, length): coherence, pressure, fit, tension and stability of a turn."""
-    coherence = F.when(F.col("concepts") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("concepts") / 0.8)).otherwise(0.0)
-    pressure = 0.3 * F.abs("delta_r") + 0.7 * F.col("tau") / (F.col("tau") + 1)
-    expected = F.when(F.col("rho") > 0.7, 200 + 100 * F.col("rho")).when(F.col("rho") > 0.3, 150 + 50 * F.col("rho")).otherwise(150.0)
-    fit = F.least(F.col("length") / expected, expected / F.greatest(F.col("length"), F.lit(1)))
-    rows = turns.withColumns({"_c": coherence, "_p": pressure, "_f": fit}).withColumn("_t", 0.4 * (1 - F.col("_c")) + 0.6 * F.col("_p"))
-    stability = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (F.col("_c") + F.col("_f")) - 0.5 * F.col("_t")))
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    coherence = F.when(F.col("concepts") > 0, unit(F.col("weight") / F.col("concepts") / 0.8)).otherwise(0.0)
+    pressure = unit(0.3 * F.abs("delta_r") + 0.7 * F.col("tau") / (F.col("tau") + 1))
+    expected = F.when(F.col("rho") > 0, 200 + 100 * F.col("rho")).when(F.col("rho") < 0, 150 + 50 * F.col("rho")).otherwise(150.0)
+    fit = unit(1 - F.abs(F.col("length") - expected) / expected)
+    rows = turns.withColumns({"_c": coherence, "_p": pressure, "_f": fit}).withColumn("_t", unit(0.4 * (1 - F.col("_c")) + 0.6 * F.col("_p")))
+    stability = unit(0.5 * (F.col("_c") + F.col("_f")) - 0.5 * F.col("_t"))
     r = lambda c, name: F.round(c, 4).alias(name)
     return rows.select(*turns.columns, r(F.col("_c"), "coherence"), r(F.col("_p"), "pressure"), r(F.col("_f"), "fit"), r(F.col("_t"), "tension"), r(stability, "stability"))
 
 
+def metric_summary(metrics: DataFrame, by: list[str], *, high_tension: float = 0.7, low_fit: float = 0.3) -> DataFrame:
+    """Metrics of turns by session, or by day: means, the exact median of tension, and shares beyond bounds."""
+    share = lambda test, name: F.round(F.count_if(test) / F.count(F.lit(1)), 9).alias(name)
+    means = [F.round(F.avg(c), 9).alias(f"avg_{c}") for c in ("coherence", "pressure", "fit", "tension", "stability")]
+    return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("turns"), *means, F.round(F.percentile("tension", 0.5), 9).alias("median_tension"), share(F.col("tension") > high_tension, "share_tense"), share(F.col("fit") < low_fit, "share_unfit"))
+
+
 def inactive(events: DataFrame, cutoff: str) -> DataFrame:
     """X10 of (session, ts): sessions whose last event is before the cutoff, and how many rows would go with them."""
     last = events.groupBy("session").agg(F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("events"))
     return last.filter(F.col("last_at") < F.lit(cutoff).cast("timestamp"))
 
 
-def retain(events: DataFrame, cutoff: str) -> DataFrame:
-    """Events of the sessions that stay."""
-    return events.join(inactive(events, cutoff).select("session"), "session", "left_anti")
+def retain(events: DataFrame, cutoff: str, *, of: DataFrame | None = None) -> DataFrame:
+    """Events, or other rows (of) with a session, of the sessions that stay. Rows without a session stay."""
+    return (events if of is None else of).join(inactive(events, cutoff).select("session"), "session", "left_anti")
+
 
+def forget_session(deltas: DataFrame, events: DataFrame, cutoff: str) -> DataFrame:
+    """Deltas, all of them, without the name of a session that goes."""
+    gone = inactive(events, cutoff).select("session", F.lit(True).alias("_gone"))
+    rows = deltas.join(gone, "session", "left")
+    return rows.withColumn("session", F.when(F.col("_gone").isNull(), F.col("session"))).select(*deltas.columns)
 
-def bundles(log: DataFrame) -> DataFrame:
-    """A session's messages in order as one JSON document, to be written by partition."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return log.groupBy("conv_id").agg(F.to_json(ordered).alias("bundle"), F.count(F.lit(1)).alias("n"))
+
+def bundles(log: DataFrame, *, trajectories: DataFrame | None = None, adjustments: DataFrame | None = None) -> DataFrame:
+    """A session's messages in order as one JSON document, to be written by partition.
+
+    trajectories and adjustments (conv_id, at, …), where given, are lists of their own in a session's document.
+    """
+    listed = lambda rows, *order: F.array_sort(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in ("conv_id", *order)])))
+    found = log.groupBy("conv_id").agg(listed(log.select("conv_id", "turn", "role", "text"), "turn").alias("messages"), F.count(F.lit(1)).alias("n"))
+    parts = ["messages"]
+    for name, rows in (("trajectories", trajectories), ("adjustments", adjustments)):
+        if rows is not None:
+            found, parts = found.join(rows.groupBy("conv_id").agg(listed(rows, "at").alias(name)), "conv_id", "left"), [*parts, name]
+    return found.select("conv_id", F.to_json(F.struct(*parts)).alias("bundle"), "n")
 
 
 def unbundle(bundled: DataFrame) -> DataFrame:
     """The messages of bundles, back as rows."""
-    rows = bundled.select("conv_id", F.explode(F.from_json("bundle", "array<struct<turn:bigint,role:string,text:string>>")).alias("m"))
+    rows = bundled.select("conv_id", F.explode(F.from_json("bundle", "messages array<struct<turn:bigint,role:string,text:string>>")["messages"]).alias("m"))
     return rows.select("conv_id", "m.*")
+
+
+def listing(bundled: DataFrame, sessions: DataFrame, *, k: int = 100) -> DataFrame:
+    """S15 of sessions (conv_id, model, at): the newest bundles of each model."""
+    place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("at"), "conv_id"))
+    return bundled.join(sessions, "conv_id").withColumn("place", place).filter(F.col("place") <= k).select("model", "conv_id", "n", "place")
