@@ -113,19 +113,41 @@ def deterministic(normalised: DataFrame, claim: Column) -> DataFrame:
     return rows.withColumn("kind", F.lit("deterministic")).withColumn("anchor_hash", F.sha2(canonical_json(["source_id", "query_hash", "object"]), 256))
 
 
-def verify_evidence(declared: DataFrame, files: DataFrame) -> DataFrame:
-    """S13 of declared (location, sha256) and files as Spark's binaryFile reader gives them (path, content)."""
-    there = files.select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("_hash"))
-    remote, inside = F.col("location").startswith("https://"), ~F.col("location").contains("..")
-    rows = declared.join(there, F.element_at(F.split("location", "/"), -1) == F.col("_name"), "left")
-    state = F.when(remote, "declared").when(~inside, "outside").when(F.col("_hash").isNull(), "missing").when(F.col("_hash") == F.col("sha256"), "verified").otherwise("different")
-    return rows.select("location", state.alias("state"))
+def verify_evidence(declared: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """S13 of declared (location, sha256) and files as Spark's binaryFile reader gives them (path, content).
+
+    A location is a path from root, with ``.`` and ``..`` taken out; one that leads out of it is outside. Evidence
+    behind https is declared only. Files are told apart by their whole path, so equal names in two folders are two.
+    """
+    scheme = lambda c: F.regexp_replace(c, r"^[a-z]+:/+", "/")
+    there = files.select(scheme(F.col("path")).alias("_path"), F.sha2("content", 256).alias("_hash"))
+    steps = F.filter(F.split("location", "/"), lambda s: ~s.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("way"), F.lit(False).alias("out"))
+
+    def walk(at: Column, step: Column) -> Column:
+        up = step == ".."
+        way = F.when(up, F.slice(at["way"], F.lit(1), F.greatest(F.lit(0), F.size(at["way"]) - 1))).otherwise(F.array_append(at["way"], step))
+        return F.struct(way.alias("way"), (at["out"] | (up & (F.size(at["way"]) == 0))).alias("out"))
+
+    rows = declared.withColumn("_at", F.aggregate(steps, start, walk)).withColumn("_path", F.concat(scheme(F.lit(root.rstrip("/"))), F.lit("/"), F.array_join("_at.way", "/")))
+    outside = F.col("_at.out") | F.col("location").startswith("/")
+    state = F.when(F.col("location").startswith("https://"), "declared").when(outside, "outside").when(F.col("_hash").isNull(), "missing").when(F.col("_hash") == F.col("sha256"), "verified").otherwise("different")
+    return rows.join(there, "_path", "left").select("location", state.alias("state"))
+
+
+def evidence_totals(verified: DataFrame) -> DataFrame:
+    """How many pieces of evidence are in each state, and in all."""
+    return verified.rollup("state").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("state", F.lit("all")).alias("state"), "n")
 
 
 def proposals(items: DataFrame) -> DataFrame:
-    """S14 of (id, frame, evidence array<struct<kind,location,sha256,description>>): canonical JSON and its hash."""
+    """S14 of (id, frame, frame_hash, evidence array<struct<kind,location,sha256,description>>): canonical JSON and its hash.
+
+    A framed proposal needs its frame's hash; one without is not complete.
+    """
     rows = items.withColumn("evidence", F.array_sort("evidence")).withColumn("decision", F.lit("proposed"))
-    return rows.withColumn("artifact", canonical_json(["id", "frame", "evidence", "decision"])).withColumn("hash", F.sha2("artifact", 256))
+    rows = rows.withColumn("complete", F.col("frame").isNull() | F.coalesce(F.col("frame_hash") != "", F.lit(False)))
+    return rows.withColumn("artifact", canonical_json(["id", "frame", "frame_hash", "evidence", "decision"])).withColumn("hash", F.sha2("artifact", 256))
 
 
 def verify_proposals(built: DataFrame) -> DataFrame:

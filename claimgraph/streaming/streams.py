@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimgraph.functions.storage import shared_dir
+from claimgraph.functions.storage import materialise, shared_dir
+from claimgraph.operators.graph import apply_deltas, dirty_edges
 from claimgraph.sources.landing import conflict_status
 
 
@@ -61,8 +64,33 @@ def run_to_table(stream: DataFrame, path: str, *, mode: str = "append") -> Strea
 
 def drain(stream: DataFrame, tag: str) -> DataFrame:
     """The rows that a stream of what is there now gives in append mode, as a table."""
-    import uuid
-
     path = f"{shared_dir(stream.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     run_to_table(stream, path)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], tag: str) -> None:
+    """Give each micro-batch of what a stream holds now to ``merge``, in order."""
+    place = f"{shared_dir(stream.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+
+
+def follow_deltas(start: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, queue) after a stream of deltas: each batch is merged into the edges, and what it makes dirty is queued.
+
+    A batch's merge is one join with the edges as they are, written as a new version, so a batch that runs again starts
+    from the same version. The queue holds (batch, source, target) of edges whose curvature has to be taken again.
+    """
+    versions, queue = {-1: materialise(start.select("source", "target", "weight"), "t2-edges")}, []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        changes = materialise(batch, "t2-batch")
+        before = versions[max(k for k in versions if k < number)]
+        versions[number] = materialise(apply_deltas(before, changes), "t2-edges")
+        touched = changes.filter("target is not null").select("source", "target")
+        queue.append(materialise(dirty_edges(versions[number], touched).select(F.lit(number).alias("batch"), "source", "target"), "t2-queue"))
+
+    run_batches(deltas, merge, "t2")
+    last = versions[max(versions)]
+    empty = last.select(F.lit(0).alias("batch"), "source", "target").limit(0)
+    return last, functools.reduce(DataFrame.unionByName, queue, empty)
