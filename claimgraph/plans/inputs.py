@@ -16,15 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+#: Order, line, supplier and quantity in one number: votes of a model on a claim that tie in it are equal.
+ORDINAL = "l_orderkey * 536870912 + l_linenumber * 67108864 + l_suppkey * 64 + cast(l_quantity as bigint)"
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("m"), F.col("l_suppkey") % 5).alias("model"), F.concat(F.lit("part "), "l_partkey").alias("subject"), F.col("l_returnflag").alias("relation"),
-        F.col("l_linestatus").alias("object"), (F.col("l_quantity") / 50.0).alias("confidence"), F.struct(*ORDER).alias("ord"), (F.col("l_orderkey") % 2).alias("run_id"),
+        F.col("l_linestatus").alias("object"), (F.col("l_quantity") / 50.0).alias("confidence"), F.expr(ORDINAL).alias("ord"), (F.col("l_orderkey") % 2).alias("run_id"),
     )
 
 
 VOTES = f"""votes AS (SELECT 'm' || (l_suppkey % 5) AS model, 'part ' || l_partkey AS subject, l_returnflag AS relation, l_linestatus AS object,
-    l_quantity / 50.0 AS confidence, row({', '.join(ORDER)}) AS ord, l_orderkey % 2 AS run_id FROM lineitem)"""
+    l_quantity / 50.0 AS confidence, {ORDINAL} AS ord, l_orderkey % 2 AS run_id FROM lineitem)"""
 
 
 def models(spark: SparkSession) -> DataFrame:
@@ -50,22 +54,53 @@ EDGES = """edges AS (SELECT a.l_partkey AS source, b.l_partkey AS target, count(
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("origin"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("origin"), F.col("p_retailprice").alias("rho"))
 
 
 CONCEPTS = "concepts AS (SELECT p_partkey AS id, p_name AS name, p_brand AS origin FROM part)"
 
 
+def start_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and the suppliers that they bought from: the graph that changes act on."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.groupBy(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target")).agg(
+        F.round(F.avg("l_quantity") / 50, 4).alias("weight"), F.round(F.avg("l_discount") * 10, 4).alias("confidence"), F.lit(0.5).alias("kappa"), F.min("l_returnflag").alias("relation_type")
+    )
+
+
+START = """start AS (SELECT o_custkey AS source, l_suppkey AS target, round(avg(l_quantity) / 50, 4) AS weight, round(avg(l_discount) * 10, 4) AS confidence, 0.5::DOUBLE AS kappa, min(l_returnflag) AS relation_type
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"""
+
+
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.create_map(*[F.lit(x) for pair in (("signup", "add_node"), ("click", "add_edge"), ("view", "update_edge"), ("error", "delete_edge"), ("purchase", "add_edge")) for x in pair])
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), "ts", F.col("user_id").alias("session"), kind[F.col("event_type")].alias("operation"), (F.col("event_id") % 50).alias("source"),
-        ((F.col("event_id") * 7 + 1) % 50).alias("target"), (F.col("value") / 500).alias("weight"),
+    """Events as changes of edges from users to items; a day's events are a session."""
+    return as_deltas(table(spark, sf_dir, "events"))
+
+
+def as_deltas(events: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", F.when(F.col("value") > 150, "delete_node").otherwise("add_node")).when(F.col("event_type") == "view", "update_edge").when(F.col("event_type") == "error", "delete_edge").otherwise("add_edge")
+    rolled_back = F.when((F.col("event_type") == "purchase") & (F.col("value") > 100), F.col("ts"))
+    return events.select(
+        F.col("event_id").alias("id"), "ts", F.unix_date(F.to_date("ts")).alias("session"), kind.alias("operation"), F.col("user_id").alias("source"), F.get_json_object("props", "$.k").cast("long").alias("target"),
+        (F.col("value") / 500).alias("weight"), (F.col("value") / 1000).alias("kappa"), (F.col("value") / 500).alias("confidence"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model_source"), rolled_back.alias("rolled_back_at"),
     )
 
 
-DELTAS = """deltas AS (SELECT event_id AS id, ts, user_id AS session, CASE event_type WHEN 'signup' THEN 'add_node' WHEN 'click' THEN 'add_edge' WHEN 'view' THEN 'update_edge'
-    WHEN 'error' THEN 'delete_edge' WHEN 'purchase' THEN 'add_edge' END AS operation, event_id % 50 AS source, (event_id * 7 + 1) % 50 AS target, value / 500 AS weight FROM events)"""
+DELTAS = """deltas AS (SELECT event_id AS id, ts, date_diff('day', DATE '1970-01-01', ts::DATE) AS session, CASE event_type WHEN 'signup' THEN CASE WHEN value > 150 THEN 'delete_node' ELSE 'add_node' END WHEN 'view' THEN 'update_edge'
+    WHEN 'error' THEN 'delete_edge' ELSE 'add_edge' END AS operation, user_id AS source, (props::JSON ->> '$.k')::BIGINT AS target, value / 500 AS weight, value / 1000 AS kappa, value / 500 AS confidence,
+    'm' || (user_id % 3) AS model_source, CASE WHEN event_type = 'purchase' AND value > 100 THEN ts END AS rolled_back_at FROM events)"""
+VALID = "v AS (SELECT * FROM deltas WHERE operation IN ('add_edge', 'update_edge', 'delete_edge') AND source <> target AND (operation = 'delete_edge' OR weight BETWEEN 0 AND 1) OR operation IN ('add_node', 'delete_node'))"
+
+
+def micro_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as terms: their long words are neighbours, the role is the model and the turn the relation."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.posexplode(words).alias("at", "word"))
+    return rows.select(F.concat(F.lit("conv "), "conv_id").alias("term"), F.col("role").alias("model"), (F.col("turn") * 100000 + F.col("at")).alias("pos"), F.concat(F.lit("turn "), "turn").alias("relation"), F.col("word").alias("concept"))
+
+
+MICRO = """words AS (SELECT conv_id, role, turn, regexp_extract_all(text, '[A-Za-z]{7,}') AS ws FROM conversations), said AS (SELECT conv_id, role, turn, unnest(range(0, len(ws))) AS nth, unnest(ws) AS word FROM words WHERE len(ws) > 0),
+    micro AS (SELECT 'conv ' || conv_id AS term, role AS model, turn * 100000 + nth AS pos, lower('turn ' || turn) AS relation, lower(word) AS concept, CASE WHEN regexp_matches(word, '^[A-Z]') THEN 2.0::DOUBLE ELSE 1 END AS weight FROM said)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

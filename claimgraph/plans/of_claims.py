@@ -13,15 +13,15 @@ RELATIONS = {"a": "accepted", "r": "returned", "n": "none"}
 FAMILIES = {"m": "mill"}
 
 KEYED = f"""{VOTES}, {MODELS}, keyed AS (SELECT *, substr(sha256(lower(subject) || '|' || lower(relation) || '|' || lower(object)), 1, 16) AS claim_key FROM votes WHERE confidence >= 0.3)"""
-CONSENSUS = f"""{KEYED}, g AS (SELECT claim_key, any_value(subject) AS subject, any_value(relation) AS relation, any_value(object) AS object, count(*) AS n_votes,
+CONSENSUS = f"""{KEYED}, g AS (SELECT claim_key, any_value(subject) AS subject, any_value(relation) AS relation, any_value(object) AS object, count(*) AS n_votes, min(ord) AS ord,
     avg(confidence) AS a, coalesce(stddev_samp(confidence), 0) AS s, list_sort(list(DISTINCT model)) AS ms FROM keyed GROUP BY claim_key),
     every AS (SELECT *, n_votes / (SELECT count(*) FROM models) AS agr FROM g),
     consensus AS (SELECT claim_key, subject, relation, object, n_votes, round(agr, 4) AS agreement, round(a, 4) AS avg_confidence, round(s, 4) AS std_confidence,
-    round(0.6 * agr + 0.4 * a, 4) AS score, len(ms) AS n_models, array_to_string(ms, ',') AS models FROM every WHERE agr >= 0.5)"""
+    round(0.6 * agr + 0.4 * a, 4) AS score, len(ms) AS n_models, array_to_string(ms, ',') AS models, ord FROM every WHERE agr >= 0.5)"""
 TIER = """CASE WHEN score >= 0.85 AND n_models >= 3 AND families >= 2 AND {anchored} THEN 'verified' WHEN score >= 0.7 AND n_models >= 3 AND families >= 2 THEN 'validated'
     WHEN score >= 0.4 AND n_models >= 2 THEN 'proposition' ELSE 'sandbox' END"""
 ATTESTED = f"""{CONSENSUS}, att AS (SELECT sha256(lower(subject) || '|' || lower(relation) || '|' || lower(object) || '|') AS claim_hash, subject, relation AS predicate, object, score,
-    n_votes AS models_consulted, n_models, 1 AS families FROM consensus WHERE score >= 0.4)"""
+    n_votes AS models_consulted, n_models, n_models AS agreeing, 1 AS families FROM consensus WHERE score >= 0.4)"""
 
 
 def consensus(s, d, **options):
@@ -29,7 +29,7 @@ def consensus(s, d, **options):
 
 
 def attested(s, d):
-    return votes.crystallise(I.votes(s, d), I.models(s), families=FAMILIES)
+    return votes.crystallise(consensus(s, d), families=FAMILIES)
 
 
 def verdicts(s, d):
@@ -44,7 +44,7 @@ VERDICTS = f"""verdicts AS (SELECT l_orderkey AS claim, 'm' || (l_suppkey % 5) A
 
 def run_attestations(s, d, run):
     rows = I.votes(s, d).filter(F.col("run_id") == run)
-    return votes.crystallise(rows, I.models(s), families=FAMILIES).select("claim_hash", "tier", "score")
+    return votes.crystallise(votes.exact_consensus(rows, I.models(s)), families=FAMILIES).select("claim_hash", "tier", "score")
 
 
 def _run_sql(run: int) -> str:
@@ -74,18 +74,18 @@ HISTORY = """hist AS (SELECT o_custkey AS question, o_orderkey AS claim_hash, CA
 def claims(s, d):
     """Orders as scored claims by priority (difficulty) and status (ambiguity)."""
     rows = I.table(s, d, "orders")
-    return rows.select(F.col("o_orderkey").alias("claim"), F.col("o_orderpriority").alias("difficulty"), F.col("o_orderstatus").alias("ambiguity"), F.round(F.col("o_totalprice") / 500000, 2).alias("score"), F.when(F.col("o_totalprice") > 250000, "supported").otherwise("contested").alias("verdict"))
+    return rows.select(F.col("o_orderkey").alias("claim"), F.col("o_orderpriority").alias("difficulty"), F.col("o_orderstatus").alias("ambiguity"), F.round(F.col("o_totalprice") / 500000, 2).alias("score"), F.when(F.col("o_totalprice") > 250000, "supported").otherwise("contested").alias("verdict"), F.col("o_orderpriority").startswith("3").alias("dissent"), F.when(F.col("o_totalprice") < 20000, "timeout").alias("error"))
 
 
-CLAIMS = "claims AS (SELECT o_orderkey AS claim, o_orderpriority AS difficulty, o_orderstatus AS ambiguity, round(o_totalprice / 500000, 2) AS score, CASE WHEN o_totalprice > 250000 THEN 'supported' ELSE 'contested' END AS verdict FROM orders)"
+CLAIMS = "claims AS (SELECT o_orderkey AS claim, o_orderpriority AS difficulty, o_orderstatus AS ambiguity, round(o_totalprice / 500000, 2) AS score, CASE WHEN o_totalprice > 250000 THEN 'supported' ELSE 'contested' END AS verdict, o_orderpriority LIKE '3%' AS dissent, CASE WHEN o_totalprice < 20000 THEN 'timeout' END AS error FROM orders)"
 
 
 def events_raw(s, d):
     e = I.table(s, d, "events")
-    return e.select(F.concat(F.lit("u"), F.col("user_id") % 40).alias("source_id"), F.sha2(F.col("event_type"), 256).alias("query_hash"), F.to_date("ts").cast("string").alias("source_version"), F.col("props").alias("raw_response"), F.col("ts").alias("fetched_at"))
+    return e.select(F.concat(F.lit("u"), F.col("user_id")).alias("source_id"), F.sha2(F.col("event_type"), 256).alias("query_hash"), F.to_date("ts").cast("string").alias("source_version"), F.col("props").alias("raw_response"), F.col("ts").alias("fetched_at"))
 
 
-SNAPSHOTS = "snaps AS (SELECT 'u' || (user_id % 40) AS source_id, sha256(event_type) AS query_hash, CAST(ts AS DATE)::VARCHAR AS source_version, props AS raw_response, ts AS fetched_at FROM events)"
+SNAPSHOTS = "snaps AS (SELECT 'u' || user_id AS source_id, sha256(event_type) AS query_hash, CAST(ts AS DATE)::VARCHAR AS source_version, props AS raw_response, ts AS fetched_at FROM events)"
 
 
 def entity_names(s, d):
@@ -101,6 +101,14 @@ def resolve_names(s, d):
     return similarity.resolve_entities(entity_names(s, d), aliases, concepts, similar)
 
 
+def named(s, d):
+    return I.vectors(s, d).withColumn("name", F.concat(F.lit("v "), "id"))
+
+
+def migrated(s, d, model):
+    return I.vectors(s, d).select("id", "embedding", F.lit(model).alias("model_id"))
+
+
 QUERIES = {
     "c1_normalise_text": (
         lambda s, d: I.table(s, d, "part").select("p_partkey", text.normalise(F.concat(F.lit("  "), F.upper("p_name"), F.lit("\t x "))).alias("text")),
@@ -185,13 +193,28 @@ QUERIES = {
         f"""WITH {VERDICTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim, model ORDER BY ord) AS r FROM verdicts) WHERE r = 1),
             g AS (SELECT claim, verdict, sum(confidence) AS s, min(ord) AS o, count(*) AS agreeing FROM f GROUP BY 1, 2),
             b AS (SELECT *, sum(s) OVER (PARTITION BY claim) AS total, sum(agreeing) OVER (PARTITION BY claim) AS voters, row_number() OVER (PARTITION BY claim ORDER BY s DESC, o) AS r FROM g)
-            SELECT claim, verdict, CASE WHEN total > 0 THEN round(s / total, 10) ELSE 1 END AS share, agreeing, voters FROM b WHERE r = 1""",
+            SELECT claim, verdict, CASE WHEN total > 0 THEN round(round(s / total, 10), 4) ELSE 1 END AS share, agreeing, voters FROM b WHERE r = 1""",
+    ),
+    "a7_verdict_votes": (
+        lambda s, d: votes.verdict_votes(verdicts(s, d), decided=I.table(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("claim")), anchored=I.table(s, d, "orders").filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("claim"))),
+        f"""WITH {VERDICTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim, model ORDER BY ord) AS r FROM verdicts) JOIN orders ON o_orderkey = claim WHERE r = 1 AND o_orderstatus <> 'F' AND o_totalprice > 100000),
+            g AS (SELECT claim, verdict, sum(confidence) AS s, min(ord) AS o FROM f GROUP BY 1, 2), b AS (SELECT claim, verdict AS won FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY s DESC, o) AS r FROM g) WHERE r = 1)
+            SELECT claim, model, verdict, confidence, verdict = won AS agreed FROM f JOIN b USING (claim)""",
     ),
     "a8_vote_signature": (
         lambda s, d: votes.vote_signature(consensus(s, d), F.lit(1)),
         f"WITH {CONSENSUS} SELECT claim_key, agreement, round(1 - std_confidence, 4) AS steadiness, 0.5::DOUBLE AS centrality, 0.5::DOUBLE AS stability, round(1 / n_votes, 4) AS diversity FROM consensus",
     ),
     "a9_crystallise": (lambda s, d: attested(s, d), f"WITH {ATTESTED} SELECT *, {TIER.format(anchored='false')} AS tier FROM att"),
+    "a9_crystallise_verdicts": (
+        lambda s, d: votes.crystallise(
+            consensus(s, d).withColumns({"claim_type": F.col("object"), "object": F.col("relation"), "relation": F.lit("verdict"), "method": F.when(F.col("object") == "F", "deterministic").otherwise("voted"), "anchor": F.when(F.col("n_votes") > 4, F.col("claim_key"))}),
+            families=FAMILIES, verdict_penalties={"A": 1.0, "R": 0.8, "N": 0.6667}, type_penalties={"O": 0.7713},
+        ).select("claim_hash", "object", "score", "agreeing", "tier"),
+        f"""WITH {CONSENSUS}, h AS (SELECT *, sha256(lower(subject) || '|verdict|' || lower(relation) || '|') AS claim_hash FROM consensus), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_hash ORDER BY ord) AS r FROM h) WHERE r = 1),
+            k AS (SELECT claim_hash, relation AS object, n_models, n_models AS agreeing, 1 AS families, round(score * CASE relation WHEN 'A' THEN 1.0::DOUBLE WHEN 'R' THEN 0.8 ELSE 0.6667 END * CASE object WHEN 'O' THEN 0.7713::DOUBLE ELSE 1.0 END, 4) AS score
+            FROM d WHERE score >= 0.4 AND (object <> 'F' OR n_votes > 4)) SELECT claim_hash, object, score, agreeing, {TIER.format(anchored='false')} AS tier FROM k""",
+    ),
     "a10_verify_summary": (
         lambda s, d: votes.verify_summary(verdicts(s, d).withColumn("score", F.col("confidence") * F.when(F.col("verdict") == "N", 0.5).otherwise(1.0))),
         f"""WITH {VERDICTS}, v AS (SELECT *, confidence * CASE verdict WHEN 'N' THEN 0.5::DOUBLE ELSE 1.0 END AS score FROM verdicts),
@@ -208,10 +231,14 @@ QUERIES = {
         f"WITH {ATTESTED} SELECT claim_hash, round(least(1.0, score * CASE WHEN n_models - 3 >= 2 THEN 1.1::DOUBLE ELSE 1.0 END), 4) AS adjusted FROM att",
     ),
     "a15_worst_severity": (
-        lambda s, d: votes.worst_severity(I.table(s, d, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("severity")), ["1-URGENT", "2-HIGH", "3-MEDIUM", "informational"]),
-        """SELECT o_custkey AS contract, CASE min(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END) WHEN 1 THEN '1-URGENT' WHEN 2 THEN '2-HIGH' WHEN 3 THEN '3-MEDIUM' ELSE 'informational' END AS severity,
+        lambda s, d: votes.worst_severity(I.table(s, d, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("unit"), F.col("o_orderpriority").alias("severity")), ["2-HIGH", "3-MEDIUM", "5-LOW", "informational"], fold={"1-URGENT": "2-HIGH"}),
+        """SELECT o_custkey AS contract, CASE min(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 4 END) WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '5-LOW' ELSE 'informational' END AS severity,
             count(*) AS findings FROM orders GROUP BY 1""",
     ),
+    "a15_unit_order": (
+        lambda s, d: votes.unit_order(I.table(s, d, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("unit"), (F.col("o_orderstatus") == "P").cast("int").alias("external_calls"), (F.col("o_orderstatus") == "O").cast("int").alias("state_writes"))),
+        "SELECT o_custkey AS contract, o_orderkey AS unit, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS place FROM orders",
+    ),
     "b1_record_predictions": (
         lambda s, d: calibrate.record_predictions(I.votes(s, d).groupBy(text.claim_hash(F.col("subject"), F.col("relation"), F.col("object")).alias("claim_hash"), "run_id").agg(F.collect_list(F.struct(F.col("model").alias("model_id"))).alias("votes"))),
         f"WITH {VOTES} SELECT DISTINCT sha256(lower(subject) || '|' || lower(relation) || '|' || lower(object) || '|') AS claim_hash, run_id, model AS model_id FROM votes",
@@ -242,9 +269,13 @@ QUERIES = {
         f"WITH {HISTORY}, r AS (SELECT question, claim_hash, row_number() OVER (PARTITION BY question ORDER BY made DESC, claim_hash) AS place FROM hist) SELECT * FROM r WHERE place <= 3",
     ),
     "b6_best_attestations": (
-        lambda s, d: calibrate.history(order_history(s, d), "frame", newest=False, k=10).select("frame", "claim_hash", "place"),
+        lambda s, d: calibrate.history(order_history(s, d), "frame", order="best", k=10).select("frame", "claim_hash", "place"),
         f"WITH {HISTORY}, r AS (SELECT frame, claim_hash, row_number() OVER (PARTITION BY frame ORDER BY score DESC, made DESC, claim_hash) AS place FROM hist) SELECT * FROM r WHERE place <= 10",
     ),
+    "b6_oldest_attestations": (
+        lambda s, d: calibrate.history(order_history(s, d), "question", order="oldest").select("question", "claim_hash", "place"),
+        f"WITH {HISTORY}, r AS (SELECT question, claim_hash, row_number() OVER (PARTITION BY question ORDER BY made, claim_hash) AS place FROM hist) SELECT * FROM r WHERE place <= 3",
+    ),
     "b7_compare_runs": (
         lambda s, d: calibrate.compare_runs(run_attestations(s, d, 0), run_attestations(s, d, 1)),
         f"""WITH {VOTES}, {_run_sql(0)}, {_run_sql(1)}, j AS (SELECT claim_hash, a.tier AS tier_before, b.tier AS tier_after, b.score - a.score AS x FROM run0 a FULL JOIN run1 b USING (claim_hash)),
@@ -261,16 +292,17 @@ QUERIES = {
     ),
     "b10_scorecard": (
         lambda s, d: calibrate.scorecard(claims(s, d)),
-        f"""WITH {CLAIMS} SELECT coalesce(difficulty, 'all') AS difficulty, coalesce(ambiguity, 'all') AS ambiguity, count(*) AS n, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'contested') AS contested,
-            round(avg(score), 4) AS avg_score FROM claims GROUP BY CUBE (difficulty, ambiguity)""",
+        f"""WITH {CLAIMS}, c AS (SELECT coalesce(difficulty, 'all') AS difficulty, coalesce(ambiguity, 'all') AS ambiguity, count(*) AS n, count(*) FILTER (error IS NULL) AS completed, count(error) AS errored, count(*) FILTER (error IS NULL AND verdict = 'supported') AS supported,
+            count(*) FILTER (error IS NULL AND verdict = 'contested') AS contested, count(*) FILTER (error IS NULL AND dissent) AS split, round(avg(score) FILTER (error IS NULL), 4) AS avg_score FROM claims GROUP BY CUBE (difficulty, ambiguity))
+            SELECT *, CASE WHEN completed > 0 THEN round(supported / completed, 4) END AS pass_rate FROM c""",
     ),
     "b11_run_stats": (
         lambda s, d: calibrate.run_stats(I.table(s, d, "events"), "user_id"),
         "SELECT user_id, round((epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 60, 2) AS minutes, count(DISTINCT event_type) AS kinds, count(*) AS n FROM events GROUP BY 1",
     ),
     "b12_pending_triples": (
-        lambda s, d: I.votes(s, d).filter((F.col("confidence") >= 0.5) & (F.col("relation") != "N")).groupBy("relation", "model").agg(F.count(F.lit(1)).alias("pending")),
-        f"WITH {VOTES} SELECT relation, model, count(*) AS pending FROM votes WHERE confidence >= 0.5 AND relation <> 'N' GROUP BY 1, 2",
+        lambda s, d: calibrate.pending(I.votes(s, d).withColumns({"injected": F.when(F.col("relation") != "A", F.col("relation") == "N"), "skip_reason": F.when((F.col("object") == "F") & (F.col("confidence") > 0.9), "exists")})).select("model", "subject", "relation", "object", "confidence", "ord"),
+        f"WITH {VOTES} SELECT model, subject, relation, object, confidence, ord FROM votes WHERE confidence >= 0.5 AND relation <> 'N' AND NOT (object = 'F' AND confidence > 0.9)",
     ),
     "b14_aliases": (
         lambda s, d: calibrate.aliases_of(I.table(s, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_type").alias("alias"))),
@@ -283,13 +315,22 @@ QUERIES = {
             j AS (SELECT name, n_name, r_name, s FROM names LEFT JOIN nation ON name = lower(n_name) LEFT JOIN region ON name = r_name LEFT JOIN sim USING (name))
             SELECT name, coalesce(n_name, r_name, CASE WHEN s >= 0.85 THEN name END) AS concept, CASE WHEN n_name IS NOT NULL THEN 'alias' WHEN r_name IS NOT NULL THEN 'exact' WHEN s >= 0.92 THEN 'embedding' WHEN s >= 0.85 THEN 'review' ELSE 'not_found' END AS method FROM j""",
     ),
+    "j1_resolve_by_vector": (
+        lambda s, d: similarity.resolve_entities(
+            named(s, d).filter("id % 50 = 0").select("name"), I.table(s, d, "region").select(F.col("r_name").alias("alias"), F.col("r_name").alias("concept")), I.table(s, d, "nation").select(F.col("n_name").alias("concept")),
+            similarity.closest_concepts(named(s, d).filter("id % 50 = 0"), named(s, d).filter("label = 1").select(F.col("name").alias("concept"), "embedding"), least=0.2), accept=0.3, review=0.25, create=True,
+        ),
+        """WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+            p AS (SELECT q.id, x.id AS c, round(list_dot_product(q.v, x.v), 4) AS s FROM e q JOIN e x ON x.label = 1 WHERE q.id % 50 = 0), b AS (SELECT id, c, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, 'v ' || c) AS r FROM p) WHERE r = 1)
+            SELECT 'v ' || id AS name, CASE WHEN s >= 0.25 THEN 'v ' || c ELSE 'v ' || id END AS concept, CASE WHEN s >= 0.3 THEN 'embedding' WHEN s >= 0.25 THEN 'review' ELSE 'new' END AS method FROM b""",
+    ),
     "j12_anchors": (
         lambda s, d: calibrate.anchors(I.table(s, d, "events").select(F.col("user_id").alias("question"), F.when(F.col("event_type") == "purchase", "deterministic").otherwise("voted").alias("kind"), F.concat(F.lit('{"source": {"id": "s'), F.col("event_id") % 7, F.lit('"}}')).alias("consensus_meta"), "event_id"), I.table(s, d, "events").filter("value > 300").select(F.col("user_id").alias("question"))).select("event_id", "source_id", "version"),
         "SELECT event_id, 's' || (event_id % 7) AS source_id, '' AS version FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE value > 300)",
     ),
     "j13_cache_lookup": (
-        lambda s, d: calibrate.cached(order_history(s, d), order_history(s, d).filter("question % 3 = 0"), "1998-01-01 00:00:00", hours=24 * 365).select("question", "claim_hash", "tier"),
-        f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY made DESC, claim_hash) AS place FROM hist WHERE question % 3 = 0 AND made > TIMESTAMP '1998-01-01' - INTERVAL 8760 HOUR AND made <= TIMESTAMP '1998-01-01'
+        lambda s, d: calibrate.cached(order_history(s, d), I.table(s, d, "customer").select(F.col("c_custkey").alias("question")), "1998-01-01 00:00:00", hours=24 * 365).select("question", "claim_hash", "tier"),
+        f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY made DESC, claim_hash) AS place FROM hist WHERE question IN (SELECT c_custkey FROM customer) AND made > TIMESTAMP '1998-01-01' - INTERVAL 8760 HOUR AND made <= TIMESTAMP '1998-01-01'
             AND score >= 0.4 AND tier <> 'sandbox') SELECT question, claim_hash, tier FROM r WHERE place = 1""",
     ),
     "j14_stale_snapshots": (
@@ -297,14 +338,26 @@ QUERIES = {
         f"WITH {SNAPSHOTS} SELECT source_id, query_hash FROM snaps GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', max(fetched_at))) > 24 * 3600",
     ),
     "j15_verify_commits": (
-        lambda s, d: calibrate.verify_commits(I.table(s, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("role").alias("model"), F.col("turn").alias("phase"), F.col("text").alias("response")), I.table(s, d, "conversations").filter("turn < 3").select(F.col("conv_id").alias("run_id"), F.col("role").alias("model"), F.col("turn").alias("phase"), F.when(F.col("turn") == 1, F.sha2("role", 256)).otherwise(F.sha2("text", 256)).alias("response_hash")).distinct()),
-        """WITH c AS (SELECT DISTINCT conv_id, role, turn, CASE WHEN turn = 1 THEN sha256(role) ELSE sha256(text) END AS h FROM conversations WHERE turn < 3)
+        lambda s, d: calibrate.verify_commits(I.table(s, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("role").alias("model"), F.col("turn").alias("phase"), F.col("text").alias("response")), I.table(s, d, "conversations").filter("role != 'system'").select(F.col("conv_id").alias("run_id"), F.col("role").alias("model"), F.col("turn").alias("phase"), F.when(F.col("turn") == 1, F.sha2("role", 256)).otherwise(F.sha2("text", 256)).alias("response_hash")).distinct()),
+        """WITH c AS (SELECT DISTINCT conv_id, role, turn, CASE WHEN turn = 1 THEN sha256(role) ELSE sha256(text) END AS h FROM conversations WHERE role <> 'system')
             SELECT v.conv_id AS run_id, v.role AS model, v.turn AS phase, coalesce(sha256(v.text) = c.h, false) AS verified FROM conversations v LEFT JOIN c ON v.conv_id = c.conv_id AND v.role = c.role AND v.turn = c.turn""",
     ),
     "j16_embedding_backlog": (
         lambda s, d: calibrate.embedding_backlog(I.concepts(s, d), I.vectors(s, d).withColumn("model_id", F.when(F.col("label") < 5, "old").otherwise("new")), "new").select("id"),
         "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE label >= 5)",
     ),
+    "j16_finalise_migration": (
+        lambda s, d: calibrate.finalise_migration(migrated(s, d, "old"), migrated(s, d, "new").filter("id < 300"), 64).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")),
+        "SELECT CASE WHEN vec_id < 300 THEN 'new' ELSE 'old' END AS model_id, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY 1",
+    ),
+    "j16_failed_migration": (
+        lambda s, d: calibrate.finalise_migration(migrated(s, d, "old"), migrated(s, d, "new").withColumn("embedding", F.when(F.col("id") != 7, F.col("embedding"))), 64).groupBy("model_id").agg(F.count(F.lit(1)).alias("n")),
+        "SELECT 'old' AS model_id, count(*) AS n FROM embeddings",
+    ),
+    "j16_roll_back_migration": (
+        lambda s, d: calibrate.roll_back_migration(migrated(s, d, "old").filter("id >= 300").unionByName(migrated(s, d, "new").filter("id < 300")), "new").select("id", "model_id"),
+        "SELECT vec_id AS id, 'old' AS model_id FROM embeddings WHERE vec_id >= 300",
+    ),
     "j17_latest_published": (
         lambda s, d: calibrate.latest_published(I.table(s, d, "customer").select(F.col("c_custkey").alias("question")), I.table(s, d, "orders").select(F.col("o_custkey").alias("question"), (F.col("o_orderstatus") == "F").alias("ok"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("signature"))),
         """WITH l AS (SELECT o_custkey AS question, o_orderkey AS signature, o_orderdate AS published_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F')
@@ -315,7 +368,7 @@ QUERIES = {
         f"WITH {SNAPSHOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, query_hash, source_version ORDER BY fetched_at, raw_response) AS o FROM snaps) SELECT * EXCLUDE (o), sha256(raw_response) AS content_hash FROM r WHERE o = 1",
     ),
     "s17_publish_candidates": (
-        lambda s, d: calibrate.publish_candidates(order_history(s, d), order_history(s, d).filter("claim_hash % 5 = 0"), least_score=0.5, k=20).select("frame", "claim_hash", "place"),
-        f"WITH {HISTORY}, r AS (SELECT frame, claim_hash, row_number() OVER (PARTITION BY frame ORDER BY score DESC, made DESC, claim_hash) AS place FROM hist WHERE score >= 0.5 AND claim_hash % 5 <> 0) SELECT * FROM r WHERE place <= 20",
+        lambda s, d: calibrate.publish_candidates(order_history(s, d), order_history(s, d).filter("score >= 0.8"), least_score=0.5, k=20).select("frame", "claim_hash", "place"),
+        f"WITH {HISTORY}, r AS (SELECT frame, claim_hash, row_number() OVER (PARTITION BY frame ORDER BY score DESC, made DESC, claim_hash) AS place FROM hist WHERE score >= 0.5 AND score < 0.8) SELECT * FROM r WHERE place <= 20",
     ),
 }

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
-from claimgraph.operators import align, components, gaps, graph, similarity
+from claimgraph.operators import align, components, gaps, graph, similarity, votes
 from claimgraph.plans import inputs as I
-from claimgraph.plans.inputs import DELTAS, EDGES, VOTES
-
-#: Only the strongest edges: what makes groups of them small.
-STRONG = 0.2
+from claimgraph.plans.inputs import DELTAS, EDGES, MICRO, MODELS, START, VALID, VOTES
 
 
 def edges(s, d):
+    """The edges, written once for all that a query does with them."""
     return materialise(I.edges(s, d), "part-edges")
 
 
@@ -22,19 +20,17 @@ def changes(s, d):
 
 
 def start_edges(s, d):
-    """A small graph that the changes act on."""
-    rows = I.table(s, d, "orders")
-    return rows.groupBy((F.col("o_orderkey") % 50).alias("source"), (F.col("o_custkey") % 50).alias("target")).agg(F.round(F.avg("o_totalprice") / 1000000, 4).alias("weight"))
+    return I.start_edges(s, d)
 
 
-START = "start AS (SELECT o_orderkey % 50 AS source, o_custkey % 50 AS target, round(avg(o_totalprice) / 1000000, 4) AS weight FROM orders GROUP BY 1, 2)"
 INCIDENT = "inc AS (SELECT e.*, source AS node FROM edges e UNION ALL SELECT e.*, target FROM edges e WHERE source <> target), deg AS (SELECT node, count(*) AS degree FROM inc GROUP BY 1)"
 UNIT = """u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
     sim AS (SELECT x.id AS a, y.id AS b, list_dot_product(x.e, y.e) AS similarity FROM u x JOIN u y ON x.id < y.id)"""
-COCHAIN = f"""{EDGES}, {INCIDENT}, s AS (SELECT node, count(*) AS degree, count(DISTINCT model_source) AS m FROM inc GROUP BY 1), t AS (SELECT node, relation_type, count(*) AS n FROM inc GROUP BY 1, 2),
+COCHAIN = f"""{EDGES}, {INCIDENT}, s AS (SELECT node, count(*) AS degree, avg(weight) AS w, count(DISTINCT model_source) AS m FROM inc GROUP BY 1), t AS (SELECT node, relation_type, count(*) AS n FROM inc GROUP BY 1, 2),
             v AS (SELECT node, count(*) AS k, sum(n) AS n, sum(n * ln(n)) AS x FROM t GROUP BY 1), b AS (SELECT list_sort(list(degree)) AS ds, count(*) AS c, max(degree) AS mx FROM s),
             r AS (SELECT s.*, CASE WHEN k > 1 THEN (ln(n) - x / n) / ln(k) ELSE 0 END AS div, mx, ds[floor(c * 0.2)::INT + 1] AS p20, ds[floor(c * 0.8)::INT + 1] AS p80 FROM s JOIN v USING (node), b),
-    cochain AS (SELECT node, degree, round(least(1, greatest(m, 1) / 3), 4) AS agreement, round(degree / mx, 4) AS centrality, CASE WHEN degree > p80 AND div > 0.5 THEN 'generalist' WHEN degree < p20 THEN 'specialised' ELSE 'hybrid' END AS kind FROM r)"""
+    cochain AS (SELECT node, degree, round(CASE WHEN w = 0 THEN 0.5 ELSE w END, 4) AS consensus, round(least(1, greatest(m, 1) / 3), 4) AS agreement, round(degree / mx, 4) AS centrality, round(least(1, degree / 10) * w, 4) AS stability,
+        round(div, 4) AS diversity, round(1 - div, 4) AS consistency, CASE WHEN degree > p80 AND div > 0.5 THEN 'generalist' WHEN degree < p20 THEN 'specialised' ELSE 'hybrid' END AS kind FROM r)"""
 #: Pairs are told apart at this cosine, which pairs of the given vectors reach.
 ALIKE = 0.3
 
@@ -48,28 +44,26 @@ def sim_leaders(s, d):
     return similarity.assign_leaders(rows, materialise(links(s, d), "similar"))
 
 
-def strong(s, d):
-    return I.edges(s, d).filter(F.col("weight") >= STRONG)
-
-
 INCOMPATIBLE = [("A", "R", "both"), ("A", "N", "same"), ("N", "R", "reversed")]
 
 
 def contradicting(s, d):
-    """Line items as claims between order and customer parity classes, in both directions."""
+    """Line items as claims between parts and suppliers, of either direction where the keys allow it."""
     rows = I.table(s, d, "lineitem")
-    return rows.select((F.col("l_partkey") % 300).alias("source"), (F.col("l_suppkey") % 300).alias("target"), F.col("l_returnflag").alias("relation_type"), (F.col("l_quantity") / 50).alias("confidence")).filter("source != target")
+    back = F.col("l_linestatus") == "F"
+    return rows.select(F.when(back, F.col("l_suppkey")).otherwise(F.col("l_partkey")).alias("source"), F.when(back, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("target"), F.col("l_returnflag").alias("relation_type"), (F.col("l_quantity") / 50).alias("confidence")).filter("source != target")
 
 
-CONTRA = "c AS (SELECT l_partkey % 300 AS source, l_suppkey % 300 AS target, l_returnflag AS relation_type, l_quantity / 50 AS confidence FROM lineitem WHERE l_partkey % 300 <> l_suppkey % 300)"
+CONTRA = "c AS (SELECT CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_partkey END AS source, CASE WHEN l_linestatus = 'F' THEN l_partkey ELSE l_suppkey END AS target, l_returnflag AS relation_type, l_quantity / 50 AS confidence FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 
 def isolated(s, d):
-    return gaps.isolated(I.concepts(s, d), strong(s, d))
+    """Customers that bought from few suppliers."""
+    return gaps.isolated(I.table(s, d, "customer").select(F.col("c_custkey").alias("id")), start_edges(s, d))
 
 
-ISOLATED = f"""sedges AS (SELECT * FROM edges WHERE weight >= {STRONG}), sdeg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM sedges UNION ALL SELECT target FROM sedges) GROUP BY 1),
-    nd AS (SELECT p_partkey AS id, coalesce(degree, 0) AS degree FROM part LEFT JOIN sdeg ON node = p_partkey), med AS (SELECT list_sort(list(degree))[count(*) // 2 + 1] AS m FROM nd),
+ISOLATED = """sdeg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM start UNION ALL SELECT target FROM start WHERE source <> target) GROUP BY 1),
+    nd AS (SELECT c_custkey AS id, coalesce(degree, 0) AS degree FROM customer LEFT JOIN sdeg ON node = c_custkey), med AS (SELECT list_sort(list(degree))[count(*) // 2 + 1] AS m FROM nd),
     thr AS (SELECT greatest(1, (CASE WHEN m = 0 THEN 2 ELSE m END) // 2) AS t FROM med),
     isolated AS (SELECT id::VARCHAR AS subject, degree, round(least(1, 0.4 * (2 - degree / t)), 4) AS priority FROM nd, thr WHERE degree < t ORDER BY degree, id LIMIT 100)"""
 UNSTABLE = f"""un AS (SELECT subject, relation, object, count(*) AS n, count(DISTINCT model) AS m FROM votes GROUP BY 1, 2, 3 HAVING count(*) > 1 ORDER BY n DESC, subject, relation, object LIMIT 200),
@@ -87,28 +81,95 @@ GAPS = f"""{ISOLATED}, {UNSTABLE}, allg AS (SELECT 'isolated' AS gap_type, subje
     gaps AS (SELECT gap_type, key, priority FROM (SELECT *, row_number() OVER (PARTITION BY gap_type ORDER BY priority DESC, key) AS r FROM allg) WHERE r <= 30)"""
 
 
-def micro_graphs(s, d):
-    """Parts by brand as terms: their neighbours are type and container words, each supplier class a model."""
-    line = I.table(s, d, "lineitem").join(I.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = line.select(F.concat(F.col("p_brand"), F.lit(" "), F.col("p_size") % 5).alias("term"), F.concat(F.lit("m"), F.col("l_suppkey") % 3).alias("model"), F.col("l_returnflag").alias("relation"), F.concat("p_type", F.lit(" "), F.col("p_partkey") % 400).alias("concept")).distinct()
-    return rows.withColumn("pos", F.xxhash64("concept") % 1000)
+def runs_gaps(s, d, run):
+    """The unstable claims of one run's votes."""
+    return gaps.unstable(I.votes(s, d).filter(F.col("run_id") == run)).select("subject", "relation", "object", "priority")
+
+
+def _run_gaps(run: int) -> str:
+    return f"""g{run} AS (WITH a AS (SELECT subject, relation, object, count(*) AS n, count(DISTINCT model) AS m FROM votes WHERE run_id = {run} GROUP BY 1, 2, 3 HAVING count(*) > 1 ORDER BY n DESC, subject, relation, object LIMIT 200),
+        b AS (SELECT *, CASE WHEN n > 2 THEN least(0.4::DOUBLE, 0.1::DOUBLE * m) ELSE 0.15 END AS std FROM a) SELECT subject, relation, object, round(least(1, 0.5::DOUBLE * std * 3 * (1 + least(1, n / 5))), 4) AS priority FROM b WHERE std >= 0.2)"""
+
+
+#: Terms with this overlap of what stands next to them are taken for one.
+SAME_TERM = 0.34
+MATCHED = f"""{MICRO}, nm AS (SELECT DISTINCT concept AS n FROM micro WHERE weight = 1), near AS (SELECT a.n AS x, b.n AS y FROM nm a JOIN nm b ON a.n <> b.n AND abs(length(a.n) - length(b.n)) <= greatest(length(a.n), length(b.n)) / 2 WHERE jaro_winkler_similarity(a.n, b.n) > 0.9),
+    rl AS (SELECT DISTINCT relation AS n FROM micro), rr AS (SELECT a.n AS x, b.n AS y FROM rl a, rl b WHERE a.n = b.n OR jaro_winkler_similarity(a.n, b.n) > 0.9), cc AS (SELECT x, y, false AS same FROM near UNION ALL SELECT DISTINCT concept, concept, true FROM micro),
+    met AS (SELECT a.term AS term_x, a.model AS model_x, a.pos AS pos_x, b.term AS term_y, b.model AS model_y, b.pos AS pos_y, greatest(a.weight, b.weight) AS weight
+    FROM micro a JOIN cc ON cc.x = a.concept JOIN micro b ON b.concept = cc.y AND a.model < b.model JOIN rr ON rr.x = a.relation AND rr.y = b.relation WHERE cc.same OR (a.weight = 1 AND b.weight = 1))"""
+OVERLAP = f"""{MATCHED}, grp AS (SELECT term_x, model_x, term_y, model_y, list_reduce(list({{'x': [pos_x], 'y': [pos_y], 't': weight}} ORDER BY pos_x, pos_y), lambda a, b: CASE WHEN list_has_any(a.x, b.x) OR list_has_any(a.y, b.y) THEN a
+    ELSE {{'x': list_concat(a.x, b.x), 'y': list_concat(a.y, b.y), 't': a.t + b.t}} END).t AS matched FROM met GROUP BY 1, 2, 3, 4), sz AS (SELECT term, model, sum(weight) AS size FROM micro GROUP BY 1, 2),
+    ov AS (SELECT term_x, model_x, term_y, model_y, round(matched / least(p.size, q.size), 4) AS score FROM grp JOIN sz p ON p.term = term_x AND p.model = model_x JOIN sz q ON q.term = term_y AND q.model = model_y)"""
+ALIGNED = f"""{OVERLAP}, ln AS (SELECT term_x AS a, term_y AS b FROM ov WHERE score >= {SAME_TERM} AND term_x <> term_y UNION SELECT term_y, term_x FROM ov WHERE score >= {SAME_TERM} AND term_x <> term_y),
+    rc AS (SELECT a AS term, a AS c FROM ln UNION SELECT ln.b, rc.c FROM rc JOIN ln ON ln.a = rc.term), cl AS (SELECT term, min(c) AS cluster FROM rc GROUP BY 1), us AS (SELECT term, count(*) AS n FROM micro GROUP BY 1),
+    cn AS (SELECT cluster, term AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, length(term) DESC, term) AS r FROM cl JOIN us USING (term)) WHERE r = 1),
+    bs AS (SELECT a, b, max(score) AS score FROM (SELECT term_x AS a, term_y AS b, score FROM ov UNION ALL SELECT term_y, term_x, score FROM ov) GROUP BY 1, 2),
+    al AS (SELECT term, canonical, coalesce(score, 0) AS score FROM cl JOIN cn USING (cluster) LEFT JOIN bs ON a = term AND b = canonical WHERE term <> canonical)"""
 
 
 def aligned(s, d):
-    graphs = materialise(micro_graphs(s, d), "micro")
-    scores = materialise(align.overlap(graphs, align.neighbour_matches(graphs, least=0.97)), "overlap")
-    groups = align.term_clusters(scores, least=0.036)
+    graphs = materialise(I.micro_graphs(s, d), "micro")
+    scores = materialise(align.overlap(graphs, align.neighbour_matches(graphs)), "overlap")
+    groups = align.term_clusters(scores, least=SAME_TERM)
     canonical = align.canonical_terms(groups, graphs.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    return graphs, align.alignment(groups, canonical, scores)
+    return align.alignment(groups, canonical, scores)
 
 
 def reconciled(s, d):
-    """Votes whose subjects are terms, before and after they are aligned: how many claims remain."""
-    graphs, mapping = aligned(s, d)
-    rows = graphs.select("model", F.col("term").alias("subject"), "relation", F.col("concept").alias("object"))
-    return align.apply_alignment(rows, mapping).groupBy("subject").agg(F.countDistinct("model").alias("models"), F.count(F.lit(1)).alias("n"))
+    """Consensus of what roles say of conversations, with conversations that talk of the same taken for one."""
+    graphs = materialise(I.micro_graphs(s, d), "micro")
+    cast = graphs.select("model", F.col("term").alias("subject"), F.lit("says").alias("relation"), F.lower("concept").alias("object"), F.lit(0.5).alias("confidence"), F.col("pos").alias("ord"))
+    said = votes.model_table(s, {"user": 1.0, "assistant": 1.0, "system": 1.0})
+    # conversations alone are aligned: uses are counted over subjects and objects, and words are no terms of micro-graphs
+    _, found = align.reconciled_consensus(cast, said, graphs, least=SAME_TERM)
+    return found.select("subject", "object", "n_votes", "agreement", "models")
+
+
+def part_votes(s, d):
+    """Votes on the items that have a vector: line items of the part of that number."""
+    rows = I.table(s, d, "lineitem")
+    return rows.select(F.col("l_partkey").alias("id"), F.concat(F.lit("m"), F.col("l_suppkey") % 5).alias("model"), (F.col("l_quantity") / 50).alias("confidence")).join(I.vectors(s, d).select("id"), "id", "left_semi")
+
+
+#: Greedy leaders, item by item: an item leads unless a leader so far is among its neighbours.
+LEADERS = f"""{UNIT}, l AS (SELECT a, b FROM sim WHERE similarity >= {ALIKE} UNION ALL SELECT b, a FROM sim WHERE similarity >= {ALIKE}), nb AS (SELECT id, row_number() OVER (ORDER BY id) AS k, (SELECT coalesce(list(b), []) FROM l WHERE a = id) AS ns FROM u),
+    st AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ls UNION ALL SELECT nb.k, CASE WHEN list_has_any(nb.ns, ls) THEN ls ELSE list_append(ls, nb.id) END FROM st JOIN nb ON nb.k = st.k + 1),
+    fin AS (SELECT ls FROM st ORDER BY k DESC LIMIT 1), leaders AS (SELECT id, CASE WHEN list_contains(ls, id) THEN id ELSE list_min(list_intersect(ns, ls)) END AS leader FROM nb, fin)"""
+TOUCHED = "t AS (SELECT source AS node FROM edges WHERE weight >= 0.3 UNION SELECT target FROM edges WHERE weight >= 0.3), dirty AS (SELECT source, target FROM edges WHERE source IN (SELECT node FROM t) OR target IN (SELECT node FROM t))"
+CURVED = """g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), o AS (SELECT source, count(*) AS n FROM edges GROUP BY 1),
+    i AS (SELECT e.source, e.target, count(*) AS bt FROM edges e JOIN edges a ON a.source = e.source JOIN edges b ON b.source = e.target AND b.target = a.target GROUP BY 1, 2),
+    j AS (SELECT e.source, e.target, 1 / du.d + 1 / dv.d - 2 / weight AS oll, coalesce(bt, 0) AS bt, coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(bt, 0) AS un FROM edges e JOIN g du ON du.node = e.source JOIN g dv ON dv.node = e.target
+        LEFT JOIN o a ON a.source = e.source LEFT JOIN o b ON b.source = e.target LEFT JOIN i ON i.source = e.source AND i.target = e.target),
+    curved AS (SELECT source, target, round(oll, 6) AS ollivier, round(CASE WHEN un > 0 THEN bt / un ELSE 0 END, 6) AS jaccard, round(0.5 * (1 - 2 / (exp(2 * oll) + 1) + 1) / 2 + 0.5 * CASE WHEN un > 0 THEN bt / un ELSE 0 END, 6) AS hybrid FROM j)"""
+
+
+RELATIONS = [("add_edge", "A"), ("update_edge", "N"), ("delete_edge", "R")]
+
+
+def injected(s, d):
+    """Events as triples of named users and items: items whose supplier owes money have no concept."""
+    t = changes(s, d).filter("operation like '%edge'").select(F.col("id").alias("key"), F.concat(F.lit("user "), "source").alias("source"), F.concat(F.lit("item "), "target").alias("target"), F.col("operation").alias("relation_type"), "weight")
+    users = I.table(s, d, "customer").select(F.concat(F.lit("user "), "c_custkey").alias("name"), F.col("c_custkey").alias("concept"))
+    items = I.table(s, d, "supplier").filter("s_acctbal >= 0").select(F.concat(F.lit("item "), "s_suppkey").alias("name"), F.col("s_suppkey").alias("concept"))
+    return graph.inject_triples(t, start_edges(s, d), users.unionByName(items), s.createDataFrame(RELATIONS, "relation string, canonical string"))
 
 
+INJECTED = """tr AS (SELECT id AS key, c_custkey AS source, s_suppkey AS target, CASE operation WHEN 'add_edge' THEN 'A' WHEN 'update_edge' THEN 'N' ELSE 'R' END AS relation_type, deltas.weight FROM deltas LEFT JOIN customer ON c_custkey = deltas.source
+        LEFT JOIN supplier ON s_suppkey = deltas.target AND s_acctbal >= 0 WHERE operation LIKE '%edge'), pl AS (SELECT *, row_number() OVER (PARTITION BY source, target, relation_type ORDER BY key) AS p FROM tr),
+    inj AS (SELECT pl.key, pl.source, pl.target, pl.relation_type, pl.weight, CASE WHEN pl.source IS NULL OR pl.target IS NULL THEN 'unresolved' WHEN pl.source = pl.target THEN 'self_loop' WHEN p > 1 THEN 'duplicate' WHEN x.source IS NOT NULL THEN 'exists' ELSE 'injected' END AS outcome
+        FROM pl LEFT JOIN start x ON x.source = pl.source AND x.target = pl.target AND x.relation_type = pl.relation_type)"""
+
+
+def seeds(s, d):
+    """Suppliers of a nation and the customers there, as seeds; being of one nation is symmetric."""
+    c, p = I.table(s, d, "customer"), I.table(s, d, "supplier")
+    rows = p.join(c, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > 9000)).select(F.col("c_custkey").alias("source"), F.col("s_suppkey").alias("target"), F.when(F.col("s_acctbal") > 0, "same nation").otherwise("owes").alias("relation_type"), F.round(F.abs("s_acctbal") / 10000, 4).alias("weight"))
+    return graph.seed_edges(rows, start_edges(s, d), ["same nation"])
+
+
+SEEDED = """sd AS (SELECT c_custkey AS source, s_suppkey AS target, CASE WHEN s_acctbal > 0 THEN 'same nation' ELSE 'owes' END AS relation_type, round(abs(s_acctbal) / 10000, 4) AS weight FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 9000),
+    sb AS (SELECT * FROM sd UNION ALL SELECT target, source, relation_type, weight FROM sd WHERE relation_type = 'same nation'), seeded AS (SELECT source, target, relation_type, max(weight) AS weight FROM sb ANTI JOIN start USING (source, target) GROUP BY 1, 2, 3)"""
+
 QUERIES = {
     "j2_cosine_join": (
         lambda s, d: similarity.cosine_join(I.vectors(s, d), ALIKE).select("a", "b", F.round("similarity", 6).alias("similarity")),
@@ -125,19 +186,32 @@ QUERIES = {
             SELECT DISTINCT a, b, round(similarity, 4) AS similarity FROM r WHERE k <= 3""",
     ),
     "j4_nearest_to": (
-        lambda s, d: similarity.nearest_to(I.vectors(s, d), I.vectors(s, d).filter("id % 100 = 0").select(F.col("id").alias("query"), "embedding"), k=5, least=0.1),
-        f"""WITH {UNIT}, p AS (SELECT q.id AS query, x.id, round(list_dot_product(q.e, x.e), 4) AS similarity FROM u q JOIN u x ON q.id <> x.id WHERE q.id % 100 = 0),
+        lambda s, d: similarity.nearest_to(I.vectors(s, d), I.vectors(s, d).filter("id % 50 = 0").select(F.col("id").alias("query"), "embedding"), k=5, least=0.1),
+        f"""WITH {UNIT}, p AS (SELECT q.id AS query, x.id, round(list_dot_product(q.e, x.e), 4) AS similarity FROM u q JOIN u x ON q.id <> x.id WHERE q.id % 50 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM p) SELECT * FROM r WHERE place <= 5 AND similarity >= 0.1""",
     ),
     "a5_dispersion": (
         lambda s, d: similarity.dispersion(I.vectors(s, d), ["label"]),
         f"WITH {UNIT} SELECT x.label, (SELECT count(*) FROM u z WHERE z.label = x.label) AS n, round(avg(1 - similarity), 6) AS dispersion FROM sim JOIN u x ON x.id = a JOIN u y ON y.id = b AND x.label = y.label GROUP BY x.label",
     ),
-    "j5_assign_leaders": (sim_leaders, None),
-    "a4_semantic_merge": (lambda s, d: similarity.semantic_merge(I.vectors(s, d).select("id", "embedding", (F.col("id") % 7).alias("n_rows"), F.concat(F.lit("concept "), "id").alias("text")), least=ALIKE), None),
-    "a13_duplicate_penalty": (lambda s, d: similarity.duplicate_penalty(I.vectors(s, d), least=ALIKE), None),
-    "j6_neighbour_matches": (lambda s, d: align.neighbour_matches(micro_graphs(s, d), least=0.97), None),
-    "j7_overlap": (lambda s, d: align.overlap(micro_graphs(s, d), align.neighbour_matches(micro_graphs(s, d), least=0.97)), None),
+    "j5_assign_leaders": (sim_leaders, f"WITH RECURSIVE {LEADERS} SELECT id, leader FROM leaders"),
+    "a4_semantic_merge": (
+        lambda s, d: similarity.semantic_merge(I.vectors(s, d).select("id", "embedding", F.concat(F.lit("concept "), "id").alias("text")), part_votes(s, d), n_models=6, least=ALIKE),
+        f"""WITH RECURSIVE {LEADERS}, pv AS (SELECT l_partkey AS id, 'm' || (l_suppkey % 5) AS model, l_quantity / 50 AS c FROM lineitem WHERE l_partkey IN (SELECT id FROM u)), n AS (SELECT id, leader, 'concept ' || id AS text, (SELECT count(*) FROM pv WHERE pv.id = leaders.id) AS n FROM leaders),
+            gr AS (SELECT leader, arg_min(text, row(-n, length(text), id)) AS canonical, array_to_string(list_sort(list(text)), '; ') AS variations, count(*) AS items, count(*) FILTER (n = top) > 1 AS ambiguous FROM (SELECT *, max(n) OVER (PARTITION BY leader) AS top FROM n) GROUP BY 1),
+            ca AS (SELECT leader, count(*) AS n_votes, avg(c) AS a, coalesce(stddev_samp(c), 0) AS s, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM pv JOIN leaders USING (id) GROUP BY 1)
+            SELECT leader, canonical, variations, items, ambiguous, coalesce(n_votes, 0) AS n_votes, models, round(round(coalesce(n_votes, 0) / 6, 9), 4) AS agreement, round(round(a, 9), 4) AS avg_confidence, round(round(s, 9), 4) AS std_confidence, round(round(0.6 * coalesce(n_votes, 0) / 6 + 0.4 * a, 9), 4) AS score FROM gr LEFT JOIN ca USING (leader)""",
+    ),
+    "a13_duplicate_penalty": (lambda s, d: similarity.duplicate_penalty(I.vectors(s, d), least=ALIKE), f"WITH RECURSIVE {LEADERS} SELECT id, CASE WHEN id = leader THEN 1.0::DOUBLE ELSE 0.5 END AS penalty FROM leaders"),
+    "j6_similar_names": (
+        lambda s, d: align.similar_names(I.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("name"))),
+        """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS n FROM benchmark) SELECT a.n AS a, b.n AS b FROM n a JOIN n b ON a.n < b.n WHERE jaro_winkler_similarity(a.n, b.n) > 0.9""",
+    ),
+    "j6_neighbour_matches": (
+        lambda s, d: align.neighbour_matches(I.micro_graphs(s, d)).select("term_x", "model_x", "pos_x", "term_y", "model_y", "pos_y", "weight"),
+        f"WITH {MATCHED} SELECT * FROM met",
+    ),
+    "j7_overlap": (lambda s, d: align.overlap(I.micro_graphs(s, d), align.neighbour_matches(I.micro_graphs(s, d))), f"WITH {OVERLAP} SELECT * FROM ov"),
     "j8_components": (
         lambda s, d: components.connected_components(similarity.cosine_join(I.vectors(s, d), ALIKE + 0.05)),
         f"""WITH RECURSIVE {UNIT}, l AS (SELECT a, b FROM sim WHERE similarity >= {ALIKE} + 0.05 UNION ALL SELECT b, a FROM sim WHERE similarity >= {ALIKE} + 0.05),
@@ -150,8 +224,12 @@ QUERIES = {
         """WITH u AS (SELECT p_type AS term, count(*) AS n FROM part GROUP BY 1), c AS (SELECT DISTINCT p_type AS term, p_brand AS cluster FROM part)
             SELECT cluster, term AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, length(term) DESC, term) AS r FROM c JOIN u USING (term)) WHERE r = 1""",
     ),
-    "j10_alignment": (lambda s, d: aligned(s, d)[1], None),
-    "j11_reconciled": (reconciled, None),
+    "j10_alignment": (aligned, f"WITH RECURSIVE {ALIGNED} SELECT * FROM al"),
+    "j11_reconciled": (
+        reconciled,
+        f"""WITH RECURSIVE {ALIGNED}, vt AS (SELECT model, coalesce(canonical, micro.term) AS subject, concept AS object FROM micro LEFT JOIN al ON al.term = micro.term)
+            SELECT subject, object, count(*) AS n_votes, round(count(*) / 3, 4) AS agreement, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM vt GROUP BY 1, 2 HAVING count(*) / 3 >= 0.5""",
+    ),
     "g1_neighbours": (
         lambda s, d: graph.neighbours(I.edges(s, d), k=5, least_weight=0.1),
         f"WITH {EDGES}, r AS (SELECT source, target, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS place FROM edges WHERE weight >= 0.1) SELECT * FROM r WHERE place <= 5",
@@ -161,76 +239,97 @@ QUERIES = {
         f"WITH {EDGES} SELECT source, target, weight FROM edges WHERE source IN (SELECT p_partkey FROM part WHERE p_brand LIKE '%1') ORDER BY weight DESC, source, target LIMIT 20",
     ),
     "g3_search": (
-        lambda s, d: graph.search(I.concepts(s, d), I.edges(s, d), "%1%", k=30),
-        f"WITH {EDGES}, {INCIDENT} SELECT p_partkey AS id, p_name AS name, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey WHERE p_name LIKE '%1%' ORDER BY degree DESC, id LIMIT 30",
+        lambda s, d: graph.search(I.concepts(s, d), I.edges(s, d), "%bolt%", k=30).select("id", "name", "degree"),
+        f"WITH {EDGES}, {INCIDENT} SELECT p_partkey AS id, p_name AS name, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey WHERE p_name LIKE '%bolt%' ORDER BY degree DESC, p_retailprice DESC, id LIMIT 30",
     ),
     "g4_degrees": (lambda s, d: graph.degrees(I.edges(s, d)), f"WITH {EDGES}, {INCIDENT} SELECT * FROM deg"),
-    "g5_curvature": (
-        lambda s, d: graph.curvature(strong(s, d)).select("source", "target", "ollivier", "jaccard"),
-        f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE weight >= {STRONG}), g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
-            o AS (SELECT source, list(target) AS ts FROM e GROUP BY 1), j AS (SELECT e.source, e.target, weight, du.d AS du, dv.d AS dv, coalesce(a.ts, []) AS x, coalesce(b.ts, []) AS y FROM e JOIN g du ON du.node = e.source JOIN g dv ON dv.node = e.target
-            LEFT JOIN o a ON a.source = e.source LEFT JOIN o b ON b.source = e.target), k AS (SELECT *, len(list_intersect(x, y)) AS i FROM j)
-            SELECT source, target, round(1 / du + 1 / dv - 2 / weight, 6) AS ollivier, round(CASE WHEN len(x) + len(y) - i > 0 THEN i / (len(x) + len(y) - i) ELSE 0 END, 6) AS jaccard FROM k""",
-    ),
+    "g5_curvature": (lambda s, d: graph.curvature(edges(s, d)), f"WITH {EDGES}, {CURVED} SELECT * FROM curved"),
     "g6_dirty_edges": (
-        lambda s, d: graph.dirty_edges(strong(s, d), strong(s, d).filter("source % 40 = 0")),
-        f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE weight >= {STRONG}), t AS (SELECT source AS node FROM e WHERE source % 40 = 0 UNION SELECT target FROM e WHERE source % 40 = 0)
-            SELECT source, target FROM e WHERE source IN (SELECT node FROM t) OR target IN (SELECT node FROM t)""",
+        lambda s, d: (lambda e: graph.dirty_edges(e, e.filter("weight >= 0.3")))(edges(s, d)),
+        f"WITH {EDGES}, {TOUCHED} SELECT * FROM dirty",
+    ),
+    "g6_curvature_history": (
+        lambda s, d: (lambda e: graph.curvature_history(graph.curvature(e, of=e.filter("weight >= 0.3")).withColumn("at", F.lit("2024-01-01").cast("timestamp")), e, e.filter("weight >= 0.3"), "2024-01-02"))(edges(s, d)).select("source", "target", "hybrid", F.to_date("at").cast("string").alias("day")),
+        f"""WITH {EDGES}, {CURVED}, {TOUCHED} SELECT source, target, hybrid, '2024-01-01' AS day FROM curved JOIN (SELECT source, target FROM edges WHERE weight >= 0.3) USING (source, target)
+            UNION ALL SELECT source, target, hybrid, '2024-01-02' FROM curved JOIN dirty USING (source, target)""",
     ),
     "g7_apply_deltas": (
         lambda s, d: graph.apply_deltas(start_edges(s, d), changes(s, d)).select("source", "target", F.round("weight", 4).alias("weight")),
-        f"""WITH {DELTAS}, {START}, v AS (SELECT * FROM deltas WHERE operation IN ('add_edge', 'update_edge', 'delete_edge') AND source <> target AND (operation = 'delete_edge' OR weight BETWEEN 0 AND 1)),
-            l AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY ts DESC, id DESC) AS r, bool_or(operation = 'add_edge') OVER (PARTITION BY source, target) AS added FROM v),
-            j AS (SELECT coalesce(s.source, l.source) AS source, coalesce(s.target, l.target) AS target, CASE WHEN l.operation IS NULL THEN s.weight WHEN l.operation = 'delete_edge' THEN NULL WHEN s.weight IS NOT NULL OR l.added THEN l.weight END AS w
-            FROM start s FULL JOIN (SELECT * FROM l WHERE r = 1) l ON s.source = l.source AND s.target = l.target) SELECT source, target, round(w, 4) AS weight FROM j WHERE w IS NOT NULL""",
+        f"""WITH {DELTAS}, {START}, {VALID}, ks AS (SELECT source, target FROM start UNION SELECT source, target FROM v WHERE operation LIKE '%edge'),
+            ev AS (SELECT source, target, id, operation, weight FROM v WHERE operation LIKE '%edge' UNION ALL SELECT ks.source, ks.target, id, operation, NULL FROM ks JOIN v ON operation = 'delete_node' AND (v.source = ks.source OR v.source = ks.target)),
+            z AS (SELECT source, target, max(id) FILTER (operation = 'add_edge') AS a, max(id) FILTER (operation LIKE 'delete%') AS e, arg_max(weight, id) FILTER (operation IN ('add_edge', 'update_edge')) AS w FROM ev GROUP BY 1, 2),
+            j AS (SELECT ks.source, ks.target, CASE WHEN e IS NULL THEN CASE WHEN start.weight IS NOT NULL OR a IS NOT NULL THEN coalesce(w, start.weight) END WHEN a > e THEN w END AS x FROM ks LEFT JOIN z USING (source, target) LEFT JOIN start USING (source, target))
+            SELECT source, target, round(x, 4) AS weight FROM j WHERE x IS NOT NULL""",
+    ),
+    "g7_apply_node_deltas": (
+        lambda s, d: graph.apply_node_deltas(I.table(s, d, "customer").select(F.col("c_custkey").alias("id")), changes(s, d)),
+        f"""WITH {DELTAS}, l AS (SELECT source AS id, arg_max(operation, id) AS op FROM deltas WHERE operation LIKE '%node' GROUP BY 1)
+            SELECT coalesce(l.id, c_custkey) AS id FROM customer FULL JOIN l ON l.id = c_custkey WHERE coalesce(op = 'add_node', true)""",
+    ),
+    "g7_accepted_deltas": (
+        lambda s, d: graph.accepted_deltas(changes(s, d).withColumn("session", F.col("source")), I.concepts(s, d), start_edges(s, d), 0.00125).select("id", "session"),
+        f"""WITH {DELTAS}, {START}, {VALID}, b AS (SELECT source FROM deltas GROUP BY 1 HAVING count(*) <= greatest(1, floor(0.00125 * ((SELECT count(*) FROM start) + (SELECT count(*) FROM part)))))
+            SELECT id, source AS session FROM v WHERE source IN (SELECT source FROM b) AND weight BETWEEN 0 AND 1""",
     ),
     "g7_batch_allowed": (
-        lambda s, d: graph.batch_allowed(changes(s, d), 50, 200),
-        f"WITH {DELTAS} SELECT session, count(*) AS changes, count(*) <= 12.5 AS allowed FROM deltas GROUP BY 1",
+        lambda s, d: graph.batch_allowed(changes(s, d).withColumn("session", F.col("source")), I.concepts(s, d), start_edges(s, d), 0.00125),
+        f"WITH {DELTAS}, {START} SELECT source AS session, count(*) AS changes, count(*) <= greatest(1, floor(0.00125 * ((SELECT count(*) FROM start) + (SELECT count(*) FROM part)))) AS allowed FROM deltas GROUP BY 1",
     ),
     "g8_upsert_average": (
-        lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id"))).select("source", "target", "weight", "extractions"),
-        f"""WITH {DELTAS}, {START}, n AS (SELECT source, target, list(weight ORDER BY ts, id) AS ws FROM deltas WHERE operation = 'add_edge' GROUP BY 1, 2),
-            j AS (SELECT coalesce(s.source, n.source) AS source, coalesce(s.target, n.target) AS target, CASE WHEN s.weight IS NULL THEN ws ELSE list_concat([s.weight], coalesce(ws, [])) END AS a, coalesce(len(ws), 0) AS extractions
-            FROM start s FULL JOIN n ON s.source = n.source AND s.target = n.target) SELECT source, target, round(list_reduce(a, lambda x, y: (x + y) / 2), 6) AS weight, extractions FROM j""",
+        lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumns({"ord": F.struct("ts", "id"), "relation_type": F.col("model_source")})),
+        f"""WITH {DELTAS}, {START}, n AS (SELECT source, target, list(weight ORDER BY id) AS ws, list(confidence ORDER BY id) AS cs, arg_max(kappa, id) AS kappa, arg_min(model_source, id) AS rt FROM deltas WHERE operation = 'add_edge' GROUP BY 1, 2),
+            j AS (SELECT coalesce(s.source, n.source) AS source, coalesce(s.target, n.target) AS target, CASE WHEN s.weight IS NULL THEN ws ELSE list_concat([s.weight], coalesce(ws, [])) END AS a, CASE WHEN s.weight IS NULL THEN cs ELSE list_concat([s.confidence], coalesce(cs, [])) END AS b,
+            coalesce(n.kappa, s.kappa) AS kappa, coalesce(s.relation_type, n.rt) AS relation_type, coalesce(len(ws), 0) AS extractions FROM start s FULL JOIN n ON s.source = n.source AND s.target = n.target)
+            SELECT source, target, round(list_reduce(a, lambda x, y: (x + y) / 2), 6) AS weight, round(list_reduce(b, lambda x, y: (x + y) / 2), 6) AS confidence, kappa, relation_type, extractions FROM j""",
     ),
     "g8_upsert_max": (
         lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id")), "max").select("source", "target", "weight"),
         f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(max(weight), 6) AS weight FROM a GROUP BY 1, 2",
     ),
     "g9_roll_back": (
-        lambda s, d: graph.roll_back(start_edges(s, d), changes(s, d).filter("operation in ('add_edge', 'delete_edge') and session % 3 = 0").withColumn("old_weight", F.round("weight", 4))),
-        f"""WITH {DELTAS}, {START}, o AS (SELECT source, target, operation, round(weight, 4) AS w, row_number() OVER (PARTITION BY source, target ORDER BY ts, id) AS r FROM deltas WHERE operation IN ('add_edge', 'delete_edge') AND session % 3 = 0),
-            j AS (SELECT coalesce(s.source, o.source) AS source, coalesce(s.target, o.target) AS target, CASE WHEN o.operation IS NULL THEN s.weight WHEN o.operation = 'delete_edge' THEN coalesce(o.w, 0.5) END AS weight
-            FROM start s FULL JOIN (SELECT * FROM o WHERE r = 1) o ON s.source = o.source AND s.target = o.target) SELECT * FROM j WHERE weight IS NOT NULL""",
+        lambda s, d: graph.roll_back(start_edges(s, d), graph.to_undo(changes(s, d).withColumns({"old_weight": F.when(F.col("weight") > 0.01, F.round("weight", 4)), "old_kappa": F.when(F.col("weight") > 0.05, F.col("kappa"))}), F.col("session") > 19720, since="2024-01-05")),
+        f"""WITH {DELTAS}, {START}, u AS (SELECT *, CASE WHEN weight > 0.01 THEN round(weight, 4) END AS ow, CASE WHEN weight > 0.05 THEN kappa END AS ok FROM deltas WHERE session > 19720 AND ts >= TIMESTAMP '2024-01-05' AND rolled_back_at IS NULL),
+            ks AS (SELECT source, target FROM start UNION SELECT source, target FROM u WHERE operation LIKE '%edge'),
+            ev AS (SELECT source, target, id, operation, ow, ok FROM u WHERE operation = 'add_edge' OR (operation IN ('delete_edge', 'update_edge') AND ow IS NOT NULL) UNION ALL SELECT ks.source, ks.target, id, operation, NULL, NULL FROM ks JOIN u ON operation = 'add_node' AND (u.source = ks.source OR u.source = ks.target)),
+            z AS (SELECT source, target, min(id) FILTER (operation <> 'update_edge') AS m, arg_min(operation, id) FILTER (operation <> 'update_edge') AS mo, arg_min(ow, id) FILTER (operation <> 'update_edge') AS mw, arg_min(row(ok), id) FILTER (operation <> 'update_edge') AS mk,
+                min(id) FILTER (operation = 'update_edge') AS p, arg_min(ow, id) FILTER (operation = 'update_edge') AS pw, arg_min(row(ok), id) FILTER (operation = 'update_edge') AS pk FROM ev GROUP BY 1, 2),
+            j AS (SELECT ks.source, ks.target, CASE WHEN m IS NULL THEN s.weight IS NOT NULL ELSE mo = 'delete_edge' END AS there, p IS NOT NULL AND (m IS NULL OR p < m) AS back, s.weight AS w, s.kappa AS k, m, mw, mk, pw, pk FROM ks LEFT JOIN z USING (source, target) LEFT JOIN start s USING (source, target))
+            SELECT source, target, CASE WHEN back THEN pw WHEN m IS NOT NULL THEN mw ELSE w END AS weight, CASE WHEN back THEN coalesce(pk[1], 0.5) WHEN m IS NOT NULL THEN coalesce(mk[1], 0.5) ELSE k END AS kappa FROM j WHERE there""",
+    ),
+    "g10_delta_history": (
+        lambda s, d: graph.delta_history(changes(s, d), session=19730, k=200).select("id", "operation", "source", "target"),
+        f"WITH {DELTAS} SELECT id, operation, source, target FROM deltas WHERE session = 19730 AND rolled_back_at IS NULL ORDER BY ts DESC, id DESC LIMIT 200",
     ),
     "g10_mutation_stats": (
-        lambda s, d: graph.mutation_stats(changes(s, d)).select("operation", "n", "sessions", "avg_weight"),
-        f"WITH {DELTAS} SELECT operation, count(*) AS n, count(DISTINCT session) AS sessions, round(avg(weight), 4) AS avg_weight FROM deltas GROUP BY 1",
+        lambda s, d: graph.mutation_stats(changes(s, d), "2024-01-30"),
+        f"""WITH {DELTAS}, p AS (SELECT 'operation' AS kind, operation AS name, * FROM deltas UNION ALL SELECT 'model', model_source, * FROM deltas WHERE rolled_back_at IS NULL UNION ALL SELECT 'last_day', 'all', * FROM deltas WHERE rolled_back_at IS NULL AND ts > TIMESTAMP '2024-01-29')
+            SELECT kind, name, count(*) AS n, count(rolled_back_at) AS rolled_back, round(avg(confidence), 4) AS avg_confidence FROM p GROUP BY 1, 2""",
     ),
     "g11_inject_triples": (
-        lambda s, d: graph.inject_triples(changes(s, d).select(F.col("id").alias("key"), "source", "target", F.col("operation").alias("relation_type"), "weight"), changes(s, d).filter("session % 10 = 0").select("source", "target", F.col("operation").alias("relation_type"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
-        f"""WITH {DELTAS}, x AS (SELECT DISTINCT source, target, operation FROM deltas WHERE session % 10 = 0), r AS (SELECT d.*, row_number() OVER (PARTITION BY source, target, operation ORDER BY id) AS p FROM deltas d)
-            SELECT CASE WHEN r.source = r.target THEN 'self_loop' WHEN p > 1 THEN 'duplicate' WHEN x.source IS NOT NULL THEN 'exists' ELSE 'injected' END AS outcome, count(*) AS n
-            FROM r LEFT JOIN x ON r.source = x.source AND r.target = x.target AND r.operation = x.operation GROUP BY 1""",
+        lambda s, d: injected(s, d).select("key", "source", "target", "relation_type", "outcome"),
+        f"WITH {DELTAS}, {START}, {INJECTED} SELECT key, source, target, relation_type, outcome FROM inj",
+    ),
+    "g11_injected_edges": (
+        lambda s, d: graph.injected_edges(start_edges(s, d), injected(s, d)),
+        f"""WITH {DELTAS}, {START}, {INJECTED}, n AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM inj WHERE outcome = 'injected') SELECT source, target, round(max(weight), 6) AS weight FROM n GROUP BY 1, 2""",
     ),
     "g12_coverage": (
-        lambda s, d: graph.coverage(I.concepts(s, d), strong(s, d)).select("nodes", "edges", "density", "consensus_density", "diversity", "isolated_ratio"),
-        f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE weight >= {STRONG}), g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1), n AS (SELECT coalesce(d, 0) AS d FROM part LEFT JOIN g ON node = p_partkey),
+        lambda s, d: graph.coverage(I.concepts(s, d), edges(s, d)).select("nodes", "edges", "density", "consensus_density", "diversity", "isolated_ratio"),
+        f"""WITH {EDGES}, e AS (SELECT * FROM edges), g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1), n AS (SELECT coalesce(d, 0) AS d FROM part LEFT JOIN g ON node = p_partkey),
             t AS (SELECT count(*) AS nodes, count(*) FILTER (d = 0) AS iso, count(*) FILTER (d >= 10) AS h, count(*) FILTER (d <= 2) AS l FROM n), k AS (SELECT unnest([h, l, nodes - h - l]) AS c, nodes FROM t),
             s AS (SELECT sum(CASE WHEN c > 0 THEN -(c / nodes) * ln(c / nodes) ELSE 0 END) AS ent, count(*) FILTER (c > 0) AS used FROM k)
             SELECT nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) / (nodes * (nodes - 1)), 4) AS density, round((SELECT avg(confidence) FROM e), 4) AS consensus_density,
             round(CASE WHEN used > 1 THEN ent / ln(used) ELSE 0 END, 4) AS diversity, round(iso / nodes, 4) AS isolated_ratio FROM t, s""",
     ),
     "g15_clustering": (
-        lambda s, d: graph.clustering(strong(s, d)).select("node", "degree", "triangles", F.round("coefficient", 4).alias("coefficient")),
-        f"""WITH {EDGES}, e AS (SELECT source AS a, target AS b FROM edges WHERE weight >= {STRONG}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT a AS node, count(*) AS degree FROM u GROUP BY 1),
+        lambda s, d: graph.clustering(edges(s, d)).select("node", "degree", "triangles", F.round("coefficient", 4).alias("coefficient")),
+        f"""WITH {EDGES}, e AS (SELECT source AS a, target AS b FROM edges), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT a AS node, count(*) AS degree FROM u GROUP BY 1),
             t AS (SELECT x.a AS node, count(*) AS triangles FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN e ON e.a = x.b AND e.b = y.b GROUP BY 1)
             SELECT node, degree, coalesce(triangles, 0) AS triangles, round(coalesce(triangles, 0) / (degree * (degree - 1) / 2), 4) AS coefficient FROM g LEFT JOIN t USING (node) WHERE degree >= 2""",
     ),
     "g17_composite": (
-        lambda s, d: graph.coverage(I.concepts(s, d), strong(s, d)).select("clustering", "composite"),
-        f"""WITH {EDGES}, e AS (SELECT source AS a, target AS b, confidence FROM edges WHERE weight >= {STRONG}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT a AS node, count(*) AS degree FROM u GROUP BY 1),
+        lambda s, d: graph.coverage(I.concepts(s, d), edges(s, d)).select("clustering", "composite"),
+        f"""WITH {EDGES}, e AS (SELECT source AS a, target AS b, confidence FROM edges), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT a AS node, count(*) AS degree FROM u GROUP BY 1),
             t AS (SELECT x.a AS node, count(*) AS triangles FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN e ON e.a = x.b AND e.b = y.b GROUP BY 1),
             c AS (SELECT coalesce(avg(coalesce(triangles, 0) / (degree * (degree - 1) / 2)), 0) AS cl FROM g LEFT JOIN t USING (node) WHERE degree >= 2),
             n AS (SELECT coalesce(degree, 0) AS d FROM part LEFT JOIN g ON node = p_partkey), k AS (SELECT count(*) AS nodes, count(*) FILTER (d >= 10) AS h, count(*) FILTER (d <= 2) AS l FROM n),
@@ -238,34 +337,41 @@ QUERIES = {
             SELECT round(cl, 4) AS clustering, round(0.4 * (SELECT count(*) FROM e) / (nodes * (nodes - 1)) + 0.3 * CASE WHEN used > 1 THEN ent / ln(used) ELSE 0 END + 0.3 * cl, 4) AS composite FROM c, w""",
     ),
     "g18_candidates": (
-        lambda s, d: graph.candidates(I.votes(s, d), strong(s, d).select(F.concat(F.lit("part "), "source").alias("source"), F.concat(F.lit("part "), "target").alias("target"))).select("node", "extractions", "models", "degree"),
+        lambda s, d: graph.candidates(I.votes(s, d), edges(s, d).select(F.concat(F.lit("part "), "source").alias("source"), F.concat(F.lit("part "), "target").alias("target"))).select("node", "extractions", "models", "degree"),
         f"""WITH {VOTES}, {EDGES}, t AS (SELECT subject AS node, model FROM votes UNION ALL SELECT object, model FROM votes WHERE object <> subject), f AS (SELECT node, count(*) AS extractions, count(DISTINCT model) AS models FROM t GROUP BY 1),
-            g AS (SELECT node, count(*) AS degree FROM (SELECT 'part ' || source AS node FROM edges WHERE weight >= {STRONG} UNION ALL SELECT 'part ' || target FROM edges WHERE weight >= {STRONG}) GROUP BY 1)
+            g AS (SELECT node, count(*) AS degree FROM (SELECT 'part ' || source AS node FROM edges UNION ALL SELECT 'part ' || target FROM edges) GROUP BY 1)
             SELECT node, coalesce(extractions, 0) AS extractions, coalesce(models, 0) AS models, coalesce(degree, 0) AS degree FROM f FULL JOIN g USING (node) WHERE coalesce(extractions, 0) >= 2 OR coalesce(degree, 0) >= 2""",
     ),
-    "g19_cochain": (
-        lambda s, d: graph.cochain(I.edges(s, d)).select("node", "degree", "agreement", "centrality", "kind"),
-        f"WITH {COCHAIN} SELECT node, degree, agreement, centrality, kind FROM cochain",
+    "g14_diversity_of_types": (
+        lambda s, d: (lambda e: graph.coverage(I.concepts(s, d), e, graph.cochain(e).select("node", "kind")))(edges(s, d)).select("nodes", "diversity"),
+        f"WITH {COCHAIN}, k AS (SELECT kind, count(*) AS n FROM cochain GROUP BY 1), a AS (SELECT sum(n) AS n, count(*) AS u, sum(n * ln(n)) AS x FROM k) SELECT (SELECT count(*) FROM part) AS nodes, round(CASE WHEN u > 1 THEN (ln(n) - x / n) / ln(u) ELSE 0 END, 4) AS diversity FROM a",
     ),
+    "g19_cochain": (lambda s, d: graph.cochain(edges(s, d)), f"WITH {COCHAIN} SELECT * FROM cochain"),
     "g21_contributing_models": (
         lambda s, d: graph.contributing_models(I.votes(s, d)),
         f"""WITH {VOTES}, t AS (SELECT subject AS node, model, confidence FROM votes UNION ALL SELECT object, model, confidence FROM votes WHERE object <> subject), e AS (SELECT node, model, count(*) AS n, avg(confidence) AS c FROM t GROUP BY 1, 2)
             SELECT node, model, round(n / sum(n) OVER (PARTITION BY node) * c, 8) AS contribution FROM e""",
     ),
-    "g22_cochain_stats": (lambda s, d: graph.cochain_stats(graph.cochain(I.edges(s, d))), None),
+    "g22_cochain_stats": (
+        lambda s, d: graph.cochain_stats(graph.cochain(edges(s, d))),
+        f"""WITH {COCHAIN} SELECT kind, CASE WHEN consensus >= 0.8 THEN 'high' WHEN consensus >= 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n, round(avg(centrality), 4) AS avg_centrality, round(avg(stability), 4) AS avg_stability FROM cochain GROUP BY 1, 2""",
+    ),
     "g23_population": (
-        lambda s, d: graph.population(I.concepts(s, d), strong(s, d)),
-        f"""WITH {EDGES}, g AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges WHERE weight >= {STRONG} UNION ALL SELECT target FROM edges WHERE weight >= {STRONG}) GROUP BY 1)
-            SELECT p_brand AS origin, count(*) AS concepts, count(degree) AS connected, round(avg(coalesce(degree, 0)), 4) AS avg_degree FROM part LEFT JOIN g ON node = p_partkey GROUP BY 1""",
+        lambda s, d: graph.population(I.concepts(s, d), edges(s, d), I.vectors(s, d)),
+        f"""WITH {EDGES}, g AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1)
+            SELECT p_brand AS origin, count(*) AS concepts, count(degree) AS connected, round(avg(coalesce(degree, 0)), 4) AS avg_degree, count(vec_id) AS with_vector FROM part LEFT JOIN g ON node = p_partkey LEFT JOIN embeddings ON vec_id = p_partkey GROUP BY 1""",
     ),
     "g23_relation_stats": (
         lambda s, d: graph.relation_stats(I.edges(s, d)),
         f"WITH {EDGES} SELECT relation_type, model_source, count(*) AS n, round(avg(weight), 4) AS avg_weight, round(max(weight), 4) AS max_weight FROM edges GROUP BY 1, 2",
     ),
     "g24_seed_edges": (
-        lambda s, d: graph.seed_edges(changes(s, d).select("source", "target", F.col("operation").alias("relation_type"), F.round("weight", 4).alias("weight")), start_edges(s, d), ["add_node"]),
-        f"""WITH {DELTAS}, {START}, b AS (SELECT source, target, operation, weight FROM deltas UNION ALL SELECT target, source, operation, weight FROM deltas WHERE operation = 'add_node')
-            SELECT source, target, operation AS relation_type, max(round(weight, 4)) AS weight FROM b WHERE NOT EXISTS (SELECT 1 FROM start s WHERE s.source = b.source AND s.target = b.target) GROUP BY 1, 2, 3""",
+        lambda s, d: seeds(s, d),
+        f"""WITH {START}, {SEEDED} SELECT * FROM seeded""",
+    ),
+    "g24_seed_nodes": (
+        lambda s, d: graph.seed_nodes(I.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), seeds(s, d)),
+        f"WITH {START}, {SEEDED} SELECT s_suppkey AS id FROM supplier UNION SELECT source FROM seeded UNION SELECT target FROM seeded",
     ),
     "b13_top_concepts": (
         lambda s, d: graph.search(I.concepts(s, d), I.edges(s, d), "%", k=1000).select("id", "degree"),
@@ -275,7 +381,7 @@ QUERIES = {
         lambda s, d: graph.cochain(I.edges(s, d)).select("node", F.to_json(F.struct("degree", "kind")).alias("data")),
         f"""WITH {COCHAIN} SELECT node, '{{"degree":' || degree || ',"kind":"' || kind || '"}}' AS data FROM cochain""",
     ),
-    "k1_isolated": (isolated, f"WITH {EDGES}, {ISOLATED} SELECT * FROM isolated"),
+    "k1_isolated": (isolated, f"WITH {START}, {ISOLATED} SELECT * FROM isolated"),
     "k2_unstable": (lambda s, d: gaps.unstable(I.votes(s, d)), f"WITH {VOTES}, {UNSTABLE} SELECT * FROM unstable"),
     "k3_weak_relations": (lambda s, d: gaps.weak_relations(I.edges(s, d)), f"WITH {EDGES} SELECT source, target, weight, 0.25::DOUBLE AS std FROM edges WHERE weight < 0.6 ORDER BY weight, source, target LIMIT 100"),
     "k4_contradictions": (
@@ -289,19 +395,36 @@ QUERIES = {
         f"""WITH {EDGES}, f AS (SELECT source AS id, target AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM edges) WHERE r = 1)
             SELECT * FROM (SELECT cluster, id, count(*) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place FROM f) WHERE size > 1""",
     ),
-    "k5_bridges": (lambda s, d: gaps.bridges(I.edges(s, d), similarity.cosine_join(I.vectors(s, d), 0.2), least=ALIKE), None),
-    "k6_ranked_gaps": (all_gaps, f"WITH {VOTES}, {EDGES}, {GAPS} SELECT * FROM gaps"),
+    "k5_bridges": (
+        lambda s, d: gaps.bridges(edges(s, d), similarity.cosine_join(I.vectors(s, d), 0.2), least=ALIKE),
+        f"""WITH {EDGES}, {UNIT}, f AS (SELECT source AS id, target AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM edges) WHERE r = 1),
+            m AS (SELECT * FROM (SELECT cluster, id, count(*) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place FROM f) WHERE size > 1), sb AS (SELECT a, b, similarity FROM sim WHERE similarity >= 0.2 UNION ALL SELECT b, a, similarity FROM sim WHERE similarity >= 0.2),
+            k AS (SELECT x.cluster AS ca, y.cluster AS cb, x.size AS na, y.size AS nb, avg(similarity) AS s FROM sb JOIN m x ON x.id = a AND x.place <= 3 JOIN m y ON y.id = b AND y.place <= 3 WHERE x.cluster < y.cluster GROUP BY 1, 2, 3, 4 HAVING avg(similarity) >= {ALIKE}),
+            c AS (SELECT DISTINCT least(x.cluster, y.cluster) AS ca, greatest(x.cluster, y.cluster) AS cb FROM edges e JOIN m x ON x.id = e.source AND x.place <= 10 JOIN m y ON y.id = e.target AND y.place <= 10 WHERE x.cluster <> y.cluster)
+            SELECT ca, cb, round(s, 4) AS similarity, round(least(1, 0.3 * s * (1 + least(1, (na + nb) / 20))), 4) AS priority FROM k ANTI JOIN c USING (ca, cb)""",
+    ),
+    "k6_ranked_gaps": (all_gaps, f"WITH {VOTES}, {START}, {GAPS} SELECT * FROM gaps"),
     "k7_active_gaps": (
         lambda s, d: gaps.active(all_gaps(s, d), all_gaps(s, d).filter("gap_type = 'isolated' and priority > 0.7")),
-        f"WITH {VOTES}, {EDGES}, {GAPS} SELECT * FROM gaps WHERE NOT (gap_type = 'isolated' AND priority > 0.7)",
+        f"WITH {VOTES}, {START}, {GAPS} SELECT * FROM gaps WHERE NOT (gap_type = 'isolated' AND priority > 0.7)",
     ),
     "k8_converged": (
-        lambda s, d: gaps.same_gaps(all_gaps(s, d), all_gaps(s, d).filter("priority < 2")),
-        f"WITH {VOTES}, {EDGES}, {GAPS} SELECT true AS same_size, true AS converged",
-    ),
-    "k9_targets": (
-        lambda s, d: gaps.targets(isolated(s, d).select(F.col("subject").alias("key"), "priority"), graph.degrees(I.edges(s, d)).select(F.col("node").alias("id"), "degree"), limit=150),
-        f"""WITH {EDGES}, {INCIDENT}, {ISOLATED}, u AS (SELECT subject AS id, 0 AS stage, -priority AS rank FROM isolated UNION ALL SELECT node::VARCHAR, 1, degree FROM deg), b AS (SELECT id, min(stage) AS stage FROM u GROUP BY 1)
-            SELECT id, stage FROM (SELECT b.id, b.stage, min(rank) AS rank FROM b JOIN u ON u.id = b.id AND u.stage = b.stage GROUP BY 1, 2) ORDER BY stage, rank, id LIMIT 150""",
+        lambda s, d: gaps.same_gaps(runs_gaps(s, d, 0), runs_gaps(s, d, 1)).withColumn("runs", F.lit("0 and 1")).unionByName(gaps.same_gaps(runs_gaps(s, d, 1), runs_gaps(s, d, 1)).withColumn("runs", F.lit("1 and 1"))),
+        f"""WITH {VOTES}, {_run_gaps(0)}, {_run_gaps(1)}, x AS (SELECT count(*) AS n FROM ((SELECT * FROM g0 EXCEPT SELECT * FROM g1) UNION ALL (SELECT * FROM g1 EXCEPT SELECT * FROM g0)))
+            SELECT (SELECT count(*) FROM g0) = (SELECT count(*) FROM g1) AS same_size, n = 0 AS converged, '0 and 1' AS runs FROM x UNION ALL SELECT true, true, '1 and 1'""",
+    ),
+    "k9_targets_divergent": (
+        lambda s, d: gaps.targets(isolated(s, d).select(F.lit("isolated").alias("gap_type"), F.col("subject").alias("id"), "priority"), "divergent", degrees=graph.degrees(start_edges(s, d)).select(F.col("node").alias("id"), "degree"), limit=150),
+        f"""WITH {START}, {ISOLATED}, sd AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM start UNION ALL SELECT target FROM start WHERE source <> target) GROUP BY 1),
+            q AS (SELECT subject AS id, 0 AS stage, -priority::DOUBLE AS rank FROM isolated UNION ALL SELECT node::VARCHAR, 1, degree FROM sd WHERE degree < 10), b AS (SELECT id, min(row(stage, rank)) AS o FROM q GROUP BY 1) SELECT id, o[1] AS stage FROM b ORDER BY o, id LIMIT 150""",
+    ),
+    "k9_targets_debate": (
+        lambda s, d: gaps.targets(gaps.unstable(I.votes(s, d)).select(F.lit("unstable").alias("gap_type"), F.col("subject").alias("id"), "priority"), "debate", edges=start_edges(s, d), limit=150),
+        f"""WITH {VOTES}, {UNSTABLE}, {START}, q AS (SELECT subject AS id, 0 AS stage, -priority::DOUBLE AS rank FROM unstable UNION ALL SELECT unnest([source, target])::VARCHAR, 1, weight FROM start WHERE weight < 0.7),
+            b AS (SELECT id, min(row(stage, rank)) AS o FROM q GROUP BY 1) SELECT id, o[1] AS stage FROM b ORDER BY o, id LIMIT 150""",
+    ),
+    "k9_targets_meta": (
+        lambda s, d: gaps.targets(gaps.bridges(edges(s, d), similarity.cosine_join(I.vectors(s, d), 0.2), least=ALIKE).select(F.lit("bridge").alias("gap_type"), F.col("ca").alias("id"), "priority"), "meta", recent=I.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at")), limit=150),
+        None,
     ),
 }

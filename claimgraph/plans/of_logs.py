@@ -52,6 +52,26 @@ def snapshots(s, d):
     return e.select(F.concat(F.lit("s"), F.col("event_id") % 2).alias("source_id"), F.col("event_id").cast("string").alias("query_hash"), raw.alias("raw"))
 
 
+def texts(s, d):
+    return I.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def turns(s, d):
+    """Events as turns of users' sessions, with made-up physics."""
+    e = I.table(s, d, "events").select("event_id", F.col("user_id").alias("session"), F.to_date("ts").cast("string").alias("day"), (F.col("value") / 97.13).alias("weight"), (F.col("event_id") % 6).alias("concepts"), (F.col("event_id") % 3 / 2).alias("tau"), (F.col("event_id") % 5 / 4 - 0.5).alias("delta_r"), (F.col("event_id") % 11 / 10 - 0.5).alias("rho"), (50 + F.col("event_id") % 300).alias("length"))
+    return sessions.turn_metrics(e)
+
+
+def evidence(s, d):
+    """Declared files: the table of nations by its right and by a wrong hash, by a path with detours, and others."""
+    files = s.read.format("binaryFile").load(f"{d}/nation.parquet")
+    right = files.select(F.sha2("content", 256).alias("right"))
+    key = F.col("n_nationkey")
+    where = F.when(key == 0, "nation.parquet").when(key == 1, "https://x/y").when(key == 2, "../nation.parquet").when(key == 3, "nation.parquet").when(key == 4, "./x/../nation.parquet").when(key == 5, "x/nation.parquet").otherwise(F.concat("n_name", F.lit(".txt")))
+    declared = I.table(s, d, "nation").crossJoin(right).select(where.alias("location"), F.when(key.isin(0, 4), F.col("right")).otherwise("0").alias("sha256"))
+    return landing.verify_evidence(declared, files, d)
+
+
 def stream_of(s, d, name: str):
     """The table as a stream of its files."""
     schema = I.table(s, d, name).schema
@@ -60,7 +80,7 @@ def stream_of(s, d, name: str):
 
 
 def votes_with_time(rows):
-    return rows.select("ts", F.concat(F.lit("c"), F.col("event_id") % 40).alias("key"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.col("event_id").alias("vote_id"), (F.col("value") / 500).alias("confidence"))
+    return rows.select("ts", F.concat(F.lit("c"), F.get_json_object("props", "$.k")).alias("key"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.col("event_id").alias("vote_id"), (F.col("value") / 500).alias("confidence"))
 
 
 def as_predictions(rows):
@@ -68,10 +88,10 @@ def as_predictions(rows):
 
 
 def as_outcomes(rows):
-    return rows.filter("event_type = 'purchase' and event_id % 5 = 0").select(F.col("user_id").alias("claim"), (F.col("value") > 100).cast("int").alias("outcome"), F.col("ts").alias("resolved_at"))
+    return rows.filter("event_type = 'purchase'").select(F.col("user_id").alias("claim"), (F.col("value") > 100).cast("int").alias("outcome"), F.col("ts").alias("resolved_at"))
 
 
-WORDS = "w AS (SELECT item_id AS id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{4,}') AS ws FROM benchmark))"
+WORDS = "w AS (SELECT doc_id AS id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{4,}') AS ws FROM documents))"
 KEYWORDS = f"""{WORDS}, k AS (SELECT id, word, count(*) * length(word) AS score, min(pos) AS f FROM w WHERE word NOT IN ({', '.join(f"'{x}'" for x in sessions.STOP_WORDS)}) GROUP BY 1, 2),
     kw AS (SELECT id, word, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, f) AS place FROM k)"""
 
@@ -79,9 +99,25 @@ SESSIONS = """o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVA
     g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM o), ses AS (SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 2 HOUR AS ended, count(*) AS n FROM g GROUP BY user_id, k)"""
 RATES = """rates AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS began, event_type, count(*) AS n, round(count(*) / 50, 4) AS ratio,
     CASE WHEN count(*) / 50 > 2 THEN 'escalation' WHEN count(*) / 50 < 0.5 THEN 'de-escalation' ELSE 'stable' END AS status FROM events GROUP BY 1, 2)"""
+#: Sessions without an event since then are inactive.
+CUTOFF = "2024-01-30 00:00:00"
 #: What a stream has closed when its watermark, a day behind the last event, has passed the end.
 CLOSED = "<= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
+METRICS = """t AS (SELECT event_id, user_id AS session, ts::DATE::VARCHAR AS day, value / 97.13 AS w, event_id % 6 AS n, event_id % 3 / 2 AS tau, event_id % 5 / 4 - 0.5 AS dr, event_id % 11 / 10 - 0.5 AS rho, 50 + event_id % 300 AS len FROM events),
+    x AS (SELECT *, CASE WHEN rho > 0 THEN 200 + 100 * rho WHEN rho < 0 THEN 150 + 50 * rho ELSE 150 END AS ex FROM t),
+    y AS (SELECT *, CASE WHEN n > 0 THEN least(1, greatest(0, w / n / 0.8)) ELSE 0 END AS c, least(1, greatest(0, 0.3 * abs(dr) + 0.7 * tau / (tau + 1))) AS p, least(1, greatest(0, 1 - abs(len - ex) / ex)) AS f FROM x),
+    z AS (SELECT *, least(1, greatest(0, 0.4 * (1 - c) + 0.6 * p)) AS te FROM y),
+    metrics AS (SELECT event_id, session, day, round(c, 4) AS coherence, round(p, 4) AS pressure, round(f, 4) AS fit, round(te, 4) AS tension, round(least(1, greatest(0, 0.5 * (c + f) - 0.5 * te)), 4) AS stability FROM z)"""
+SUMMARY = """count(*) AS turns, round(avg(coherence), 9) AS avg_coherence, round(avg(pressure), 9) AS avg_pressure, round(avg(fit), 9) AS avg_fit, round(avg(tension), 9) AS avg_tension, round(avg(stability), 9) AS avg_stability,
+    round(quantile_cont(tension, 0.5), 9) AS median_tension, round(count(*) FILTER (tension > 0.7) / count(*), 9) AS share_tense, round(count(*) FILTER (fit < 0.3) / count(*), 9) AS share_unfit FROM metrics"""
+
+FOLLOWED = f"""WITH {I.DELTAS}, {I.START}, {I.VALID}, ks AS (SELECT source, target FROM start UNION SELECT source, target FROM v WHERE operation LIKE '%edge'),
+    ev AS (SELECT source, target, id, operation, weight FROM v WHERE operation LIKE '%edge' UNION ALL SELECT ks.source, ks.target, id, operation, NULL FROM ks JOIN v ON operation = 'delete_node' AND (v.source = ks.source OR v.source = ks.target)),
+    z AS (SELECT source, target, max(id) FILTER (operation = 'add_edge') AS a, max(id) FILTER (operation LIKE 'delete%') AS e, arg_max(weight, id) FILTER (operation IN ('add_edge', 'update_edge')) AS w FROM ev GROUP BY 1, 2),
+    after AS (SELECT * FROM (SELECT ks.source, ks.target, CASE WHEN e IS NULL THEN CASE WHEN start.weight IS NOT NULL OR a IS NOT NULL THEN coalesce(w, start.weight) END WHEN a > e THEN w END AS weight FROM ks LEFT JOIN z USING (source, target) LEFT JOIN start USING (source, target)) WHERE weight IS NOT NULL)
+    {{select}}"""
+
 QUERIES = {
     "s1_concept_list": (
         lambda s, d: landing.concept_list(I.table(s, d, "part").select(F.concat(F.lit("  "), F.upper("p_type"), F.lit("  ("), F.col("p_brand"), F.lit(")")).alias("value"))),
@@ -98,16 +134,17 @@ QUERIES = {
             CASE WHEN o_orderkey % 5 = 0 THEN 'empirical' ELSE 'predictive' END AS claim_type, CASE WHEN o_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE 0.75 END AS confidence FROM orders""",
     ),
     "s4_verdict_triples": (
-        lambda s, d: landing.verdict_triples(landing.parse_verdicts(verdict_texts(s, d)), F.concat(F.lit("claim "), "id")).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 2).alias("c")),
-        """WITH o AS (SELECT count(*) AS a, count(*) FILTER (o_orderkey % 5 <> 0) AS b FROM orders) SELECT 'verdict' AS relation, a AS n, round(b * 0.75, 2) AS c FROM o UNION ALL SELECT 'evidence', b, round(b * 0.75, 2) FROM o UNION ALL SELECT 'reasoning', b, round(b * 0.75, 2) FROM o""",
+        lambda s, d: landing.verdict_triples(landing.parse_verdicts(verdict_texts(s, d)), F.concat(F.lit("claim "), "id")),
+        """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN o_orderstatus = 'F' THEN 'SUPPORTED' WHEN o_orderstatus = 'O' THEN 'CONTESTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS v, CASE WHEN o_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE 0.75 END AS confidence FROM orders)
+            SELECT id, 0 AS pos, 'claim ' || id AS subject, 'verdict' AS relation, v AS object, confidence FROM o UNION ALL SELECT id, 1, 'a', 'evidence', 'b', confidence FROM o WHERE id % 5 <> 0 UNION ALL SELECT id, 2, 'claim ' || id, 'reasoning', 'because', confidence FROM o WHERE id % 5 <> 0""",
     ),
     "s5_explode_cycles": (
         lambda s, d: landing.explode_cycles(talk(s, d).select(F.col("conv_id").alias("run_id"), F.col("turn").alias("cycle"), F.to_json(F.create_map(F.lit("m1"), F.col("role"), F.lit("m2"), F.upper("role"))).alias("responses"))),
         "SELECT conv_id AS run_id, turn AS cycle, 'm1' AS model, role AS text FROM conversations UNION ALL SELECT conv_id, turn, 'm2', upper(role) FROM conversations",
     ),
     "s6_conflict_events": (
-        lambda s, d: landing.conflict_events(I.table(s, d, "events").select((F.col("user_id") % 20).alias("region"), "event_type", F.when(F.col("event_id") % 7 == 0, "unknown").otherwise((F.col("event_id") % 5).cast("string")).alias("fatalities")), ["region"]),
-        """WITH e AS (SELECT user_id % 20 AS region, event_type, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 5 END AS f FROM events), t AS (SELECT region, event_type || '=' || count(*) AS p FROM e GROUP BY region, event_type)
+        lambda s, d: landing.conflict_events(I.table(s, d, "events").select(F.col("user_id").alias("region"), "event_type", F.when(F.col("event_id") % 7 == 0, "unknown").otherwise((F.col("event_id") % 5).cast("string")).alias("fatalities")), ["region"]),
+        """WITH e AS (SELECT user_id AS region, event_type, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 5 END AS f FROM events), t AS (SELECT region, event_type || '=' || count(*) AS p FROM e GROUP BY region, event_type)
             SELECT region, count(*) AS event_count, sum(f)::BIGINT AS fatalities, (SELECT string_agg(p, ',' ORDER BY p) FROM t WHERE t.region = e.region) AS by_type, round(count(*) / 500, 4) AS ratio, round(least(1, count(*) / 500), 4) AS score,
             CASE WHEN count(*) / 500 > 2 THEN 'escalation' WHEN count(*) / 500 < 0.5 THEN 'de-escalation' ELSE 'stable' END AS status FROM e GROUP BY region""",
     ),
@@ -134,36 +171,37 @@ QUERIES = {
             SELECT 'claim ' || event_id AS subject, o AS object, CASE o WHEN 'found' THEN 0.7::DOUBLE ELSE 0 END AS score, sha256('{"object":"' || o || '","query_hash":"' || event_id || '","source_id":"' || s || '"}') AS anchor_hash FROM e""",
     ),
     "s13_verify_evidence": (
-        lambda s, d: landing.verify_evidence(
-            I.table(s, d, "nation").select(F.when(F.col("n_nationkey") == 0, "nation.parquet").when(F.col("n_nationkey") == 1, "https://x/y").when(F.col("n_nationkey") == 2, "../z").otherwise(F.concat("n_name", F.lit(".txt"))).alias("location"), F.lit("0").alias("sha256")),
-            s.read.format("binaryFile").load(f"{d}/nation.parquet"),
-        ).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
-        "SELECT CASE n_nationkey WHEN 0 THEN 'different' WHEN 1 THEN 'declared' WHEN 2 THEN 'outside' ELSE 'missing' END AS state, count(*) AS n FROM nation GROUP BY 1",
+        lambda s, d: landing.evidence_totals(evidence(s, d)),
+        """WITH e AS (SELECT CASE n_nationkey WHEN 0 THEN 'verified' WHEN 1 THEN 'declared' WHEN 2 THEN 'outside' WHEN 3 THEN 'different' WHEN 4 THEN 'verified' ELSE 'missing' END AS state FROM nation) SELECT state, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM e""",
     ),
     "s14_proposals": (
-        lambda s, d: landing.verify_proposals(landing.proposals(I.table(s, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("frame")).agg(F.collect_list(F.struct(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("location"), F.lit("0").alias("sha256"), F.lit("d").alias("description"))).alias("evidence")))).select("id", "frame", "hash", "intact"),
-        """WITH g AS (SELECT o_custkey AS id, o_orderstatus AS frame, string_agg('{"kind":"order","location":"' || o_orderkey || '","sha256":"0","description":"d"}', ',' ORDER BY o_orderkey::VARCHAR) AS e FROM orders GROUP BY 1, 2)
-            SELECT id, frame, sha256('{"decision":"proposed","evidence":[' || e || '],"frame":"' || frame || '","id":' || id || '}') AS hash, true AS intact FROM g""",
+        lambda s, d: landing.verify_proposals(landing.proposals(I.table(s, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("frame")).agg(F.collect_list(F.struct(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("location"), F.lit("0").alias("sha256"), F.lit("d").alias("description"))).alias("evidence")).withColumn("frame_hash", F.when(F.col("frame") != "P", F.sha2("frame", 256)).otherwise("")))).select("id", "frame", "hash", "complete", "intact"),
+        """WITH g AS (SELECT o_custkey AS id, o_orderstatus AS frame, CASE WHEN o_orderstatus <> 'P' THEN sha256(o_orderstatus) ELSE '' END AS fh, string_agg('{"kind":"order","location":"' || o_orderkey || '","sha256":"0","description":"d"}', ',' ORDER BY o_orderkey::VARCHAR) AS e FROM orders GROUP BY 1, 2, 3)
+            SELECT id, frame, sha256('{"decision":"proposed","evidence":[' || e || '],"frame":"' || frame || '","frame_hash":"' || fh || '","id":' || id || '}') AS hash, frame <> 'P' AS complete, true AS intact FROM g""",
     ),
     "s15_bundles": (
-        lambda s, d: sessions.unbundle(sessions.bundles(talk(s, d))),
+        lambda s, d: sessions.unbundle(sessions.bundles(talk(s, d), trajectories=talk(s, d).select("conv_id", F.col("turn").alias("at"), F.length("text").alias("size")))),
         "SELECT conv_id, turn, role, text FROM conversations",
     ),
+    "s15_listing": (
+        lambda s, d: sessions.listing(sessions.bundles(talk(s, d)), talk(s, d).groupBy("conv_id").agg(F.concat(F.lit("m"), F.max("turn")).alias("model"), F.sum(F.length("text")).alias("at")), k=5),
+        """WITH b AS (SELECT conv_id, 'm' || max(turn) AS model, sum(length(text)) AS made, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT model, conv_id, n, row_number() OVER (PARTITION BY model ORDER BY made DESC, conv_id) AS place FROM b) SELECT * FROM r WHERE place <= 5""",
+    ),
     "x1_messages": (
         lambda s, d: sessions.messages(talk(s, d), roles=["user"], k=2).select("conv_id", "turn", "place"),
         "SELECT * FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role = 'user') WHERE place <= 2",
     ),
     "x2_trim": (
-        lambda s, d: sessions.trim(talk(s, d), last=6, budget=150),
-        """WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), c AS (SELECT conv_id, turn, role, back, sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS chars FROM b WHERE back <= 6)
-            SELECT conv_id, turn, role, chars::BIGINT AS chars FROM c WHERE chars // 4 <= 150 OR back = 1""",
+        lambda s, d: sessions.trim(talk(s, d), last=6, budget=150, pinned="user"),
+        """WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AND role = 'user' AS pin FROM conversations), b AS (SELECT *, CASE WHEN pin THEN 0 ELSE row_number() OVER (PARTITION BY conv_id, pin ORDER BY turn DESC) END AS back FROM a),
+            c AS (SELECT conv_id, turn, role, back, sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id, pin ORDER BY turn DESC) AS chars FROM b WHERE back <= 6) SELECT conv_id, turn, role, back, chars::BIGINT AS chars FROM c WHERE chars // 4 <= 150 OR back <= 1""",
     ),
     "x3_keywords": (
-        lambda s, d: sessions.keywords(I.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")),
+        lambda s, d: sessions.keywords(texts(s, d)),
         f"WITH {KEYWORDS} SELECT id, place, word, score FROM kw WHERE place <= 5",
     ),
     "x4_context": (
-        lambda s, d: sessions.context(sessions.keywords(I.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")), sessions.keywords(I.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), k=10).select(F.col("word").alias("source"), F.concat(F.lit("item "), "id").alias("target"), (F.col("score") / 100).alias("weight"))).select("id", "target", "weight", "place"),
+        lambda s, d: sessions.context(sessions.keywords(texts(s, d)), sessions.keywords(texts(s, d), k=10).select(F.col("word").alias("source"), F.concat(F.lit("item "), "id").alias("target"), (F.col("score") / 100).alias("weight"))).select("id", "target", "weight", "place"),
         f"""WITH {KEYWORDS}, e AS (SELECT word, 'item ' || id AS target, score / 100 AS weight FROM kw WHERE place <= 10 AND score / 100 >= 0.1), n AS (SELECT kw.id, target, round(sum(weight), 4) AS weight FROM kw JOIN e USING (word) WHERE place <= 5 GROUP BY 1, 2)
             SELECT * FROM (SELECT id, target, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, target) AS place FROM n) WHERE place <= 5""",
     ),
@@ -174,19 +212,20 @@ QUERIES = {
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, turn DESC) AS place FROM j WHERE score >= 0.1) WHERE place <= 3""",
     ),
     "x6_memory_stats": (lambda s, d: sessions.memory_stats(talk(s, d)), "SELECT conv_id, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1"),
-    "x7_turn_metrics": (
-        lambda s, d: sessions.turn_metrics(I.table(s, d, "events").select("event_id", (F.col("value") / 97.13).alias("weight"), (F.col("event_id") % 6).alias("concepts"), (F.col("event_id") % 3 / 2).alias("tau"), (F.col("event_id") % 5 / 4 - 0.5).alias("delta_r"), (F.col("event_id") % 11 / 10).alias("rho"), (50 + F.col("event_id") % 300).alias("length"))).select("event_id", "coherence", "pressure", "fit"),
-        """WITH t AS (SELECT event_id, value / 97.13 AS w, event_id % 6 AS n, event_id % 3 / 2 AS tau, event_id % 5 / 4 - 0.5 AS dr, event_id % 11 / 10 AS rho, 50 + event_id % 300 AS len FROM events),
-            x AS (SELECT *, CASE WHEN rho > 0.7 THEN 200 + 100 * rho WHEN rho > 0.3 THEN 150 + 50 * rho ELSE 150 END AS ex FROM t)
-            SELECT event_id, round(CASE WHEN n > 0 THEN least(1, w / n / 0.8) ELSE 0 END, 4) AS coherence, round(0.3 * abs(dr) + 0.7 * tau / (tau + 1), 4) AS pressure, round(least(len / ex, ex / len), 4) AS fit FROM x""",
-    ),
+    "x7_turn_metrics": (lambda s, d: turns(s, d).select("event_id", "coherence", "pressure", "fit", "tension", "stability"), f"WITH {METRICS} SELECT event_id, coherence, pressure, fit, tension, stability FROM metrics"),
+    "x7_session_metrics": (lambda s, d: sessions.metric_summary(turns(s, d), ["session"]), f"WITH {METRICS} SELECT session, {SUMMARY} GROUP BY 1"),
+    "x7_daily_metrics": (lambda s, d: sessions.metric_summary(turns(s, d), ["day"]), f"WITH {METRICS} SELECT day, {SUMMARY} GROUP BY 1"),
     "x10_inactive": (
-        lambda s, d: sessions.inactive(by_user(s, d), "2024-01-28 00:00:00"),
-        "SELECT user_id AS session, max(ts) AS last_at, count(*) AS events FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-28'",
+        lambda s, d: sessions.inactive(by_user(s, d), CUTOFF),
+        f"SELECT user_id AS session, max(ts) AS last_at, count(*) AS events FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '{CUTOFF}'",
     ),
     "x10_retain": (
-        lambda s, d: sessions.retain(by_user(s, d), "2024-01-28 00:00:00").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
-        "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-28') GROUP BY 1",
+        lambda s, d: sessions.retain(by_user(s, d), CUTOFF).select("event_id", "session"),
+        f"SELECT event_id, user_id AS session FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '{CUTOFF}')",
+    ),
+    "x10_forget_session": (
+        lambda s, d: sessions.forget_session(I.deltas(s, d).withColumn("session", F.col("source")), by_user(s, d), CUTOFF).select("id", "session"),
+        f"SELECT event_id AS id, CASE WHEN max(ts) OVER (PARTITION BY user_id) >= TIMESTAMP '{CUTOFF}' THEN user_id END AS session FROM events",
     ),
     "t1_session_activity": (lambda s, d: streams.session_activity(I.table(s, d, "events")), f"WITH {SESSIONS} SELECT * FROM ses"),
     "t1_session_activity_stream": (lambda s, d: streams.drain(streams.session_activity(stream_of(s, d, "events")), "t1"), f"WITH {SESSIONS} SELECT * FROM ses WHERE ended {CLOSED}"),
@@ -195,23 +234,32 @@ QUERIES = {
         f"""WITH {I.DELTAS}, x AS (SELECT CASE operation WHEN 'add_edge' THEN 1 WHEN 'delete_edge' THEN -1 END AS g, source, target FROM deltas), y AS (SELECT source AS node, g FROM x UNION ALL SELECT target, g FROM x WHERE source <> target)
             SELECT node, sum(g)::BIGINT AS degree, count(*) AS changes FROM y WHERE g IS NOT NULL GROUP BY 1""",
     ),
+    "t2_follow_deltas_stream": (lambda s, d: streams.follow_deltas(I.start_edges(s, d), I.as_deltas(stream_of(s, d, "events")))[0].select("source", "target", F.round("weight", 4).alias("weight")), FOLLOWED.format(select="SELECT source, target, round(weight, 4) AS weight FROM after")),
+    "t2_dirty_queue_stream": (
+        lambda s, d: streams.follow_deltas(I.start_edges(s, d), I.as_deltas(stream_of(s, d, "events")))[1].select("source", "target"),
+        FOLLOWED.format(select="SELECT source, target FROM after WHERE source IN (SELECT source FROM deltas UNION SELECT target FROM deltas) OR target IN (SELECT source FROM deltas UNION SELECT target FROM deltas)"),
+    ),
     "t3_event_rates": (
         lambda s, d: streams.event_rates(I.table(s, d, "events")),
         f"WITH {RATES} SELECT * FROM rates",
     ),
     "t3_event_rates_stream": (lambda s, d: streams.drain(streams.event_rates(stream_of(s, d, "events")), "t3"), f"WITH {RATES} SELECT * FROM rates WHERE began + INTERVAL 1 DAY {CLOSED}"),
     "t4_windowed_consensus_stream": (lambda s, d: streams.drain(streams.windowed_consensus(votes_with_time(stream_of(s, d, "events")), 5).select("began", "key", "n", "models"), "t4"), f"""
-        WITH v AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, 'c' || (event_id % 40) AS key, user_id % 5 AS m FROM events) SELECT began, key, count(*) AS n, count(DISTINCT m) AS models FROM v WHERE began + INTERVAL 7 DAY {CLOSED} GROUP BY 1, 2"""),
+        WITH v AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, 'c' || (props::JSON ->> '$.k') AS key, user_id % 5 AS m FROM events) SELECT began, key, count(*) AS n, count(DISTINCT m) AS models FROM v WHERE began + INTERVAL 7 DAY {CLOSED} GROUP BY 1, 2"""),
     "t4_windowed_consensus": (
         lambda s, d: streams.windowed_consensus(votes_with_time(I.table(s, d, "events")), 5),
-        """WITH v AS (SELECT ts, 'c' || (event_id % 40) AS key, 'm' || (user_id % 5) AS model, value / 500 AS c FROM events) SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, key, count(*) AS n, count(DISTINCT model) AS models,
+        """WITH v AS (SELECT ts, 'c' || (props::JSON ->> '$.k') AS key, 'm' || (user_id % 5) AS model, value / 500 AS c FROM events) SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, key, count(*) AS n, count(DISTINCT model) AS models,
             round(count(DISTINCT model) / 5, 4) AS agreement, round(0.6 * count(DISTINCT model) / 5 + 0.4 * avg(c), 4) AS score FROM v GROUP BY 1, 2""",
     ),
     "t5_rolling_calibration": (
         lambda s, d: streams.rolling_calibration(as_predictions(I.table(s, d, "events")), as_outcomes(I.table(s, d, "events"))).select("began", "model", "n", "avg_brier"),
         """WITH p AS (SELECT user_id AS claim, 'm' || (event_id % 3) AS model, value / 500 AS p, ts AS created_at FROM events WHERE event_type = 'view'),
-            o AS (SELECT user_id AS claim, (value > 100)::INT AS outcome, ts AS resolved_at FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)
+            o AS (SELECT user_id AS claim, (value > 100)::INT AS outcome, ts AS resolved_at FROM events WHERE event_type = 'purchase')
             SELECT time_bucket(INTERVAL 10 DAY, created_at, TIMESTAMP '1970-01-01') - to_days((10 * k)::INT) AS began, model, count(*) AS n, round(avg(pow(p - outcome, 2)), 4) AS avg_brier
             FROM p JOIN o USING (claim), range(3) t(k) WHERE resolved_at BETWEEN created_at AND created_at + INTERVAL 90 DAY GROUP BY 1, 2""",
     ),
+    "t5_rolling_calibration_stream": (
+        lambda s, d: streams.drain(streams.rolling_calibration(as_predictions(stream_of(s, d, "events")), as_outcomes(stream_of(s, d, "events")), width="5 days", slide="5 days", patience="2 days"), "t5").select("began", "model", "n", "avg_brier"),
+        None,
+    ),
 }

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from claimgraph.operators import align, calibrate, components, gaps, graph, similarity, text, votes
+from claimgraph.functions import storage
+from claimgraph.operators import align, calibrate, components, gaps, graph, sessions, similarity, text, votes
 from claimgraph.sources import landing
 from claimgraph.streaming import streams
 
@@ -100,10 +101,164 @@ def test_upserts_and_rollbacks(spark):
     new = spark.createDataFrame([(*k, w, i) for i, (k, w) in enumerate(changes)], "source long, target long, weight double, ord long")
     for policy in ("average", "max", "replace"):
         assert {(r.source, r.target): r.weight for r in graph.upsert_edges(current, new, policy).collect()} == replay(start, changes, policy)
-    log = [(1, 2, "update_edge", 0.3, 1), (1, 2, "delete_edge", 0.7, 2), (3, 4, "add_edge", None, 3), (5, 6, "update_edge", 0.1, 4)]
-    deltas = spark.createDataFrame(log, "source long, target long, operation string, old_weight double, id long").withColumn("ts", F.col("id"))
-    now = spark.createDataFrame([(3, 4, 0.9), (7, 8, 0.8)], "source long, target long, weight double")
-    assert rows_of(graph.roll_back(now, deltas)) == [(1, 2, 0.3), (7, 8, 0.8)]
+
+
+def replay_deltas(edges, nodes, deltas):
+    """One change after the other."""
+    edges, nodes = dict(edges), set(nodes)
+    for op, a, b, w in deltas:
+        if op == "add_node":
+            nodes.add(a)
+        elif op == "delete_node":
+            nodes.discard(a)
+            edges = {k: v for k, v in edges.items() if a not in k}
+        elif b is None or a == b or (op != "delete_edge" and not (w is not None and 0 <= w <= 1)):
+            continue
+        elif op == "delete_edge":
+            edges.pop((a, b), None)
+        elif op == "add_edge" or (a, b) in edges:
+            edges[a, b] = w
+    return edges, nodes
+
+
+def replay_undo(edges, deltas):
+    edges = dict(edges)
+    for op, a, b, w, k in reversed(deltas):
+        if op == "add_edge":
+            edges.pop((a, b), None)
+        elif op == "add_node":
+            edges = {e: v for e, v in edges.items() if a not in e}
+        elif w is not None and (op == "delete_edge" or (op == "update_edge" and (a, b) in edges)):
+            edges[a, b] = (w, 0.5 if k is None else k)
+    return edges
+
+
+def test_changes_and_rollbacks_equal_one_after_the_other(spark):
+    rng = random.Random(5)
+    ops = ["add_edge", "update_edge", "delete_edge", "add_node", "delete_node"]
+    for trial in range(3):
+        start = {(rng.randrange(5), rng.randrange(5)): round(rng.random(), 3) for _ in range(8)}
+        log = [(rng.choices(ops, [4, 3, 3, 1, 1])[0], rng.randrange(5), rng.choice([None, *range(5)]), rng.choice([None, 1.5, *[round(rng.random(), 3)] * 6])) for _ in range(60)]
+        now = spark.createDataFrame([(*k, w) for k, w in start.items()], "source long, target long, weight double")
+        deltas = spark.createDataFrame([(*d, i, i // 3) for i, d in enumerate(log)], "operation string, source long, target long, weight double, id long, ts long")
+        edges, nodes = replay_deltas(start, {0, 1, 7}, log)
+        assert {(r.source, r.target): r.weight for r in graph.apply_deltas(now, deltas).collect()} == edges
+        assert {r.id for r in graph.apply_node_deltas(spark.createDataFrame([(0,), (1,), (7,)], "id long"), deltas).collect()} == nodes
+        undo = [(op if op != "delete_node" else "add_node", a, b, rng.choice([None, w]), rng.choice([None, 0.25])) for op, a, b, w in log if b is not None]
+        kappa = {k: (w, 0.75) for k, w in start.items()}
+        table = spark.createDataFrame([(*d, i, i) for i, d in enumerate(undo)], "operation string, source long, target long, old_weight double, old_kappa double, id long, ts long")
+        got = graph.roll_back(now.withColumn("kappa", F.lit(0.75)), table).collect()
+        assert {(r.source, r.target): (r.weight, r.kappa) for r in got} == replay_undo(kappa, undo)
+
+
+def test_batches_that_are_too_large_are_turned_away(spark):
+    deltas = spark.createDataFrame([("s1", "add_edge", 1, 2, 0.5, i, i) for i in range(3)] + [("s2", "add_edge", 3, 4, 0.5, 9, 9), ("s2", "add_edge", 5, 5, 0.5, 10, 10)], "session string, operation string, source long, target long, weight double, id long, ts long")
+    edges = spark.createDataFrame([(i, i + 1, 0.1) for i in range(30)], "source long, target long, weight double")
+    nodes = spark.range(12)
+    assert rows_of(graph.batch_allowed(deltas, nodes, edges)) == [("s1", 3, False), ("s2", 2, True)]
+    assert [r.id for r in graph.accepted_deltas(deltas, nodes, edges).collect()] == [9]
+    assert rows_of(graph.batch_allowed(deltas.filter("id = 9"), nodes.limit(0), edges.limit(0)), "allowed") == [(True,)]
+
+
+def test_undo_scopes(spark):
+    d = spark.createDataFrame([(1, "a", "2024-01-01", None), (2, "a", "2024-01-05", None), (3, "a", "2024-01-06", "2024-01-07"), (4, "b", "2024-01-05", None)], "id long, session string, ts string, rolled_back_at string").withColumn("ts", F.to_timestamp("ts"))
+    of = lambda **k: sorted(r.id for r in graph.to_undo(d, F.col("session") == "a", **k).collect())
+    assert (of(), of(since="2024-01-02"), of(ids=[1, 3, 4])) == ([1, 2], [2], [1])
+
+
+def test_similar_names_lose_nothing(spark):
+    rng = random.Random(3)
+    names = {"color", "colour", "analyze", "analyse", "x", "xy", "aaaa", "aaab", "été", "êté", "été long", "\U0001f44dok", "\U0001f44dokk", "martha", "marhta"}
+    while len(names) < 260:
+        base = rng.choice(sorted(names))
+        at = rng.randrange(len(base) + 1)
+        names.add(rng.choice([base[:at] + rng.choice("abcde") + base[at:], base[:at] + base[at + 1 :] or "q", base[::-1], "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))]))
+    frame = spark.createDataFrame([(n,) for n in [*names, "color", None, ""]], "name string")
+    ordered = sorted(names)
+    for least in (0.9, 0.85):
+        want = {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if align.jaro_winkler(a, b) > least}
+        assert set(rows_of(align.similar_names(frame, least=least))) == want and ("color", "colour") in want
+
+
+def test_anchors_groups_and_vectors_in_neighbour_matches(spark):
+    schema = "term string, model string, pos long, relation string, concept string"
+    g = spark.createDataFrame([("a", "m1", 1, "causes", "Paris"), ("a", "m1", 2, "leads to", "colour"), ("a", "m1", 3, "is", "auto"), ("b", "m2", 1, "caused", "Pariss"), ("b", "m2", 2, "causes", "color"), ("b", "m2", 3, "is", "car"), ("b", "m2", 4, "causes", "paris")], schema)
+    found = lambda **k: {(r.concept_x, r.concept_y, r.weight) for r in align.neighbour_matches(g, **k).collect()}
+    groups = spark.createDataFrame([("leads to", "cause"), ("causes", "cause")], "relation string, canonical string")
+    vectors = spark.createDataFrame([("auto", [1.0, 0.1]), ("car", [1.0, 0.0]), ("color", [0.0, 1.0])], "name string, embedding array<double>")
+    assert found() == {("paris", "paris", 2.0)}
+    assert found(groups=groups) == {("paris", "paris", 2.0), ("colour", "color", 1.0)}
+    assert found(vectors=vectors) == {("paris", "paris", 2.0), ("auto", "car", 1.0)}
+    assert found(groups=groups, known=spark.createDataFrame([("COLOR",)], "name string")) == {("paris", "paris", 2.0)}
+
+
+def test_reconciliation_is_skipped_without_enough_terms(spark):
+    v = spark.createDataFrame([("m1", "car", "has", "wheel", 0.9, 1), ("m2", "auto", "has", "wheel", 0.9, 2), ("m2", "tree", "has", "leaf", 0.9, 3), ("m1", "oak", "has", "leaf", 0.8, 4)], VOTE)
+    m = votes.model_table(spark, {"m1": 1.0, "m2": 1.0})
+    g = spark.createDataFrame([("car", "m1", 1, "r", "Wheel"), ("auto", "m2", 1, "r", "Wheel")], "term string, model string, pos long, relation string, concept string")
+    how = lambda rows, **k: (lambda r: (r[0], rows_of(r[1], "subject", "n_votes")))(align.reconciled_consensus(rows, m, g, **k))
+    assert how(v) == ("aligned", [("auto", 2), ("oak", 1), ("tree", 1)])
+    assert how(v, enabled=False)[0] == "disabled" and how(v.limit(0)) == ("no votes", []) and how(v.limit(2))[0].startswith("fewer")
+
+
+def test_hashed_join_and_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(9)
+    x = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(120)]
+    x += [[c + rng.gauss(0, 0.05) for c in v] for v in x[:40]]
+    v = spark.createDataFrame([*enumerate(x), (500, [1.0]), (501, [float("inf")] * 8), (502, None)], "id long, embedding array<double>")
+    exact, hashed = ({(r.a, r.b) for r in f(v, 0.95).collect()} for f in (similarity.cosine_join, similarity.cosine_join_hashed))
+    assert hashed <= exact and len(hashed) >= 0.9 * len(exact) > 30
+    asked = v.filter("id % 7 = 0").select(F.col("id").alias("query"), "embedding")
+    whole = rows_of(similarity.nearest_to(v, asked, k=3, least=-1.0))
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    assert rows_of(similarity.nearest_to(v, asked, k=3, least=-1.0)) == whole and len(whole) == 3 * 23
+
+
+def test_crystallise_takes_the_first_of_a_hash_before_scores(spark):
+    rows = [("A", "r", "b", 0.1, 2, "m1", 1, "voted", None), (" a", "R", "b", 0.9, 3, "m1,m2", 2, "voted", None), ("c", "r", "d", 0.9, 3, "m1,m2,x3", 3, "deterministic", None), ("e", "verdict", "NO", 0.8, 3, "m1,m2,x3", 4, "deterministic", "s")]
+    c = spark.createDataFrame(rows, "subject string, relation string, object string, score double, n_votes long, models string, ord long, method string, anchor string").withColumn("claim_type", F.lit("odd"))
+    got = votes.crystallise(c, families={"m": "mill"}, verdict_penalties={"YES": 1.0}, type_penalties={"odd": 0.5})
+    assert rows_of(got, "subject", "score", "agreeing", "n_models") == [("e", 0.26, 3, 3)]
+
+
+def test_evidence_by_whole_path(spark, tmp_path):
+    import hashlib
+
+    for folder, body in (("a", b"one"), ("b", b"two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_bytes(body)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    one = hashlib.sha256(b"one").hexdigest()
+    rows = [("a/x.txt", one), ("b/x.txt", one), ("b/../a/./x.txt", one), ("a/../../x.txt", one), ("/a/x.txt", one), ("x.txt", one), ("https://h/x", one)]
+    got = landing.verify_evidence(spark.createDataFrame(rows, "location string, sha256 string"), files, str(tmp_path))
+    assert {r.location: r.state for r in got.collect()} == dict(zip((r[0] for r in rows), ["verified", "different", "verified", "outside", "outside", "missing", "declared"], strict=True))
+    assert {r.state: r.n for r in landing.evidence_totals(got).collect()}["all"] == len(rows)
+
+
+def test_tampered_proposals(spark):
+    items = spark.createDataFrame([(1, "f", "h", [("k", "b", "0", "d"), ("k", "a", "0", "d")]), (2, "f", None, []), (3, None, None, [])], "id long, frame string, frame_hash string, evidence array<struct<kind:string,location:string,sha256:string,description:string>>")
+    built = landing.proposals(items)
+    changed = built.withColumn("artifact", F.when(F.col("id") == 1, F.regexp_replace("artifact", "proposed", "accepted")).otherwise(F.col("artifact")))
+    assert rows_of(landing.verify_proposals(built), "id", "complete", "intact") == [(1, True, True), (2, False, True), (3, True, True)]
+    assert rows_of(landing.verify_proposals(changed), "id", "intact") == [(1, False), (2, True), (3, True)]
+
+
+def test_pinned_rows_and_retention(spark):
+    log = spark.createDataFrame([(1, 0, "system", "x" * 9000), (1, 1, "user", "a" * 400), (1, 2, "user", "b" * 40), (2, 0, "user", "c" * 9000)], "conv_id long, turn long, role string, text string")
+    assert rows_of(sessions.trim(log, budget=50), "conv_id", "turn", "back") == [(1, 0, 0), (1, 2, 1), (2, 0, 1)]
+    events = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01")], "session string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    other = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "session string, id long")
+    assert rows_of(sessions.retain(events, "2024-01-15", of=other), "id") == [(2,), (3,)]
+    assert rows_of(sessions.forget_session(other, events, "2024-01-15"), "id", "session") == [(1, None), (2, "b"), (3, None)]
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    kept, gone = (storage.materialise(spark.range(5), "test") for _ in range(2))
+    folder = os.path.dirname(gone.inputFiles()[0].removeprefix("file://"))
+    storage.release(gone)
+    assert not os.path.exists(folder) and kept.count() == 5
 
 
 def test_gaps(spark):
@@ -154,6 +309,32 @@ def test_parsing(spark):
     assert rows_of(landing.parse_triples(raw), "id", "subject", "rejected") == [(1, "a", False), (2, None, True), (3, None, True)]
 
 
+def test_rolling_calibration_as_a_stream(spark, tmp_path):
+    rng = random.Random(4)
+    day = lambda d, h: f"2024-01-{d:02d} {h:02d}:00:00"
+    p = spark.createDataFrame([(i % 40, f"m{i % 3}", rng.random(), day(1 + i % 20, i % 24)) for i in range(300)], "claim long, model string, p double, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    o = spark.createDataFrame([(i % 40, i % 2, day(1 + i % 20, i % 24)) for i in range(120)], "claim long, outcome int, resolved_at string").withColumn("resolved_at", F.to_timestamp("resolved_at"))
+    end = spark.createDataFrame([(999, "m0", 0.5, "2024-06-01 00:00:00")], "claim long, model string, p double, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    p.unionByName(end).write.parquet(str(tmp_path / "p"))
+    o.unionByName(end.select("claim", F.lit(1).alias("outcome"), F.col("created_at").alias("resolved_at"))).write.parquet(str(tmp_path / "o"))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    options = {"width": "5 days", "slide": "5 days", "patience": "2 days"}
+    got = rows_of(streams.drain(streams.rolling_calibration(read("p", p), read("o", o), **options), "test"))
+    want = rows_of(streams.rolling_calibration(p, o, **options))
+    assert got and got == want
+
+
+def test_follow_deltas_by_batches(spark, tmp_path):
+    schema = "operation string, source long, target long, weight double, id long, ts long"
+    for n, rows in enumerate([[("add_edge", 1, 2, 0.5, 1, 1), ("add_edge", 2, 3, 0.4, 2, 2)], [("update_edge", 1, 2, 0.9, 3, 3), ("update_edge", 8, 9, 0.9, 4, 4)], [("delete_node", 3, None, None, 5, 5)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    deltas = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start = spark.createDataFrame([(5, 1, 0.3), (6, 7, 0.2)], "source long, target long, weight double")
+    edges, queue = streams.follow_deltas(start, deltas)
+    assert rows_of(edges) == [(1, 2, 0.9), (5, 1, 0.3), (6, 7, 0.2)]
+    assert {(1, 2), (5, 1)} <= set(rows_of(queue, "source", "target")) and (6, 7) not in set(rows_of(queue, "source", "target"))
+
+
 def test_batch_and_stream_agree(spark, tmp_path):
     rows = [(i, f"2024-01-{1 + i % 20:02d} 0{i % 10}:00:00", "abc"[i % 3]) for i in range(400)]
     df = spark.createDataFrame(rows, "user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
