@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise
+from claimgraph.functions.storage import materialise, release
 from claimgraph.llm.columns import WordHasher, exact_shingles, mix, shingle_sets
 from claimgraph.llm.ranks import join_hot
 from claimgraph.operators.components import connected_components
@@ -50,7 +50,7 @@ HOT_SHARE = 1e-3
 #: Mean tokens in a subclass of a set that is all of one class; sets smaller than this many tokens sign by single ones.
 SUBCLASS, SMALL = 8, 32
 #: Lists of more members are compared by blocks of so many; a text has a copy for so many partners.
-SHORT, BLOCK, PARTNERS = 16, 1000, 256
+SHORT, BLOCK, PARTNERS = 16, 1000, 64
 #: Words of 64 bits: of the bitmap that is compared first, and at most of the one that is compared in a list.
 _FOLD_WORDS, _LIST_WORDS = 8, 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -301,7 +301,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, perc
 def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, set) within a list, of different components, whose sizes and bitmaps allow a link."""
     of_list = ["l1", "l2"]
-    rest = lists.filter("size > 2").select(*of_list, "set", "n").join(found.withColumnRenamed("node", "set"), "set", "left")
+    rest = lists.filter("size > 2").select(*of_list, "set", "n").join(found.withColumnRenamed("node", "set").hint("merge"), "set", "left")
     rest = materialise(rest.withColumn("component", F.coalesce("component", "set")), "jaccard-rest")
     each = rest.groupBy(*of_list, "component").agg(F.count(F.lit(1)).alias("here"))
     top = each.groupBy(*of_list).agg(F.max(F.struct("here", "component")).alias("top"), F.sum("here").alias("size")).filter("size > top.here")
@@ -312,10 +312,10 @@ def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, per
     found_pair = [F.col("y.set").alias("hub"), F.col("x.set").alias("set")]
     brief = rest.filter(F.col("size") <= SHORT).select(*of_list, "set", "n", "component", "top")
     same_list = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in of_list]
-    short = brief.alias("x").join(brief.filter("component != top").alias("y"), [*same_list, once]).select(*found_pair)
+    short = brief.alias("x").join(brief.filter("component != top").alias("y").hint("merge"), [*same_list, once]).select(*found_pair)
 
     folded = [f"w{i}" for i in range(_FOLD_WORDS)]
-    rest = rest.filter(F.col("size") > SHORT).join(sets.select("set", "wide", *folded), "set")
+    rest = rest.filter(F.col("size") > SHORT).join(sets.select("set", "wide", *folded).hint("merge"), "set")
     block, all_of = (lambda k: F.pmod(F.xxhash64("set"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
     x = rest.withColumn("x", block("xs")).withColumn("y", all_of("ys")).alias("x")
     y = rest.filter("component != top").withColumn("y", block("ys")).withColumn("x", all_of("xs")).alias("y")
@@ -329,7 +329,7 @@ def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, per
     many = F.aggregate(F.zip_with(cut("x.wide"), cut("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
     comparable = (least > 0) & (F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * least)
     allowed = within(few) & F.when(comparable, within(many)).otherwise(True)
-    return x.join(y, [*on, once, allowed]).select(*found_pair).unionByName(short).distinct()
+    return x.join(y.hint("merge"), [*on, once, allowed]).select(*found_pair).unionByName(short).distinct()
 
 
 def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,14 +353,17 @@ def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     signed = _sign(rows.filter("doc_id is not null"), width, id_type, signer)
     keys = ["doc_id", *digest]
     signed = signed.join(reps.withColumnRenamed("set", "doc_id"), keys).dropDuplicates(keys).drop("d1", "d2").withColumnRenamed("doc_id", "set")
-    sets = materialise(signed, "jaccard-sets")
-    lists = materialise(_lists(sets), "jaccard-lists")
+    signed = materialise(signed, "jaccard-signed")
+    lists = materialise(_lists(signed), "jaccard-lists")
+    sets = materialise(signed.drop("light", "hot"), "jaccard-sets")
+    release(signed)
 
     first = materialise(lists.filter((F.col("set") != F.col("hub")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent)).select("hub", "set").distinct(), "jaccard-first")
     links = materialise(_linked(first, sets, rows, width, percent, id_type), "jaccard-links")
     found = connected_components(links, "hub", "set")
 
     second = materialise(_between_components(lists, found, sets, percent).join(first, ["hub", "set"], "left_anti"), "jaccard-second")
+    release(lists)
     more = [] if second.isEmpty() else [materialise(_linked(second, sets, rows, width, percent, id_type), "jaccard-links")]
     several = materialise(real.groupBy("doc_id").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).filter("least != most").select("doc_id"), "jaccard-several")
     if not several.isEmpty():

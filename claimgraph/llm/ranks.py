@@ -24,8 +24,8 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str],
     """rows joined on keys, which many of them may share, with table, whose keys are unique.
 
     A key's rows fall into parts by a hash of their columns by; a row of table is copied only to the parts that hold
-    rows. rows is read twice.
+    rows. rows is read twice. Both grow with the data, so they are merged at every size, never broadcast.
     """
     cut = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
-    copies = cut.select(*keys, "_part").distinct().join(table, keys)
-    return cut.join(copies, [*keys, "_part"]).drop("_part")
+    copies = cut.select(*keys, "_part").distinct().join(table.hint("merge"), keys)
+    return cut.join(copies.hint("merge"), [*keys, "_part"]).drop("_part")
