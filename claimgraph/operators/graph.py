@@ -163,8 +163,8 @@ def upsert_edges(current: DataFrame, new: DataFrame, policy: str = "average") ->
         return F.when(F.col("_n").isNull(), F.col(old)).otherwise(F.col(f"_half_{c}") + start)
 
     weight = {"average": average("weight", "_old"), "max": F.greatest("_old", "_max"), "replace": F.coalesce("_last", "_old")}[policy]
-    more = {"confidence": F.round(average("confidence", "_old_confidence"), 6) if "confidence" in extra else None, "kappa": F.coalesce("_kappa", "_old_kappa") if "kappa" in extra else None, "relation_type": F.coalesce("_old_relation_type", "_type") if "relation_type" in extra else None}
-    return both.select("source", "target", F.round(weight, 6).alias("weight"), *[more[c].alias(c) for c in extra], F.coalesce("_n", F.lit(0)).alias("extractions"))
+    more = {"confidence": F.round(average("confidence", "_old_confidence"), 12) if "confidence" in extra else None, "kappa": F.coalesce("_kappa", "_old_kappa") if "kappa" in extra else None, "relation_type": F.coalesce("_old_relation_type", "_type") if "relation_type" in extra else None}
+    return both.select("source", "target", F.round(weight, 12).alias("weight"), *[more[c].alias(c) for c in extra], F.coalesce("_n", F.lit(0)).alias("extractions"))
 
 
 def to_undo(deltas: DataFrame, session: Column, *, since: str | None = None, ids: list[int] | None = None) -> DataFrame:
@@ -311,7 +311,7 @@ def cochain(edges: DataFrame) -> DataFrame:
     stability = F.least(F.lit(1.0), F.col("degree") / 10) * F.col("_w")
     kind = F.when((F.col("degree") > F.col("_p80")) & (diversity > 0.5), "generalist").when(F.col("degree") < F.col("_p20"), "specialised").otherwise("hybrid")
     r = lambda x, name: F.round(x, 4).alias(name)
-    return rows.select("node", "degree", r(F.when(F.col("_w") == 0, 0.5).otherwise(F.col("_w")), "consensus"), r(agreement, "agreement"), r(centrality, "centrality"), r(stability, "stability"), r(diversity, "diversity"), r(1 - diversity, "consistency"), kind.alias("kind"))
+    return rows.select("node", "degree", F.round(F.when(F.col("_w") == 0, 0.5).otherwise(F.col("_w")), 9).alias("consensus"), r(agreement, "agreement"), r(centrality, "centrality"), F.round(stability, 9).alias("stability"), r(diversity, "diversity"), r(1 - diversity, "consistency"), kind.alias("kind"))
 
 
 def _degree_bounds(sums: DataFrame) -> DataFrame:

@@ -71,15 +71,15 @@ def turn_metrics(turns: DataFrame) -> DataFrame:
     fit = unit(1 - F.abs(F.col("length") - expected) / expected)
     rows = turns.withColumns({"_c": coherence, "_p": pressure, "_f": fit}).withColumn("_t", unit(0.4 * (1 - F.col("_c")) + 0.6 * F.col("_p")))
     stability = unit(0.5 * (F.col("_c") + F.col("_f")) - 0.5 * F.col("_t"))
-    r = lambda c, name: F.round(c, 4).alias(name)
+    r = lambda c, name: F.round(c, 9).alias(name)
     return rows.select(*turns.columns, r(F.col("_c"), "coherence"), r(F.col("_p"), "pressure"), r(F.col("_f"), "fit"), r(F.col("_t"), "tension"), r(stability, "stability"))
 
 
 def metric_summary(metrics: DataFrame, by: list[str], *, high_tension: float = 0.7, low_fit: float = 0.3) -> DataFrame:
     """Metrics of turns by session, or by day: means, the exact median of tension, and shares beyond bounds."""
-    share = lambda test, name: F.round(F.count_if(test) / F.count(F.lit(1)), 9).alias(name)
-    means = [F.round(F.avg(c), 9).alias(f"avg_{c}") for c in ("coherence", "pressure", "fit", "tension", "stability")]
-    return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("turns"), *means, F.round(F.percentile("tension", 0.5), 9).alias("median_tension"), share(F.col("tension") > high_tension, "share_tense"), share(F.col("fit") < low_fit, "share_unfit"))
+    share = lambda test, name: F.round(F.count_if(test) / F.count(F.lit(1)), 12).alias(name)
+    means = [F.round(F.avg(c), 12).alias(f"avg_{c}") for c in ("coherence", "pressure", "fit", "tension", "stability")]
+    return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("turns"), *means, F.round(F.percentile("tension", 0.5), 12).alias("median_tension"), share(F.col("tension") > high_tension, "share_tense"), share(F.col("fit") < low_fit, "share_unfit"))
 
 
 def inactive(events: DataFrame, cutoff: str) -> DataFrame:

@@ -29,7 +29,7 @@ UNIT = """u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x:
 COCHAIN = f"""{EDGES}, {INCIDENT}, s AS (SELECT node, count(*) AS degree, avg(weight) AS w, count(DISTINCT model_source) AS m FROM inc GROUP BY 1), t AS (SELECT node, relation_type, count(*) AS n FROM inc GROUP BY 1, 2),
             v AS (SELECT node, count(*) AS k, sum(n) AS n, sum(n * ln(n)) AS x FROM t GROUP BY 1), b AS (SELECT list_sort(list(degree)) AS ds, count(*) AS c, max(degree) AS mx FROM s),
             r AS (SELECT s.*, CASE WHEN k > 1 THEN (ln(n) - x / n) / ln(k) ELSE 0 END AS div, mx, ds[floor(c * 0.2)::INT + 1] AS p20, ds[floor(c * 0.8)::INT + 1] AS p80 FROM s JOIN v USING (node), b),
-    cochain AS (SELECT node, degree, round(CASE WHEN w = 0 THEN 0.5 ELSE w END, 4) AS consensus, round(least(1, greatest(m, 1) / 3), 4) AS agreement, round(degree / mx, 4) AS centrality, round(least(1, degree / 10) * w, 4) AS stability,
+    cochain AS (SELECT node, degree, round(CASE WHEN w = 0 THEN 0.5 ELSE w END, 9) AS consensus, round(least(1, greatest(m, 1) / 3), 4) AS agreement, round(degree / mx, 4) AS centrality, round(least(1, degree / 10) * w, 9) AS stability,
         round(div, 4) AS diversity, round(1 - div, 4) AS consistency, CASE WHEN degree > p80 AND div > 0.5 THEN 'generalist' WHEN degree < p20 THEN 'specialised' ELSE 'hybrid' END AS kind FROM r)"""
 #: Pairs are told apart at this cosine, which pairs of the given vectors reach.
 ALIKE = 0.3
@@ -280,11 +280,11 @@ QUERIES = {
         f"""WITH {DELTAS}, {START}, n AS (SELECT source, target, list(weight ORDER BY id) AS ws, list(confidence ORDER BY id) AS cs, arg_max(kappa, id) AS kappa, arg_min(model_source, id) AS rt FROM deltas WHERE operation = 'add_edge' GROUP BY 1, 2),
             j AS (SELECT coalesce(s.source, n.source) AS source, coalesce(s.target, n.target) AS target, CASE WHEN s.weight IS NULL THEN ws ELSE list_concat([s.weight], coalesce(ws, [])) END AS a, CASE WHEN s.weight IS NULL THEN cs ELSE list_concat([s.confidence], coalesce(cs, [])) END AS b,
             coalesce(n.kappa, s.kappa) AS kappa, coalesce(s.relation_type, n.rt) AS relation_type, coalesce(len(ws), 0) AS extractions FROM start s FULL JOIN n ON s.source = n.source AND s.target = n.target)
-            SELECT source, target, round(list_reduce(a, lambda x, y: (x + y) / 2), 6) AS weight, round(list_reduce(b, lambda x, y: (x + y) / 2), 6) AS confidence, kappa, relation_type, extractions FROM j""",
+            SELECT source, target, round(list_reduce(a, lambda x, y: (x + y) / 2), 12) AS weight, round(list_reduce(b, lambda x, y: (x + y) / 2), 12) AS confidence, kappa, relation_type, extractions FROM j""",
     ),
     "g8_upsert_max": (
         lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id")), "max").select("source", "target", "weight"),
-        f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(max(weight), 6) AS weight FROM a GROUP BY 1, 2",
+        f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(max(weight), 12) AS weight FROM a GROUP BY 1, 2",
     ),
     "g9_roll_back": (
         lambda s, d: graph.roll_back(start_edges(s, d), graph.to_undo(changes(s, d).withColumns({"old_weight": F.when(F.col("weight") > 0.01, F.round("weight", 4)), "old_kappa": F.when(F.col("weight") > 0.05, F.col("kappa"))}), F.col("session") > 19720, since="2024-01-05")),
@@ -311,7 +311,7 @@ QUERIES = {
     ),
     "g11_injected_edges": (
         lambda s, d: graph.injected_edges(start_edges(s, d), injected(s, d)),
-        f"""WITH {DELTAS}, {START}, {INJECTED}, n AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM inj WHERE outcome = 'injected') SELECT source, target, round(max(weight), 6) AS weight FROM n GROUP BY 1, 2""",
+        f"""WITH {DELTAS}, {START}, {INJECTED}, n AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM inj WHERE outcome = 'injected') SELECT source, target, round(max(weight), 12) AS weight FROM n GROUP BY 1, 2""",
     ),
     "g12_coverage": (
         lambda s, d: graph.coverage(I.concepts(s, d), edges(s, d)).select("nodes", "edges", "density", "consensus_density", "diversity", "isolated_ratio"),
@@ -375,7 +375,7 @@ QUERIES = {
     ),
     "b13_top_concepts": (
         lambda s, d: graph.search(I.concepts(s, d), I.edges(s, d), "%", k=1000).select("id", "degree"),
-        f"WITH {EDGES}, {INCIDENT} SELECT p_partkey AS id, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey ORDER BY degree DESC, id LIMIT 1000",
+        f"WITH {EDGES}, {INCIDENT} SELECT p_partkey AS id, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey ORDER BY degree DESC, p_retailprice DESC, id LIMIT 1000",
     ),
     "s16_visualisation": (
         lambda s, d: graph.cochain(I.edges(s, d)).select("node", F.to_json(F.struct("degree", "kind")).alias("data")),

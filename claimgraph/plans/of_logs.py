@@ -108,9 +108,9 @@ METRICS = """t AS (SELECT event_id, user_id AS session, ts::DATE::VARCHAR AS day
     x AS (SELECT *, CASE WHEN rho > 0 THEN 200 + 100 * rho WHEN rho < 0 THEN 150 + 50 * rho ELSE 150 END AS ex FROM t),
     y AS (SELECT *, CASE WHEN n > 0 THEN least(1, greatest(0, w / n / 0.8)) ELSE 0 END AS c, least(1, greatest(0, 0.3 * abs(dr) + 0.7 * tau / (tau + 1))) AS p, least(1, greatest(0, 1 - abs(len - ex) / ex)) AS f FROM x),
     z AS (SELECT *, least(1, greatest(0, 0.4 * (1 - c) + 0.6 * p)) AS te FROM y),
-    metrics AS (SELECT event_id, session, day, round(c, 4) AS coherence, round(p, 4) AS pressure, round(f, 4) AS fit, round(te, 4) AS tension, round(least(1, greatest(0, 0.5 * (c + f) - 0.5 * te)), 4) AS stability FROM z)"""
-SUMMARY = """count(*) AS turns, round(avg(coherence), 9) AS avg_coherence, round(avg(pressure), 9) AS avg_pressure, round(avg(fit), 9) AS avg_fit, round(avg(tension), 9) AS avg_tension, round(avg(stability), 9) AS avg_stability,
-    round(quantile_cont(tension, 0.5), 9) AS median_tension, round(count(*) FILTER (tension > 0.7) / count(*), 9) AS share_tense, round(count(*) FILTER (fit < 0.3) / count(*), 9) AS share_unfit FROM metrics"""
+    metrics AS (SELECT event_id, session, day, round(c, 9) AS coherence, round(p, 9) AS pressure, round(f, 9) AS fit, round(te, 9) AS tension, round(least(1, greatest(0, 0.5 * (c + f) - 0.5 * te)), 9) AS stability FROM z)"""
+SUMMARY = """count(*) AS turns, round(avg(coherence), 12) AS avg_coherence, round(avg(pressure), 12) AS avg_pressure, round(avg(fit), 12) AS avg_fit, round(avg(tension), 12) AS avg_tension, round(avg(stability), 12) AS avg_stability,
+    round(quantile_cont(tension, 0.5), 12) AS median_tension, round(count(*) FILTER (tension > 0.7) / count(*), 12) AS share_tense, round(count(*) FILTER (fit < 0.3) / count(*), 12) AS share_unfit FROM metrics"""
 
 FOLLOWED = f"""WITH {I.DELTAS}, {I.START}, {I.VALID}, ks AS (SELECT source, target FROM start UNION SELECT source, target FROM v WHERE operation LIKE '%edge'),
     ev AS (SELECT source, target, id, operation, weight FROM v WHERE operation LIKE '%edge' UNION ALL SELECT ks.source, ks.target, id, operation, NULL FROM ks JOIN v ON operation = 'delete_node' AND (v.source = ks.source OR v.source = ks.target)),
