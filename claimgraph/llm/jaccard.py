@@ -52,6 +52,7 @@ SUBCLASS, SMALL = 8, 32
 BLOCK, PARTNERS = 1000, 256
 #: Words of 64 bits: of the bitmap that is compared first, and at most of the one that is compared in a list.
 _FOLD_WORDS, _LIST_WORDS = 8, 256
+_FOLDED = [f"w{i}" for i in range(_FOLD_WORDS)]
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -192,8 +193,10 @@ def _frequent(profile: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _sign(rows: DataFrame, width: int, id_type: str, signer: Signer) -> DataFrame:
-    """Of each document its digest, size, share of rare tokens, bitmaps (whole, and cut to words), and signatures."""
-    folded = [f"w{i}" for i in range(_FOLD_WORDS)]
+    """Of each document its digest, size, share of rare tokens, bitmaps and signatures.
+
+    A bitmap is held once: as the words of _FOLDED up to their 512 bits, with wide up to its 16,384, with bits beyond.
+    """
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
@@ -209,18 +212,18 @@ def _sign(rows: DataFrame, width: int, id_type: str, signer: Signer) -> DataFram
                 few, *signs = signer(tokens) if len(tokens) else (0, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 own = parity(tokens)
                 rare.append(few / max(1, len(tokens)))
-                bits.append(own.tobytes())
+                bits.append(own.tobytes() if len(own) > _LIST_WORDS * 8 else None)
                 words.append(fold(own, _FOLD_WORDS * 8).view(np.int64))
-                wide.append(fold(own, _LIST_WORDS * 8).view(np.int64))
+                wide.append(fold(own, _LIST_WORDS * 8).view(np.int64) if len(own) > _FOLD_WORDS * 8 else np.zeros(0, np.int64))
                 light.append(_signed(signs[0]))
                 hot.append(_signed(signs[1]))
             d = _signed(np.array(digests, np.uint64).reshape(-1, 2))
             w = np.array(words, np.int64).reshape(-1, _FOLD_WORDS)
             columns = [batch.column("doc_id"), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)), pa.array(sizes, pa.int32()), pa.array(rare, pa.float32()), pa.array(bits, pa.binary())]
             columns += [*(pa.array(np.ascontiguousarray(w[:, i])) for i in range(_FOLD_WORDS)), lists(wide), lists(light), lists(hot)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n", "rare", "bits", *folded, "wide", "light", "hot"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n", "rare", "bits", *_FOLDED, "wide", "light", "hot"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, rare float, bits binary, {', '.join(f'{w} long' for w in folded)}, wide array<long>, light array<long>, hot array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, rare float, bits binary, {', '.join(f'{w} long' for w in _FOLDED)}, wide array<long>, light array<long>, hot array<long>")
 
 
 def _lists(sets: DataFrame) -> DataFrame:
@@ -276,8 +279,12 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> D
         differ = int(np.bitwise_count(fold(x, to) ^ fold(y, to)).sum())
         return min(n, m) * 100 >= max(n, m) * percent and differ * (100 + percent) <= (n + m) * (100 - percent)
 
-    build = lambda v: (v["n"].as_py(), np.frombuffer(v["bits"].as_buffer(), np.uint8))
-    return _meet(pairs, sets.select("set", F.struct("n", "bits").alias("own")), build, keep, id_type)
+    def build(v: pa.StructScalar) -> tuple[int, np.ndarray]:
+        bits = np.frombuffer(v["bits"].as_buffer(), np.uint8) if v["bits"].is_valid else v["words"].values.to_numpy().view(np.uint8)
+        return v["n"].as_py(), bits
+
+    words = F.when(F.col("bits").isNull(), F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.array(*_FOLDED)))
+    return _meet(pairs, sets.select("set", F.struct("n", "bits", words.alias("words")).alias("own")), build, keep, id_type)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
@@ -302,8 +309,7 @@ def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, per
     top = each.groupBy(*of_list).agg(F.max(F.struct("here", "component")).alias("top"), F.sum("here").alias("size")).filter("size > top.here")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     top = top.select(*of_list, F.col("top.component").alias("top"), blocks(F.col("size")).alias("xs"), blocks(F.col("size") - F.col("top.here")).alias("ys"))
-    folded = [f"w{i}" for i in range(_FOLD_WORDS)]
-    rest = materialise(join_hot(rest, top, of_list, ["set"]).join(sets.select("set", "n", "wide", *folded), "set"), "jaccard-rest")
+    rest = materialise(join_hot(rest, top, of_list, ["set"]).join(sets.select("set", "n", "wide", *_FOLDED), "set"), "jaccard-rest")
     block, all_of = (lambda k: F.pmod(F.xxhash64("set"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
     x = rest.withColumn("x", block("xs")).withColumn("y", all_of("ys")).alias("x")
     y = rest.filter("component != top").withColumn("y", block("ys")).withColumn("x", all_of("xs")).alias("y")
@@ -311,12 +317,12 @@ def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, per
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
     once = (F.col("x.component") != F.col("y.component")) & ((F.col("x.component") == F.col("x.top")) | (F.col("x.set") < F.col("y.set")))
     within = lambda differ: differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    few = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in folded), F.lit(0))
+    few = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in _FOLDED), F.lit(0))
     least = F.least(F.size("x.wide"), F.size("y.wide"))
-    # bitmaps of sets of similar size are of one length, or one is twice as long (others pass)
+    # bitmaps of sets of similar size are of one length, or one is twice as long; those of up to 512 bits are in few
     cut = lambda v: F.when(F.size(v) > least, F.zip_with(F.slice(v, F.lit(1), least), F.slice(v, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(v))
     many = F.aggregate(F.zip_with(cut("x.wide"), cut("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
-    allowed = _similar_sizes(F.col("x.n"), F.col("y.n"), percent) & within(few) & F.when(F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * least, within(many)).otherwise(True)
+    allowed = _similar_sizes(F.col("x.n"), F.col("y.n"), percent) & within(few) & F.when((least > 0) & (F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * least), within(many)).otherwise(True)
     return x.join(y, [*on, once, allowed]).select(F.col("y.set").alias("hub"), F.col("x.set").alias("set")).distinct()
 
 
