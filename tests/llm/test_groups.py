@@ -113,7 +113,16 @@ def near_copies(seed, groups, each, words, edits):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "rows"), [(4, 85, [*EDGES, (30, "WORD", "a"), (31, "a b c", "a"), (32, "A b  c", "a"), (33, "a b c d", "a")]), (5, 80, near_copies(1, 3, 40, 60, 3)), (4, 85, near_copies(2, 2, 60, 90, 6)), (4, 85, near_copies(3, 20, 3, 12, 1)), (4, 85, [])])
+def rows_around_bitmap_lengths():
+    """Near copies of about 512, 1,024 and 16,384 shingles, so that bitmaps of two lengths meet."""
+    rows = []
+    for seed, words in enumerate((512, 1024, 16384), 40):
+        for _, text, source in near_copies(seed, 1, 8, words + 60, words // 60):
+            rows.append((len(rows) + 10, " ".join(text.split(" ")[: words + 60 - 15 * (len(rows) % 8)]), source))
+    return rows
+
+
+@pytest.mark.parametrize(("width", "percent", "rows"), [(4, 85, [*EDGES, (30, "WORD", "a"), (31, "a b c", "a"), (32, "A b  c", "a"), (33, "a b c d", "a")]), (5, 80, near_copies(1, 3, 40, 60, 3)), (4, 85, near_copies(2, 2, 60, 90, 6)), (4, 85, near_copies(3, 20, 3, 12, 1)), (4, 85, rows_around_bitmap_lengths()), (4, 85, [])])
 def test_jaccard_components(spark, monkeypatch, width, percent, rows):
     monkeypatch.setattr(jaccard, "SHARE", 1e-3)
     got = jaccard.jaccard_components(docs_of(spark, rows), width=width, percent=percent).collect()
