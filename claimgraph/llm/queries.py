@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm import ann, jaccard, langid, mixing, packing, pivots, quality, secrets, sharding, url_filter
+from claimgraph.functions.storage import materialise
+from claimgraph.llm import ann, collocations, fim, jaccard, langid, mixing, packing, pivots, quality, secrets, sharding, token_counts, url_filter
 
 URL_RULES = [
     url_filter.Rule("org/", "allow"),
@@ -81,6 +82,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialise(fim.store(_table(spark, sf_dir, "documents")), "fim-frames")
+    return fim.digest(fim.rearrange(stored, seed=42))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def _url_rule_sql() -> str:
     """A CASE over the rules, longest first: the host equals or ends with the rule's, the path begins with it."""
     out = []
@@ -117,7 +131,35 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN g USING (uid)"""
 
 
+FIM_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS s FROM documents),
+    h AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2,
+        ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM d),
+    c AS (SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS lo, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS hi,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:], '') AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM p"""
+PHRASES_SQL = rf"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER_LETTERS}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    said AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM words, range(1, 5) AS ks(k), unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
+    counts AS (SELECT lang, k, phrase, count(*) AS f FROM said GROUP BY ALL HAVING count(*) >= 30),
+    candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+    cuts AS (SELECT lang, phrase, a, c, array_to_string(w[:c], ' ') AS part1, array_to_string(w[c + 1:], ' ') AS part2 FROM candidates, unnest(range(1, k)) AS u(c)),
+    scored AS (SELECT t.lang, t.phrase, t.a, x.f AS l, y.f AS r, (2000000::HUGEINT * t.a // (x.f + y.f))::BIGINT AS score, c FROM cuts t
+        JOIN counts x ON x.lang = t.lang AND x.phrase = part1 JOIN counts y ON y.lang = t.lang AND y.phrase = part2),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    parts AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a FROM candidates, unnest(range(2, k)) AS ms(m), unnest(range(1, k - m + 2)) AS u(i) WHERE k > 2),
+    held AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL),
+    kept AS (SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 ORACLE = {
+    "op11_fill_in_middle": FIM_SQL,
+    "op13_collocations": PHRASES_SQL,
     "op6_secret_scan": _secrets_sql(),
     "op1_url_filter": f"""
         WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
@@ -134,7 +176,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op2_language_id, op3_best_fit_packing, op4_source_mixing, op5_quality, op6_secret_scan, op7_jaccard_join, op8_cross_polytope, op9_pivot_dedup, op10_sharding)
+    found = (op1_url_filter, op2_language_id, op3_best_fit_packing, op4_source_mixing, op5_quality, op6_secret_scan, op7_jaccard_join, op8_cross_polytope, op9_pivot_dedup, op10_sharding, op11_fill_in_middle, op12_token_counts, op13_collocations)
     return {f.__name__: f for f in found}
 
 
