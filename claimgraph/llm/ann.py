@@ -11,6 +11,7 @@ A query that met fewer vectors than it asks for is answered by all vectors, slic
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
-from claimgraph.llm.vectors import keyed, matrix, packed, unpacked, usable
+from claimgraph.llm.vectors import dimensions, keyed, matrix, packed, unpacked, usable
 
 SLICE_ROWS = 4096
 
@@ -48,11 +49,17 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
     """query_id, rank (from 1), vec_id and score of the k nearest that each query finds, itself apart.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller id. Null vectors,
-    zero vectors, those with null or non-finite components, those of another dimension than the longest, and rows with
-    a null id neither ask nor answer. Rows that share id and vector are one. An empty table gives no rows. Other
-    columns are ignored.
+    zero vectors, those with null or non-finite components and rows with a null id neither ask nor answer. Vectors of
+    one dimension have an index of their own; a query finds those of its dimension. Rows that share id and vector are
+    one. An empty table gives no rows. Other columns are ignored.
     """
-    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), is_query.alias("asks")).filter(usable(vectors, vec_col)).filter("vec_id is not null")
+    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), is_query.alias("asks")).filter(usable(vec_col)).filter("vec_id is not null")
+    each = [_nearest(base.filter(F.size("v") == d), d, k=k, tables=tables, probes=probes, seed=seed) for d in dimensions(vectors, vec_col)]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def _nearest(base: DataFrame, d: int, *, k: int, tables: int, probes: int, seed: int) -> DataFrame:
+    """The answer among usable vectors (vec_id, v, asks) of dimension d."""
     base = keyed(base, "v")
     smallest = Window.partitionBy("h1", "h2").orderBy("vec_id")
     listed = base.dropDuplicates(["vec_id", "h1", "h2"]).withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= k + 1)
@@ -64,8 +71,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
     sources = heads.join(asking.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
 
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    shape = heads.agg(F.max(F.size("v")).alias("d"), F.max(norm2).alias("most"), F.min(norm2).alias("least"), F.count(F.lit(1)).alias("n")).first()
-    d, level = shape["d"] or 1, shape["least"] is None or shape["least"] >= 0.98 * shape["most"]
+    shape = heads.agg(F.max(norm2).alias("most"), F.min(norm2).alias("least")).first()
+    level = shape["least"] is None or shape["least"] >= 0.98 * shape["most"]
     most = 0.0 if level else shape["most"]
     hasher = CrossPolytope(d if level else d + 1, tables, seed)
     cells, id_type = hasher.size * 2, heads.schema["cls"].dataType.simpleString()
@@ -92,9 +99,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
         q, x, ids = unpacked(left["v"]), unpacked(right["v"]), right["cls"].to_numpy()
         by_id = np.argsort(ids, kind="stable")
         x, ids = x[by_id], ids[by_id]
+        # the product of matrices may be off by its rounding, which grows with the norms
+        slack = 1e-12 * np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1).max()) + 1e-12
         rough, found, scores = q @ x.T, [], []
         for i in range(len(q)):
-            few = np.arange(len(x)) if len(x) <= k + 1 else np.flatnonzero(rough[i] >= np.partition(rough[i], -k - 1)[-k - 1] - 1e-9)
+            few = np.arange(len(x)) if len(x) <= k + 1 else np.flatnonzero(rough[i] >= np.partition(rough[i], -k - 1)[-k - 1] - slack[i])
             exact = (q[i] * x[few]).sum(axis=1)
             top = np.argsort(-exact, kind="stable")[: k + 1]
             found.append(ids[few[top]])

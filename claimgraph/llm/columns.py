@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes that end a word: space, and tab to carriage return.
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -25,6 +27,11 @@ _RUN = 1 << 22
 _PLACE = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def named(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers."""
     h = h ^ (h >> np.uint64(30))

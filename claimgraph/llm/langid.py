@@ -4,7 +4,7 @@ Each letter, of whatever script, has a random vector of +1 and -1 drawn from its
 bound into one vector: the letters' vectors, rotated by their place, multiplied. A text is the bundle (sum) of all its
 runs, a language the bundle of all its training texts, and a text's language is the prototype of the largest cosine.
 Everything that is no letter is one gap. Runs are bound as they come, those of a chunk of texts once, so that no table
-of all runs is needed. Bundles are linear and made of whole numbers: tasks bundle what they read, Spark sums the parts
+of all runs is needed, and a long text is bound in parts. Bundles are linear and made of whole numbers: tasks bundle what they read, Spark sums the parts
 of each language exactly, and only one vector for each language reaches the driver.
 """
 
@@ -61,22 +61,46 @@ class Profiles:
             out[i : i + ROWS] = np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third
         return out
 
-    def chunks(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of some texts at a time: the first, the one after the last, distinct runs, and for (text, run) how often."""
+    def chunks(self, texts: list[str | None]) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of some texts at a time: the first, the one after the last, whether this ends them, distinct runs, and for (text, run) how often.
+
+        A text longer than CHUNK comes by itself, in parts whose bundles add up.
+        """
         i = 0
         while i < len(texts):
+            if len(texts[i] or "") > CHUNK:
+                yield from ((i, i + 1, *part) for part in self._parts(texts[i].lower()))
+                i += 1
+                continue
             j, held = i, 0
-            while j < len(texts) and (j == i or held < CHUNK):
+            while j < len(texts) and held < CHUNK and len(texts[j] or "") <= CHUNK:
                 held += len(texts[j] or "")
                 j += 1
-            yield i, j, *self._runs([(t or "").lower() for t in texts[i:j]])
+            yield i, j, True, *self._runs([(t or "").lower() for t in texts[i:j]])
             i = j
 
+    def _points(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        return np.where(self.letter[points], points, 0)
+
+    def _parts(self, text: str) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The runs of one long text, CHUNK characters at a time; the last two symbols of a part begin the next."""
+        before = np.zeros(1, np.int64)
+        for at in range(0, len(text), CHUNK):
+            points, last = self._points(text[at : at + CHUNK]), at + CHUNK >= len(text)
+            points = np.concatenate([before, points, [0] if last else []]).astype(np.int64)
+            keep = (points > 0) | (np.concatenate([[1], points[:-1]]) > 0)
+            keep[: len(before)] = True
+            points = points[keep]
+            inside = (points[1:-1] > 0) | ((points[:-2] > 0) & (points[2:] > 0))
+            runs, times = np.unique(((points[:-2] << (2 * BITS)) | (points[1:-1] << BITS) | points[2:])[inside], return_counts=True)
+            yield last, runs, np.zeros(len(runs), np.int64), np.arange(len(runs)), times
+            before = points[-2:]
+
     def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        points = np.frombuffer("\0\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = self._points("\0\0".join(texts))
         # two gaps lie between texts: no run spans them, and the first belongs to the text before
         of = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])[: len(points)]
-        points = np.where(self.letter[points], points, 0)
         points, of = np.concatenate([[0], points, [0]]), np.concatenate([[0], of, [len(texts) - 1]])
         keep = (points > 0) | (np.concatenate([[1], points[:-1]]) > 0)
         points, of = points[keep], of[keep]
@@ -102,7 +126,7 @@ def learn(training: DataFrame, *, dimensions: int = 512, seed: int = 7) -> tuple
         profiles, sums = Profiles.of(dimensions, seed), {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for i, j, runs, of, run, times in profiles.chunks(batch.column("text").to_pylist()):
+            for i, j, _, runs, of, run, times in profiles.chunks(batch.column("text").to_pylist()):
                 names, at = np.unique(np.array(langs[i:j], object).astype(str), return_inverse=True)
                 for k, name in enumerate(names):
                     here = at[of] == k
@@ -133,17 +157,21 @@ def identify(documents: DataFrame, languages: list[str], prototypes: np.ndarray,
         profiles = Profiles.of(dimensions, seed)
         for batch in batches:
             best, score = np.full(len(batch), UNDECIDED, object), np.zeros(len(batch))
-            for i, j, runs, of, run, times in profiles.chunks(batch.column("text").to_pylist()):
+            held = np.zeros(dimensions)  # of the parts of a long text so far
+            for i, j, ends, runs, of, run, times in profiles.chunks(batch.column("text").to_pylist()):
+                if not ends:
+                    held += profiles.bundle(runs, times)
+                    continue
                 bound = profiles.bind(runs)
                 first = np.searchsorted(of, np.arange(j - i + 1))
                 for k in range(j - i if languages else 0):
                     a, b = first[k], first[k + 1]
-                    if a == b:
-                        continue
-                    vector = np.zeros(dimensions)
+                    vector, held = held, np.zeros(dimensions)
                     for c in range(a, b, ROWS):
                         d = min(b, c + ROWS)
                         vector += times[c:d].astype(np.float32) @ bound[run[c:d]].astype(np.float32)
+                    if a == b and not vector.any():
+                        continue
                     cosine = prototypes @ vector / (np.linalg.norm(vector) or 1.0)
                     at = int(np.argmax(cosine))
                     best[i + k], score[i + k] = languages[at], min(1.0, max(0.0, float(cosine[at])))

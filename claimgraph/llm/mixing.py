@@ -87,6 +87,8 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         state = materialise(state, "mix-state")
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"a source has not met its target in {STEPS} steps")
     return state.select("_source", "source_size", "target", "mean_size", F.round("lambda", 9).alias("lambda"))
 
 

@@ -31,6 +31,9 @@ BINS_A_TASK = 50_000
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 250_000
 _TASK_BITS = 36
+#: Runs of blanks, or of anything else, that the merging library can't be given; texts shorter than this hold none.
+LONG = 50_000
+LONG_RUN = re.compile(rf"\s{{{LONG}}}|\S{{{LONG}}}")
 
 
 #: How a byte-level tokenizer cuts a text before it merges bytes (fixed value).
@@ -58,7 +61,8 @@ class Tokens:
     The tokenizer cuts a text before a space that stands between two other characters, whatever surrounds them. So a
     text with single spaces only is the ids of its first word and of each later word with its space, and the ids of
     words can be remembered. Other texts are encoded as a whole. Merging by rank gives the ids that the tokenizers
-    library gives, several times as fast; a file whose ids aren't ranks is left to that library.
+    library gives, several times as fast; a file whose ids aren't ranks is left to that library, and so is a text with a
+    very long run of blanks or without blanks, for which cutting by the pattern may need more stack than there is.
 
     Strings of the file's added tokens are those tokens, as by the library's default: a text is cut at them first.
     """
@@ -72,16 +76,17 @@ class Tokens:
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         #: Tokens that take more or less than their string are left to the library, which then gets texts as a whole.
         self.whole = any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word"))
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        by_library = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if not self.whole and (ranks := byte_ranks(path)):
             import tiktoken
 
             plain = tiktoken.Encoding(Path(path).stem, pat_str=CUTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.encode = lambda text: np.array(plain(text), dtype="<u4").tobytes()
+            self.encode = lambda text: by_library(text) if len(text) >= LONG and LONG_RUN.search(text) else np.array(plain(text), dtype="<u4").tobytes()
         else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.encode = by_library
 
     @classmethod
     def of(cls, path: str) -> "Tokens":

@@ -14,6 +14,7 @@ such a list, so the same pairs of vectors are looked at, in lists as many times
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
-from claimgraph.llm.vectors import keyed, matrix, packed, unpacked, usable
+from claimgraph.llm.vectors import dimensions, keyed, matrix, packed, unpacked, usable
 from claimgraph.operators.components import connected_components
 
 BLOCK_ROWS = 1024
@@ -53,13 +54,22 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, nearest: int = 8
     """vec_id, n_links, component_id and kept of every row of vectors.
 
     Vectors of one non-null label link when their cosine in double precision is at least ``least`` and the index finds
-    them: no link is below it, some may be missed. Null and zero vectors, those with null or non-finite components or
-    of another dimension than the longest, and rows with a null label or id link with nothing: no links, themselves as
-    component (null for a null id). Repeated rows are vectors of their own. An empty table gives no rows. Other columns
-    are ignored.
+    them: no link is below it, some may be missed. Vectors of different dimensions don't link; those of one dimension have
+    pivots of their own. Null and zero vectors, those with null or non-finite components, and rows with a null label or
+    id link with nothing: no links, themselves as component (null for a null id). Repeated rows are vectors of their
+    own. An empty table gives no rows. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), F.col(label_col).alias("label"))
-    rows = keyed(rows.withColumn("fit", usable(rows, "v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()), "v")
+    rows = rows.withColumn("fit", usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    first, *more = dimensions(vectors, vec_col)
+    size = F.when(F.col("fit"), F.size("v")).otherwise(first)  # those that link with nothing go with the first
+    parts = [rows.filter(size == d) for d in (first, *more)] if more else [rows]
+    return functools.reduce(DataFrame.unionByName, [_near_duplicates(part, least=least, nearest=nearest, shared=shared, seed=seed) for part in parts])
+
+
+def _near_duplicates(rows: DataFrame, *, least: float, nearest: int, shared: int, seed: int) -> DataFrame:
+    """The answer for rows (vec_id, v, label, fit) whose fit vectors are of one dimension."""
+    rows = keyed(rows, "v")
     same = ["label", "h1", "h2"]
     classes = rows.filter("fit").groupBy(*same).agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("weight"))
     heads = rows.filter("fit").join(classes.withColumnRenamed("cls", "vec_id"), ["vec_id", *same]).dropDuplicates(["vec_id", *same])

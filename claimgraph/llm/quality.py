@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimgraph.functions.storage import materialise
-from claimgraph.llm.columns import WordHasher, chunks, text_bytes, word_spans
+from claimgraph.llm.columns import WordHasher, chunks, named, text_bytes, word_spans
 
 
 def _bytes(chars: str) -> np.ndarray:
@@ -76,17 +76,20 @@ def statistics(column: pa.Array, hasher: WordHasher) -> np.ndarray:
 
 def with_statistics(rows: DataFrame, text_col: str = "text", *, keep_text: bool = True, prefix: str = PREFIX) -> DataFrame:
     """rows with a column prefix + name for each statistic of the text."""
-    kept = [c for c in rows.columns if keep_text or c != text_col]
-    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS]])
+    at = rows.columns.index(text_col)
+    # inside, columns go by number: names may hold dots
+    kept = [i for i in range(len(rows.columns)) if keep_text or i != at]
+    schema = T.StructType([*[T.StructField(f"c{i}", rows.schema[i].dataType) for i in kept], *[T.StructField(s, T.DoubleType()) for s in STATISTICS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            found = statistics(batch.column(text_col), hasher)
-            columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[prefix + s for s in STATISTICS]])
+            found = statistics(batch.column(at), hasher)
+            columns = [batch.column(i) for i in kept] + [pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    numbered = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+    return numbered.mapInArrow(run, schema).toDF(*(rows.columns[i] for i in kept), *(prefix + s for s in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -177,16 +180,19 @@ def score_column(intercept: float, rules: list[Rule], prefix: str = PREFIX) -> C
 def learn(described: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, id_col: str = "doc_id") -> tuple[float, list[Rule]]:
     """Fits rules to rows of described (ids and statistics) that labels (doc_id, quality) names; null labels don't count.
 
-    An id whose labels contradict each other teaches nothing. Above most_rows labelled rows, those with the smallest
-    hashes of their ids make the sample.
+    An id whose labels contradict each other teaches nothing; one with several texts teaches by one of them, that of the
+    smallest statistics. Above most_rows labelled ids, those with the smallest hashes make the sample: never more rows
+    than that reach the driver.
     """
     truth = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"), F.max("quality").alias("_most")).filter("_y = _most").select("_id", F.col("_y").cast("double").alias("_y"))
-    both = described.join(truth, F.col(id_col) == F.col("_id")).select("_id", "_y", *[PREFIX + s for s in STATISTICS])
-    n = both.count()
+    names = [PREFIX + s for s in STATISTICS]
+    both = described.join(truth, F.col(id_col) == F.col("_id")).groupBy("_id", "_y").agg(F.min(F.struct(*names)).alias("_s"))
+    both = materialise(both.select("_id", "_y", "_s.*"), "quality-labelled")
+    n, drawn = both.count(), F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
     if n > most_rows:
-        both = both.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / n))
-    found = both.orderBy("_id", *[PREFIX + s for s in STATISTICS]).toPandas()
-    return fit_rules(found[[PREFIX + s for s in STATISTICS]].to_numpy(float), found["_y"].to_numpy(float))
+        both = both.filter(drawn <= int((1 << 20) * most_rows / n * 1.2) + 64).orderBy(drawn, "_id").limit(most_rows)
+    found = both.orderBy("_id").toPandas()
+    return fit_rules(found[names].to_numpy(float), found["_y"].to_numpy(float))
 
 
 def score(documents: DataFrame, labels: DataFrame, *, learns_from: Column | None = None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,4 +219,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, *, learns_from: Column |
         prefix = "_" + prefix
     described = materialise(with_statistics(documents.select("doc_id", "text"), keep_text=False), "quality-statistics")
     intercept, rules = learn(described if learns_from is None else described.filter(learns_from), labels)
-    return with_statistics(documents, prefix=prefix).filter(score_column(intercept, rules, prefix) >= threshold).select(*documents.columns)
+    return with_statistics(documents, prefix=prefix).filter(score_column(intercept, rules, prefix) >= threshold).select(*named(documents))

@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, vec_col: str) -> Column:
-    """True for vectors of the table's dimension (the largest) that are not null or zero and have finite components."""
+def usable(vec_col: str) -> Column:
+    """True for vectors that are not null or zero and have finite components."""
     v = F.col(vec_col)
-    top = vectors.agg(F.max(F.size(v))).first()[0] or 0
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(v) == top) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def dimensions(vectors: DataFrame, vec_col: str) -> list[int]:
+    """The dimensions of usable vectors, one at least: vectors of different dimensions never meet."""
+    found = vectors.filter(usable(vec_col)).select(F.size(vec_col).alias("d")).distinct().collect()
+    return sorted(r["d"] for r in found) or [1]
 
 
 def keyed(vectors: DataFrame, vec_col: str) -> DataFrame:

@@ -325,3 +325,35 @@ def test_pipeline_stages_take_any_column_names(spark):
         if name != "best-fit packing":
             assert Counter(str(r[: len(docs.columns)]) for r in map(tuple, got)) == Counter(str(tuple(r)) for r in plain), name
             assert all(r[c] == (None if r.doc_id is None else f"{c} {r.doc_id}") for r in got for c in clash), name
+
+
+def test_vectors_of_two_dimensions_meet_their_own(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 8)), rng.normal(size=(41, 12))
+    x[1], y[1] = x[0] * 2, y[0] * 2
+    rows = [(i, [float(v) for v in r], 1, "") for i, r in enumerate([*x, *y])] + [(200, None, 1, "")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank string")
+    got = defaultdict(list)
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, k=5, probes=16).collect():
+        got[r.query_id].append(r)
+    assert set(got) == {0, 20, 40, 60, 80, 100}
+    for q, found in got.items():
+        base, of = (0, x) if q < 60 else (60, y)
+        score = of @ of[q - base]
+        best = [base + i for i in np.argsort(-score, kind="stable") if base + i != q][:5]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == best
+    kept = {r.vec_id: r for r in pivots.near_duplicates(frame).collect()}
+    assert len(kept) == 102 and {i for i, r in kept.items() if r.n_links} == {0, 1, 60, 61} and kept[61].component_id == 60 and kept[200].kept
+
+
+def test_near_copies_go_from_tables_with_dots_in_names(spark):
+    frame = docs_of(spark, [(i, "one two three four five six seven", "s") for i in (3, 4, 4)] + [(5, "others", "s"), (5, "others", "s")]).selectExpr("*", "source AS `meta.kind`")
+    left = corpus_pipeline.drop_near_copies(spark, frame, SF)
+    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [3, 5]
+
+
+def test_mixing_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.0)
+    with pytest.raises(RuntimeError, match="target"):
+        mixing.mix(docs_of(spark, [(i, "w " * (1 + i * 7 % 40), f"s{i % 4}") for i in range(900)]), weights=[1, 2, 3])

@@ -295,3 +295,35 @@ def test_shards_are_even_and_mixed(spark, shards):
     again = sharding.stratified_shards(docs_of(spark, rows[::-1]).repartition(3), shards).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert sharding.stratified_shards(docs_of(spark, []), shards).count() == 0
+
+
+def test_packing_takes_very_long_runs(spark):
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "x" * 2_000_000, "x" + " " * 1_000_000 + "y <|endoftext|> z"]
+    check_packing(packed(spark, [(i, t, "s") for i, t in enumerate(texts)]), list(enumerate(texts)), 2048)
+
+
+def test_language_of_a_long_text_in_parts(monkeypatch):
+    profiles = langid.Profiles.of(64, 7)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    rng = np.random.default_rng(2)
+    for text in ["".join(rng.choice(list("abcÉ .,1"), n)) for n in (8, 15, 50, 51, 52, 53, 54, 55, 56, 200)] + [" " * 30 + "a b", "....... ....... ab", "abcdefg hijklmn "]:
+        parts = list(profiles.chunks(["x", text, "y"]))
+        mine = [p for p in parts if p[0] == 1]
+        assert [p[2] for p in mine] == [False] * (len(mine) - 1) + [True] and len(parts) == len(mine) + 2
+        assert np.array_equal(sum(profiles.bundle(p[3], p[6]) for p in mine), naive_profile(text, profiles))
+
+
+def test_quality_learns_one_row_an_id_and_no_more_than_asked(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: seen.append((len(x), len(y))) or (0.0, []))
+    rows = [(i, f"text {i}", "s") for i in range(3000)] + [(7, f"again {i}", "s") for i in range(5000)]
+    described = quality.with_statistics(docs_of(spark, rows).select("doc_id", "text"), keep_text=False)
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 as int) AS quality")
+    quality.learn(described, labels)
+    quality.learn(described, labels, most_rows=500)
+    assert seen == [(3000, 3000), (500, 500)]
+
+
+def test_quality_keeps_columns_with_dots(spark):
+    frame = docs_of(spark, EDGES).selectExpr("*", "source AS `meta.kind`", "1 AS `a b`")
+    assert quality.keep_good(frame, spark.createDataFrame([], "doc_id long, quality int"), threshold=0.0).columns == frame.columns
