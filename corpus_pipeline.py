@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
 from claimgraph.llm import jaccard, mixing, packing, quality, queries, secrets
+from claimgraph.llm.columns import named
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +31,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     no rows; columns may have any names and stay as they are.
     """
     groups = materialise(jaccard.jaccard_components(docs, width=5, percent=80), "pipeline-groups")
-    named = groups.filter("doc_id is not null")
-    copies = named.filter("doc_id != component_id").select("doc_id").distinct()
+    known = groups.filter("doc_id is not null")
+    copies = known.filter("doc_id != component_id").select("doc_id").distinct()
     left = docs.join(copies.hint("merge"), "doc_id", "left_anti")  # copies have no bound: never a broadcast
-    repeated = materialise(named.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    repeated = materialise(known.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    again = left.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+        return left.select(*named(docs))
+    again = left.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*named(docs)).alias("row"))
     again = again.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-    return left.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").unionByName(again).select(*named(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
