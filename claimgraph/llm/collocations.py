@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +33,8 @@ LONGEST = 4
 SHARD_WORDS, PART_BYTES, LONG_WORD = 1 << 19, 1 << 19, 1 << 16
 #: The bitmap has 2^BITS bits (16 MB), and is made in 2^SEGMENTS tasks.
 BITS, SEGMENTS = 27, 8
+#: Texts that are read, and phrases that are handed on, at once.
+TEXTS, HANDED = 256, 20_000
 UNDECIDED = "und"
 
 #: White space that parts words, and characters that end a piece, beyond which no phrase goes.
@@ -130,7 +131,7 @@ class Reader:
         return np.array([_hash_of(x.encode()) for x in self.names], np.uint64)
 
     def shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
             langs = batch.column("lang").to_pylist()
             for name in dict.fromkeys(langs):
                 if name not in self.number:
@@ -219,13 +220,13 @@ def _united(mined: DataFrame, least: int) -> list:
     united = told.filter("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")).filter(F.col("times") >= least - untold)
     segment = F.shiftrightunsigned("hash", 64 - SEGMENTS).cast("int")
 
-    def bitmap(part: pd.DataFrame) -> pd.DataFrame:
+    def bitmap(part: pa.Table) -> pa.Table:
         bits = np.zeros(1 << (BITS - SEGMENTS - 3), np.uint8)
-        at = part["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS) & np.uint64((1 << (BITS - SEGMENTS)) - 1)
+        at = part.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS) & np.uint64((1 << (BITS - SEGMENTS)) - 1)
         np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        return pd.DataFrame({"segment": part["segment"].iloc[:1], "bits": [bits.tobytes()]})
+        return pa.table({"segment": part.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    made = united.select(segment.alias("segment"), "hash").groupBy("segment").applyInPandas(bitmap, "segment int, bits binary").collect()
+    made = united.select(segment.alias("segment"), "hash").groupBy("segment").applyInArrow(bitmap, "segment int, bits binary").collect()
     release(told)
     return made
 
@@ -236,16 +237,17 @@ def _counted(rows: DataFrame, may_hold, shard_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shard_words)
         for shard in reader.shards(batches):
-            codes, out = reader.codes(), []
-            for lang, n in enumerate(np.bincount(shard.langs[shard.carried :], minlength=len(reader.names))):
-                out.append((reader.names[lang], 0, "", int(n)))
+            codes, names = reader.codes(), pa.array(reader.names, pa.string())
+            told = lambda langs, k, phrases, times: pa.RecordBatch.from_arrays([names.take(pa.array(langs)), pa.array(np.full(len(langs), k, np.int32)), pa.array(phrases, pa.string()), pa.array(times)], names=["lang", "words", "phrase", "times"])
+            n = np.bincount(shard.langs[shard.carried :], minlength=len(names))
+            yield told(np.arange(len(names)), 0, [""] * len(names), n.astype(np.int64))
             for k in range(1, LONGEST + 1):
                 first, hashes = shard.phrases(k, codes)
                 keep = _passes(may_hold.value, hashes)
                 at, times = shard.told_apart(first[keep], hashes[keep], k, codes)
-                out += [(reader.names[shard.langs[a]], k, shard.phrase(a, k), n) for a, n in zip(at.tolist(), times.tolist())]
-            lang, words, phrase, times = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.string()), pa.array(times, pa.int64())], names=["lang", "words", "phrase", "times"])
+                for i in range(0, len(at), HANDED):
+                    few = at[i : i + HANDED]
+                    yield told(shard.langs[few], k, [shard.phrase(a, k) for a in few.tolist()], times[i : i + HANDED].astype(np.int64))
 
     each = rows.mapInArrow(run, "lang string, words int, phrase string, times long")
     return each.groupBy("lang", "words", "phrase").agg(F.sum("times").alias("f"))
