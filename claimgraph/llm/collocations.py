@@ -7,8 +7,9 @@ shards may have left untold, can reach it. Shards are mined by length: words fir
 frequent, then phrases of three and four words whose pairs can be; with many shards the local support is one, and this
 is what keeps the union small.
 
-Mining goes by 64-bit hashes of phrases. The union reaches the tasks of the next pass as a bitmap of fixed size over
-them, which says yes to some other phrases too, never no to one of the union. The last pass counts every phrase that
+Mining goes by hashes of phrases. What shards tell travels as sorted hashes, packed by range of hashes, a few bytes a
+phrase; a range is united in one task, and there are as many ranges as keep each small. The union reaches the tasks of
+the next pass as a bitmap of fixed size, which says yes to some other phrases too, never no to one of the union. The last pass counts every phrase that
 the bitmap lets through, by its text, so counts and everything made of them are exact.
 
 A hot language or phrase gives each shard one row a phrase, whatever its number of occurrences.
@@ -21,18 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise, release
+from claimgraph.functions.storage import materialise
 from claimgraph.llm.columns import LOWER, WordHasher, mix, text_bytes
 from claimgraph.llm.ranks import join_hot
 
 LONGEST = 4
 #: Words of a shard, and bytes of text whose words are hashed at once; words of more bytes are hashed by themselves.
 SHARD_WORDS, PART_BYTES, LONG_WORD = 1 << 19, 1 << 19, 1 << 16
-#: The bitmap has 2^BITS bits (16 MB), and is made in 2^SEGMENTS tasks.
-BITS, SEGMENTS = 27, 8
+#: Bits of the hashes that travel, and of the bitmap (16 MB).
+HASH_BITS, BITS = 40, 27
+#: Phrases that a task packs together, and ranges of hashes: 2^8 at least, and one for so many bytes of text.
+PACKED, SEGMENT_BYTES = 1 << 21, 5 << 20
 #: Texts that are read, and phrases that are handed on, at once.
 TEXTS, HANDED = 256, 20_000
 UNDECIDED = "und"
@@ -183,52 +188,85 @@ def _supported(hashes: np.ndarray, support: int) -> tuple[np.ndarray, np.ndarray
     return found[times >= support], times[times >= support]
 
 
-def _mined(rows: DataFrame, lengths: list[int], may_hold, least: int, total: int, shard_words: int) -> DataFrame:
-    """(hash, times) of all phrases of local support of each shard; a row without a hash has what its shard left untold.
+def _summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order and the sum of each one's counts."""
+    h, t = np.concatenate(hashes), np.concatenate(times)
+    by = np.argsort(h, kind="stable")
+    h, t = h[by], t[by]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    return h[new], np.add.reduceat(t, new) if len(new) else t
+
+
+def pack(hashes: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending numbers below 2^32 and counts, by differences, byte planes and Zstandard."""
+    planes = [np.diff(hashes, prepend=0).astype("<u4"), times.astype("<i8")]
+    return zstandard.compress(b"".join(p.view(np.uint8).reshape(len(p), p.itemsize).T.tobytes() for p in planes), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    n = len(raw) // 12
+    plane = lambda part, kind: np.ascontiguousarray(part.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel()
+    return np.cumsum(plane(raw[: 4 * n], "<u4"), dtype=np.uint64), plane(raw[4 * n :], "<i8")
+
+
+def _mined(rows: DataFrame, lengths: list[int], may_hold, least: int, total: int, shard_words: int, segments: int) -> DataFrame:
+    """(segment, packed, untold): phrases of local support of some shards and how often they are there, by range of hashes.
 
     may_hold, a broadcast bitmap or None, rules out phrases whose words (of pairs) or pairs (of longer ones) can't be
-    frequent. A shard's share is that of its bytes, without those carried over from the one before.
+    frequent. A shard's share is that of its bytes, without those carried over from the one before. untold is what
+    these shards may have left untold of any phrase; each range tells it.
     """
+    inside = HASH_BITS - segments
+
+    def packed(hashes: list[np.ndarray], times: list[np.ndarray], untold: int) -> pa.RecordBatch:
+        h, t = _summed(hashes, times)
+        cuts = np.searchsorted(h >> np.uint64(inside), np.arange((1 << segments) + 1, dtype=np.uint64))
+        h = h & np.uint64((1 << inside) - 1)
+        made = [pack(h[a:b], t[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        columns = [pa.array(np.arange(len(made), dtype=np.int32)), pa.array(made, pa.binary()), pa.array(np.full(len(made), untold))]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "packed", "untold"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shard_words)
+        reader, part = Reader(shard_words), {1: 0, 2: 1}.get(lengths[0], 2)
+        hashes, times, untold = [], [], 0
         for shard in reader.shards(batches):
             codes, support = reader.codes(), max(1, -(-least * (shard.held - shard.carried_bytes) // total))
-            part, good = {1: 0, 2: 1}.get(lengths[0], 2), None
+            untold += support - 1
             if part:
-                first, hashes = shard.phrases(part, codes)
+                first, found = shard.phrases(part, codes)
                 good = np.zeros(len(shard.words), bool)
-                good[first] = _passes(may_hold.value, hashes)
+                good[first] = _passes(may_hold.value, found)
                 # words carried over begin no phrase of part words that ends here, but longer ones do
                 good[: shard.carried] = True
             for k in lengths:
-                first, hashes = shard.phrases(k, codes)
+                first, found = shard.phrases(k, codes)
                 if part:
-                    keep = np.logical_and.reduce([good[first + i] for i in range(k - part + 1)])
-                    hashes = hashes[keep]
-                found, times = _supported(hashes, support)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["hash", "times"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([support - 1], pa.int64())], names=["hash", "times"])
-
-    return rows.mapInArrow(run, "hash long, times long")
-
-
-def _united(mined: DataFrame, least: int) -> list:
-    """Segments of the bitmap (segment, bits) of all phrases that can reach the support."""
-    told = materialise(mined, "phrases-mined")
-    untold = told.filter("hash is null").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    united = told.filter("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")).filter(F.col("times") >= least - untold)
-    segment = F.shiftrightunsigned("hash", 64 - SEGMENTS).cast("int")
-
-    def bitmap(part: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << (BITS - SEGMENTS - 3), np.uint8)
-        at = part.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS) & np.uint64((1 << (BITS - SEGMENTS)) - 1)
+                    found = found[np.logical_and.reduce([good[first + i] for i in range(k - part + 1)])]
+                found, n = _supported(found >> np.uint64(64 - HASH_BITS), support)
+                hashes.append(found)
+                times.append(n)
+            if sum(map(len, hashes)) >= PACKED:
+                yield packed(hashes, times, untold)
+                hashes, times, untold = [], [], 0
+        if hashes:
+            yield packed(hashes, times, untold)
+
+    return rows.mapInArrow(run, "segment int, packed binary, untold long")
+
+
+def _united(mined: DataFrame, least: int, segments: int) -> list:
+    """Parts of the bitmap (segment, bits) of all phrases that can reach the support."""
+
+    def unite(part: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << (BITS - segments - 3), np.uint8)
+        told = [unpack(p) for p in part.column("packed").to_pylist()]
+        hashes, times = _summed([h for h, _ in told], [t for _, t in told])
+        at = hashes[times >= least - pc.sum(part.column("untold")).as_py()] >> np.uint64(HASH_BITS - BITS)
         np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
         return pa.table({"segment": part.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    made = united.select(segment.alias("segment"), "hash").groupBy("segment").applyInArrow(bitmap, "segment int, bits binary").collect()
-    release(told)
-    return made
+    return mined.groupBy("segment").applyInArrow(unite, "segment int, bits binary").collect()
 
 
 def _counted(rows: DataFrame, may_hold, shard_words: int) -> DataFrame:
@@ -264,9 +302,10 @@ def frequent_phrases(documents: DataFrame, *, least: int = 30, shard_words: int
     rows = documents.select(lang.alias("lang"), text.alias("text")).filter("text is not null and text != ''")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     spark, bits, may_hold = documents.sparkSession, np.zeros(1 << (BITS - 3), np.uint8), None
-    size = 1 << (BITS - SEGMENTS - 3)
+    segments = min(20, max(8, (total // SEGMENT_BYTES).bit_length()))
+    size = 1 << (BITS - segments - 3)
     for lengths in ([1], [2], [3, 4]):
-        for segment, made in _united(_mined(rows, lengths, may_hold, least, total, shard_words), least):
+        for segment, made in _united(_mined(rows, lengths, may_hold, least, total, shard_words, segments), least, segments):
             bits[segment * size : (segment + 1) * size] |= np.frombuffer(made, np.uint8)
         if may_hold is not None:
             may_hold.unpersist()

@@ -206,3 +206,12 @@ def test_shards_read_all_words_whatever_their_parts(monkeypatch):
                 at, times = shard.told_apart(first, hashes, k, reader.codes())
                 got.update({("en", tuple(shard.phrase(a, k).split(" "))): n for a, n in zip(at.tolist(), times.tolist())})
         assert got == want
+
+
+def test_packed_phrases_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 1000):
+        hashes, times = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint64)), rng.integers(1, 1 << 40, n)
+        times = times[: len(hashes)]
+        got = collocations.unpack(collocations.pack(hashes, times))
+        assert np.array_equal(got[0], hashes) and np.array_equal(got[1], times)
