@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.versioned import VersionedTable
+
 TIERS = ["sandbox", "proposition", "validated", "verified"]
 
 
@@ -173,3 +175,15 @@ def store_snapshots(landed: DataFrame) -> DataFrame:
     """One snapshot of each (source_id, query_hash, source_version), the first fetched, with its content's hash."""
     first = F.row_number().over(Window.partitionBy("source_id", "query_hash", "source_version").orderBy("fetched_at", "raw_response"))
     return landed.withColumn("o", first).filter("o = 1").drop("o").withColumn("content_hash", F.sha2("raw_response", 256))
+
+
+def land_snapshots(landed: DataFrame, path: str, *, buckets: int = 64) -> VersionedTable:
+    """Snapshots kept in a stored table: of those there and those that come the first fetched stays.
+
+    Only the buckets of what comes are rewritten.
+    """
+    keys, table = ["source_id", "query_hash", "source_version"], VersionedTable(landed.sparkSession, path)
+    if not table.versions():
+        return VersionedTable.create(path, store_snapshots(landed), keys, buckets=buckets)
+    table.update(landed.select(*keys), lambda now: store_snapshots(now.drop("content_hash").unionByName(landed)))
+    return table

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.versioned import VersionedTable
+
 
 def incident(edges: DataFrame) -> DataFrame:
     """A row for each edge and node that it touches; a self-loop touches its node once."""
@@ -167,6 +169,18 @@ def upsert_edges(current: DataFrame, new: DataFrame, policy: str = "average") ->
     return both.select("source", "target", F.round(weight, 12).alias("weight"), *[more[c].alias(c) for c in extra], F.coalesce("_n", F.lit(0)).alias("extractions"))
 
 
+def upsert_stored(table: VersionedTable, new: DataFrame, policy: str = "average") -> None:
+    """upsert_edges into a stored table of edges; only the buckets of new's edges are rewritten."""
+    keys = new.select("source", "target")
+
+    def change(now: DataFrame) -> DataFrame:
+        made = upsert_edges(now, new, policy).withColumnRenamed("extractions", "_n")
+        found = made.join(now.select("source", "target", "extractions"), ["source", "target"], "left")
+        return found.withColumn("extractions", F.coalesce("extractions", F.lit(0)) + F.col("_n")).drop("_n")
+
+    table.update(keys, change)
+
+
 def to_undo(deltas: DataFrame, session: Column, *, since: str | None = None, ids: list[int] | None = None) -> DataFrame:
     """Deltas of the sessions for which ``session`` holds that aren't rolled back yet: all, those since a time, or by id."""
     rows = deltas.filter(session & F.col("rolled_back_at").isNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.versioned import VersionedTable
+
 #: Words without content in the four languages of our tests (our own list).
 STOP_WORDS = ["with", "from", "that", "this", "have", "they", "what", "pour", "dans", "avec", "sont", "nous", "vous", "para", "como", "esta", "pero", "nicht", "eine", "einer", "sich", "auch"]
 
@@ -101,7 +103,7 @@ def forget_session(deltas: DataFrame, events: DataFrame, cutoff: str) -> DataFra
 
 
 def bundles(log: DataFrame, *, trajectories: DataFrame | None = None, adjustments: DataFrame | None = None) -> DataFrame:
-    """A session's messages in order as one JSON document, to be written by partition.
+    """A session's messages in order as one JSON document; export_sessions writes them by session.
 
     trajectories and adjustments (conv_id, at, …), where given, are lists of their own in a session's document.
     """
@@ -124,3 +126,29 @@ def listing(bundled: DataFrame, sessions: DataFrame, *, k: int = 100) -> DataFra
     """S15 of sessions (conv_id, model, at): the newest bundles of each model."""
     place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("at"), "conv_id"))
     return bundled.join(sessions, "conv_id").withColumn("place", place).filter(F.col("place") <= k).select("model", "conv_id", "n", "place")
+
+
+def export_sessions(log: DataFrame, path: str, *, buckets: int = 64, **parts) -> VersionedTable:
+    """The sessions of log as bundles in a stored table; sessions that are there already are replaced.
+
+    Only the buckets of these sessions are written; versions before stay readable.
+    """
+    made, table = bundles(log, **parts), VersionedTable(log.sparkSession, path)
+    if not table.versions():
+        return VersionedTable.create(path, made, ["conv_id"], buckets=buckets)
+    keys = log.select("conv_id").distinct()
+    table.update(keys, lambda now: now.join(keys, "conv_id", "left_anti").unionByName(made))
+    return table
+
+
+def import_sessions(table: VersionedTable, of: DataFrame | None = None, *, version: int | None = None) -> DataFrame:
+    """The messages of stored sessions, of all or of those (conv_id) asked for, whose buckets alone are read."""
+    if of is None:
+        return unbundle(table.read(version=version))
+    return unbundle(table.read(version=version, buckets=table.touched(of)).join(of.select("conv_id").distinct(), "conv_id", "left_semi"))
+
+
+def forget_stored(table: VersionedTable, events: DataFrame, cutoff: str, *, key: str = "conv_id") -> None:
+    """Stored rows of sessions that are inactive go; only their buckets are rewritten."""
+    gone = inactive(events, cutoff).select(F.col("session").alias(key))
+    table.update(gone, lambda now: now.join(gone, key, "left_anti"))

@@ -26,18 +26,22 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("claim_key", text.triple_hash(F.col("subject"), F.col("relation"), F.col("object")))
 
 
-def _counted(votes: DataFrame, least_confidence: float, *of: str) -> DataFrame:
-    """Votes that count, summed up by triple as written (and ``of``), with the claim's key."""
+def _counted(votes: DataFrame, least_confidence: float, by: list[str], *of: str) -> DataFrame:
+    """Votes that count, summed up by triple as written (and ``by`` and ``of``), with the claim's key."""
     rows = votes.filter(F.col("confidence") >= least_confidence)
     c = F.col("confidence")
     sums = [F.count(F.lit(1)).alias("_n"), F.sum(c).alias("_s"), F.sum(c * c).alias("_s2"), F.min("ord").alias("_ord"), F.max("ord").alias("_end"), F.max_by("confidence", "ord").alias("_last")]
-    return _keyed(rows.groupBy(*TRIPLE, *of).agg(*sums, *([] if of else [F.collect_set("model").alias("_models")])))
+    return _keyed(rows.groupBy(*TRIPLE, *by, *of).agg(*sums, *([] if of else [F.collect_set("model").alias("_models")])))
 
 
-def exact_consensus(votes: DataFrame, models: DataFrame, *, least_confidence: float = LEAST_CONFIDENCE, least_agreement: float = LEAST_AGREEMENT, distinct_models: bool = False) -> DataFrame:
-    """A1: claims with at least the agreement asked for. Agreement counts votes; with distinct_models, models."""
+def exact_consensus(votes: DataFrame, models: DataFrame, *, least_confidence: float = LEAST_CONFIDENCE, least_agreement: float = LEAST_AGREEMENT, distinct_models: bool = False, by: list[str] | None = None) -> DataFrame:
+    """A1: claims with at least the agreement asked for. Agreement counts votes; with distinct_models, models.
+
+    With ``by``, claims of each value of these columns. votes may be a stream.
+    """
+    by = by or []
     total = models.agg(F.count(F.lit(1)).alias("n_models"))
-    groups = _counted(votes, least_confidence).groupBy("claim_key").agg(
+    groups = _counted(votes, least_confidence, by).groupBy("claim_key", *by).agg(
         F.sum("_n").alias("n_votes"), F.sum("_s").alias("_s"), F.sum("_s2").alias("_s2"), F.min_by(F.struct(*TRIPLE), "_ord").alias("first"), F.min("_ord").alias("ord"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_models")))).alias("models"),
     )
@@ -47,20 +51,24 @@ def exact_consensus(votes: DataFrame, models: DataFrame, *, least_confidence: fl
     shared = (F.size("models") if distinct_models else n) / F.col("n_models")
     kept = groups.crossJoin(F.broadcast(total)).withColumns({"_agreement": shared, "_avg": avg, "_std": std}).filter(F.col("_agreement") >= least_agreement)
     return kept.select(
-        "claim_key", "first.*", "n_votes", F.round("_agreement", 4).alias("agreement"), F.round("_avg", 4).alias("avg_confidence"), F.round("_std", 4).alias("std_confidence"),
+        *by, "claim_key", "first.*", "n_votes", F.round("_agreement", 4).alias("agreement"), F.round("_avg", 4).alias("avg_confidence"), F.round("_std", 4).alias("std_confidence"),
         F.round(0.6 * F.col("_agreement") + 0.4 * F.col("_avg"), 4).alias("score"), F.size("models").alias("n_models"), F.array_join("models", ",").alias("models"), "ord",
     )
 
 
-def weighted_consensus(votes: DataFrame, models: DataFrame, *, least_confidence: float = LEAST_CONFIDENCE, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
-    """A2: each model's last confidence, weighted; a model that the table doesn't name weighs 1."""
+def weighted_consensus(votes: DataFrame, models: DataFrame, *, least_confidence: float = LEAST_CONFIDENCE, least_agreement: float = LEAST_AGREEMENT, by: list[str] | None = None) -> DataFrame:
+    """A2: each model's last confidence, weighted; a model that the table doesn't name weighs 1.
+
+    With ``by``, claims of each value of these columns. votes may be a stream.
+    """
+    by = by or []
     total = models.agg(F.sum("weight").alias("_all"))
-    last = _counted(votes, least_confidence, "model").groupBy("claim_key", "model").agg(F.max_by("_last", "_end").alias("confidence"))
+    last = _counted(votes, least_confidence, by, "model").groupBy("claim_key", "model", *by).agg(F.max_by("_last", "_end").alias("confidence"))
     weighed = last.join(models, "model", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    sums = weighed.groupBy("claim_key").agg(F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.col("confidence")).alias("_wc"), F.avg("confidence").alias("_plain"), F.count(F.lit(1)).alias("n_models"))
+    sums = weighed.groupBy("claim_key", *by).agg(F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.col("confidence")).alias("_wc"), F.avg("confidence").alias("_plain"), F.count(F.lit(1)).alias("n_models"))
     mean = F.when(F.col("_w") > 0, F.col("_wc") / F.col("_w")).otherwise(F.col("_plain"))
     rows = sums.crossJoin(F.broadcast(total)).withColumn("_agreement", F.col("_w") / F.col("_all")).filter(F.col("_agreement") >= least_agreement)
-    return rows.select("claim_key", "n_models", F.round("_agreement", 6).alias("agreement"), F.round(mean, 6).alias("avg_confidence"), F.round(0.6 * F.col("_agreement") + 0.4 * mean, 6).alias("score"))
+    return rows.select(*by, "claim_key", "n_models", F.round("_agreement", 6).alias("agreement"), F.round(mean, 6).alias("avg_confidence"), F.round(0.6 * F.col("_agreement") + 0.4 * mean, 6).alias("score"))
 
 
 def vote_entropy(votes: DataFrame, models: DataFrame, *, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:

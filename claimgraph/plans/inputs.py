@@ -20,13 +20,18 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "
 ORDINAL = "l_orderkey * 536870912 + l_linenumber * 67108864 + l_suppkey * 64 + cast(l_quantity as bigint)"
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("m"), F.col("l_suppkey") % 5).alias("model"), F.concat(F.lit("part "), "l_partkey").alias("subject"), F.col("l_returnflag").alias("relation"),
+def as_votes(lines: DataFrame) -> DataFrame:
+    """Line items with what they are as votes."""
+    return lines.select(
+        "*", F.concat(F.lit("m"), F.col("l_suppkey") % 5).alias("model"), F.concat(F.lit("part "), "l_partkey").alias("subject"), F.col("l_returnflag").alias("relation"),
         F.col("l_linestatus").alias("object"), (F.col("l_quantity") / 50.0).alias("confidence"), F.expr(ORDINAL).alias("ord"), (F.col("l_orderkey") % 2).alias("run_id"),
     )
 
 
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_votes(table(spark, sf_dir, "lineitem")).select("model", "subject", "relation", "object", "confidence", "ord", "run_id")
+
+
 VOTES = f"""votes AS (SELECT 'm' || (l_suppkey % 5) AS model, 'part ' || l_partkey AS subject, l_returnflag AS relation, l_linestatus AS object,
     l_quantity / 50.0 AS confidence, {ORDINAL} AS ord, l_orderkey % 2 AS run_id FROM lineitem)"""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from claimgraph.functions.storage import shared_dir
 from claimgraph.operators import calibrate, similarity, text, votes
 from claimgraph.plans import inputs as I
 from claimgraph.plans.inputs import MODELS, PREDICTIONS, VOTES
@@ -109,6 +112,14 @@ def migrated(s, d, model):
     return I.vectors(s, d).select("id", "embedding", F.lit(model).alias("model_id"))
 
 
+def stored_snapshots(s, d):
+    """Snapshots that land in two goes in a stored table."""
+    raw, path = events_raw(s, d), f"{shared_dir(s)}/s12-{uuid.uuid4().hex}"
+    middle = F.pmod(F.xxhash64("raw_response"), F.lit(2)) == 0
+    calibrate.land_snapshots(raw.filter(middle), path)
+    return calibrate.land_snapshots(raw.filter(~middle), path).read()
+
+
 QUERIES = {
     "c1_normalise_text": (
         lambda s, d: I.table(s, d, "part").select("p_partkey", text.normalise(F.concat(F.lit("  "), F.upper("p_name"), F.lit("\t x "))).alias("text")),
@@ -367,6 +378,10 @@ QUERIES = {
         lambda s, d: calibrate.store_snapshots(events_raw(s, d)),
         f"WITH {SNAPSHOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, query_hash, source_version ORDER BY fetched_at, raw_response) AS o FROM snaps) SELECT * EXCLUDE (o), sha256(raw_response) AS content_hash FROM r WHERE o = 1",
     ),
+    "s12_stored_snapshots": (
+        stored_snapshots,
+        f"WITH {SNAPSHOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id, query_hash, source_version ORDER BY fetched_at, raw_response) AS o FROM snaps) SELECT * EXCLUDE (o), sha256(raw_response) AS content_hash FROM r WHERE o = 1",
+    ),
     "s17_publish_candidates": (
         lambda s, d: calibrate.publish_candidates(order_history(s, d), order_history(s, d).filter("score >= 0.8"), least_score=0.5, k=20).select("frame", "claim_hash", "place"),
         f"WITH {HISTORY}, r AS (SELECT frame, claim_hash, row_number() OVER (PARTITION BY frame ORDER BY score DESC, made DESC, claim_hash) AS place FROM hist WHERE score >= 0.5 AND score < 0.8) SELECT * FROM r WHERE place <= 20",

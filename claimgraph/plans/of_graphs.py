@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
 from claimgraph.operators import align, components, gaps, graph, similarity, votes
+from claimgraph.functions.versioned import VersionedTable
 from claimgraph.plans import inputs as I
 from claimgraph.plans.inputs import DELTAS, EDGES, MICRO, MODELS, START, VALID, VOTES
 
@@ -136,7 +137,7 @@ LEADERS = f"""{UNIT}, l AS (SELECT a, b FROM sim WHERE similarity >= {ALIKE} UNI
     st AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ls UNION ALL SELECT nb.k, CASE WHEN list_has_any(nb.ns, ls) THEN ls ELSE list_append(ls, nb.id) END FROM st JOIN nb ON nb.k = st.k + 1),
     fin AS (SELECT ls FROM st ORDER BY k DESC LIMIT 1), leaders AS (SELECT id, CASE WHEN list_contains(ls, id) THEN id ELSE list_min(list_intersect(ns, ls)) END AS leader FROM nb, fin)"""
 TOUCHED = "t AS (SELECT source AS node FROM edges WHERE weight >= 0.3 UNION SELECT target FROM edges WHERE weight >= 0.3), dirty AS (SELECT source, target FROM edges WHERE source IN (SELECT node FROM t) OR target IN (SELECT node FROM t))"
-CURVED = """g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), o AS (SELECT source, count(*) AS n FROM edges GROUP BY 1),
+CURVED = """g AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges WHERE source <> target) GROUP BY 1), o AS (SELECT source, count(*) AS n FROM edges GROUP BY 1),
     i AS (SELECT e.source, e.target, count(*) AS bt FROM edges e JOIN edges a ON a.source = e.source JOIN edges b ON b.source = e.target AND b.target = a.target GROUP BY 1, 2),
     j AS (SELECT e.source, e.target, 1 / du.d + 1 / dv.d - 2 / weight AS oll, coalesce(bt, 0) AS bt, coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(bt, 0) AS un FROM edges e JOIN g du ON du.node = e.source JOIN g dv ON dv.node = e.target
         LEFT JOIN o a ON a.source = e.source LEFT JOIN o b ON b.source = e.target LEFT JOIN i ON i.source = e.source AND i.target = e.target),
@@ -170,6 +171,14 @@ def seeds(s, d):
 SEEDED = """sd AS (SELECT c_custkey AS source, s_suppkey AS target, CASE WHEN s_acctbal > 0 THEN 'same nation' ELSE 'owes' END AS relation_type, round(abs(s_acctbal) / 10000, 4) AS weight FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 9000),
     sb AS (SELECT * FROM sd UNION ALL SELECT target, source, relation_type, weight FROM sd WHERE relation_type = 'same nation'), seeded AS (SELECT source, target, relation_type, max(weight) AS weight FROM sb ANTI JOIN start USING (source, target) GROUP BY 1, 2, 3)"""
 
+def stored_upsert(s, d):
+    """The start graph as a stored table of edges, and the additions as an upsert into it."""
+    start = start_edges(s, d).select("source", "target", "weight", F.lit(0).cast("long").alias("extractions"))
+    table = VersionedTable.scratch(start, ["source", "target"], "g8")
+    graph.upsert_stored(table, changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id")), "max")
+    return table.read().select("source", "target", "weight")
+
+
 QUERIES = {
     "j2_cosine_join": (
         lambda s, d: similarity.cosine_join(I.vectors(s, d), ALIKE).select("a", "b", F.round("similarity", 6).alias("similarity")),
@@ -286,6 +295,10 @@ QUERIES = {
         lambda s, d: graph.upsert_edges(start_edges(s, d), changes(s, d).filter("operation = 'add_edge'").withColumn("ord", F.struct("ts", "id")), "max").select("source", "target", "weight"),
         f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(max(weight), 12) AS weight FROM a GROUP BY 1, 2",
     ),
+    "g8_upsert_stored": (
+        stored_upsert,
+        f"WITH {DELTAS}, {START}, a AS (SELECT source, target, weight FROM start UNION ALL SELECT source, target, weight FROM deltas WHERE operation = 'add_edge') SELECT source, target, round(max(weight), 12) AS weight FROM a GROUP BY 1, 2",
+    ),
     "g9_roll_back": (
         lambda s, d: graph.roll_back(start_edges(s, d), graph.to_undo(changes(s, d).withColumns({"old_weight": F.when(F.col("weight") > 0.01, F.round("weight", 4)), "old_kappa": F.when(F.col("weight") > 0.05, F.col("kappa"))}), F.col("session") > 19720, since="2024-01-05")),
         f"""WITH {DELTAS}, {START}, u AS (SELECT *, CASE WHEN weight > 0.01 THEN round(weight, 4) END AS ow, CASE WHEN weight > 0.05 THEN kappa END AS ok FROM deltas WHERE session > 19720 AND ts >= TIMESTAMP '2024-01-05' AND rolled_back_at IS NULL),

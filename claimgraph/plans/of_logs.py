@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from claimgraph.functions.storage import shared_dir
+from claimgraph.functions.versioned import VersionedTable
 from claimgraph.operators import sessions
 from claimgraph.plans import inputs as I
+from claimgraph.plans.of_graphs import CURVED
 from claimgraph.sources import landing
 from claimgraph.streaming import streams
 
@@ -79,8 +84,35 @@ def stream_of(s, d, name: str):
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
-def votes_with_time(rows):
-    return rows.select("ts", F.concat(F.lit("c"), F.get_json_object("props", "$.k")).alias("key"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.col("event_id").alias("vote_id"), (F.col("value") / 500).alias("confidence"))
+def votes_with_time(lines):
+    """Line items as votes at the time they were shipped; the place of a vote in its run is all that tells it apart."""
+    place = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    return I.as_votes(lines).select("model", "subject", "relation", "object", "confidence", "ord", "run_id", F.col("l_shipdate").cast("timestamp").alias("ts"), place.alias("pos"))
+
+
+def stored_sessions(s, d):
+    """Conversations exported in two goes, the second over some of the first, and imported again."""
+    path = f"{shared_dir(s)}/s15-{uuid.uuid4().hex}"
+    sessions.export_sessions(talk(s, d).withColumn("text", F.when(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, "an earlier state").otherwise(F.col("text"))), path)
+    return sessions.import_sessions(sessions.export_sessions(talk(s, d).filter(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0), path))
+
+
+def forgotten(s, d):
+    table = VersionedTable.scratch(by_user(s, d).select("event_id", "session"), ["session"], "x10")
+    sessions.forget_stored(table, by_user(s, d), CUTOFF, key="session")
+    return table.read()
+
+
+def followed(s, d):
+    """The store of customers' and suppliers' edges after the events as a stream of changes, with curvature taken again."""
+    store = streams.follow_deltas(I.start_edges(s, d), I.as_deltas(stream_of(s, d, "events")))
+    return store
+
+
+def refreshed(s, d):
+    store = followed(s, d)
+    store.refresh()
+    return store.curvature()
 
 
 def as_predictions(rows):
@@ -118,6 +150,20 @@ FOLLOWED = f"""WITH {I.DELTAS}, {I.START}, {I.VALID}, ks AS (SELECT source, targ
     after AS (SELECT * FROM (SELECT ks.source, ks.target, CASE WHEN e IS NULL THEN CASE WHEN start.weight IS NOT NULL OR a IS NOT NULL THEN coalesce(w, start.weight) END WHEN a > e THEN w END AS weight FROM ks LEFT JOIN z USING (source, target) LEFT JOIN start USING (source, target)) WHERE weight IS NOT NULL)
     {{select}}"""
 
+SO_FAR = "(sum(n) OVER (PARTITION BY user_id ORDER BY ended))::BIGINT"
+#: Nodes whose edges valid changes make dirty: their ends, and the neighbours of nodes that go.
+DIRTY = """dirty AS (SELECT source AS node FROM v UNION SELECT target FROM v WHERE operation LIKE '%edge' UNION SELECT start.target FROM start JOIN v ON v.source = start.source AND operation = 'delete_node'
+    UNION SELECT start.source FROM start JOIN v ON v.source = start.target AND operation = 'delete_node')"""
+T4_WIDTH, T4_LEAST = "1200 days", 0.3
+RUNS = f"""{I.MODELS}, once AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_shipdate FROM lineitem),
+    cast_ AS (SELECT time_bucket(INTERVAL 1200 DAY, l_shipdate::TIMESTAMP, TIMESTAMP '1970-01-01') AS began, l_orderkey % 2 AS run_id, 'm' || (l_suppkey % 5) AS model, 'part ' || l_partkey AS subject, l_returnflag AS relation, l_linestatus AS object,
+        l_quantity / 50.0 AS confidence, {I.ORDINAL} AS ord, substr(sha256(lower('part ' || l_partkey) || '|' || lower(l_returnflag) || '|' || lower(l_linestatus)), 1, 16) AS claim_key FROM once WHERE l_quantity / 50.0 >= 0.3),
+    grouped AS (SELECT began, run_id, claim_key, any_value(subject) AS subject, any_value(relation) AS relation, any_value(object) AS object, count(*) AS n_votes, min(ord) AS ord, avg(confidence) AS a, coalesce(stddev_samp(confidence), 0) AS s,
+        list_sort(list(DISTINCT model)) AS ms, count(*) / (SELECT count(*) FROM models) AS agr FROM cast_ GROUP BY 1, 2, 3),
+    claims AS (SELECT began, run_id, claim_key, subject, relation, object, n_votes, round(agr, 4) AS agreement, round(a, 4) AS avg_confidence, round(s, 4) AS std_confidence, round(0.6 * agr + 0.4 * a, 4) AS score,
+        len(ms) AS n_models, array_to_string(ms, ',') AS models, ord FROM grouped WHERE agr >= 0.3)"""
+T4_CLOSED = "began + INTERVAL 1200 DAY <= (SELECT max(l_shipdate)::TIMESTAMP - INTERVAL 1 DAY FROM lineitem)"
+
 QUERIES = {
     "s1_concept_list": (
         lambda s, d: landing.concept_list(I.table(s, d, "part").select(F.concat(F.lit("  "), F.upper("p_type"), F.lit("  ("), F.col("p_brand"), F.lit(")")).alias("value"))),
@@ -187,6 +233,11 @@ QUERIES = {
         lambda s, d: sessions.listing(sessions.bundles(talk(s, d)), talk(s, d).groupBy("conv_id").agg(F.concat(F.lit("m"), F.max("turn")).alias("model"), F.sum(F.length("text")).alias("at")), k=5),
         """WITH b AS (SELECT conv_id, 'm' || max(turn) AS model, sum(length(text)) AS made, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT model, conv_id, n, row_number() OVER (PARTITION BY model ORDER BY made DESC, conv_id) AS place FROM b) SELECT * FROM r WHERE place <= 5""",
     ),
+    "s15_stored_sessions": (stored_sessions, "SELECT conv_id, turn, role, text FROM conversations"),
+    "x10_forget_stored": (
+        forgotten,
+        f"SELECT event_id, user_id AS session FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '{CUTOFF}')",
+    ),
     "x1_messages": (
         lambda s, d: sessions.messages(talk(s, d), roles=["user"], k=2).select("conv_id", "turn", "place"),
         "SELECT * FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role = 'user') WHERE place <= 2",
@@ -229,27 +280,37 @@ QUERIES = {
     ),
     "t1_session_activity": (lambda s, d: streams.session_activity(I.table(s, d, "events")), f"WITH {SESSIONS} SELECT * FROM ses"),
     "t1_session_activity_stream": (lambda s, d: streams.drain(streams.session_activity(stream_of(s, d, "events")), "t1"), f"WITH {SESSIONS} SELECT * FROM ses WHERE ended {CLOSED}"),
+    "t1_inactivity": (lambda s, d: streams.inactivity(I.table(s, d, "events")), f"WITH {SESSIONS} SELECT user_id, ended - INTERVAL 2 HOUR AS last_at, {SO_FAR} AS events FROM ses"),
+    "t1_inactivity_stream": (
+        lambda s, d: streams.drain(streams.inactivity(stream_of(s, d, "events")), "t1"),
+        f"WITH {SESSIONS} SELECT user_id, ended - INTERVAL 2 HOUR AS last_at, {SO_FAR} AS events FROM ses WHERE ended {CLOSED}",
+    ),
     "t2_signed_degrees": (
         lambda s, d: streams.signed_degrees(I.deltas(s, d)),
         f"""WITH {I.DELTAS}, x AS (SELECT CASE operation WHEN 'add_edge' THEN 1 WHEN 'delete_edge' THEN -1 END AS g, source, target FROM deltas), y AS (SELECT source AS node, g FROM x UNION ALL SELECT target, g FROM x WHERE source <> target)
             SELECT node, sum(g)::BIGINT AS degree, count(*) AS changes FROM y WHERE g IS NOT NULL GROUP BY 1""",
     ),
-    "t2_follow_deltas_stream": (lambda s, d: streams.follow_deltas(I.start_edges(s, d), I.as_deltas(stream_of(s, d, "events")))[0].select("source", "target", F.round("weight", 4).alias("weight")), FOLLOWED.format(select="SELECT source, target, round(weight, 4) AS weight FROM after")),
-    "t2_dirty_queue_stream": (
-        lambda s, d: streams.follow_deltas(I.start_edges(s, d), I.as_deltas(stream_of(s, d, "events")))[1].select("source", "target"),
-        FOLLOWED.format(select="SELECT source, target FROM after WHERE source IN (SELECT source FROM deltas UNION SELECT target FROM deltas) OR target IN (SELECT source FROM deltas UNION SELECT target FROM deltas)"),
-    ),
+    "t2_follow_deltas_stream": (lambda s, d: followed(s, d).edges().select("source", "target", F.round("weight", 4).alias("weight")), FOLLOWED.format(select="SELECT source, target, round(weight, 4) AS weight FROM after")),
+    "t2_dirty_queue_stream": (lambda s, d: followed(s, d).dirty(), FOLLOWED.format(select=f", {DIRTY} SELECT source, target FROM after WHERE source IN (FROM dirty) OR target IN (FROM dirty)")),
+    "t2_curvature_stream": (refreshed, FOLLOWED.format(select=f", edges AS (FROM after), {CURVED} SELECT * FROM curved")),
     "t3_event_rates": (
         lambda s, d: streams.event_rates(I.table(s, d, "events")),
         f"WITH {RATES} SELECT * FROM rates",
     ),
     "t3_event_rates_stream": (lambda s, d: streams.drain(streams.event_rates(stream_of(s, d, "events")), "t3"), f"WITH {RATES} SELECT * FROM rates WHERE began + INTERVAL 1 DAY {CLOSED}"),
-    "t4_windowed_consensus_stream": (lambda s, d: streams.drain(streams.windowed_consensus(votes_with_time(stream_of(s, d, "events")), 5).select("began", "key", "n", "models"), "t4"), f"""
-        WITH v AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, 'c' || (props::JSON ->> '$.k') AS key, user_id % 5 AS m FROM events) SELECT began, key, count(*) AS n, count(DISTINCT m) AS models FROM v WHERE began + INTERVAL 7 DAY {CLOSED} GROUP BY 1, 2"""),
     "t4_windowed_consensus": (
-        lambda s, d: streams.windowed_consensus(votes_with_time(I.table(s, d, "events")), 5),
-        """WITH v AS (SELECT ts, 'c' || (props::JSON ->> '$.k') AS key, 'm' || (user_id % 5) AS model, value / 500 AS c FROM events) SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS began, key, count(*) AS n, count(DISTINCT model) AS models,
-            round(count(DISTINCT model) / 5, 4) AS agreement, round(0.6 * count(DISTINCT model) / 5 + 0.4 * avg(c), 4) AS score FROM v GROUP BY 1, 2""",
+        lambda s, d: streams.windowed_consensus(votes_with_time(I.table(s, d, "lineitem")), I.models(s), width=T4_WIDTH, least_agreement=T4_LEAST),
+        f"WITH {RUNS} SELECT * FROM claims",
+    ),
+    "t4_windowed_consensus_stream": (
+        lambda s, d: streams.drain(streams.windowed_consensus(votes_with_time(stream_of(s, d, "lineitem")), I.models(s), width=T4_WIDTH, least_agreement=T4_LEAST), "t4"),
+        f"WITH {RUNS} SELECT * FROM claims WHERE {T4_CLOSED}",
+    ),
+    "t4_weighted_consensus_stream": (
+        lambda s, d: streams.drain(streams.windowed_consensus(votes_with_time(stream_of(s, d, "lineitem")), I.models(s), weighted=True, width=T4_WIDTH, least_agreement=T4_LEAST), "t4"),
+        f"""WITH {RUNS}, l AS (SELECT began, run_id, claim_key, model, confidence, weight FROM (SELECT *, row_number() OVER (PARTITION BY began, run_id, claim_key, model ORDER BY ord DESC, confidence DESC) AS r FROM cast_) JOIN models USING (model) WHERE r = 1),
+            g AS (SELECT began, run_id, claim_key, count(*) AS n_models, sum(weight) AS w, sum(weight * confidence) / sum(weight) AS a FROM l GROUP BY ALL), t AS (SELECT *, w / (SELECT sum(weight) FROM models) AS agr FROM g)
+            SELECT began, run_id, claim_key, n_models, round(agr, 6) AS agreement, round(a, 6) AS avg_confidence, round(0.6 * agr + 0.4 * a, 6) AS score FROM t WHERE agr >= 0.3 AND {T4_CLOSED}""",
     ),
     "t5_rolling_calibration": (
         lambda s, d: streams.rolling_calibration(as_predictions(I.table(s, d, "events")), as_outcomes(I.table(s, d, "events"))).select("began", "model", "n", "avg_brier"),

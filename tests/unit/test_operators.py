@@ -324,17 +324,6 @@ def test_rolling_calibration_as_a_stream(spark, tmp_path):
     assert got and got == want
 
 
-def test_follow_deltas_by_batches(spark, tmp_path):
-    schema = "operation string, source long, target long, weight double, id long, ts long"
-    for n, rows in enumerate([[("add_edge", 1, 2, 0.5, 1, 1), ("add_edge", 2, 3, 0.4, 2, 2)], [("update_edge", 1, 2, 0.9, 3, 3), ("update_edge", 8, 9, 0.9, 4, 4)], [("delete_node", 3, None, None, 5, 5)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    deltas = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    start = spark.createDataFrame([(5, 1, 0.3), (6, 7, 0.2)], "source long, target long, weight double")
-    edges, queue = streams.follow_deltas(start, deltas)
-    assert rows_of(edges) == [(1, 2, 0.9), (5, 1, 0.3), (6, 7, 0.2)]
-    assert {(1, 2), (5, 1)} <= set(rows_of(queue, "source", "target")) and (6, 7) not in set(rows_of(queue, "source", "target"))
-
-
 def test_batch_and_stream_agree(spark, tmp_path):
     rows = [(i, f"2024-01-{1 + i % 20:02d} 0{i % 10}:00:00", "abc"[i % 3]) for i in range(400)]
     df = spark.createDataFrame(rows, "user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
