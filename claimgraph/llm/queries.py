@@ -120,8 +120,9 @@ def _secrets_sql() -> str:
         f AS (SELECT uid, owner, ord, kind, stop - len AS start, stop, secret FROM p
             WHERE CASE kind WHEN 'assign' THEN length(secret) >= {secrets.LEAST_ASSIGNED}
                 WHEN 'mixed' THEN regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]') ELSE true END),
-        h AS (SELECT secret, count(DISTINCT owner) AS owners FROM f GROUP BY secret),
-        j AS (SELECT f.*, owners <= {secrets.MAX_OWNERS} AS live FROM f JOIN h USING (secret)),
+        r AS (SELECT secret, owner, count(DISTINCT t) AS repositories FROM f JOIN d USING (uid, owner) GROUP BY ALL),
+        h AS (SELECT secret, count(*) AS owners, max(repositories) AS most, sum(repositories) AS repositories FROM r GROUP BY secret),
+        j AS (SELECT f.*, owners <= {secrets.MAX_OWNERS} OR most * 100 >= repositories * {secrets.OWNED_PERCENT} AS live FROM f JOIN h USING (secret)),
         g AS (SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
             coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3), '') AS base,
             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans,

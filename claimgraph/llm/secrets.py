@@ -2,7 +2,8 @@
 
 Candidates come from patterns over the whole text. The base kinds always count. The method then asks, for each
 candidate's SHA-256 over the whole corpus, how many repositories (distinct texts) and how many owners (sources) hold it:
-a string that many owners hold is a copied example, one that few hold looks live, however often they repeat it. Candidates of the wider kinds
+a string that many owners hold is a copied example; one that few hold looks live, however often they repeat it, and so
+does one that others have copied here and there but nearly all of whose repositories are one owner's. Candidates of the wider kinds
 (vendor tokens, mixed-case keys) are too often harmless to be taken on their pattern alone; they become spans only
 when they look live. Only candidates are shuffled, never texts, and a candidate in very many documents is counted by
 partial sums over (hash, owner, text).
@@ -40,6 +41,8 @@ VENDOR_MARKS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "xox", "AIza
 LONG_RUN = r"[A-Za-z0-9+/_-]{24,}"
 LEAST_ASSIGNED = 6
 MAX_OWNERS = 3
+#: Per cent of the repositories that hold a secret: an owner who has so many of them is the one it belongs to.
+OWNED_PERCENT = 90
 
 
 def _may_hold(text: Column, kind: str) -> Column:
@@ -70,11 +73,12 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int) -> C
     return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<order:int,kind:string,place:int,gap:bigint,len:bigint,secret:string>>"))
 
 
-def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int | None = None) -> DataFrame:
+def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = MAX_OWNERS, owned_percent: int = OWNED_PERCENT) -> DataFrame:
     """A row for each row of documents: doc_id, text_hash, and spans (kind, start, end, owners, repositories, live).
 
-    spans is sorted by start and then kind, and empty where nothing is found. live tells that at most ``max_owners``
-    owners and ``max_repositories`` distinct texts (None: any number) hold the secret. A null text is empty; a null
+    spans is sorted by start and then kind, and empty where nothing is found. repositories are distinct texts that hold
+    the secret. live tells that at most ``max_owners`` owners hold it, or one of them has ``owned_percent`` of its
+    repositories. A null text is empty; a null
     owner is an owner of its own; a null id is kept. Copies of a text are one repository; each row gets its spans. An
     empty table gives no rows. Other columns are ignored.
     """
@@ -89,8 +93,8 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", owner_col: str = "sour
     fits = F.when(F.col("kind") == "assign", F.length(secret) >= LEAST_ASSIGNED).when(F.col("kind") == "mixed", secret.rlike("[0-9]") & secret.rlike("[A-Z]") & secret.rlike("[a-z]")).otherwise(True)
     each = materialise(each.filter(fits).select("uid", "owner", "text_hash", "order", "kind", "start", "end", F.sha2("secret", 256).alias("hash")), "secret-spans")
     held = each.select("hash", "owner", "text_hash").distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    held = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.lit(True) if max_repositories is None else F.col("repositories") <= max_repositories))
+    held = held.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.max("repositories").alias("most"))
+    judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) | (F.col("most") * 100 >= F.col("repositories") * owned_percent))
     judged = judged.filter(F.col("kind").isin(*BASE) | F.col("live"))
     per_row = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end", "owners", "repositories", "live"))).alias("spans"))
     none = F.array().cast(per_row.schema["spans"].dataType)

@@ -327,3 +327,12 @@ def test_quality_learns_one_row_an_id_and_no_more_than_asked(spark, monkeypatch)
 def test_quality_keeps_columns_with_dots(spark):
     frame = docs_of(spark, EDGES).selectExpr("*", "source AS `meta.kind`", "1 AS `a b`")
     assert quality.keep_good(frame, spark.createDataFrame([], "doc_id long, quality int"), threshold=0.0).columns == frame.columns
+
+
+def test_a_secret_that_one_owner_holds_nearly_everywhere_is_live(spark):
+    mine, shared = "Qw8" * 10, "Yx7" * 10
+    rows = [(i, f"row {i} {mine}", "hot") for i in range(60)] + [(100 + i, f"seen {i} {mine}", f"s{i}") for i in range(5)]
+    rows += [(200 + i, f"row {i} {shared}", f"s{i % 6}") for i in range(60)] + [(300 + i, f"the same text {shared}", "hot") for i in range(500)]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs_of(spark, rows)).collect()}
+    assert all(got[d] and got[d][0].live and (got[d][0].owners, got[d][0].repositories) == (6, 65) for d in (0, 59, 104))
+    assert not got[200] and not got[300]  # copies of one text are one repository
