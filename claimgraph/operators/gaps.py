@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.storage import materialise
 from claimgraph.operators.graph import degrees, undirected
+from claimgraph.operators.similarity import cosine_join, usable_vectors
 
 
 def isolated(concepts: DataFrame, edges: DataFrame, *, limit: int = 100) -> DataFrame:
@@ -61,17 +63,26 @@ def clusters(edges: DataFrame) -> DataFrame:
     return first.withColumn("size", F.count(F.lit(1)).over(of)).withColumn("place", F.row_number().over(of.orderBy("id"))).filter("size > 1")
 
 
-def bridges(edges: DataFrame, similar: DataFrame, *, least: float = 0.6) -> DataFrame:
-    """K5: pairs of clusters that are alike and not linked. similar (a, b, similarity) covers the members to compare.
+def bridges(edges: DataFrame, vectors: DataFrame, *, least: float = 0.6) -> DataFrame:
+    """K5: pairs of clusters that are alike and not linked. vectors (id, embedding) are the concepts'.
 
-    The likeness is the mean over the first three members of each that similar knows; a cross edge among the first
-    ten of each rules the pair out.
+    The likeness is the mean cosine over all pairs of the first three members of each that have vectors, low and
+    negative ones too. It is the product of the clusters' mean unit vectors, so clusters meet as vectors of that length:
+    the join by angle finds those that can reach ``least`` and no pair of members is formed. A zero vector has the
+    cosine 0 with any other. A cross edge among the first ten of each rules the pair out.
     """
     member = clusters(edges)
     few = member.filter("place <= 3").select("cluster", "id", "size")
-    s = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    x, y = few.select(F.col("cluster").alias("ca"), F.col("id").alias("a"), F.col("size").alias("na")), few.select(F.col("cluster").alias("cb"), F.col("id").alias("b"), F.col("size").alias("nb"))
-    alike = s.join(x, "a").join(y, "b").filter("ca < cb").groupBy("ca", "cb", "na", "nb").agg(F.avg("similarity").alias("sim")).filter(F.col("sim") >= least)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: F.when(F.col("_norm") > 0, x.cast("double") / F.col("_norm")).otherwise(0.0))
+    known = usable_vectors(vectors).withColumn("_norm", norm).select("id", unit.alias("u"), F.size("embedding").alias("d"))
+    mean = few.join(known, "id").select("cluster", "size", "d", F.posexplode("u")).groupBy("cluster", "size", "d", "pos").agg(F.sum("col").alias("s"), F.count(F.lit(1)).alias("n"))
+    mean = mean.groupBy("cluster", "size", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("x")))), lambda p: p["x"]).alias("embedding"))
+    mean = materialise(mean.withColumn("length", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))), "cluster-means")
+    near = cosine_join(mean.select(F.col("cluster").alias("id"), "embedding"), least)
+    side = lambda name, n, length: mean.select(F.col("cluster").alias(name), F.col("size").alias(n), "d", F.col("length").alias(length))
+    alike = near.join(side("a", "na", "la"), "a").join(side("b", "nb", "lb"), ["b", "d"]).withColumn("sim", F.col("similarity") * F.col("la") * F.col("lb")).filter(F.col("sim") >= least)
+    alike = alike.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "na", "nb", "sim")
     ten = member.filter("place <= 10").select("cluster", "id")
     pairs = undirected(edges)
     cross = pairs.join(ten.select(F.col("cluster").alias("p"), F.col("id").alias("a")), "a").join(ten.select(F.col("cluster").alias("q"), F.col("id").alias("b")), "b").filter("p != q").select(F.least("p", "q").alias("ca"), F.greatest("p", "q").alias("cb")).distinct()

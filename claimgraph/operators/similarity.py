@@ -1,20 +1,31 @@
 """Joins of vectors by cosine, leaders of similar items, and resolution of names.
 
-The exact join cuts both sides into blocks by a hash of the id: a task compares two blocks as matrices and writes down
-only what passes, so its memory is bounded by the block and its output by the answer. It still looks at every pair;
-for tables where that is too much, group them by a key that similar rows share (``within``) first.
+The exact join partitions unit vectors by angle. Pivots are drawn from the table; a vector lies in the cell of its
+nearest pivot and there in a ring by its angle to it, and a block is a piece of a ring that one task can hold. Of each
+block the least and the largest angle to every pivot is known. By the triangle inequality two blocks hold no pair within
+the threshold if, for some pivot, their ranges of angles lie further apart than that; such pairs of blocks are skipped,
+all others are compared as matrices. Vectors of different dimensions never meet.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
+from claimgraph.operators.components import connected_components
 
-BLOCK_ROWS = 2048
+#: Rows of a block, pivots of a dimension at most, rings of a cell, and parts in which blocks meet blocks.
+BLOCK_ROWS, PIVOTS, RINGS, SALTS = 2048, 48, 4, 64
+#: Angles are off by less than this.
+SLACK = 1e-6
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -23,41 +34,152 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """Vectors of the table's largest dimension whose components are numbers, none of them infinite."""
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """Vectors whose components are numbers, none of them infinite; there is one at least."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    most = vectors.agg(F.max(F.size("embedding")).alias("_d"))
-    return vectors.filter(F.col("embedding").isNotNull() & finite).crossJoin(F.broadcast(most)).filter(F.size("embedding") == F.col("_d")).drop("_d")
+    return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
+
+
+def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Of each dimension some unit vectors, one in a hash order for so many rows: PIVOTS of a dimension at most."""
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy("_drawn"))
+    drawn = rows.select(F.size("embedding").alias("dimension"), "embedding", F.xxhash64(F.lit(11), "id").alias("_drawn")).withColumn("_place", place).filter(F.col("_place") <= PIVOTS)
+    found = drawn.toPandas()
+    return {int(d): _unit(part["embedding"]) for d, part in found.groupby("dimension")}
+
+
+def angle_blocks(vectors: DataFrame, within: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, blocks): usable vectors with the part and the block that they fall into, and each block's range of angles.
+
+    part is the value of ``within`` and the dimension, block a number within the part; lows and highs are the least and
+    the largest angles to each pivot.
+    """
+    rows = usable_vectors(vectors).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("within")).filter("within is not null")
+    rows = materialise(rows, "angle-vectors")
+    pivots, part_type = _pivots(rows), rows.schema["within"].dataType.simpleString()
+    id_type = rows.schema["id"].dataType.simpleString()
+    # as many cells as the largest part of a dimension fills blocks, and rings where cells would hold several
+    parts = rows.groupBy("within", F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = {r["d"]: -(-r["n"] // BLOCK_ROWS) for r in parts.groupBy("d").agg(F.max("n").alias("n")).collect()}
+    cells = {d: max(1, min(len(p), wanted[d])) for d, p in pivots.items()}
+    rings = {d: RINGS if wanted[d] > len(p) else 1 for d, p in pivots.items()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.to_pandas()
+            for d, part in found.groupby(found["embedding"].map(len)):
+                x = _unit(part["embedding"])
+                angles = np.arccos(np.clip(x @ pivots[d].T, -1, 1))
+                near = angles[:, : cells[d]]
+                cell, n = near.argmin(axis=1), rings[d]
+                ring = np.minimum((near.min(axis=1) * (2 * n / math.pi)).astype(int), n - 1)
+                take = pa.array(part.index.to_numpy())
+                columns = [batch.column("id").take(take), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("within").take(take), pa.array(np.full(len(x), d, np.int32)), pa.array((cell * n + ring).astype(np.int32)), pa.array([r.tobytes() for r in angles.astype(np.float32)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "unit", "within", "dimension", "ring", "angles"])
+
+    placed = materialise(rows.mapInArrow(place, f"id {id_type}, unit binary, within {part_type}, dimension int, ring int, angles binary"), "angle-rings")
+    sizes = placed.groupBy("within", "dimension", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("pieces"))
+    block = (F.col("ring").cast("long") * (1 << 32)) + F.expr("pmod(xxhash64(id), pieces)")
+    placed = placed.join(sizes, ["within", "dimension", "ring"]).withColumn("block", block)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.to_pandas()
+            out = []
+            for (w, d, b), part in found.groupby(["within", "dimension", "block"]):
+                angles = np.frombuffer(b"".join(part["angles"]), np.float32).reshape(len(part), -1)
+                out.append((w, d, b, angles.min(axis=0).tolist(), angles.max(axis=0).tolist()))
+            w, d, b, low, high = zip(*out) if out else ((),) * 5
+            floats = pa.list_(pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(w, batch.schema.field("within").type), pa.array(d, pa.int32()), pa.array(b, pa.int64()), pa.array(low, floats), pa.array(high, floats)], names=["within", "dimension", "block", "low", "high"])
+
+    parts = placed.select("within", "dimension", "block", "angles").mapInArrow(ranges, f"within {part_type}, dimension int, block long, low array<float>, high array<float>")
+    each = parts.select("within", "dimension", "block", F.posexplode(F.arrays_zip("low", "high")).alias("p", "r"))
+    each = each.groupBy("within", "dimension", "block", "p").agg(F.min("r.low").alias("low"), F.max("r.high").alias("high"))
+    ordered = F.array_sort(F.collect_list(F.struct("p", "low", "high")))
+    blocks = each.groupBy("within", "dimension", "block").agg(ordered.alias("r")).select("within", "dimension", "block", F.col("r.low").alias("lows"), F.col("r.high").alias("highs"))
+    return placed.select("within", "dimension", "block", "id", "unit"), blocks
+
+
+def block_pairs(blocks: DataFrame, least: float) -> DataFrame:
+    """Pairs x <= y of blocks of a part that may hold two vectors of a cosine of ``least``, with that bound's angle.
+
+    blocks may have a column ``bound``: then a pair is kept if it reaches the smaller bound of its two blocks.
+    """
+    keys = ["within", "dimension"]
+    rows = blocks if "bound" in blocks.columns else blocks.withColumn("bound", F.lit(float(least)))
+    x, y = rows.select(*keys, F.col("block").alias("x"), F.struct("lows", "highs", "bound").alias("a")), rows.select(*keys, F.col("block").alias("y"), F.struct("lows", "highs", "bound").alias("b"))
+    far = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.least("a.bound", "b.bound")))) + SLACK
+    gap = lambda p: F.greatest(p["lows1"] - p["highs2"], p["lows2"] - p["highs1"])
+    ranges = F.arrays_zip(F.col("a.lows").alias("lows1"), F.col("a.highs").alias("highs1"), F.col("b.lows").alias("lows2"), F.col("b.highs").alias("highs2"))
+    salted = y.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = x.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
+    return met.filter("x <= y").filter(~F.exists(ranges, lambda p: gap(p) > far)).select(*keys, "x", "y")
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, compare, schema: str) -> DataFrame:
+    """compare on the rows of each pair of blocks, as one table with a column ``block``."""
+    keys = ["within", "dimension", "block"]
+    sides = pairs.select("within", "dimension", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return rows.join(sides, keys).groupBy("within", "dimension", "x", "y").applyInPandas(compare, schema)
+
+
+def _cosines(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, cosines, and the pairs i < j that this pair of blocks has to compare."""
+    part = part.sort_values("id")
+    x, block = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1), part["block"].to_numpy()
+    own = np.triu(np.ones((len(part), len(part)), bool), 1)
+    if part["x"].iloc[0] != part["y"].iloc[0]:
+        own &= block[:, None] != block[None]
+    return part["id"].to_numpy(), x @ x.T, own
 
 
 def cosine_join(vectors: DataFrame, least: float, *, within: str | None = None) -> DataFrame:
-    """(a, b, similarity) for all pairs a < b of (id, embedding) whose cosine is at least ``least``."""
-    rows = _usable(vectors).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("part")).filter("part is not null")
-    blocks = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    cut = rows.join(blocks, "part").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    cut = cut.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    """(a, b, similarity) for all pairs a < b of (id, embedding) whose cosine is at least ``least``.
+
+    With ``within``, pairs of one value of that column; rows where it is null have no pairs.
+    """
+    rows, blocks = angle_blocks(vectors, within)
     id_type = rows.schema["id"].dataType.simpleString()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        x, ids, block = _unit(part["embedding"]), part["id"].to_numpy(), part["block"].to_numpy()
-        cosine = x @ x.T
-        keep = np.triu(cosine >= least, 1)
-        if part["low"].iloc[0] != part["high"].iloc[0]:
-            keep &= block[:, None] != block[None]
-        i, j = np.nonzero(keep)
+        ids, cosine, own = _cosines(part)
+        i, j = np.nonzero(own & (cosine >= least))
         return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": cosine[i, j]})
 
-    return cut.groupBy("part", "low", "high").applyInPandas(compare, f"a {id_type}, b {id_type}, similarity double")
+    return _compared(rows, block_pairs(blocks, least), compare, f"a {id_type}, b {id_type}, similarity double")
 
 
 def top_similar(vectors: DataFrame, existing: DataFrame, *, least: float = 0.6, k: int = 20) -> DataFrame:
-    """New edges between similar concepts: a pair counts if it is among either end's k best and has no edge yet."""
+    """New edges between similar concepts: a pair counts if it is among either end's k best and has no edge yet.
+
+    Blocks are first compared with themselves. The k-th best that each vector finds there bounds what it may still want:
+    a block's bound is the least of its vectors', and pairs of blocks that reach neither's bound are skipped. Edges that
+    are there already don't count among the k.
+    """
+    rows, blocks = angle_blocks(vectors)
+    rows, id_type = materialise(rows, "similar-rows"), rows.schema["id"].dataType.simpleString()
     known = existing.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    pairs = cosine_join(vectors, least).join(known, ["a", "b"], "left_anti")
-    ends = pairs.select("a", "b", "similarity", F.explode(F.array("a", "b")).alias("end"))
-    place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc(F.round("similarity", 9)), "a", "b"))
-    return ends.withColumn("place", place).filter(F.col("place") <= k).select("a", "b", F.round("similarity", 4).alias("similarity")).distinct()
+    pair = f"a {id_type}, b {id_type}, similarity double"
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one pair of blocks that reach ``least``."""
+        ids, cosine, own = _cosines(part)
+        i, j = np.nonzero(own & (cosine >= least))
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": cosine[i, j]})
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        ends = pairs.join(known, ["a", "b"], "left_anti").select("a", "b", "similarity", F.explode(F.array("a", "b")).alias("end"))
+        place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc(F.round("similarity", 9)), "a", "b"))
+        return ends.withColumn("place", place).filter(F.col("place") <= k)
+
+    own = materialise(kept(_compared(rows, blocks.select("within", "dimension", F.col("block").alias("x"), F.col("block").alias("y")), best, pair)), "similar-own")
+    # ties at the ninth digit are decided by ids: the bound stays below them
+    kth = own.filter(F.col("place") == k).select(F.col("end").alias("id"), (F.col("similarity") - 1e-8).alias("kth"))
+    bounds = rows.join(kth, "id", "left").groupBy("within", "dimension", "block").agg(F.greatest(F.lit(float(least)), F.min(F.coalesce("kth", F.lit(float(least))))).alias("bound"))
+    others = block_pairs(blocks.join(bounds, ["within", "dimension", "block"]), least).filter("x < y")
+    met = _compared(rows, others, best, pair).unionByName(own.select("a", "b", "similarity")).dropDuplicates(["a", "b"])
+    return kept(met).select("a", "b", F.round("similarity", 4).alias("similarity")).distinct()
 
 
 def cosine_join_hashed(vectors: DataFrame, least: float, *, tables: int = 8, bucket: float | None = None, seed: int = 7) -> DataFrame:
@@ -70,34 +192,29 @@ def cosine_join_hashed(vectors: DataFrame, least: float, *, tables: int = 8, buc
     from pyspark.ml.functions import array_to_vector
 
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    rows = _usable(vectors).withColumn("_norm", norm).filter("_norm > 0").select("id", array_to_vector(F.transform("embedding", lambda x: x / F.col("_norm"))).alias("unit"))
+    rows = usable_vectors(vectors).withColumn("_norm", norm).filter("_norm > 0").select("id", F.size("embedding").alias("_d"), array_to_vector(F.transform("embedding", lambda x: x / F.col("_norm"))).alias("unit"))
     rows, far = materialise(rows, "hashed-vectors"), (2 - 2 * least) ** 0.5
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket or 2 * far, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, far + 1e-9, distCol="far").filter("datasetA.id < datasetB.id")
-    similarity = 1 - F.col("far") * F.col("far") / 2
-    return pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") >= least)
-
-
-def top_similar(vectors: DataFrame, existing: DataFrame, *, least: float = 0.6, k: int = 20) -> DataFrame:
-    """New edges between similar concepts: a pair counts if it is among either end's k best and has no edge yet."""
-    known = existing.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    pairs = cosine_join(vectors, least).join(known, ["a", "b"], "left_anti")
-    ends = pairs.select("a", "b", "similarity", F.explode(F.array("a", "b")).alias("end"))
-    place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc(F.round("similarity", 9)), "a", "b"))
-    return ends.withColumn("place", place).filter(F.col("place") <= k).select("a", "b", F.round("similarity", 4).alias("similarity")).distinct()
+    similarity, found = 1 - F.col("far") * F.col("far") / 2, []
+    for (d,) in rows.select("_d").distinct().collect() or [(1,)]:
+        own = rows.filter(F.col("_d") == d)
+        model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket or 2 * far, numHashTables=tables, seed=seed).fit(own)
+        pairs = model.approxSimilarityJoin(own, own, far + 1e-9, distCol="far").filter("datasetA.id < datasetB.id")
+        found.append(pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") >= least))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def nearest_to(vectors: DataFrame, asked: DataFrame, *, k: int = 5, least: float = 0.0) -> DataFrame:
     """For each asked (query, embedding), the k most similar other rows (id), then those that reach ``least``.
 
-    Both sides are cut into blocks; a task compares two blocks as matrices and keeps k rows for each query, so what is
+    Vectors of different dimensions don't meet. Both sides are cut into blocks; a task compares two blocks as matrices and keeps k rows for each query, so what is
     shuffled on is k rows for each query and block, however many are asked.
     """
-    both = _usable(vectors.select(F.lit(0).alias("side"), "id", "embedding").unionByName(asked.select(F.lit(1).alias("side"), F.col("query").alias("id"), "embedding")))
-    blocks = both.agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == s) / BLOCK_ROWS)).cast("int").alias(f"n{s}") for s in (0, 1)])
-    cut = both.crossJoin(F.broadcast(blocks)).withColumn("own", F.expr("cast(pmod(xxhash64(id), if(side = 0, n0, n1)) as int)"))
+    both = usable_vectors(vectors.select(F.lit(0).alias("side"), "id", "embedding").unionByName(asked.select(F.lit(1).alias("side"), F.col("query").alias("id"), "embedding")))
+    both = both.withColumn("dimension", F.size("embedding"))
+    blocks = both.groupBy("dimension").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == s) / BLOCK_ROWS)).cast("int").alias(f"n{s}") for s in (0, 1)])
+    cut = both.join(blocks, "dimension").withColumn("own", F.expr("cast(pmod(xxhash64(id), if(side = 0, n0, n1)) as int)"))
     cut = cut.withColumn("other", F.expr("explode(sequence(0, if(side = 0, n1, n0) - 1))"))
-    cut = cut.select("side", "id", "embedding", F.expr("if(side = 0, own, other)").alias("table_block"), F.expr("if(side = 0, other, own)").alias("query_block"))
+    cut = cut.select("dimension", "side", "id", "embedding", F.expr("if(side = 0, own, other)").alias("table_block"), F.expr("if(side = 0, other, own)").alias("query_block"))
     id_type = cut.schema["id"].dataType.simpleString()
 
     def best(part: pd.DataFrame) -> pd.DataFrame:
@@ -114,42 +231,88 @@ def nearest_to(vectors: DataFrame, asked: DataFrame, *, k: int = 5, least: float
             out.append(pd.DataFrame({"query": query, "id": ids[keep], "similarity": cosine[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"query": ids[:0], "id": ids[:0], "similarity": np.zeros(0)})
 
-    met = cut.groupBy("table_block", "query_block").applyInPandas(best, f"query {id_type}, id {id_type}, similarity double").withColumn("similarity", F.round("similarity", 4))
+    met = cut.groupBy("dimension", "table_block", "query_block").applyInPandas(best, f"query {id_type}, id {id_type}, similarity double").withColumn("similarity", F.round("similarity", 4))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return met.withColumn("place", place).filter((F.col("place") <= k) & (F.col("similarity") >= least)).select("query", "id", "similarity", "place")
 
 
 def dispersion(vectors: DataFrame, of: list[str]) -> DataFrame:
-    """A5: mean of 1 - cosine over all pairs of a group, from the length of the sum of unit vectors: no pair is formed."""
+    """A5: mean of 1 - cosine over all pairs of a group, from the length of the sum of unit vectors: no pair is formed.
+
+    Vectors of different dimensions have no cosine: a group counts those of each dimension by themselves, as pairs of
+    cosine 0 between them.
+    """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = _usable(vectors).withColumn("_norm", norm)
+    rows = usable_vectors(vectors).withColumn("_norm", norm)
     counted = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_norm") > 0).alias("_full"))
-    sums = rows.filter("_norm > 0").select(*of, F.posexplode("embedding"), "_norm").groupBy(*of, "pos").agg(F.sum(F.col("col") / F.col("_norm")).alias("s")).groupBy(*of).agg(F.sum(F.col("s") * F.col("s")).alias("_length"))
+    sums = rows.filter("_norm > 0").select(*of, F.size("embedding").alias("_d"), F.posexplode("embedding"), "_norm").groupBy(*of, "_d", "pos").agg(F.sum(F.col("col") / F.col("_norm")).alias("s")).groupBy(*of).agg(F.sum(F.col("s") * F.col("s")).alias("_length"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     value = F.when(F.col("n") < 2, 0.0).otherwise(1 - (F.coalesce("_length", F.lit(0.0)) - F.col("_full")) / 2 / pairs)
     return counted.join(sums, of, "left").select(*of, "n", F.round(value, 6).alias("dispersion"))
 
 
-def assign_leaders(items: DataFrame, edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+#: Edges that one task decides at once.
+TASK_EDGES = 1 << 20
+
+
+def assign_leaders(items: DataFrame, edges: DataFrame, *, task_edges: int = TASK_EDGES, max_rounds: int = 1000) -> DataFrame:
     """(id, leader) as if items were taken in order of id and each joined the first leader that it is similar to.
 
-    items (id); edges (a, b) between similar ids. Each round makes leaders of the undecided items that have no smaller
-    undecided neighbour, and members of their larger ones; a round is written down. A chain of n items needs n / 2
-    rounds: more than max_rounds is an error, not a partial answer.
+    items (id); edges (a, b) between similar ids. A round takes from each component the items up to a place in the order
+    so that their edges fit a task, all of most components; tasks decide them one after the other, and items beyond that
+    place that a new leader is similar to are then members. What is left, without them, is the next round's. A long
+    chain is one task's work, however deep.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
-    links = materialise(both.filter("a > b").select(F.col("a").alias("id"), F.col("b").alias("smaller")), "leader-links")
-    state = materialise(items.select("id").distinct().withColumn("leads", F.lit(None).cast("boolean")), "leader-state")
+    both = edges.select(F.least("a", "b").alias("small"), F.greatest("a", "b").alias("large")).filter("small != large").distinct()
+    every = items.select("id").distinct()
+    both = both.join(every.withColumnRenamed("id", "small"), "small", "left_semi").join(every.withColumnRenamed("id", "large"), "large", "left_semi")
+    links = materialise(both.select("small", "large"), "leader-links")
+    id_type = links.schema["small"].dataType.simpleString()
+    live, led = links, []
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        """Whether each item leads, of all items of some whole components or beginnings of them."""
+        ids = np.unique(np.concatenate([part["small"].to_numpy(), part["large"].to_numpy()]))
+        small, large = np.searchsorted(ids, part["small"].to_numpy()), np.searchsorted(ids, part["large"].to_numpy())
+        by = np.argsort(large, kind="stable")
+        small, starts = small[by], np.searchsorted(large[by], np.arange(len(ids) + 1))
+        leads = np.ones(len(ids), bool)
+        for i in range(len(ids)):
+            if starts[i] < starts[i + 1]:
+                leads[i] = not leads[small[starts[i] : starts[i + 1]]].any()
+        return pd.DataFrame({"id": ids, "leads": leads})
+
     for _ in range(max_rounds):
-        if state.filter("leads is null").isEmpty():
+        if live.isEmpty():
             break
-        seen = links.join(state.select(F.col("id").alias("smaller"), F.col("leads").alias("l")), "smaller").groupBy("id").agg(F.bool_or(F.col("l").isNull()).alias("waits"), F.bool_or(F.coalesce("l", F.lit(False))).alias("led"))
-        now = F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = materialise(state.join(seen, "id", "left").select("id", F.coalesce("leads", now).alias("leads")), "leader-state")
+        of = connected_components(live, "small", "large")
+        rows = live.join(of.withColumnRenamed("node", "small"), "small")
+        place = F.row_number().over(Window.partitionBy("component").orderBy("large", "small"))
+        first = rows.withColumn("place", place).filter(F.col("place") <= task_edges + 1)
+        # a component with more edges is decided up to, and without, the item at which they end
+        ends = first.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("last"))
+        ends = materialise(ends, "leader-ends")
+        inside = first.join(ends, "component").filter((F.col("n") <= task_edges) | (F.col("large") < F.col("last"))).select("component", "small", "large")
+        tasks = max(1, -(-(ends.agg(F.sum("n")).first()[0] or 0) // task_edges))
+        decided = inside.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task")).applyInPandas(decide, f"id {id_type}, leads boolean")
+        # items before that place without an edge among them lead as well
+        alone = of.select(F.col("node").alias("id"), "component").join(ends, "component").filter((F.col("n") > task_edges) & (F.col("id") < F.col("last"))).select("id").join(inside.select(F.explode(F.array("small", "large")).alias("id")), "id", "left_anti")
+        decided = materialise(decided.unionByName(alone.withColumn("leads", F.lit(True))), "leader-decided")
+        new = decided.filter("leads").select("id")
+        led.append(new)
+        covered = live.join(new.withColumnRenamed("id", "small"), "small", "left_semi").select(F.col("large").alias("id"))
+        done = decided.select("id").unionByName(covered).distinct()
+        left = live.join(done.withColumnRenamed("id", "small"), "small", "left_anti").join(done.withColumnRenamed("id", "large"), "large", "left_anti")
+        # an item whose smaller neighbours are all decided and none of them leads: it leads
+        freed = live.select(F.explode(F.array("small", "large")).alias("id")).distinct().join(done, "id", "left_anti").join(left.select(F.explode(F.array("small", "large")).alias("id")), "id", "left_anti")
+        led.append(materialise(freed, "leader-freed"))
+        live = materialise(left, "leader-links")
     else:
         raise RuntimeError(f"leaders have not settled in {max_rounds} rounds")
-    led = links.join(state.filter("leads").select(F.col("id").alias("smaller")), "smaller").groupBy("id").agg(F.min("smaller").alias("leader"))
-    return state.join(led, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+    lone = every.join(links.select(F.explode(F.array("small", "large")).alias("id")), "id", "left_anti")
+    leaders = materialise(functools.reduce(DataFrame.unionByName, led, lone), "leaders")
+    joins = links.join(leaders.withColumnRenamed("id", "small"), "small", "left_semi").groupBy(F.col("large").alias("id")).agg(F.min("small").alias("leader"))
+    return every.join(joins, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def semantic_merge(items: DataFrame, votes: DataFrame, *, n_models: int, least: float = 0.85, within: str | None = None) -> DataFrame:
@@ -175,6 +338,17 @@ def duplicate_penalty(responses: DataFrame, *, least: float = 0.95, penalty: flo
     return led.select("id", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(penalty).alias("penalty"))
 
 
+def new_aliases(resolved: DataFrame, similar: DataFrame) -> DataFrame:
+    """Rows (alias, concept, similarity, method) to add to the aliases: names that a vector has resolved for good.
+
+    resolved is what resolve_entities gave from similar (name, concept, similarity). Names that are only for review,
+    and those that an alias or a concept had already, add none.
+    """
+    best = similar.groupBy("name", "concept").agg(F.max("similarity").alias("similarity"))
+    rows = resolved.filter("method = 'embedding'").join(best, ["name", "concept"])
+    return rows.select(F.col("name").alias("alias"), "concept", "similarity", "method").distinct()
+
+
 def resolve_entities(names: DataFrame, aliases: DataFrame, concepts: DataFrame, similar: DataFrame | None = None, *, accept: float = 0.92, review: float = 0.85, create: bool = False) -> DataFrame:
     """J1 of (name): (name, concept, method): alias, exact, embedding (similar enough), review (less so) or not_found.
 
@@ -195,7 +369,11 @@ def resolve_entities(names: DataFrame, aliases: DataFrame, concepts: DataFrame,
     return rows.select("name", concept.alias("concept"), method.alias("method"))
 
 
-def closest_concepts(names: DataFrame, concepts: DataFrame, *, least: float = 0.85) -> DataFrame:
-    """(name, concept, similarity) of each of names (name, embedding) and the nearest of concepts (concept, embedding)."""
-    found = nearest_to(concepts.select(F.concat(F.lit("c:"), "concept").alias("id"), "embedding"), names.select(F.concat(F.lit("n:"), "name").alias("query"), "embedding"), k=1, least=least)
+def closest_concepts(names: DataFrame, concepts: DataFrame, *, least: float = 0.85, itself: bool = True) -> DataFrame:
+    """(name, concept, similarity) of each of names (name, embedding) and the nearest of concepts (concept, embedding).
+
+    Without ``itself``, a name's own concept, the one of the same name, is left out.
+    """
+    mark = ("c:", "n:") if itself else ("c:", "c:")
+    found = nearest_to(concepts.select(F.concat(F.lit(mark[0]), "concept").alias("id"), "embedding"), names.select(F.concat(F.lit(mark[1]), "name").alias("query"), "embedding"), k=1, least=least)
     return found.select(F.expr("substring(query, 3)").alias("name"), F.expr("substring(id, 3)").alias("concept"), "similarity")

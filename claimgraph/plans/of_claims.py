@@ -112,6 +112,18 @@ def migrated(s, d, model):
     return I.vectors(s, d).select("id", "embedding", F.lit(model).alias("model_id"))
 
 
+def by_vector(s, d):
+    """Names of every fiftieth vector resolved by the nearest other one, and how near that is."""
+    every = named(s, d)
+    near = similarity.closest_concepts(every.filter("id % 50 = 0"), every.select(F.col("name").alias("concept"), "embedding"), least=0.2, itself=False)
+    aliases, concepts = I.table(s, d, "region").select(F.col("r_name").alias("alias"), F.col("r_name").alias("concept")), I.table(s, d, "nation").select(F.col("n_name").alias("concept"))
+    return similarity.resolve_entities(every.filter("id % 50 = 0").select("name"), aliases, concepts, near, accept=0.3, review=0.25, create=True), near
+
+
+NEAREST = """e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    p AS (SELECT q.id, x.id AS c, round(list_dot_product(q.v, x.v), 4) AS s FROM e q JOIN e x ON x.id <> q.id WHERE q.id % 50 = 0), b AS (SELECT id, c, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, 'v ' || c) AS r FROM p) WHERE r = 1)"""
+
+
 def stored_snapshots(s, d):
     """Snapshots that land in two goes in a stored table."""
     raw, path = events_raw(s, d), f"{shared_dir(s)}/s12-{uuid.uuid4().hex}"
@@ -326,15 +338,8 @@ QUERIES = {
             j AS (SELECT name, n_name, r_name, s FROM names LEFT JOIN nation ON name = lower(n_name) LEFT JOIN region ON name = r_name LEFT JOIN sim USING (name))
             SELECT name, coalesce(n_name, r_name, CASE WHEN s >= 0.85 THEN name END) AS concept, CASE WHEN n_name IS NOT NULL THEN 'alias' WHEN r_name IS NOT NULL THEN 'exact' WHEN s >= 0.92 THEN 'embedding' WHEN s >= 0.85 THEN 'review' ELSE 'not_found' END AS method FROM j""",
     ),
-    "j1_resolve_by_vector": (
-        lambda s, d: similarity.resolve_entities(
-            named(s, d).filter("id % 50 = 0").select("name"), I.table(s, d, "region").select(F.col("r_name").alias("alias"), F.col("r_name").alias("concept")), I.table(s, d, "nation").select(F.col("n_name").alias("concept")),
-            similarity.closest_concepts(named(s, d).filter("id % 50 = 0"), named(s, d).filter("label = 1").select(F.col("name").alias("concept"), "embedding"), least=0.2), accept=0.3, review=0.25, create=True,
-        ),
-        """WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
-            p AS (SELECT q.id, x.id AS c, round(list_dot_product(q.v, x.v), 4) AS s FROM e q JOIN e x ON x.label = 1 WHERE q.id % 50 = 0), b AS (SELECT id, c, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, 'v ' || c) AS r FROM p) WHERE r = 1)
-            SELECT 'v ' || id AS name, CASE WHEN s >= 0.25 THEN 'v ' || c ELSE 'v ' || id END AS concept, CASE WHEN s >= 0.3 THEN 'embedding' WHEN s >= 0.25 THEN 'review' ELSE 'new' END AS method FROM b""",
-    ),
+    "j1_resolve_by_vector": (lambda s, d: by_vector(s, d)[0], f"WITH {NEAREST} SELECT 'v ' || id AS name, CASE WHEN s >= 0.25 THEN 'v ' || c ELSE 'v ' || id END AS concept, CASE WHEN s >= 0.3 THEN 'embedding' WHEN s >= 0.25 THEN 'review' ELSE 'new' END AS method FROM b"),
+    "j1_new_aliases": (lambda s, d: similarity.new_aliases(*by_vector(s, d)), f"WITH {NEAREST} SELECT 'v ' || id AS alias, 'v ' || c AS concept, s AS similarity, 'embedding' AS method FROM b WHERE s >= 0.3"),
     "j12_anchors": (
         lambda s, d: calibrate.anchors(I.table(s, d, "events").select(F.col("user_id").alias("question"), F.when(F.col("event_type") == "purchase", "deterministic").otherwise("voted").alias("kind"), F.concat(F.lit('{"source": {"id": "s'), F.col("event_id") % 7, F.lit('"}}')).alias("consensus_meta"), "event_id"), I.table(s, d, "events").filter("value > 300").select(F.col("user_id").alias("question"))).select("event_id", "source_id", "version"),
         "SELECT event_id, 's' || (event_id % 7) AS source_id, '' AS version FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE value > 300)",

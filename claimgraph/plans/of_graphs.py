@@ -34,6 +34,8 @@ COCHAIN = f"""{EDGES}, {INCIDENT}, s AS (SELECT node, count(*) AS degree, avg(we
         round(div, 4) AS diversity, round(1 - div, 4) AS consistency, CASE WHEN degree > p80 AND div > 0.5 THEN 'generalist' WHEN degree < p20 THEN 'specialised' ELSE 'hybrid' END AS kind FROM r)"""
 #: Pairs are told apart at this cosine, which pairs of the given vectors reach.
 ALIKE = 0.3
+#: Clusters are alike from this mean cosine on, which some clusters of the given vectors reach.
+BRIDGED = 0.2
 
 
 def links(s, d):
@@ -179,6 +181,14 @@ def stored_upsert(s, d):
     return table.read().select("source", "target", "weight")
 
 
+BRIDGES = f"""{EDGES}, {UNIT}, f AS (SELECT source AS id, target AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM edges) WHERE r = 1),
+            m AS (SELECT * FROM (SELECT cluster, id, count(*) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place FROM f) WHERE size > 1),
+            k AS (SELECT x.cluster AS ca, y.cluster AS cb, x.size AS na, y.size AS nb, avg(list_dot_product(ux.e, uy.e)) AS s FROM m x JOIN m y ON x.cluster < y.cluster AND x.place <= 3 AND y.place <= 3 JOIN u ux ON ux.id = x.id JOIN u uy ON uy.id = y.id
+                GROUP BY 1, 2, 3, 4 HAVING avg(list_dot_product(ux.e, uy.e)) >= {BRIDGED}),
+            c AS (SELECT DISTINCT least(x.cluster, y.cluster) AS ca, greatest(x.cluster, y.cluster) AS cb FROM edges e JOIN m x ON x.id = e.source AND x.place <= 10 JOIN m y ON y.id = e.target AND y.place <= 10 WHERE x.cluster <> y.cluster),
+            bridges AS (SELECT ca, cb, round(s, 4) AS similarity, round(least(1, 0.3 * s * (1 + least(1, (na + nb) / 20))), 4) AS priority FROM k ANTI JOIN c USING (ca, cb))"""
+
+
 QUERIES = {
     "j2_cosine_join": (
         lambda s, d: similarity.cosine_join(I.vectors(s, d), ALIKE).select("a", "b", F.round("similarity", 6).alias("similarity")),
@@ -409,12 +419,8 @@ QUERIES = {
             SELECT * FROM (SELECT cluster, id, count(*) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place FROM f) WHERE size > 1""",
     ),
     "k5_bridges": (
-        lambda s, d: gaps.bridges(edges(s, d), similarity.cosine_join(I.vectors(s, d), 0.2), least=ALIKE),
-        f"""WITH {EDGES}, {UNIT}, f AS (SELECT source AS id, target AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM edges) WHERE r = 1),
-            m AS (SELECT * FROM (SELECT cluster, id, count(*) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place FROM f) WHERE size > 1), sb AS (SELECT a, b, similarity FROM sim WHERE similarity >= 0.2 UNION ALL SELECT b, a, similarity FROM sim WHERE similarity >= 0.2),
-            k AS (SELECT x.cluster AS ca, y.cluster AS cb, x.size AS na, y.size AS nb, avg(similarity) AS s FROM sb JOIN m x ON x.id = a AND x.place <= 3 JOIN m y ON y.id = b AND y.place <= 3 WHERE x.cluster < y.cluster GROUP BY 1, 2, 3, 4 HAVING avg(similarity) >= {ALIKE}),
-            c AS (SELECT DISTINCT least(x.cluster, y.cluster) AS ca, greatest(x.cluster, y.cluster) AS cb FROM edges e JOIN m x ON x.id = e.source AND x.place <= 10 JOIN m y ON y.id = e.target AND y.place <= 10 WHERE x.cluster <> y.cluster)
-            SELECT ca, cb, round(s, 4) AS similarity, round(least(1, 0.3 * s * (1 + least(1, (na + nb) / 20))), 4) AS priority FROM k ANTI JOIN c USING (ca, cb)""",
+        lambda s, d: gaps.bridges(edges(s, d), I.vectors(s, d), least=BRIDGED),
+        f"WITH {BRIDGES} SELECT * FROM bridges",
     ),
     "k6_ranked_gaps": (all_gaps, f"WITH {VOTES}, {START}, {GAPS} SELECT * FROM gaps"),
     "k7_active_gaps": (
@@ -437,7 +443,8 @@ QUERIES = {
             b AS (SELECT id, min(row(stage, rank)) AS o FROM q GROUP BY 1) SELECT id, o[1] AS stage FROM b ORDER BY o, id LIMIT 150""",
     ),
     "k9_targets_meta": (
-        lambda s, d: gaps.targets(gaps.bridges(edges(s, d), similarity.cosine_join(I.vectors(s, d), 0.2), least=ALIKE).select(F.lit("bridge").alias("gap_type"), F.col("ca").alias("id"), "priority"), "meta", recent=I.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at")), limit=150),
-        None,
+        lambda s, d: gaps.targets(gaps.bridges(edges(s, d), I.vectors(s, d), least=BRIDGED).select(F.lit("bridge").alias("gap_type"), F.col("ca").alias("id"), "priority"), "meta", recent=I.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at")), limit=150),
+        f"""WITH {BRIDGES}, t AS (SELECT ca::VARCHAR AS id, 0 AS stage, -priority AS rank FROM bridges UNION ALL SELECT o_custkey::VARCHAR, 1, -epoch_us(o_orderdate::TIMESTAMP)::DOUBLE FROM orders),
+            r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stage, rank) AS n FROM t) SELECT id, stage FROM r WHERE n = 1 ORDER BY stage, rank, id LIMIT 150""",
     ),
 }
