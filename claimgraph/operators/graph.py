@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.versioned import VersionedTable
+from claimgraph.operators.triangles import common_targets, triangles
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -47,13 +48,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 def curvature(edges: DataFrame, *, alpha: float = 0.5, of: DataFrame | None = None) -> DataFrame:
     """Ollivier, jaccard and hybrid curvature of every edge, or of the edges (source, target) of ``of``.
 
-    Common targets are counted by a join, so that no hub's neighbours are gathered in one row.
+    Common targets are counted by colours of nodes, so that no hub's neighbours are gathered in one row or task.
     """
     degree, out = degrees(edges), edges.select("source", "target").distinct()
     wanted = edges.select("source", "target", "weight") if of is None else edges.join(of.select("source", "target").distinct(), ["source", "target"], "left_semi").select("source", "target", "weight")
     sizes = out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    left = wanted.select("source", "target").join(out.select("source", F.col("target").alias("common")), "source")
-    common = left.join(out.select(F.col("source").alias("target"), F.col("target").alias("common")), ["target", "common"]).groupBy("source", "target").agg(F.count(F.lit(1)).alias("both"))
+    common = common_targets(out, None if of is None else wanted.select("source", "target").distinct())
     side = lambda table, key, names: table.select(F.col(key).alias(names[0]), F.col(table.columns[1]).alias(names[1]))
     rows = wanted.join(side(degree, "node", ("source", "du")), "source").join(side(degree, "node", ("target", "dv")), "target")
     rows = rows.join(side(sizes, "source", ("source", "nu")), "source", "left").join(side(sizes, "source", ("target", "nv")), "target", "left").join(common, ["source", "target"], "left")
@@ -290,17 +290,15 @@ def coverage(concepts: DataFrame, edges: DataFrame, types: DataFrame | None = No
 def clustering(edges: DataFrame) -> DataFrame:
     """(node, degree, triangles, coefficient) of nodes with two neighbours or more.
 
-    Each undirected edge points from its end of lower degree to the other, so that no node opens more than the square
-    root of the edges; wedges of a node are closed by an equi-join.
+    Each undirected edge points from its end of lower degree to the other, so that no node has more arcs than the square
+    root of the edges; triangles are counted by colours of nodes.
     """
     pairs = undirected(edges)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     da, db = degree.select(F.col("node").alias("a"), F.col("degree").alias("da")), degree.select(F.col("node").alias("b"), F.col("degree").alias("db"))
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    arcs = pairs.join(da, "a").join(db, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
-    wedges = arcs.alias("x").join(arcs.alias("y"), (F.col("x.u") == F.col("y.u")) & (F.col("x.v") < F.col("y.v"))).select(F.col("x.u").alias("u"), F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-    closed = wedges.join(pairs, ["a", "b"]).select(F.explode(F.array("u", "a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    rows = degree.filter("degree >= 2").join(closed, "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    arcs = pairs.join(da, "a").join(db, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("target"))
+    rows = degree.filter("degree >= 2").join(triangles(arcs), "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
     return rows.withColumn("coefficient", F.col("triangles") / (F.col("degree") * (F.col("degree") - 1) / 2))
 
 
