@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.versioned import VersionedTable
+from claimgraph.operators.asof import latest_before
 
 TIERS = ["sandbox", "proposition", "validated", "verified"]
 
@@ -118,6 +119,26 @@ def cached(attestations: DataFrame, questions: DataFrame, as_of: str, *, hours:
     return young.join(questions.select("question").distinct(), "question", "left_semi").withColumn("place", place).filter("place = 1").drop("place")
 
 
+def cached_as_of(attestations: DataFrame, questions: DataFrame, *, hours: int = 168, least_score: float = 0.4) -> DataFrame:
+    """J13 of attestations (question, claim_hash, score, tier, at) and questions (question, as_of): each asked for its own time.
+
+    Every question comes back, with the newest answer that is good and, at its time, young enough, or with nulls.
+    """
+    good = attestations.filter((F.col("score") >= least_score) & (tier_rank(F.col("tier")) >= 2))
+    rows = latest_before(questions.select("question", "as_of"), good, ["question"], tie=["claim_hash"])
+    young = F.col("found.at") > F.col("as_of") - F.expr(f"interval {hours} hours")
+    answer = F.when(young, F.col("found"))
+    return rows.select("question", "as_of", *[answer[c].alias(c) for c in good.columns if c != "question"])
+
+
+def stale_as_of(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """J14 of wanted (source_id, query_hash, ttl_hours, as_of): what has no snapshot that is young enough at its own time."""
+    keys = ["source_id", "query_hash"]
+    rows = latest_before(wanted, snapshots.select(*keys, "fetched_at").distinct(), keys, at="fetched_at")
+    age = F.unix_timestamp("as_of") - F.unix_timestamp("found.fetched_at")
+    return rows.filter(F.col("found").isNull() | (age > F.col("ttl_hours") * 3600)).select(*keys, "as_of", F.col("found.fetched_at").alias("fetched_at"))
+
+
 def anchors(attestations: DataFrame, questions: DataFrame) -> DataFrame:
     """Deterministic attestations of the questions, with their source's id and version out of JSON."""
     meta = F.col("consensus_meta")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.quantiles import exact_percentile
 from claimgraph.functions.versioned import VersionedTable
 
 #: Words without content in the four languages of our tests (our own list).
@@ -78,10 +79,15 @@ def turn_metrics(turns: DataFrame) -> DataFrame:
 
 
 def metric_summary(metrics: DataFrame, by: list[str], *, high_tension: float = 0.7, low_fit: float = 0.3) -> DataFrame:
-    """Metrics of turns by session, or by day: means, the exact median of tension, and shares beyond bounds."""
+    """Metrics of turns by session, or by day: means, the exact median of tension, and shares beyond bounds.
+
+    The median needs no buffer of a group's values; a group without any tension has none.
+    """
     share = lambda test, name: F.round(F.count_if(test) / F.count(F.lit(1)), 12).alias(name)
     means = [F.round(F.avg(c), 12).alias(f"avg_{c}") for c in ("coherence", "pressure", "fit", "tension", "stability")]
-    return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("turns"), *means, F.round(F.percentile("tension", 0.5), 12).alias("median_tension"), share(F.col("tension") > high_tension, "share_tense"), share(F.col("fit") < low_fit, "share_unfit"))
+    sums = metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("turns"), *means, share(F.col("tension") > high_tension, "share_tense"), share(F.col("fit") < low_fit, "share_unfit"))
+    median = exact_percentile(metrics, by, "tension", 0.5, "_median")
+    return sums.join(median, by, "left").select(*sums.columns, F.round("_median", 12).alias("median_tension"))
 
 
 def inactive(events: DataFrame, cutoff: str) -> DataFrame:

@@ -349,6 +349,17 @@ QUERIES = {
         f"""WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY made DESC, claim_hash) AS place FROM hist WHERE question IN (SELECT c_custkey FROM customer) AND made > TIMESTAMP '1998-01-01' - INTERVAL 8760 HOUR AND made <= TIMESTAMP '1998-01-01'
             AND score >= 0.4 AND tier <> 'sandbox') SELECT question, claim_hash, tier FROM r WHERE place = 1""",
     ),
+    "j13_cache_as_of": (
+        lambda s, d: calibrate.cached_as_of(order_history(s, d), I.table(s, d, "orders").select(F.col("o_custkey").alias("question"), (F.col("o_orderdate") - F.expr("interval 1 hour")).alias("as_of")), hours=24 * 365).select("question", "as_of", "claim_hash", "tier"),
+        f"""WITH {HISTORY}, q AS (SELECT row_number() OVER () AS nr, o_custkey AS question, o_orderdate - INTERVAL 1 HOUR AS as_of FROM orders),
+            j AS (SELECT q.nr, claim_hash, tier, row_number() OVER (PARTITION BY q.nr ORDER BY made DESC, claim_hash) AS place FROM q JOIN hist h ON h.question = q.question AND made <= as_of AND made > as_of - INTERVAL 8760 HOUR AND score >= 0.4 AND tier <> 'sandbox')
+            SELECT question, as_of, claim_hash, tier FROM q LEFT JOIN (SELECT * FROM j WHERE place = 1) USING (nr)""",
+    ),
+    "j14_stale_as_of": (
+        lambda s, d: calibrate.stale_as_of(events_raw(s, d).select("source_id", "query_hash", F.col("fetched_at").alias("as_of")).withColumns({"ttl_hours": F.lit(24), "as_of": F.col("as_of") - F.expr("interval 1 minute")}), events_raw(s, d)),
+        f"""WITH {SNAPSHOTS}, w AS (SELECT row_number() OVER () AS nr, source_id, query_hash, fetched_at - INTERVAL 1 MINUTE AS as_of FROM snaps), n AS (SELECT w.nr, max(fetched_at) AS fetched_at FROM w JOIN snaps s ON s.source_id = w.source_id AND s.query_hash = w.query_hash AND s.fetched_at <= as_of GROUP BY 1)
+            SELECT source_id, query_hash, as_of, fetched_at FROM w LEFT JOIN n USING (nr) WHERE fetched_at IS NULL OR epoch(date_trunc('second', as_of)) - epoch(date_trunc('second', fetched_at)) > 24 * 3600""",
+    ),
     "j14_stale_snapshots": (
         lambda s, d: calibrate.stale(events_raw(s, d).select("source_id", "query_hash").distinct().withColumn("ttl_hours", F.lit(24)), events_raw(s, d), "2024-01-31 00:00:00").select("source_id", "query_hash"),
         f"WITH {SNAPSHOTS} SELECT source_id, query_hash FROM snaps GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', max(fetched_at))) > 24 * 3600",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise
-from claimgraph.operators import align, components, gaps, graph, similarity, votes
+from claimgraph.functions.storage import materialise, shared_dir
 from claimgraph.functions.versioned import VersionedTable
+from claimgraph.operators import align, components, gaps, graph, similarity, votes
+from claimgraph.operators.name_index import NameIndex
 from claimgraph.plans import inputs as I
 from claimgraph.plans.inputs import DELTAS, EDGES, MICRO, MODELS, START, VALID, VOTES
 
@@ -261,6 +264,10 @@ QUERIES = {
         lambda s, d: graph.search(I.concepts(s, d), I.edges(s, d), "%bolt%", k=30).select("id", "name", "degree"),
         f"WITH {EDGES}, {INCIDENT} SELECT p_partkey AS id, p_name AS name, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey WHERE p_name LIKE '%bolt%' ORDER BY degree DESC, p_retailprice DESC, id LIMIT 30",
     ),
+    "g3_search_indexed": (
+        lambda s, d: NameIndex.create(f"{shared_dir(s)}/g3-{uuid.uuid4().hex}", I.concepts(s, d)).search(I.edges(s, d), "%bolt%", k=30).select("id", "name", "degree"),
+        f"WITH {EDGES}, {INCIDENT} SELECT p_partkey AS id, p_name AS name, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey WHERE p_name LIKE '%bolt%' ORDER BY degree DESC, p_retailprice DESC, id LIMIT 30",
+    ),
     "g4_degrees": (lambda s, d: graph.degrees(I.edges(s, d)), f"WITH {EDGES}, {INCIDENT} SELECT * FROM deg"),
     "g5_curvature": (lambda s, d: graph.curvature(edges(s, d)), f"WITH {EDGES}, {CURVED} SELECT * FROM curved"),
     "g6_dirty_edges": (
