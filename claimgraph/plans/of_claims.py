@@ -112,6 +112,34 @@ def migrated(s, d, model):
     return I.vectors(s, d).select("id", "embedding", F.lit(model).alias("model_id"))
 
 
+def flawed_votes(s, d):
+    """Orders as votes with every flaw that C7 looks for."""
+    return I.table(s, d, "orders").select("o_orderkey", *(F.expr(e).alias(c) for c, e in FLAWED.items()))
+
+
+#: The same expressions in both engines.
+FLAWED = {
+    "subject": """CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'It' WHEN 3 THEN '12-34' WHEN 4 THEN concat('order [', o_orderkey, ']') WHEN 5 THEN concat('"order ', o_orderkey, '"')
+        WHEN 6 THEN repeat('x', 101) WHEN 7 THEN concat('  order', chr(9), o_orderkey, ' ') WHEN 8 THEN o_orderstatus ELSE concat('order ', o_orderkey) END""",
+    "relation": "CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'of' END",
+    "object": "CASE o_custkey % 5 WHEN 0 THEN concat('customer ', o_custkey) WHEN 1 THEN concat('Order ', o_orderkey) WHEN 2 THEN 'the' WHEN 3 THEN '<b>' ELSE o_orderpriority END",
+    "confidence": "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'sure' WHEN 2 THEN '1.5' WHEN 3 THEN '-0.25' WHEN 4 THEN '0.25' ELSE '0.875' END",
+}
+
+
+def _flaws_sql() -> str:
+    clean = lambda c: f"""regexp_replace(trim(regexp_replace({c}, '[\\x00-\\x1F\\x7F]', ' ', 'g')), '^["'']+|["'']+$', '', 'g')"""
+    stop = ", ".join(f"'{t}'" for t in text.STOP_TERMS)
+    wrong = lambda c: f"""CASE WHEN {c} IS NULL OR {c} = '' THEN '{c} is missing' END, CASE WHEN length({c}) < 2 OR length({c}) > 100 THEN '{c} has a bad length' END, CASE WHEN lower({c}) IN ({stop}) THEN '{c} has no content' END,
+        CASE WHEN regexp_matches({c}, '^[\\W\\d_]+$') THEN '{c} has no letters' END, CASE WHEN regexp_matches({c}, '[\\[\\]{{}}<>]') THEN '{c} has brackets' END"""
+    raw = ", ".join(f"{e} AS {c}" for c, e in FLAWED.items())
+    return f"""WITH raw AS (SELECT o_orderkey, {raw} FROM orders), c AS (SELECT o_orderkey, {", ".join(f"{clean(c)} AS {c}" for c in ("subject", "relation", "object"))}, confidence AS given,
+            least(1, greatest(0, CASE WHEN confidence IS NULL THEN 0.7 ELSE coalesce(TRY_CAST(confidence AS DOUBLE), 0.5) END))::DOUBLE AS confidence FROM raw),
+        e AS (SELECT *, concat_ws('; ', {wrong("subject")}, {wrong("object")}, CASE WHEN relation IS NULL OR relation = '' THEN 'relation is missing' END, CASE WHEN lower(subject) = lower(object) THEN 'subject is object' END,
+            CASE WHEN confidence < 0.3 THEN 'confidence is low' END) AS errors, concat_ws('; ', CASE WHEN given IS NULL THEN 'confidence was missing' END, CASE WHEN TRY_CAST(given AS DOUBLE) <> confidence THEN 'confidence was cut' END) AS warnings FROM c)
+        SELECT o_orderkey, subject, relation, object, confidence, errors = '' AS valid, errors, warnings FROM e"""
+
+
 def by_vector(s, d):
     """Names of every fiftieth vector resolved by the nearest other one, and how near that is."""
     every = named(s, d)
@@ -159,6 +187,10 @@ QUERIES = {
         f"""WITH {VOTES}, v AS (SELECT concat_ws(';', CASE WHEN length(object) < 2 THEN 'object has a bad length' END, CASE WHEN lower(object) IN ('a', 'it') THEN 'object has no content' END,
             CASE WHEN confidence < 0.3 THEN 'confidence is low' END) AS errors FROM votes) SELECT errors = '' AS valid, errors, count(*) AS n FROM v GROUP BY ALL""",
     ),
+    "c7_validate_flawed": (
+        lambda s, d: text.validate_votes(flawed_votes(s, d)).select("o_orderkey", "subject", "relation", "object", "confidence", "valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings")),
+        _flaws_sql(),
+    ),
     "c8_validation_counters": (
         lambda s, d: text.validation_counters(text.validate_votes(I.votes(s, d).withColumn("object", F.concat(F.lit("state "), "object")))),
         f"WITH {VOTES} SELECT count(*) AS processed, count(*) FILTER (confidence >= 0.3) AS valid, count(*) FILTER (confidence < 0.3) AS invalid, 0 AS corrected FROM votes",

@@ -11,7 +11,7 @@ from claimgraph.functions.versioned import VersionedTable
 from claimgraph.operators import sessions
 from claimgraph.plans import inputs as I
 from claimgraph.plans.of_graphs import CURVED
-from claimgraph.sources import landing
+from claimgraph.sources import folders, landing
 from claimgraph.streaming import streams
 
 
@@ -90,6 +90,14 @@ def votes_with_time(lines):
     return I.as_votes(lines).select("model", "subject", "relation", "object", "confidence", "ord", "run_id", F.col("l_shipdate").cast("timestamp").alias("ts"), place.alias("pos"))
 
 
+def landed_events(s, d):
+    """Events as JSON lines in a folder, every fifth cut off, read back."""
+    line, path = F.to_json(F.struct("event_id", "event_type", "props")), f"{shared_dir(s)}/s5-{uuid.uuid4().hex}"
+    cut = F.expr("substring(value, 1, length(value) - 3)")
+    I.table(s, d, "events").select("event_id", line.alias("value")).select(F.when(F.col("event_id") % 5 == 0, cut).otherwise(F.col("value"))).write.text(path)
+    return folders.read_landed(s, path)
+
+
 def stored_sessions(s, d):
     """Conversations exported in two goes, the second over some of the first, and imported again."""
     path = f"{shared_dir(s)}/s15-{uuid.uuid4().hex}"
@@ -188,6 +196,10 @@ QUERIES = {
         lambda s, d: landing.explode_cycles(talk(s, d).select(F.col("conv_id").alias("run_id"), F.col("turn").alias("cycle"), F.to_json(F.create_map(F.lit("m1"), F.col("role"), F.lit("m2"), F.upper("role"))).alias("responses"))),
         "SELECT conv_id AS run_id, turn AS cycle, 'm1' AS model, role AS text FROM conversations UNION ALL SELECT conv_id, turn, 'm2', upper(role) FROM conversations",
     ),
+    "s5_landed_folder": (
+        lambda s, d: folders.landing_report(landed_events(s, d)).select("state", "n"),
+        "SELECT CASE WHEN event_id % 5 = 0 THEN 'broken' ELSE 'good' END AS state, count(*) AS n FROM events GROUP BY 1",
+    ),
     "s6_conflict_events": (
         lambda s, d: landing.conflict_events(I.table(s, d, "events").select(F.col("user_id").alias("region"), "event_type", F.when(F.col("event_id") % 7 == 0, "unknown").otherwise((F.col("event_id") % 5).cast("string")).alias("fatalities")), ["region"]),
         """WITH e AS (SELECT user_id AS region, event_type, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 5 END AS f FROM events), t AS (SELECT region, event_type || '=' || count(*) AS p FROM e GROUP BY region, event_type)
