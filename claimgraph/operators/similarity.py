@@ -220,8 +220,10 @@ def nearest_to(vectors: DataFrame, asked: DataFrame, *, k: int = 5, least: float
     def best(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         table, queries = part[part["side"] == 0], part[part["side"] == 1]
-        x, q, ids = _unit(table["embedding"]), _unit(queries["embedding"]), table["id"].to_numpy()
-        out = []
+        ids = table["id"].to_numpy()
+        if not len(table) or not len(queries):  # a dimension that one side has alone
+            return pd.DataFrame({"query": ids[:0], "id": ids[:0], "similarity": np.zeros(0)})
+        x, q, out = _unit(table["embedding"]), _unit(queries["embedding"]), []
         for query, row in zip(queries["id"], q, strict=True):
             cosine = x @ row
             cosine[ids == query] = -2.0

@@ -289,6 +289,14 @@ def test_jaro_winkler_is_a_similarity(a, b):
     assert 0 <= s <= 1 and (s == 1) == (a == b) and abs(s - align.jaro_winkler(b, a)) < 1e-9
 
 
+def test_jaro_winkler_of_many_pairs_equals_one_by_one():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(0, 9)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("", ""), ("", "a"), ("same", "same"), ("日本", "本日")]
+    got = align.jaro_winkler_pairs(*map(list, zip(*pairs)))
+    assert max(abs(x - align.jaro_winkler(a, b)) for x, (a, b) in zip(got, pairs)) < 1e-12
+
+
 def test_jaro_winkler_known_values():
     assert [round(align.jaro_winkler(a, b), 4) for a, b in (("martha", "marhta"), ("dwayne", "duane"), ("dixon", "dicksonx"))] == [0.9611, 0.84, 0.8133]
 
