@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise
+from claimgraph.functions.storage import materialise, release
 from claimgraph.llm.columns import WordHasher, exact_shingles, mix, shingle_sets
 from claimgraph.llm.ranks import join_hot
 from claimgraph.operators.components import connected_components
@@ -226,12 +226,30 @@ def _sign(rows: DataFrame, width: int, id_type: str, signer: Signer) -> DataFram
     return rows.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n int, rare float, bits binary, {', '.join(f'{w} long' for w in _FOLDED)}, wide array<long>, light array<long>, hot array<long>")
 
 
-def _lists(sets: DataFrame) -> DataFrame:
+class _Steps:
+    """Tables that a step has written on its way; they go once the step's own result is written."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def write(self, rows: DataFrame, tag: str) -> DataFrame:
+        self.held.append(materialise(rows, tag))
+        return self.held[-1]
+
+    def done(self, rows: DataFrame, tag: str, *more: DataFrame) -> DataFrame:
+        """The step's result, written; what it was made of, and more that nothing reads any longer, is deleted."""
+        made = materialise(rows, tag)
+        release(*self.held, *more)
+        self.held.clear()
+        return made
+
+
+def _lists(sets: DataFrame, steps: _Steps) -> DataFrame:
     """(l1, l2, set, hub, size) of lists of two sets and more; l1 and l2 name a list by its members."""
     member = {"size": F.count(F.lit(1)), "hub": F.min(F.struct("rare", "set")), "l1": F.bit_xor(F.xxhash64("set")), "l2": F.bit_xor(F.xxhash64(F.lit(1), "set"))}
     of_list = Window.partitionBy("sign")
     light = sets.select(F.explode("light").alias("sign"), "set", "rare").select("*", *(c.over(of_list).alias(k) for k, c in member.items()))
-    hot = materialise(sets.select(F.explode("hot").alias("sign"), "set", "rare"), "jaccard-hot")
+    hot = steps.write(sets.select(F.explode("hot").alias("sign"), "set", "rare"), "jaccard-hot")
     hot = join_hot(hot, hot.groupBy("sign").agg(*(c.alias(k) for k, c in member.items())).filter("size > 1"), ["sign"], ["set"])
     of = ["l1", "l2", "set", F.col("hub.set").alias("hub"), "size"]
     return light.filter("size > 1").select(*of).unionByName(hot.select(*of)).distinct()
@@ -241,14 +259,14 @@ def _similar_sizes(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _meet(pairs: DataFrame, of_set: DataFrame, build: Callable, keep: Callable, id_type: str) -> DataFrame:
+def _meet(pairs: DataFrame, of_set: DataFrame, build: Callable, keep: Callable, id_type: str, steps: _Steps) -> DataFrame:
     """The pairs (hub, set) for which keep holds of what build makes of their payloads, the second column of of_set.
 
     A hub's payload has one copy for PARTNERS partners and comes right before theirs; a partner's goes to each hub.
     """
     payload = of_set.columns[1]
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
-    pairs = materialise(join_hot(pairs, parts, ["hub"], ["set"]).select("hub", "set", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part")), "jaccard-pairs")
+    pairs = steps.write(join_hot(pairs, parts, ["hub"], ["set"]).select("hub", "set", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part")), "jaccard-pairs")
     hubs = pairs.select("hub", "part").distinct().join(of_set.withColumnRenamed("set", "hub"), "hub").select("hub", "part", F.col("hub").alias("set"), F.lit(0).alias("role"), payload)
     partners = pairs.join(of_set, "set").select("hub", "part", "set", F.lit(1).alias("role"), payload)
     met = hubs.unionByName(partners).repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
@@ -270,7 +288,7 @@ def _meet(pairs: DataFrame, of_set: DataFrame, build: Callable, keep: Callable,
     return met.mapInArrow(run, f"hub {id_type}, set {id_type}")
 
 
-def _allowed(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
+def _allowed(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str, steps: _Steps) -> DataFrame:
     """The pairs whose sizes and bitmaps don't rule a link out."""
 
     def keep(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> bool:
@@ -284,12 +302,12 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> D
         return v["n"].as_py(), bits
 
     words = F.when(F.col("bits").isNull(), F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.array(*_FOLDED)))
-    return _meet(pairs, sets.select("set", F.struct("n", "bits", words.alias("words")).alias("own")), build, keep, id_type)
+    return _meet(pairs, sets.select("set", F.struct("n", "bits", words.alias("words")).alias("own")), build, keep, id_type, steps)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int, id_type: str, steps: _Steps) -> DataFrame:
     """The pairs whose sets of shingles, of the words of their whole texts, link."""
-    pairs = materialise(_allowed(pairs, sets, percent, id_type), "jaccard-allowed")
+    pairs = steps.write(_allowed(pairs, sets, percent, id_type, steps), "jaccard-allowed")
     wanted = pairs.select(F.col("hub").alias("set")).union(pairs.select("set")).distinct()
     texts = rows.withColumnRenamed("doc_id", "set").join(wanted, "set", "left_semi").select("set", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -297,19 +315,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, perc
         shared = len(x & y)
         return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    return _meet(pairs, texts, lambda v: exact_shingles(v.as_py(), width), keep, id_type)
+    return _meet(pairs, texts, lambda v: exact_shingles(v.as_py(), width), keep, id_type, steps)
 
 
-def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int, steps: _Steps) -> DataFrame:
     """Pairs (hub, set) within a list, of different components, whose sizes and bitmaps allow a link."""
     of_list = ["l1", "l2"]
     rest = lists.filter("size > 2").select(*of_list, "set").join(found.withColumnRenamed("node", "set"), "set", "left")
-    rest = materialise(rest.withColumn("component", F.coalesce("component", "set")), "jaccard-rest")
+    rest = steps.write(rest.withColumn("component", F.coalesce("component", "set")), "jaccard-rest")
     each = rest.groupBy(*of_list, "component").agg(F.count(F.lit(1)).alias("here"))
     top = each.groupBy(*of_list).agg(F.max(F.struct("here", "component")).alias("top"), F.sum("here").alias("size")).filter("size > top.here")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     top = top.select(*of_list, F.col("top.component").alias("top"), blocks(F.col("size")).alias("xs"), blocks(F.col("size") - F.col("top.here")).alias("ys"))
-    rest = materialise(join_hot(rest, top, of_list, ["set"]).join(sets.select("set", "n", "wide", *_FOLDED), "set"), "jaccard-rest")
+    rest = steps.write(join_hot(rest, top, of_list, ["set"]).join(sets.select("set", "n", "wide", *_FOLDED), "set"), "jaccard-rest")
     block, all_of = (lambda k: F.pmod(F.xxhash64("set"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
     x = rest.withColumn("x", block("xs")).withColumn("y", all_of("ys")).alias("x")
     y = rest.filter("component != top").withColumn("y", block("ys")).withColumn("x", all_of("xs")).alias("y")
@@ -348,14 +366,17 @@ def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     keys = ["doc_id", *digest]
     signed = signed.join(reps.withColumnRenamed("set", "doc_id"), keys).dropDuplicates(keys).drop("d1", "d2").withColumnRenamed("doc_id", "set")
     sets = materialise(signed, "jaccard-sets")
-    lists = materialise(_lists(sets), "jaccard-lists")
+    steps = _Steps()
+    lists = steps.done(_lists(sets, steps), "jaccard-lists")
 
     first = materialise(lists.filter("set != hub").select("hub", "set").distinct(), "jaccard-first")
-    links = materialise(_linked(first, sets, rows, width, percent, id_type), "jaccard-links")
+    links = steps.done(_linked(first, sets, rows, width, percent, id_type, steps), "jaccard-links")
     found = connected_components(links, "hub", "set")
 
-    second = materialise(_between_components(lists, found, sets, percent).join(first, ["hub", "set"], "left_anti"), "jaccard-second")
-    more = [] if second.isEmpty() else [materialise(_linked(second, sets, rows, width, percent, id_type), "jaccard-links")]
+    between = _between_components(lists, found, sets, percent, steps)
+    second = steps.done(between.join(first, ["hub", "set"], "left_anti"), "jaccard-second", lists, first)
+    more = [] if second.isEmpty() else [steps.done(_linked(second, sets, rows, width, percent, id_type, steps), "jaccard-links", second)]
+    release(sets)
     several = materialise(real.groupBy("doc_id").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).filter("least != most").select("doc_id"), "jaccard-several")
     if not several.isEmpty():
         own = join_hot(real.distinct().join(several, "doc_id", "left_semi"), reps, digest, ["doc_id"])
