@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise, release
-from claimgraph.llm.columns import WordHasher, exact_shingles, mix, shingle_sets
+from claimgraph.llm.columns import ShingledText, WordHasher, mix, shingle_sets
 from claimgraph.llm.ranks import join_hot
 from claimgraph.operators.components import connected_components
 
@@ -48,6 +48,8 @@ FREQUENT, COMMON_SHARE = 1 << 18, 0.01
 HOT_SHARE = 1e-3
 #: Mean tokens in a subclass of a set that is all of one class; sets smaller than this many tokens sign by single ones.
 SUBCLASS, SMALL = 8, 32
+#: Below this threshold two sets that link may differ in so many tokens that their bands of sizes need not meet.
+LEAST_PERCENT = 75
 #: Members in a block of a list; a text has a copy for so many partners.
 BLOCK, PARTNERS = 1000, 256
 #: Words of 64 bits: of the bitmap that is compared first, and at most of the one that is compared in a list.
@@ -305,17 +307,26 @@ def _allowed(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str, step
     return _meet(pairs, sets.select("set", F.struct("n", "bits", words.alias("words")).alias("own")), build, keep, id_type, steps)
 
 
+@functools.cache
+def _hasher() -> WordHasher:
+    """One for each Python worker."""
+    return WordHasher()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, percent: int, id_type: str, steps: _Steps) -> DataFrame:
     """The pairs whose sets of shingles, of the words of their whole texts, link."""
     pairs = steps.write(_allowed(pairs, sets, percent, id_type, steps), "jaccard-allowed")
     wanted = pairs.select(F.col("hub").alias("set")).union(pairs.select("set")).distinct()
     texts = rows.withColumnRenamed("doc_id", "set").join(wanted, "set", "left_semi").select("set", F.coalesce("text", F.lit("")).alias("text"))
 
-    def keep(x: set, y: set) -> bool:
-        shared = len(x & y)
-        return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+    def build(text: pa.StringScalar) -> ShingledText:
+        return ShingledText(np.frombuffer(text.as_buffer(), np.uint8), width, _hasher())
+
+    def keep(x: ShingledText, y: ShingledText) -> bool:
+        shared, either = x.common(y)
+        return shared > 0 and 100 * shared >= percent * either
 
-    return _meet(pairs, texts, lambda v: exact_shingles(v.as_py(), width), keep, id_type, steps)
+    return _meet(pairs, texts, build, keep, id_type, steps)
 
 
 def _between_components(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int, steps: _Steps) -> DataFrame:
@@ -351,8 +362,11 @@ def jaccard_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     shingle, and one without words, or null, is empty and links with nothing. Two documents link when 100 times the
     common shingles is at least ``percent`` times those of both; component_id is the smallest id that links reach. A
     null id takes no part and has a null component. Rows that share an id are one document, whose texts are all linked;
-    each row has its own size. An empty table gives no rows. Other columns are ignored.
+    each row has its own size. An empty table gives no rows. Other columns are ignored. Below LEAST_PERCENT linked sets
+    might share no signature, so such a ``percent`` is an error.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is from {LEAST_PERCENT} to 100")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     digest = ["d1", "d2", "n"]

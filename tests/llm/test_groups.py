@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimgraph.llm import ann, jaccard, mixing, pivots, queries
+from claimgraph.llm import ann, columns, jaccard, mixing, pivots, queries
 from claimgraph.llm.columns import mix
 from tests.llm.test_texts import EDGES, docs_of
 
@@ -172,6 +172,34 @@ def test_jaccard_links_texts_of_one_id(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows)).collect()} == {(5, 3), (3, 3), (9, 3)}
 
 
+@pytest.mark.parametrize("mask", [None, 0xFF, 0xFFFF])
+def test_texts_compare_as_sets_of_words_whatever_the_hashes(monkeypatch, mask):
+    """Hashes cut to a few bits mix words up; pieces of 16 bytes cut long words: neither changes what texts share."""
+    whole = columns.WordHasher()
+    monkeypatch.setattr(columns, "CHUNK_BYTES", 16)
+    cut = columns.WordHasher()
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(40)] + ["x" * 70, "x" * 69 + "y", "é", "É"]
+    texts = [" ".join(rng.choice(names, n)).encode() for n in (0, 1, 3, 4, 5, 30, 30, 200, 200)] + [b" A  b\tc\nd e", b"a b c d", b"\n "]
+
+    def hasher(data, starts, ends):
+        h = cut(data, starts, ends)
+        assert np.array_equal(h, whole(data, starts, ends))
+        return h if mask is None else h & np.uint64(mask)
+
+    made = [columns.ShingledText(np.frombuffer(t, np.uint8), 4, hasher) for t in texts]
+    assert mask is not None or all(m.exact for m, t in zip(made, texts) if len(t.split()) >= 4)
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            a, b = columns.exact_shingles(x, 4), columns.exact_shingles(y, 4)
+            assert made[i].common(made[j]) == (len(a & b), len(a | b))
+
+
+def test_jaccard_refuses_thresholds_at_which_it_could_lose_links(spark):
+    with pytest.raises(ValueError, match="percent"):
+        jaccard.jaccard_components(docs_of(spark, []), percent=70)
+
+
 def test_jaccard_of_the_given_documents(spark):
     rows = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     sets, want = jaccard_truth(rows, 4, 85)
