@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
-from claimgraph.llm.ranks import place
+from claimgraph.llm.ranks import join_hot, place
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -107,7 +107,7 @@ def mix(documents: DataFrame, *, weights: list[int], most: int = MOST, seed: int
     rate = F.least(F.lit(float(most)), F.exp(F.col("lambda") * F.col("size") / F.col("mean_size")))
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("target") >= most * F.col("source_size"), float(most)).otherwise(rate)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.join(state, "_source").withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
+    rows = join_hot(rows, state, ["_source"], ["doc_id", "size"]).withColumn("_rate", rate).withColumn("_whole", F.floor("_rate"))
     rows = rows.withColumn("_class", F.when((F.col("size") > 0) & (F.col("_rate") < most), F.floor(F.log("size") / math.log(CLASS_RATIO))).otherwise(F.lit(-1)).cast("int"))
     pieces = max(16, rows.count() // ROWS_A_PIECE)
     rows = materialise(rows.select("doc_id", "source", "_source", "size", "source_size", "target", "_rate", "_whole", "_class", order.alias("_order"), F.pmod(order, F.lit(pieces)).cast("int").alias("_piece")), "mix-rates")
