@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise
-from claimgraph.llm.ranks import place
+from claimgraph.llm.ranks import join_hot, place
 
 LAW = "rows"
 
@@ -44,7 +44,7 @@ def stratified_shards(documents: DataFrame, shards: int, *, seed: int = 17, id_c
     tie = [F.col("_key"), F.col("doc_id"), F.col("text_crc32")]
     hashed = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     ranked = place(rows.withColumn("_range", F.shiftright(hashed * n, 32).cast("int")), ["_stratum"], "_range", tie, "_rank")
-    ranked = ranked.join(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_of")), "_stratum")
+    ranked = join_hot(ranked, rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_of")), ["_stratum"], ["_key"])
     fraction = (F.col("_rank") + 0.5) / F.col("_of")
     ranked = ranked.withColumn("_fraction", fraction).withColumn("_range", F.least(F.lit(n - 1), (fraction * n).cast("int")))
     ranked = materialise(ranked.drop("_of", "_rank"), "shard-ranks")
