@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.storage import materialise
 from claimgraph.functions.versioned import VersionedTable
-from claimgraph.operators.triangles import common_targets, triangles
+from claimgraph.operators.triangles import common_target_changes, common_targets, triangles
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return incident(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def curvature(edges: DataFrame, *, alpha: float = 0.5, of: DataFrame | None = None) -> DataFrame:
-    """Ollivier, jaccard and hybrid curvature of every edge, or of the edges (source, target) of ``of``.
+def curvature_counts(edges: DataFrame, *, of: DataFrame | None = None) -> DataFrame:
+    """What G5 rests on, of every edge or of the edges (source, target) of ``of``: weight, the degrees of both ends
+    (du, dv), how many targets each has (nu, nv), and how many they have in common (both).
 
     Common targets are counted by colours of nodes, so that no hub's neighbours are gathered in one row or task.
     """
@@ -57,11 +59,45 @@ def curvature(edges: DataFrame, *, alpha: float = 0.5, of: DataFrame | None = No
     side = lambda table, key, names: table.select(F.col(key).alias(names[0]), F.col(table.columns[1]).alias(names[1]))
     rows = wanted.join(side(degree, "node", ("source", "du")), "source").join(side(degree, "node", ("target", "dv")), "target")
     rows = rows.join(side(sizes, "source", ("source", "nu")), "source", "left").join(side(sizes, "source", ("target", "nv")), "target", "left").join(common, ["source", "target"], "left")
-    both = F.coalesce("both", F.lit(0))
-    union = F.coalesce("nu", F.lit(0)) + F.coalesce("nv", F.lit(0)) - both
+    return rows.select("source", "target", "weight", "du", "dv", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("nu", "nv", "both")))
+
+
+def curvature_of_counts(counts: DataFrame, *, alpha: float = 0.5) -> DataFrame:
+    """Ollivier, jaccard and hybrid curvature of edges whose counts are known."""
+    union = F.col("nu") + F.col("nv") - F.col("both")
     ollivier = F.when((F.col("du") > 0) & (F.col("dv") > 0) & (F.col("weight") != 0), 1 / F.col("du") + 1 / F.col("dv") - 2 / F.col("weight")).otherwise(0.0)
-    jaccard = F.when(union > 0, both / union).otherwise(0.0)
-    return rows.select("source", "target", F.round(ollivier, 6).alias("ollivier"), F.round(jaccard, 6).alias("jaccard"), F.round(alpha * (F.tanh(ollivier) + 1) / 2 + (1 - alpha) * jaccard, 6).alias("hybrid"))
+    jaccard = F.when(union > 0, F.col("both") / union).otherwise(0.0)
+    hybrid = alpha * (F.tanh(ollivier) + 1) / 2 + (1 - alpha) * jaccard
+    return counts.select("source", "target", F.round(ollivier, 6).alias("ollivier"), F.round(jaccard, 6).alias("jaccard"), F.round(hybrid, 6).alias("hybrid"))
+
+
+def curvature(edges: DataFrame, *, alpha: float = 0.5, of: DataFrame | None = None) -> DataFrame:
+    """Ollivier, jaccard and hybrid curvature of every edge, or of the edges (source, target) of ``of``."""
+    return curvature_of_counts(curvature_counts(edges, of=of), alpha=alpha)
+
+
+def changed_counts(was: DataFrame, now: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The counts of curvature_counts, as of now, of all edges that touch nodes, from their counts before.
+
+    was holds the counts of all edges that touched nodes (node), now all edges (source, target, weight) that touch them;
+    every edge that came or went has both ends among nodes. Common targets are carried on by what the changes add and
+    take away; an end that isn't among nodes keeps its counts. An edge is one row. Nothing beyond these edges is read.
+    """
+    edge = ["source", "target"]
+    was, now, nodes = materialise(was, "counts-was"), materialise(now.select(*edge, "weight"), "counts-now"), materialise(nodes.select("node").distinct(), "counts-nodes")
+    came, went = now.select(*edge).join(was, edge, "left_anti"), was.select(*edge).join(now, edge, "left_anti")
+    kept = materialise(was.drop("weight").join(now, edge), "counts-kept")
+    gained = common_target_changes(kept, was, now, came.withColumn("sign", F.lit(1)).unionByName(went.withColumn("sign", F.lit(-1))))
+    fresh = common_targets(now.select(*edge), came)
+    both = gained.unionByName(fresh).withColumnRenamed("both", "more")
+    of_node = nodes.join(degrees(now), "node", "left").join(now.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node", "left")
+    of_node = of_node.select("node", F.coalesce("degree", F.lit(0).cast("long")).alias("d"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    rows = kept.unionByName(came.join(now, edge), allowMissingColumns=True).join(both, edge, "left")
+    for end, d, n in (("source", "du", "nu"), ("target", "dv", "nv")):
+        own = of_node.select(F.col("node").alias(end), F.col("d").alias("_d"), F.col("n").alias("_n"))
+        rows = rows.join(own, end, "left").withColumns({d: F.coalesce("_d", d), n: F.coalesce("_n", n)}).drop("_d", "_n")
+    zero = F.lit(0).cast("long")
+    return rows.select(*edge, "weight", "du", "dv", "nu", "nv", (F.coalesce("both", zero) + F.coalesce("more", zero)).alias("both"))
 
 
 def curvature_history(history: DataFrame, edges: DataFrame, touched: DataFrame, at: str) -> DataFrame:

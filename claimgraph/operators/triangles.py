@@ -23,19 +23,20 @@ TASK_ARCS, AT_ONCE = 1 << 20, 1 << 21
 BASE, OF_SOURCE, OF_TARGET = range(3)
 
 
-def _dealt(arcs: DataFrame, base: DataFrame) -> DataFrame:
-    """(task, role, x, y): every arc in the tasks that need it."""
-    colours = max(1, math.ceil(math.sqrt(3 * arcs.count() / TASK_ARCS)))
+def _dealt(base: DataFrame, of_source: DataFrame, of_target: DataFrame, size: int) -> DataFrame:
+    """(task, role, x, y): every arc in the tasks that need it, size arcs in all. The role of an arc of sign -1 is negative."""
+    colours = max(1, math.ceil(math.sqrt(size / TASK_ARCS)))
     colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours)).cast("int")
     third = F.explode(F.sequence(F.lit(0), F.lit(colours - 1)))
     p, q, r = F.col("p"), F.col("q"), F.col("r")
 
     def role(rows: DataFrame, kind: int, *order) -> DataFrame:
         i, j, k = order
-        rows = rows.select(F.col("source").alias("x"), F.col("target").alias("y"), colour("source").alias("p"), colour("target").alias("q"), third.alias("r"))
-        return rows.select(((i * colours + j) * colours + k).alias("task"), F.lit(kind).cast("byte").alias("role"), "x", "y")
+        own = (F.col("sign") * kind if "sign" in rows.columns else F.lit(kind)).cast("byte").alias("role")
+        rows = rows.select(F.col("source").alias("x"), F.col("target").alias("y"), own, colour("source").alias("p"), colour("target").alias("q"), third.alias("r"))
+        return rows.select(((i * colours + j) * colours + k).alias("task"), "role", "x", "y")
 
-    return role(base, BASE, p, q, r).unionByName(role(arcs, OF_SOURCE, p, r, q)).unionByName(role(arcs, OF_TARGET, r, p, q))
+    return role(base, BASE, p, q, r).unionByName(role(of_source, OF_SOURCE, p, r, q)).unionByName(role(of_target, OF_TARGET, r, p, q))
 
 
 class _Task:
@@ -49,17 +50,20 @@ class _Task:
         self.u, self.v = x[role == BASE], y[role == BASE]
         self.lists = []
         for kind in (OF_SOURCE, OF_TARGET):
-            keys = np.sort(x[role == kind] * self.n + y[role == kind])
-            self.lists.append((keys, np.searchsorted(keys, np.arange(self.n + 1) * self.n)))
+            mine = np.abs(role) == kind
+            keys = x[mine] * self.n + y[mine]
+            order = np.argsort(keys)
+            keys = keys[order]
+            self.lists.append((keys, role[mine][order] // kind, np.searchsorted(keys, np.arange(self.n + 1) * self.n)))
 
     def closed(self):
-        """(base arcs, third nodes) of all triangles, some at a time."""
-        starts = [s for _, s in self.lists]
+        """(base arcs, third nodes, signs) of all triangles, some at a time; a sign is that of both closing arcs."""
+        starts = [s for _, _, s in self.lists]
         by_source, by_target = starts[0][self.u + 1] - starts[0][self.u], starts[1][self.v + 1] - starts[1][self.v]
         for open_source in (True, False):
             mine = np.flatnonzero((by_source <= by_target) == open_source)
             size = (by_source if open_source else by_target)[mine]
-            (keys, first), (other, _) = self.lists if open_source else self.lists[::-1]
+            (keys, sign, first), (other, other_sign, _) = self.lists if open_source else self.lists[::-1]
             here, there = (self.u, self.v) if open_source else (self.v, self.u)
             upto = np.concatenate([[0], np.cumsum(size)])
             at = 0
@@ -73,10 +77,26 @@ class _Task:
                 found = np.searchsorted(other, wanted)
                 hit = found < len(other)
                 hit[hit] = other[found[hit]] == wanted[hit]
-                yield arcs[hit], third[hit]
+                yield arcs[hit], third[hit], sign[place[hit]] * other_sign[found[hit]]
                 at = to
 
 
+def _counted(base: DataFrame, of_source: DataFrame, of_target: DataFrame, size: int) -> DataFrame:
+    """(source, target, both): of arcs of base, the sum of the signs of what closes them, where it isn't 0."""
+    kind = base.schema["source"].dataType.simpleString()
+
+    def count(part: pa.Table) -> pa.Table:
+        task = _Task(part)
+        times = np.zeros(len(task.u), np.int64)
+        for found, _, sign in task.closed():
+            np.add.at(times, found, sign.astype(np.int64))
+        some = np.flatnonzero(times)
+        return pa.table({"source": task.nodes.take(pa.array(task.u[some])), "target": task.nodes.take(pa.array(task.v[some])), "both": pa.array(times[some])})
+
+    met = _dealt(base, of_source, of_target, size).groupBy("task").applyInArrow(count, f"source {kind}, target {kind}, both long")
+    return met.groupBy("source", "target").agg(F.sum("both").alias("both"))
+
+
 def common_targets(arcs: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(source, target, both): for each arc of base, or of arcs, how many targets its ends have in common, if any.
 
@@ -84,18 +104,27 @@ def common_targets(arcs: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """
     arcs = materialise(arcs.select("source", "target"), "triangle-arcs")
     base = arcs if base is None else base.select("source", "target")
-    kind = arcs.schema["source"].dataType.simpleString()
+    return _counted(base, arcs, arcs, 3 * arcs.count())
 
-    def count(part: pa.Table) -> pa.Table:
-        task = _Task(part)
-        times = np.zeros(len(task.u), np.int64)
-        for found, _ in task.closed():
-            times += np.bincount(found, minlength=len(times))
-        some = np.flatnonzero(times)
-        return pa.table({"source": task.nodes.take(pa.array(task.u[some])), "target": task.nodes.take(pa.array(task.v[some])), "both": pa.array(times[some])})
 
-    met = _dealt(arcs, base).groupBy("task").applyInArrow(count, f"source {kind}, target {kind}, both long")
-    return met.groupBy("source", "target").agg(F.sum("both").alias("both"))
+def common_target_changes(base: DataFrame, before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
+    """(source, target, both): by how much the common targets of arcs of base, which stay, have become more or fewer.
+
+    changes (source, target, sign) are the arcs that came, sign 1, and went, -1; before and after hold, at least, all
+    arcs into targets of changes as they were and are. A pair of arcs that closes base is counted once for each of them
+    that changed, the first against what is now and the second against what was: changes x after + before x changes.
+    So the work grows with the changes and the arcs beside them, not with the graph. All tables hold distinct arcs.
+    """
+    changes = materialise(changes.select("source", "target", "sign"), "triangle-changes")
+    into = changes.select("target").distinct()
+    sources = changes.select("source").distinct()
+    before, after = (materialise(t.select("source", "target").join(into, "target", "left_semi").select("source", "target"), "triangle-beside") for t in (before, after))
+    # what base arcs lead from may have changed, or what they lead to
+    opened, closing = (materialise(base.join(sources.toDF(end), end, "left_semi").select("source", "target"), "triangle-base") for end in ("source", "target"))
+    n = changes.count()
+    first = _counted(opened, changes, after, opened.count() + n + after.count())
+    second = _counted(closing, before, changes, closing.count() + n + before.count())
+    return first.unionByName(second).groupBy("source", "target").agg(F.sum("both").alias("both")).filter("both != 0")
 
 
 def triangles(arcs: DataFrame) -> DataFrame:
@@ -106,11 +135,11 @@ def triangles(arcs: DataFrame) -> DataFrame:
     def count(part: pa.Table) -> pa.Table:
         task = _Task(part)
         times = np.zeros(task.n, np.int64)
-        for found, third in task.closed():
+        for found, third, _ in task.closed():
             for ends in (task.u[found], task.v[found], third):
                 times += np.bincount(ends, minlength=task.n)
         some = np.flatnonzero(times)
         return pa.table({"node": task.nodes.take(pa.array(some)), "triangles": pa.array(times[some])})
 
-    met = _dealt(arcs, arcs).groupBy("task").applyInArrow(count, f"node {kind}, triangles long")
+    met = _dealt(arcs, arcs, arcs, 3 * arcs.count()).groupBy("task").applyInArrow(count, f"node {kind}, triangles long")
     return met.groupBy("node").agg(F.sum("triangles").alias("triangles"))

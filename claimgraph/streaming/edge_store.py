@@ -3,8 +3,9 @@
 An edge lies in the bucket of either end, so all that touches a node is in one bucket. A batch rewrites the buckets of
 the nodes that it touches and of the neighbours of nodes that it deletes, and no others. Each version's tag has the
 number of the batch that made it: a batch that comes again, after a stop, finds its number and does nothing. The nodes
-whose edges need their curvature again are queued by batch; refresh takes what is queued, reads the buckets of those
-edges' ends, and rewrites the curvature of the edges that changed.
+whose edges need their curvature again are queued by batch. Curvature is stored with the counts that it rests on; refresh
+takes what is queued, reads the edges of those nodes as they were and are, carries the counts on by what changed, and
+rewrites the curvature of those edges. The neighbours' own edges aren't looked at, however many they have.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions.storage import materialise, release
 from claimgraph.functions.versioned import VersionedTable
-from claimgraph.operators.graph import apply_deltas, curvature, incident, valid_deltas
+from claimgraph.operators.graph import apply_deltas, changed_counts, curvature_counts, curvature_of_counts, incident, valid_deltas
 
 EDGE = ["source", "target"]
 
@@ -40,14 +41,14 @@ class EdgeStore:
         """A store of the edges of start, with their curvature."""
         store, start = cls(start.sparkSession, path), start.select(*EDGE, "weight")
         VersionedTable.create(store.table.path, _both(start), ["node"], buckets=buckets, tag={"batch": -1})
-        VersionedTable.create(store.curved.path, _both(curvature(store.edges())), ["node"], buckets=buckets, tag={"batch": -1})
+        VersionedTable.create(store.curved.path, _both(curvature_counts(store.edges())), ["node"], buckets=buckets, tag={"batch": -1})
         return store
 
     def edges(self) -> DataFrame:
         return self.table.read().filter("node = source").select(*EDGE, "weight")
 
     def curvature(self) -> DataFrame:
-        return self.curved.read().filter("node = source").drop("node")
+        return curvature_of_counts(self.curved.read().filter("node = source"))
 
     def _queued(self, number: int | str) -> str:
         return f"{self.path}/queue/batch={number}"
@@ -84,6 +85,10 @@ class EdgeStore:
         nodes.write.mode("overwrite").parquet(self._queued(number))
         release(changes, nodes)
 
+    def _version_of(self, number: int) -> int:
+        """The last version of the edges that holds no batch after this one."""
+        return next(v for v in reversed(self.table.versions()) if self.table.manifest(v)["tag"]["batch"] <= number)
+
     def refresh(self) -> int:
         """G5 and G6 of what is queued: the curvature of all edges that touch queued nodes. Gives the last batch."""
         queued = materialise(self.queue(), "store-queue")
@@ -91,19 +96,18 @@ class EdgeStore:
         if last is None:
             return self.curved.tag["batch"]
         nodes = queued.select("node").distinct()
-        near = self.table.read(buckets=self.table.touched(nodes)).join(nodes, "node", "left_semi").select(*EDGE).distinct()
-        near = materialise(near, "store-dirty")
-        ends = incident(near).select("node").distinct()
-        around = self.table.read(buckets=self.table.touched(ends)).select(*EDGE, "weight").distinct()
-        made = curvature(around, of=near)
-        old = self.curved.read(buckets=self.curved.touched(nodes)).join(nodes, "node", "left_semi").select(F.explode(F.array(*EDGE)).alias("node"))
-        buckets = self.curved.touched(ends.union(nodes).union(old).distinct())
+        buckets = self.table.touched(nodes)
+        beside = lambda table, **of: table.read(buckets=buckets, **of).join(nodes, "node", "left_semi").drop("node").distinct()
+        old = materialise(beside(self.curved), "store-old")
+        # edges of a batch that isn't queued yet, as after a stop, are left to the next time
+        made = materialise(changed_counts(old, beside(self.table, version=self._version_of(last)), nodes), "store-counts")
+        ends = incident(made.select(*EDGE).unionByName(old.select(*EDGE))).select("node").union(nodes).distinct()
+        buckets = self.curved.touched(ends)
         stays = self.curved.read(buckets=buckets).drop("node").distinct()
         for end in EDGE:
             stays = stays.join(nodes.withColumnRenamed("node", end), end, "left_anti")
-        rows = stays.select(*made.columns).unionByName(made)
-        self.curved.rewrite(buckets, _both(rows), tag={"batch": int(last)})
-        release(queued, near)
+        self.curved.rewrite(buckets, _both(stays.select(*made.columns).unionByName(made)), tag={"batch": int(last)})
+        release(queued, old, made)
         return int(last)
 
     def follow(self, deltas: DataFrame) -> None:

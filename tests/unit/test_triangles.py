@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from claimgraph.operators import triangles
+from claimgraph.operators import graph, triangles
 from tests.unit.test_streams import rows_of
 
 
@@ -31,3 +31,32 @@ def test_triangles_by_colour(spark, monkeypatch, task_arcs, at_once, kind):
     low = spark.createDataFrame(sorted(up), "source long, target long").selectExpr(f"cast(source as {kind}) source", f"cast(target as {kind}) target")
     assert dict(rows_of(triangles.triangles(low), "node", "triangles")) == {typed(k): n for k, n in counts.items()}
     assert triangles.triangles(low.limit(0)).isEmpty() and triangles.common_targets(low.limit(0)).isEmpty()
+
+
+def random_graph(rng, nodes=25, edges=160):
+    return {(rng.randrange(nodes), rng.randrange(nodes)): rng.randrange(1, 10) / 10 for _ in range(edges)} | {(0, i): 0.5 for i in range(30)} | {(5, 5): 0.3}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_counts_carried_on_equal_counts_taken_anew(spark, monkeypatch, seed):
+    """Arcs come and go, weights change, a hub goes, self-loops come: the counts are those of the new graph."""
+    monkeypatch.setattr(triangles, "TASK_ARCS", 100)
+    rng = random.Random(seed)
+    old = random_graph(rng)
+    new = {e: (w if rng.random() < 0.9 else 0.95) for e, w in old.items() if rng.random() < 0.85 and (seed != 2 or 0 not in e)}
+    new |= {(rng.randrange(28), rng.randrange(28)): 0.7 for _ in range(20)} | ({(7, 7): 0.1} if seed == 3 else {})
+    nodes = {n for e in old.keys() | new.keys() if old.get(e) != new.get(e) for n in e}
+    frame = lambda g: spark.createDataFrame([(a, b, w) for (a, b), w in sorted(g.items())], "source long, target long, weight double")
+    touched = spark.createDataFrame([(n,) for n in sorted(nodes)], "node long")
+    beside = lambda rows: rows.filter(f"source in {tuple(nodes)} or target in {tuple(nodes)}")
+    want = beside(graph.curvature_counts(frame(new)))
+    got = graph.changed_counts(beside(graph.curvature_counts(frame(old))), beside(frame(new)), touched)
+    assert rows_of(got, *want.columns) == rows_of(want) and want.count() > 20
+
+
+def test_counts_without_changes_stay(spark):
+    rows = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 3, 0.5)], "source long, target long, weight double")
+    counts, nodes = graph.curvature_counts(rows), spark.createDataFrame([(1,)], "node long")
+    beside = counts.filter("source = 1 or target = 1")
+    assert rows_of(graph.changed_counts(beside, rows.filter("source = 1"), nodes), *counts.columns) == rows_of(beside)
+    assert graph.changed_counts(beside.limit(0), rows.limit(0), nodes).isEmpty()
