@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimgraph.llm import ann, columns, jaccard, mixing, pivots, queries
+from claimgraph.llm import ann, columns, jaccard, mixing, pivots, queries, secrets
 from claimgraph.llm.columns import mix
-from tests.llm.test_texts import EDGES, docs_of
+from tests.llm.test_texts import EDGES, check_packing, docs_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -322,16 +322,39 @@ def test_pivots_find_near_copies_at_every_count(count):
 
 
 def test_pipeline_stages(spark):
+    """Every stage, and the run of all, against brute force over all rows that the stage before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs
+    before, rows = docs, docs.collect()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = corpus_pipeline.materialise(stage(spark, before, SF), "test")
-        assert after.schema.names == docs.schema.names and after.count() > 0, name
-        if name == "n-gram Jaccard join":
-            sets, of = jaccard_truth([(r.doc_id, r.text, None) for r in before.collect()], 5, 80)
-            assert {r.doc_id for r in after.collect()} == set(of.values())
-        before = after
-    assert corpus_pipeline.run(spark, SF).count() >= before.count()
+        got = after.collect()
+        assert after.schema.names == docs.schema.names and got, name
+        if name == "quality classifier":
+            good = {r.doc_id for r in queries.op5_quality(spark, SF).collect() if r.predicted}
+            assert Counter(got) == Counter(r for r in rows if r.doc_id in good)
+        elif name == "n-gram Jaccard join":
+            sets, of = jaccard_truth([(r.doc_id, r.text, None) for r in rows], 5, 80)
+            assert Counter(got) == Counter(r for r in rows if r.doc_id in set(of.values()))
+        elif name == "secret scans":
+            live = {r.doc_id for r in secrets.digest(secrets.scan(before)).collect() if r.n_live}
+            was, now = ({r.doc_id: r for r in x} for x in (rows, got))
+            assert was.keys() == now.keys() and len(got) == len(rows)
+            assert {d for d in was if was[d] != now[d]} == live and all("[SECRET]" in now[d].text for d in live)
+        else:
+            sizes, taken = Counter(), Counter()
+            for r in rows:
+                sizes[r.source] += len(WORD.findall(r.text or ""))
+            for r in got:
+                taken[r.source] += len(WORD.findall(r.text or ""))
+            copies = Counter(got)
+            assert set(copies) <= set(rows) and max(copies.values()) <= 3
+            want = targets(dict(sizes), queries.SOURCE_WEIGHTS, 3)
+            documents = Counter(r.source for r in rows)  # a few documents a source: none ends more than a mean one off
+            assert all(abs(taken[s] - want[s]) <= sizes[s] / documents[s] for s in sizes)
+        before, rows = after, got
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    sequences, tokens = check_packing(pieces, [(r.doc_id, r.text) for r in rows], 2048)
+    assert sequences <= -(-tokens // 2048) * 1.03 + 1
 
 
 def test_pipeline_takes_odd_rows(spark):
