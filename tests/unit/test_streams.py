@@ -70,6 +70,21 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     assert rows_of(store.curvature()) == rows_of(graph.curvature(store.edges()))
 
 
+def test_a_refresh_reads_no_edges_of_neighbours(spark, tmp_path, monkeypatch):
+    """A hub's neighbours have edges of their own, in other buckets, which a change at the hub leaves unread."""
+    rows = [(0, i, 0.5) for i in range(1, 120)] + [(i, i + 200, 0.4) for i in range(1, 120)] + [(5, 6, 0.3)]
+    store = EdgeStore.create(str(tmp_path / "store"), spark.createDataFrame(rows, "source long, target long, weight double"), buckets=64)
+    store.merge(spark.createDataFrame([("add_edge", 0, 205, 0.9, 1, 1), ("delete_edge", 5, 6, None, 2, 2), ("update_edge", 0, 7, 0.1, 3, 3)], DELTA), 0)
+    nodes = set(store.table.touched(store.queue().select("node")))
+    read, looked = VersionedTable.read, []
+    monkeypatch.setattr(VersionedTable, "read", lambda table, **of: (looked.append((table.path, of.get("buckets"))), read(table, **of))[1])
+    store.refresh()
+    of_edges = [set(b) for path, b in looked if path == store.table.path and b is not None]
+    assert of_edges and all(b <= nodes for b in of_edges) and len(nodes) <= 5
+    monkeypatch.undo()
+    assert rows_of(store.curvature()) == rows_of(graph.curvature(store.edges()))
+
+
 def test_a_stream_of_deltas_goes_on_after_a_stop(spark, tmp_path):
     changes, start = random_deltas(90, 25, 5), spark.createDataFrame([(1, 2, 0.3), (6, 7, 0.2)], "source long, target long, weight double")
     read = lambda: spark.readStream.schema(DELTA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
