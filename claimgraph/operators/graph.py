@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise
+from claimgraph.functions.storage import materialise, release
 from claimgraph.functions.versioned import VersionedTable
 from claimgraph.operators.triangles import common_target_changes, common_targets, triangles
 
@@ -97,7 +97,10 @@ def changed_counts(was: DataFrame, now: DataFrame, nodes: DataFrame) -> DataFram
         own = of_node.select(F.col("node").alias(end), F.col("d").alias("_d"), F.col("n").alias("_n"))
         rows = rows.join(own, end, "left").withColumns({d: F.coalesce("_d", d), n: F.coalesce("_n", n)}).drop("_d", "_n")
     zero = F.lit(0).cast("long")
-    return rows.select(*edge, "weight", "du", "dv", "nu", "nv", (F.coalesce("both", zero) + F.coalesce("more", zero)).alias("both"))
+    made = rows.select(*edge, "weight", "du", "dv", "nu", "nv", (F.coalesce("both", zero) + F.coalesce("more", zero)).alias("both"))
+    made = materialise(made, "counts-made")
+    release(was, now, nodes, kept, gained)
+    return made
 
 
 def curvature_history(history: DataFrame, edges: DataFrame, touched: DataFrame, at: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.functions.storage import materialise
+from claimgraph.functions.storage import materialise, release
 
 #: Arcs that a task holds, and pairs of arcs that it looks at at once.
 TASK_ARCS, AT_ONCE = 1 << 20, 1 << 21
@@ -124,7 +124,10 @@ def common_target_changes(base: DataFrame, before: DataFrame, after: DataFrame,
     n = changes.count()
     first = _counted(opened, changes, after, opened.count() + n + after.count())
     second = _counted(closing, before, changes, closing.count() + n + before.count())
-    return first.unionByName(second).groupBy("source", "target").agg(F.sum("both").alias("both")).filter("both != 0")
+    found = first.unionByName(second).groupBy("source", "target").agg(F.sum("both").alias("both")).filter("both != 0")
+    found = materialise(found, "triangle-gained")
+    release(changes, before, after, opened, closing)
+    return found
 
 
 def triangles(arcs: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ class EdgeStore:
         beside = lambda table, **of: table.read(buckets=buckets, **of).join(nodes, "node", "left_semi").drop("node").distinct()
         old = materialise(beside(self.curved), "store-old")
         # edges of a batch that isn't queued yet, as after a stop, are left to the next time
-        made = materialise(changed_counts(old, beside(self.table, version=self._version_of(last)), nodes), "store-counts")
+        made = changed_counts(old, beside(self.table, version=self._version_of(last)), nodes)
         ends = incident(made.select(*EDGE).unionByName(old.select(*EDGE))).select("node").union(nodes).distinct()
         buckets = self.curved.touched(ends)
         stays = self.curved.read(buckets=buckets).drop("node").distinct()
