@@ -60,3 +60,16 @@ def test_counts_without_changes_stay(spark):
     beside = counts.filter("source = 1 or target = 1")
     assert rows_of(graph.changed_counts(beside, rows.filter("source = 1"), nodes), *counts.columns) == rows_of(beside)
     assert graph.changed_counts(beside.limit(0), rows.limit(0), nodes).isEmpty()
+
+
+def test_arcs_between_close_nodes_are_copied_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(triangles, "TASK_ARCS", 200)
+    rng = random.Random(3)
+    copies = {}
+    for groups in (10, 60):
+        arcs = {(20 * g + a, 20 * g + b) for g in range(groups) for a, b in (sorted(rng.sample(range(20), 2)) for _ in range(150))}
+        frame = spark.createDataFrame(sorted(arcs), "source long, target long").cache()
+        dealt = triangles._dealt(frame, frame, frame, 3 * len(arcs))
+        copies[groups] = dealt.count() / len(arcs)
+        assert dealt.groupBy("task").count().agg({"count": "max"}).first()[0] <= 600
+    assert copies[60] <= 1.25 * copies[10] and copies[60] < 3 * (3 * len(arcs) / 200) ** 0.5 / 2
