@@ -47,3 +47,8 @@ def test_a_first_task_without_rows_lands_no_file(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_plans_of_matching_stay_small(spark):
+    plan = catalogue.queries()["j6_neighbour_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 12, plan.count("Exchange hashpartitioning")
