@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimgraph.functions.quantiles import exact_percentile
+from claimgraph.functions.storage import materialise
 from claimgraph.functions.versioned import VersionedTable
 
 #: Words without content in the four languages of our tests (our own list).
 STOP_WORDS = ["with", "from", "that", "this", "have", "they", "what", "pour", "dans", "avec", "sont", "nous", "vous", "para", "como", "esta", "pero", "nicht", "eine", "einer", "sich", "auch"]
+WORD = "[a-zà-öø-ÿ]{4,}"
 
 
 def messages(log: DataFrame, *, roles: list[str] | None = None, k: int = 50) -> DataFrame:
@@ -32,15 +41,44 @@ def trim(log: DataFrame, *, last: int = 20, budget: int = 300, pinned: str = "sy
     return rows.withColumn("chars", upto).filter((F.expr("chars div 4") <= budget) | (F.col("back") <= 1)).select("conv_id", "turn", "role", "back", "chars")
 
 
-def keywords(texts: DataFrame, *, k: int = 5, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """X3 of (id, text): each text's best words of four letters and more by times x length; ties by first place."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-öø-ÿ]{4,}"), F.lit(0))
+def _repeated_keywords(texts: DataFrame, k: int, stop_words: list[str]) -> DataFrame:
+    """Keywords of ids that several rows share: their words are counted together."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     each = texts.select("id", F.posexplode(words).alias("pos", "word")).filter(~F.col("word").isin(stop_words))
     scored = each.groupBy("id", "word").agg((F.count(F.lit(1)) * F.length("word")).alias("score"), F.min("pos").alias("first"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "first"))
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("id", "place", "word", "score")
 
 
+def keywords(texts: DataFrame, *, k: int = 5, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """X3 of (id, text): each text's best words of four letters and more by times x length; ties by first place.
+
+    Texts are scanned where they lie and only their ids are counted; words move for ids that several rows share.
+    """
+    stop, word, out = frozenset(stop_words), re.compile(WORD), T.StructType([texts.schema["id"], T.StructField("place", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("score", T.LongType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, place, words, scores = [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                # counted in order of first places, which nlargest keeps among equals
+                counts = Counter(word.findall(text or ""))
+                top = heapq.nlargest(k, ((n * len(w), w) for w, n in counts.items() if w not in stop), key=lambda x: x[0])
+                at += [row] * len(top)
+                place += range(1, len(top) + 1)
+                words += [w for _, w in top]
+                scores += [n for n, _ in top]
+            columns = [batch.column("id").take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(words, pa.string()), pa.array(scores, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    found = texts.select("id", F.lower("text").alias("text")).mapInArrow(best, out)
+    repeated = materialise(texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("_again")), "keywords-repeated")
+    if repeated.isEmpty():
+        return found
+    again = F.col("id").eqNullSafe(F.col("_again"))
+    return found.join(repeated, again, "left_anti").unionByName(_repeated_keywords(texts.join(repeated, again, "left_semi"), k, stop_words))
+
+
 def context(found: DataFrame, edges: DataFrame, *, least: float = 0.1, k: int = 5) -> DataFrame:
     """X4 of keywords (id, word) and edges (source, target, weight): the concepts next to a text's keywords, by weight."""
     near = found.select("id", F.col("word").alias("source")).distinct().join(edges.filter(F.col("weight") >= least), "source").groupBy("id", "target").agg(F.round(F.sum("weight"), 4).alias("weight"))
