@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,11 +80,86 @@ def keywords(texts: DataFrame, *, k: int = 5, stop_words: list[str] = STOP_WORDS
     return found.join(repeated, again, "left_anti").unionByName(_repeated_keywords(texts.join(repeated, again, "left_semi"), k, stop_words))
 
 
+#: Words of a text and of a concept at most for which context forms sets of words, and concepts (of different weights) that
+#: a word may have to be looked up one by one.
+ASKED_WORDS, CONCEPT_WORDS, FEW = 5, 10, 16
+
+
+def _word_sets(entries: Column, kind: str) -> Column:
+    """All sets (words, weight, bound) of up to ASKED_WORDS of entries (source, weight, bound), in the entries' order."""
+    start = F.array(F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("words"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("bound")))
+    more = lambda s, e: F.struct(F.concat(s["words"], F.array(e["source"])).alias("words"), (s["weight"] + e["weight"]).alias("weight"), F.greatest(s["bound"], e["bound"]).alias("bound"))
+    made = F.aggregate(entries, start, lambda sets, e: F.concat(sets, F.transform(F.filter(sets, lambda s: F.size(s["words"]) < ASKED_WORDS), lambda s: more(s, e))))
+    return F.filter(made, lambda s: (F.size(s["words"]) > 0) & (F.round(s["weight"], 4) >= s["bound"]))
+
+
+def _shared_context(found: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """The k concepts (id, target, weight) of each text, without a row for each pair of a text and a concept.
+
+    A concept among a text's best is among the best k of those that have all the words that the two share, by the sum
+    over these words. So the best k are kept for each set of words. Concepts with equal words and weights are one but
+    for the k first; sets that weigh less than the k-th best of one of their words alone aren't needed; words of few
+    concepts are in no sets, their concepts are looked at one by one.
+    """
+    kind = edges.schema["source"].dataType.simpleString()
+    entries = F.array_sort(F.collect_list(F.struct("source", "weight"))).alias("entries")
+    alike = F.row_number().over(Window.partitionBy("entries").orderBy("target"))
+    concepts = edges.groupBy("target").agg(entries).withColumn("place", alike).filter(F.col("place") <= k)
+    concepts = concepts.groupBy("entries").agg(F.array_sort(F.collect_list("target")).alias("targets"))
+    each = materialise(concepts.select("targets", F.explode("entries").alias("e")).select("targets", "e.*"), "context-words")
+
+    numbers = each.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(FEW, k)).select("source")
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight")))
+    # each row has one concept at least, so the k-th row isn't above the k-th concept
+    bounds = each.withColumn("place", best).filter(F.col("place") == k).select("source", F.round("weight", 4).alias("bound"))
+    common = materialise(numbers.join(bounds, "source"), "context-common")
+    concepts = each.join(common, "source", "left").groupBy("targets").agg(F.array_sort(F.collect_list(F.struct("source", "weight", "bound"))).alias("entries"))
+    concepts = materialise(concepts, "context-concepts")
+
+    asked = materialise(found.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("asked")), "context-asked")
+    words = asked.select("asked").distinct().select("asked", F.explode("asked").alias("source"))
+    rare = concepts.select("targets", "entries", F.explode(F.filter("entries", lambda e: e["bound"].isNull())).alias("e")).select("targets", "entries", "e.source")
+    both = F.filter("entries", lambda e: F.array_contains("asked", e["source"]))
+    one_by_one = words.join(rare, "source").select("asked", "targets", F.aggregate(both, F.lit(0.0), lambda s, e: s + e["weight"]).alias("weight"))
+
+    sets = concepts.select("targets", F.explode(_word_sets(F.filter("entries", lambda e: e["bound"].isNotNull()), kind)).alias("s")).select("s.words", "s.weight", "targets")
+    first = F.row_number().over(Window.partitionBy("words").orderBy(F.desc(F.round("weight", 4)), F.col("targets")[0]))
+    sets = sets.withColumn("place", first).filter(F.col("place") <= k).drop("place")
+    entry = F.struct("source", F.lit(0.0).alias("weight"), F.lit(0.0).alias("bound"))
+    wanted = words.join(common.select("source"), "source", "left_semi").groupBy("asked").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    by_sets = wanted.select("asked", F.explode(_word_sets(F.col("entries"), kind)["words"]).alias("words")).join(sets, "words").select("asked", "targets", "weight")
+
+    met = one_by_one.unionByName(by_sets).groupBy("asked", "targets").agg(F.round(F.max("weight"), 4).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("weight"), "target"))
+    met = met.select("asked", F.explode("targets").alias("target"), "weight").withColumn("place", place).filter(F.col("place") <= k)
+    return asked.join(met.drop("place"), "asked").select("id", "target", "weight")
+
+
 def context(found: DataFrame, edges: DataFrame, *, least: float = 0.1, k: int = 5) -> DataFrame:
-    """X4 of keywords (id, word) and edges (source, target, weight): the concepts next to a text's keywords, by weight."""
-    near = found.select("id", F.col("word").alias("source")).distinct().join(edges.filter(F.col("weight") >= least), "source").groupBy("id", "target").agg(F.round(F.sum("weight"), 4).alias("weight"))
+    """X4 of keywords (id, word) and edges (source, target, weight): the concepts next to a text's keywords, by weight.
+
+    Texts of up to ASKED_WORDS words meet concepts of up to CONCEPT_WORDS by the sets of words that they share; others,
+    and all where weights may be negative, meet concept by concept.
+    """
+    found = found.select("id", "word").filter("word is not null").distinct()
+    near = edges.filter((F.col("weight") >= least) & F.col("source").isNotNull()).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    each = lambda f, e: f.withColumnRenamed("word", "source").join(e, "source").groupBy("id", "target").agg(F.round(F.sum("weight"), 4).alias("weight"))
+    if least <= 0:
+        met = each(found, near)
+    else:
+        found, near = materialise(found, "context-found"), materialise(near.select("source", "target", F.col("weight").cast("double")), "context-edges")
+        many = lambda rows, key, most: materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.col(key).alias("_many")), "context-many")
+        texts, concepts = many(found, "id", ASKED_WORDS), many(near, "target", CONCEPT_WORDS)
+        short, small, parts = found, near, []
+        if not texts.isEmpty():
+            same = F.col("id").eqNullSafe(F.col("_many"))
+            short, parts = found.join(texts, same, "left_anti"), [each(found.join(texts, same, "left_semi"), near)]
+        if not concepts.isEmpty():
+            same = F.col("target").eqNullSafe(F.col("_many"))
+            small, parts = near.join(concepts, same, "left_anti"), [*parts, each(short, near.join(concepts, same, "left_semi"))]
+        met = functools.reduce(DataFrame.unionByName, parts, _shared_context(short, small, k))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "target"))
-    return near.withColumn("place", place).filter(F.col("place") <= k)
+    return met.withColumn("place", place).filter(F.col("place") <= k)
 
 
 def recall(memory: DataFrame, asked: DataFrame, *, last: int = 50, least: float = 0.6, k: int = 3) -> DataFrame:
