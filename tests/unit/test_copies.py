@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from claimgraph.plans import catalogue
+from claimgraph.plans import catalogue, inputs
 from tests.unit.test_oracles import SF, TABLES, plain
 
 
@@ -52,3 +52,11 @@ def test_a_first_task_without_rows_lands_no_file(spark, tmp_path):
 def test_plans_of_matching_stay_small(spark):
     plan = catalogue.queries()["j6_neighbour_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 12, plan.count("Exchange hashpartitioning")
+
+
+def test_tasks_of_edges_grow_in_number_with_line_items(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_LINES", 500, raising=False)
+    folder = linked(tmp_path, but={})
+    assert inputs.edges(spark, folder).rdd.getNumPartitions() >= 12
+    same(spark, folder, "g1_neighbours")
+    same(spark, folder, "k5_clusters")
