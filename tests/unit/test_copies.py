@@ -60,3 +60,14 @@ def test_tasks_of_edges_grow_in_number_with_line_items(spark, tmp_path, monkeypa
     assert inputs.edges(spark, folder).rdd.getNumPartitions() >= 12
     same(spark, folder, "g1_neighbours")
     same(spark, folder, "k5_clusters")
+
+
+def test_windows_of_a_stream_keep_their_state_in_files_and_sum_up_once(spark, tmp_path):
+    from claimgraph.plans import of_logs
+
+    stream = of_logs.streams.windowed_consensus(of_logs.votes_with_time(of_logs.stream_of(spark, SF, "lineitem")), inputs.models(spark))
+    query = of_logs.streams.run_to_table(stream, f"{tmp_path}/t4")
+    operators = query.recentProgress[0].stateOperators
+    assert len(operators) == 2, "deduplication and one aggregation"
+    assert all("rocksdbPutCount" in o.customMetrics for o in operators)
+    assert not [c for c in of_logs.streams.STATE if "rocksdb." in c and spark.conf.get(c, None) == of_logs.streams.STATE[c]]
