@@ -90,6 +90,25 @@ def test_leaders_are_those_of_the_greedy_order(spark, task_edges):
         assert dict(rows_of(similarity.assign_leaders(items, edges, task_edges=task_edges))) == greedy(120, pairs), name
 
 
+@pytest.mark.parametrize("chunk", [2048, 20])
+def test_leaders_of_vectors_need_no_pairs(spark, monkeypatch, chunk):
+    rows = [*vector_rows(700 if chunk > 20 else 150), None, np.zeros(12), np.ones(5), np.ones(5) * 2, np.array([np.inf] * 12), np.array([-1.0, 0, 0, 0, 0])]
+    clean = [None if r is None or not np.isfinite(r).all() else r for r in rows]
+    for name, size in (("CHUNK_ROWS", chunk), ("DECIDED_ROWS", 3 * chunk), ("COVERED_ROWS", 2 * chunk)):
+        monkeypatch.setattr(similarity, name, size)
+    joined = similarity.cosine_join
+    monkeypatch.setattr(similarity, "cosine_join", lambda *a, **k: 1 / 0)
+    for least, within in ((0.97, "label"), (0.97, None)):
+        want = greedy(len(rows), plain_pairs(clean, least, (lambda i: i % 3) if within else None))
+        assert dict(rows_of(similarity.vector_leaders(frame(spark, rows), least, within=within))) == want
+    got = similarity.duplicate_penalty(frame(spark, rows), least=0.97)
+    assert dict(rows_of(got)) == {i: 1.0 if i == leader else 0.5 for i, leader in want.items()}
+    assert similarity.vector_leaders(frame(spark, rows).limit(0), 0.5).isEmpty()
+    monkeypatch.setattr(similarity, "cosine_join", joined)
+    twice = frame(spark, rows[:40]).unionByName(frame(spark, rows[12:14]))  # vectors 12 and 13 under the ids 0 and 1 as well
+    assert dict(rows_of(similarity.vector_leaders(twice, 0.9)))[0] == 0
+
+
 def test_a_chain_of_a_hundred_thousand_items(spark):
     n = 100_000
     edges = spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
