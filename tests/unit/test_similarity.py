@@ -54,6 +54,23 @@ def test_most_pairs_of_blocks_are_skipped(spark, monkeypatch):
     assert loose == n * (n + 1) // 2 and n >= 30 and kept < 0.4 * loose
 
 
+def test_blocks_grow_and_components_need_a_forest_alone(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "BLOCKS", 4, raising=False)
+    rows, linked = vector_rows(), []
+    assert similarity.angle_blocks(frame(spark, rows))[1].count() <= 12, "blocks of 150 rows, not of 20"
+    settle = similarity.connected_components
+    monkeypatch.setattr(similarity, "connected_components", lambda edges: settle(linked.append(edges) or edges))
+    got = dict(rows_of(similarity.cosine_components(frame(spark, rows), 0.9)))
+    want = {i: i for i in range(len(rows))}
+    pairs = plain_pairs(rows, 0.9)
+    for _ in range(6):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == {i: c for i, c in want.items() if any(i in p for p in pairs)}
+    assert linked[0].count() < len(pairs) / 4
+
+
 @pytest.mark.parametrize("block", [2048, 25])
 def test_top_similar_with_a_moving_bound(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
