@@ -44,7 +44,7 @@ class NameIndex:
     def _grams(names: DataFrame) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("name") - 2))
         each = names.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("name", i, 3)))).alias("gram"))
-        return each.filter(F.char_length("gram") == 3).select("gram", "id").distinct()
+        return each.filter(F.char_length("gram") == 3).select("gram", "id")
 
     @classmethod
     def create(cls, path: str, names: DataFrame, *, buckets: int = 64) -> "NameIndex":
@@ -61,12 +61,10 @@ class NameIndex:
         spark = self.names.spark
         asked = spark.createDataFrame([(g,) for g in grams], "gram string")
         lists = self.postings.read(buckets=self.postings.touched(asked)).filter(F.col("gram").isin(grams))
-        ids = lists.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)).select("id")
+        ids = lists.groupBy("id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams)).select("id")
         return self.names.read().join(ids, "id", "left_semi").filter(F.col("name").like(pattern))
 
     def search(self, edges: DataFrame, pattern: str, *, k: int = 20) -> DataFrame:
         """As graph.search: names like the pattern, best connected first, then by rho."""
-        found = self.matches(pattern)
-        near = degrees(edges.join(found.select(F.col("id").alias("source")), "source", "left_semi").unionByName(edges.join(found.select(F.col("id").alias("target")), "target", "left_semi").select(*edges.columns)).distinct())
-        rows = found.join(near, F.col("id") == F.col("node"), "left")
+        rows = self.matches(pattern).join(degrees(edges), F.col("id") == F.col("node"), "left")
         return rows.select("id", "name", F.coalesce("degree", F.lit(0)).alias("degree"), "rho").orderBy(F.desc("degree"), F.desc("rho"), "id").limit(k)

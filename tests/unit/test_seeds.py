@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimgraph.operators import graph
+from claimgraph.operators import graph, name_index
 
 
 @pytest.mark.parametrize("pairs_a_tile", [3, 1_000_000])
@@ -31,3 +31,12 @@ def test_pairs_of_seeds_are_not_shuffled(spark, monkeypatch):
     new = graph.group_seed_edges(left, right, spark.createDataFrame([(1, 3)], "source long, target long"), ["near"])
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_search_by_index_counts_all_edges_and_repeated_names(spark, tmp_path):
+    # an id with two names, and an edge that is there twice, which the index counted once
+    names = spark.createDataFrame([(1, "a bolt", 1.0), (1, "bolt bolt", 2.0), (2, "no bo or lt", 3.0), (3, "blue bolt", 1.0)], "id long, name string, rho double")
+    edges = spark.createDataFrame([(1, 3), (1, 3), (3, 3), (2, 3), (None, 1)], "source long, target long")
+    index = name_index.NameIndex.create(str(tmp_path / "index"), names, buckets=4)
+    for pattern in ("%bolt%", "%b%", "%blue%bolt"):
+        assert index.search(edges, pattern, k=9).collect() == graph.search(names, edges, pattern, k=9).collect()
