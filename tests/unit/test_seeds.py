@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.operators import graph, name_index
+from claimgraph.plans import inputs
 
 
 @pytest.mark.parametrize("pairs_a_tile", [3, 1_000_000])
@@ -40,3 +41,11 @@ def test_search_by_index_counts_all_edges_and_repeated_names(spark, tmp_path):
     index = name_index.NameIndex.create(str(tmp_path / "index"), names, buckets=4)
     for pattern in ("%bolt%", "%b%", "%blue%bolt"):
         assert index.search(edges, pattern, k=9).collect() == graph.search(names, edges, pattern, k=9).collect()
+
+
+def test_purchases_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_LINES", 500)
+    few = inputs.start_edges(spark, "/root/testdata/sf0.001")
+    n = -(-inputs.table(spark, "/root/testdata/sf0.001", "lineitem").count() // 500)
+    assert few._jdf.queryExecution().executedPlan().toString().count(f", {n}), REPARTITION_BY_NUM") == 3
+    assert few.rdd.getNumPartitions() == n
