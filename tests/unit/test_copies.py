@@ -38,6 +38,13 @@ def test_changes_go_by_their_numbers(spark, tmp_path, name):
     same(spark, linked(tmp_path, but={"events": "select * replace (5000 - event_id as event_id) from '{t}'"}), name)
 
 
+@pytest.mark.parametrize("name", ["g7_apply_deltas", "g7_apply_node_deltas", "t2_follow_deltas_stream", "t2_dirty_queue_stream", "t2_curvature_stream"])
+def test_changes_of_any_confidence_and_weight_are_those_of_the_sql(spark, tmp_path, name):
+    # deletions and changes of nodes with a value above 500, and additions that weigh nothing, which larger tables have
+    many = "CASE WHEN event_type IN ('signup', 'error') THEN value * 9 WHEN event_id % 7 = 0 THEN 0 ELSE value END"
+    same(spark, linked(tmp_path, but={"events": f"select * replace ({many} as value) from '{{t}}'"}), name)
+
+
 def test_a_first_task_without_rows_lands_no_file(spark, tmp_path):
     folder = linked(tmp_path, but={})
     spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
