@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from claimgraph.operators import graph, triangles
@@ -73,3 +74,12 @@ def test_arcs_between_close_nodes_are_copied_a_few_times(spark, monkeypatch):
         copies[groups] = dealt.count() / len(arcs)
         assert dealt.groupBy("task").count().agg({"count": "max"}).first()[0] <= 600
     assert copies[60] <= 1.25 * copies[10] and copies[60] < 3 * (3 * len(arcs) / 200) ** 0.5 / 2
+
+
+def test_curvature_of_no_weight_and_next_to_halves_is_that_of_the_sql(spark):
+    rows = [(1, 2, 0.0, 3, 4), (1, 3, 0.08192, 25, 25), (1, 4, 0.08192, 5, 200)]
+    counts = spark.createDataFrame([(*r, 2, 2, 1) for r in rows], "source long, target long, weight double, du long, dv long, nu long, nv long, both long")
+    found = {r.target: r.ollivier for r in graph.curvature_of_counts(counts, weightless=float("-inf")).collect()}
+    for _, target, weight, du, dv in rows:
+        want = duckdb.execute("SELECT round(1 / ?::BIGINT + 1 / ?::BIGINT - 2 / ?::DOUBLE, 6)", [du, dv, weight]).fetchone()[0]
+        assert found[target] == want
