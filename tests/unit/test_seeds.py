@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.operators import graph, name_index
-from claimgraph.plans import inputs
+from claimgraph.plans import catalogue, inputs
 
 
 @pytest.mark.parametrize("pairs_a_tile", [3, 1_000_000])
@@ -34,6 +34,14 @@ def test_pairs_of_seeds_are_not_shuffled(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") == 2
 
 
+def test_all_customers_are_seeds_of_edges(spark):
+    folder = "/root/testdata/sf0.001"
+    of_nation = inputs.table(spark, folder, "customer").join(inputs.table(spark, folder, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
+    pairs = of_nation.select(F.col("c_custkey").alias("source"), F.col("s_suppkey").alias("target")).subtract(inputs.start_pairs(spark, folder))
+    found = catalogue.queries()["g24_seed_edges"](spark, folder).select("source", "target")
+    assert pairs.count() > 0 and pairs.subtract(found).count() == 0
+
+
 def test_search_by_index_counts_all_edges_and_repeated_names(spark, tmp_path):
     # an id with two names, and an edge that is there twice, which the index counted once
     names = spark.createDataFrame([(1, "a bolt", 1.0), (1, "bolt bolt", 2.0), (2, "no bo or lt", 3.0), (3, "blue bolt", 1.0)], "id long, name string, rho double")
