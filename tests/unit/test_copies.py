@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from claimgraph.operators import align
 from claimgraph.plans import catalogue, inputs
 from tests.unit.test_oracles import SF, TABLES, plain
 
@@ -61,6 +62,13 @@ def test_plans_of_matching_stay_small(spark):
     assert plan.count("Exchange hashpartitioning") <= 12, plan.count("Exchange hashpartitioning")
 
 
+def test_names_and_matches_are_not_broadcast(spark):
+    names = spark.createDataFrame([(f"name{i}",) for i in range(50)], "name string")
+    assert "Broadcast" not in align.similar_names(names)._jdf.queryExecution().executedPlan().toString()
+    matches = catalogue.queries()["j6_neighbour_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert matches.count("BroadcastExchange") <= 1, "relations that are compatible, and no names or matches"
+
+
 def test_tasks_of_edges_grow_in_number_with_line_items(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_LINES", 500, raising=False)
     folder = linked(tmp_path, but={})
