@@ -83,3 +83,13 @@ def test_curvature_of_no_weight_and_next_to_halves_is_that_of_the_sql(spark):
     for _, target, weight, du, dv in rows:
         want = duckdb.execute("SELECT round(1 / ?::BIGINT + 1 / ?::BIGINT - 2 / ?::DOUBLE, 6)", [du, dv, weight]).fetchone()[0]
         assert found[target] == want
+
+
+def test_copies_of_arcs_are_small(spark, monkeypatch):
+    monkeypatch.setattr(triangles, "TASK_ARCS", 2000)
+    rng = random.Random(4)
+    arcs = spark.createDataFrame(sorted({(rng.randrange(400), rng.randrange(400)) for _ in range(8000)}), "source long, target long").cache()
+    n, size = arcs.count(), triangles._blocks(arcs, arcs, arcs, 3 * arcs.count()).selectExpr("sum(length(block)) AS bytes", "count(*) AS blocks").first()
+    copies = triangles._dealt(arcs, arcs, arcs, 3 * n).count()
+    assert copies >= 6 * n, "nodes are linked at random: each arc is needed in several tasks"
+    assert size.bytes < 5 * copies + 1000 * size.blocks, "an arc's two numbers took 16 bytes and more"
