@@ -86,6 +86,18 @@ def test_top_similar_with_a_moving_bound(spark, monkeypatch, block):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_top_similar_passes_on_few_pairs_of_other_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 100)
+    passed, compared = [], similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda *given: passed.append(compared(*given)) or passed[-1])
+    rng = np.random.default_rng(8)
+    rows = [rng.normal(size=6) for _ in range(600)]
+    got = similarity.top_similar(frame(spark, rows), spark.createDataFrame([(0, 1)], "source long, target long"), least=0.2, k=2)
+    own, others = (p.count() for p in passed)
+    pairs = plain_pairs(rows, 0.2)
+    assert got.count() > 300 and others < (len(pairs) - own) / 5, (own, others, len(pairs))
+
+
 def greedy(n, pairs):
     smaller, leader = defaultdict(list), {}
     for a, b in pairs:
